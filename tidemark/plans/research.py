@@ -31,8 +31,7 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Shared SQL: fwd (forward columns), cand, ep (greedy picks), out (completed outcomes), base (baseline).
-_FWD = V.sql("dn") + f""",
-gapn AS (SELECT *, sum(CASE WHEN date - pd > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date) AS g
+_FWD_BODY = f"""gapn AS (SELECT *, sum(CASE WHEN date - pd > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date) AS g
   FROM (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS pd FROM dn)),
 fwd AS (SELECT *, lead(date, {H}) OVER w AS exit_date, lead(close, {H}) OVER w AS exit_price,
   lead(close, {H}) OVER w / close - 1 AS fr, close / lag(close, {WIN}) OVER w - 1 AS mv,
@@ -48,6 +47,7 @@ eps AS (SELECT c.*, CASE WHEN exit_date IS NULL THEN 'pending' ELSE 'complete' E
 out AS (SELECT symbol, i, date, exit_date, fr AS v FROM eps WHERE status = 'complete'),
 base AS (SELECT symbol, i, date, fr AS v FROM fwd WHERE i >= {WARM} AND exit_date IS NOT NULL AND NOT gapped)
 """
+_FWD = V.sql("dn") + ", " + _FWD_BODY
 _TT = ", ".join(f"({a}, {b})" for a, b in R.T_TABLE.items())
 _T = f"""tt(df, t) AS (VALUES {_TT}),
 tcrit AS (SELECT d AS df, CASE WHEN d > 120 THEN 1.960 ELSE coalesce(x.t, hi.t + (1.0 / d - 1.0 / hi.df) / (1.0 / lo.df - 1.0 / hi.df) * (lo.t - hi.t)) END AS t

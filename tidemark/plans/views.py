@@ -111,3 +111,31 @@ _SQL = {
   SELECT *, lag(suspect) OVER d AS p_suspect, lag(regime) OVER d AS p_regime, lag(ts) OVER d AS p_ts
   FROM bars_reg WINDOW d AS (PARTITION BY symbol, day ORDER BY ts))""",
 }
+
+
+def dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """``daily`` with an unapplied split, bad prints, invalid closes, a stale run, holes and volume spikes."""
+    from tidemark.operators.indicators import numbered
+
+    i = F.col("i")
+    c = (
+        F.when(i % 500 == 250, 0.0).when((i % 300).between(100, 106), 100.0).when(i % 400 == 200, F.col("close") * 3).otherwise(F.col("close"))
+        * F.when(F.col("date") < F.lit("1998-06-01").cast("date"), 4.0).otherwise(1.0)
+    )
+    v = F.when((i % 300).between(100, 106), 0.0).when(i % 350 == 175, F.col("volume") * 50).otherwise(F.col("volume"))
+    x = numbered(daily(spark, sf)).withColumn("close", c).withColumn("volume", v).filter(~(i % 700).between(300, 320))
+    return x.drop("i", "n")
+
+
+def splits(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf).select("symbol").distinct()
+    return d.select("symbol", F.lit("1998-06-02").cast("date").alias("date"), F.lit(4.0).alias("ratio"))
+
+
+_DEPS["dirty"] = ("dn",)
+_SQL["dirty"] = """SELECT symbol, date, open, high, low, CASE WHEN i % 500 = 250 THEN 0.0 WHEN i % 300 BETWEEN 100 AND 106 THEN 100.0
+  WHEN i % 400 = 200 THEN close * 3 ELSE close END * CASE WHEN date < DATE '1998-06-01' THEN 4.0 ELSE 1.0 END AS close,
+  CASE WHEN i % 300 BETWEEN 100 AND 106 THEN 0.0 WHEN i % 350 = 175 THEN volume * 50 ELSE volume END AS volume
+  FROM dn WHERE NOT (i % 700 BETWEEN 300 AND 320)"""
+_DEPS["splits"] = ("daily",)
+_SQL["splits"] = "SELECT DISTINCT symbol, DATE '1998-06-02' AS date, 4.0::DOUBLE AS ratio FROM daily"
