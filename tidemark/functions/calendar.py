@@ -39,7 +39,7 @@ def trading_day(ts: Column) -> Column:
 def in_window(ts: Column, start_minute: int, end_minute: int) -> Column:
     """Wall-clock window, start inclusive and end exclusive; may wrap midnight."""
     m = minute_of_day(to_et(ts))
-    if start_minute <= end_minute:
+    if start_minute < end_minute:
         return (m >= start_minute) & (m < end_minute)
     return (m >= start_minute) | (m < end_minute)
 

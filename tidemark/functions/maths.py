@@ -33,5 +33,5 @@ def round_to_tick(c: Column, tick: float) -> Column:
 
 
 def tidy(c: Column, digits: int = 6) -> Column:
-    """Rounded for comparison; adding zero removes negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded for comparison: the nudge keeps exact ties from depending on the rounding rule, zero removes -0.0."""
+    return F.round(c + F.lit(1e-9), digits) + F.lit(0.0)

@@ -218,3 +218,12 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Column, keep: Sequence
 def last_rows(df: DataFrame, keys: Sequence[str], order: Column, keep: Sequence[str]) -> DataFrame:
     packed = F.struct(*keep)
     return df.groupBy(*keys).agg(F.max_by(packed, order).alias("_f")).select(*keys, "_f.*")
+
+
+def islands(
+    df: DataFrame, keys: Sequence[str], chunk: str, position: str, max_gap: int, name: str = "run_no"
+) -> DataFrame:
+    """Number the runs of rows whose positions are at most ``max_gap`` apart."""
+    x = carry_last(df, keys, chunk, [position], {"_prev": position}, include_current=False)
+    x = x.withColumn("_new", F.when(F.col(position) - F.col("_prev") <= max_gap, 0).otherwise(1))
+    return running(x, keys, chunk, [position], {name: ("sum", "_new")}).drop("_new", "_prev")

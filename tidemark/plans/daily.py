@@ -23,12 +23,12 @@ def _nd(spark, sf):
     return I.numbered(V.daily(spark, sf))
 
 
-@query("sma", V.sql("dn") + f" SELECT symbol, i, round(CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) END, 6) + 0.0 AS sma FROM dn")
+@query("sma", V.sql("dn") + f" SELECT symbol, i, round(CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) END + 1e-9, 6) + 0.0 AS sma FROM dn")
 def sma(spark, sf):
     return _pick(_nd(spark, sf).withColumn("sma", I.sma(20)), "sma", tidied=["sma"])
 
 
-@query("trailing_mean", V.sql("dn") + " SELECT symbol, i, round(CASE WHEN i >= 20 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END, 6) + 0.0 AS mean FROM dn")
+@query("trailing_mean", V.sql("dn") + " SELECT symbol, i, round(CASE WHEN i >= 20 THEN avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END + 1e-9, 6) + 0.0 AS mean FROM dn")
 def trailing_mean(spark, sf):
     return _pick(_nd(spark, sf).withColumn("mean", I.trailing_mean(20, "volume")), "mean", tidied=["mean"])
 
@@ -49,7 +49,7 @@ def returns(spark, sf):
     return _pick(_nd(spark, sf).withColumn("ret", I.returns()), "ret", tidied=["ret"])
 
 
-@query("rolling_std", V.sql("dn") + " SELECT symbol, i, round(CASE WHEN i >= 19 THEN stddev_samp(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) END, 6) + 0.0 AS std FROM dn")
+@query("rolling_std", V.sql("dn") + " SELECT symbol, i, round(CASE WHEN i >= 19 THEN stddev_samp(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) END + 1e-9, 6) + 0.0 AS std FROM dn")
 def rolling_std(spark, sf):
     return _pick(_nd(spark, sf).withColumn("std", I.rolling_std(20, "close")), "std", tidied=["std"])
 

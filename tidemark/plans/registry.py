@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def r(expr: str, alias: str, digits: int = 6) -> str:
     """SQL counterpart of ``maths.tidy``."""
-    return f"round({expr}, {digits}) + 0.0 AS {alias}"
+    return f"round({expr} + 1e-9, {digits}) + 0.0 AS {alias}"

@@ -157,7 +157,7 @@ xt AS (SELECT symbol, count(*) AS n, arg_max(v, (d, -i)) AS ev, arg_max(i, (d, -
 
 
 @query("extreme_removed", _FWD + f""", {_EXTREME} SELECT symbol, n, {r('ev','extreme_value')}, ei AS extreme_at, {r('(s - ev) / nullif(n - 1, 0)','mean_without_extreme')},
-  CASE WHEN n >= 5 THEN round((s - lo - hi) / (n - 2), 6) + 0.0 END AS mean_without_both FROM xt""")
+  CASE WHEN n >= 5 THEN round((s - lo - hi) / (n - 2) + 1e-9, 6) + 0.0 END AS mean_without_both FROM xt""")
 def extreme_removed(spark, sf):
     return _tidy(R.without_extremes(_outcomes(spark, sf), ["symbol"], "i"), "extreme_value", "mean_without_extreme", "mean_without_both")
 
@@ -175,7 +175,7 @@ def bootstrap_ci(spark, sf):
 @query("contribution", _FWD + f""", sd AS (SELECT symbol, CASE WHEN v > 0 THEN 'gain' ELSE 'loss' END AS side, v,
   row_number() OVER (PARTITION BY symbol, v > 0 ORDER BY abs(v) DESC) AS rk FROM out WHERE v <> 0)
 SELECT symbol, side, count(*) AS n, {r('sum(v)','total')}, """ + ", ".join(
-    f"CASE WHEN count(*) > {k} THEN round(sum(v) FILTER (rk <= {k}) / sum(v), 6) + 0.0 END AS top{k}_share" for k in (1, 3, 5)
+    f"CASE WHEN count(*) > {k} THEN round(sum(v) FILTER (rk <= {k}) / sum(v) + 1e-9, 6) + 0.0 END AS top{k}_share" for k in (1, 3, 5)
 ) + f", {r('sum(v) FILTER (rk = 1) / sum(v)','largest_share')} FROM sd GROUP BY 1, 2")
 def contribution(spark, sf):
     return _tidy(R.contribution(_outcomes(spark, sf), ["symbol"]), "total", "top1_share", "top3_share", "top5_share", "largest_share")

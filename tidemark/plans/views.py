@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.operators import bars as B
 from tidemark.operators import ordered as O
+from tidemark.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,7 +47,22 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return run.select("symbol", "ts", "event_id", F.round(100 * F.exp(0.002 * F.col("w")), 2).alias("price"))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def bars1h(spark: SparkSession, sf: str) -> DataFrame:
+    """The candle table, written once per session to the shared checkpoint folder.
+
+    Candles are a stored archive that many detectors read; rebuilding them from ticks inside every
+    branch of every plan would repeat the widest shuffle each time.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build_bars1h(spark, sf))
+    return _STORED[key]
+
+
+def build_bars1h(spark: SparkSession, sf: str) -> DataFrame:
     """One-hour base candles with trading day, contract, regime, position and the quality flags."""
     raw = B.bars_from_ticks(ticks(spark, sf), 3600)
     raw = raw.withColumn("day", cal.trading_day(F.col("ts"))).withColumn(
@@ -139,3 +155,66 @@ _SQL["dirty"] = """SELECT symbol, date, open, high, low, CASE WHEN i % 500 = 250
   FROM dn WHERE NOT (i % 700 BETWEEN 300 AND 320)"""
 _DEPS["splits"] = ("daily",)
 _SQL["splits"] = "SELECT DISTINCT symbol, DATE '1998-06-02' AS date, 4.0::DOUBLE AS ratio FROM daily"
+
+
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw candle rows with late second copies (from every seventh tick) in arrival order."""
+    t = ticks(spark, sf)
+
+    def rows(x, copy, late):
+        last = x.groupBy("symbol", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 3600) * 3600).alias("ts")).agg(F.max("event_id").alias("arrival"))
+        return B.bars_from_ticks(x, 3600).join(last, ["symbol", "ts"]).withColumn("arrival", F.col("arrival") + late).withColumn("copy", F.lit(copy))
+
+    return rows(t, 0, 0).unionByName(rows(t.filter("event_id % 7 = 0"), 1, 40))
+
+
+def other_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """A second candle feed that missed every twentieth tick."""
+    return B.bars_from_ticks(ticks(spark, sf).filter("event_id % 20 <> 0"), 3600).withColumn("day", cal.trading_day(F.col("ts")))
+
+
+def contract_volumes(spark: SparkSession, sf: str) -> DataFrame:
+    """Traded count per (root, day, contract rank); later contracts gain volume as days pass."""
+    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    rank = F.floor((F.dayofyear("day") + F.col("user_id") % 15) / 12).cast("long")
+    return e.groupBy(F.col("event_type").alias("root"), "day", rank.alias("rank")).agg(F.count(F.lit(1)).alias("volume"))
+
+
+def _bars_sql(where: str) -> str:
+    return f"""SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, max(event_id) AS arrival FROM ticks {where} GROUP BY 1, 2"""
+
+
+_ET = "(({0}) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York'"
+_UTC = "(({0}) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC'"
+
+
+def clock(day: str, hhmm: str) -> str:
+    """UTC instant of a New York clock time on a date expression."""
+    return _UTC.format(f"({day}) + TIME '{hhmm}'")
+
+
+def roll_weekend(d: str) -> str:
+    return f"({d} + CASE dayofweek({d}) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END)"
+
+
+_DEPS["feed"] = ("ticks",)
+_SQL["feed"] = f"SELECT *, 0 AS copy FROM ({_bars_sql('')}) UNION ALL SELECT symbol, ts, open, high, low, close, volume, arrival + 40, 1 FROM ({_bars_sql('WHERE event_id % 7 = 0')})"
+_DEPS["other_raw"] = ("ticks",)
+_SQL["other_raw"] = f"SELECT *, {_ET.format('ts')} AS et FROM ({_bars_sql('WHERE event_id % 20 <> 0')})"
+_DEPS["other_feed"] = ("other_raw",)
+_SQL["other_feed"] = f"""SELECT symbol, ts, open, high, low, close, volume, {roll_weekend("(CAST(et AS DATE) + CASE WHEN hour(et) >= 18 THEN 1 ELSE 0 END)")} AS day FROM other_raw"""
+_DEPS["hours"] = ("bars1h",)
+_SQL["hours"] = f"""SELECT t, et, CASE dayofweek(et) WHEN 6 THEN false WHEN 0 THEN hour(et) >= 18 WHEN 5 THEN hour(et) < 17 ELSE hour(et) <> 17 END AS open
+  FROM (SELECT t, {_ET.format('t')} AS et FROM (SELECT unnest(generate_series((SELECT min(ts) FROM bars1h) - INTERVAL 5 DAY, (SELECT max(ts) FROM bars1h) + INTERVAL 5 DAY, INTERVAL 1 HOUR)) AS t))"""
+_DEPS["dayb"] = ("bars1h",)
+_SQL["dayb"] = f"SELECT DISTINCT symbol, day, {clock('day - 1', '18:00')} AS d0, {clock('day', '17:00')} AS d1, {clock('day', '09:30')} AS m0, {clock('day', '16:00')} AS m1 FROM bars1h"
+_DEPS["dlev0"] = ("bars1h", "dayb", "hours")
+_SQL["dlev0"] = """SELECT b.symbol, b.day, d0, d1, max(high) FILTER (NOT suspect) AS high, min(low) FILTER (NOT suspect) AS low, count(*) FILTER (NOT suspect) AS clean,
+  min(ts) AS first_ts, min(regime) AS regime, max(regime) AS last_regime, max(regime) FILTER (ts <= d0) AS reg_open,
+  (SELECT count(*) FROM hours WHERE open AND t >= d0 AND t < d1) AS expected FROM bars1h b JOIN dayb USING (symbol, day) GROUP BY 1, 2, 3, 4"""
+_DEPS["dlev"] = ("dlev0",)
+_SQL["dlev"] = """SELECT *, clean / expected AS coverage, high IS NOT NULL AND clean / expected >= 0.9 AND epoch(first_ts) - epoch(d0) <= 1800 AND regime = last_regime AS complete FROM dlev0"""
+_DEPS["tr"] = ("bars1h",)
+_SQL["tr"] = """SELECT *, CASE WHEN bar_no >= 13 THEN avg(t) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) END AS atr FROM (
+  SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS t FROM (SELECT *, CASE WHEN lag(day) OVER w = day THEN lag(close) OVER w END AS pc FROM bars1h WINDOW w AS (PARTITION BY symbol ORDER BY ts)))"""
