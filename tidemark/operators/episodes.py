@@ -110,3 +110,15 @@ def baseline(daily: DataFrame, horizon: int, warm: int, max_gap_days: int | None
     return df.filter((F.col("i") >= warm) & F.col("exit_date").isNotNull() & ~F.col("gapped")).select(
         "symbol", "i", "date", F.col("forward_return").alias("v")
     )
+
+
+def greedy_spaced(cand: DataFrame, keys: list[str], index: str, spacing: int) -> DataFrame:
+    """Left-to-right selection where a row is taken when it lies ``spacing`` or more after the last taken one."""
+    w = Window.partitionBy(*keys).orderBy(index)
+    far = F.coalesce(F.col(index) - F.lag(index).over(w) >= spacing, F.lit(True)).cast("int")
+    x = cand.withColumn("_far", far).withColumn("_stretch", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = x.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(F.col(index).cast("long"))).alias("c"))
+    start = F.array().cast("array<bigint>")
+    taken = F.aggregate("c", start, lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.try_element_at(acc, F.lit(-1)) + spacing), F.concat(acc, F.array(i))).otherwise(acc))
+    picked = g.select(*keys, F.explode(taken).alias(index))
+    return cand.join(picked, [*keys, index], "left_semi")
