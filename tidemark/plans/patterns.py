@@ -84,9 +84,9 @@ def fvg_states(spark, sf):
     return _out(g, *[F.unix_seconds(f"{m}_at").alias(m) for m in D.MARKS], F.unix_seconds("end_at").alias("ended"), F.col("end_reason").alias("reason"))
 
 
-@query("fvg_state_at", V.sql("bars1h") + f""", {_LIFE_T}, at AS (SELECT *, CAST(epoch(ts) AS BIGINT) + 3600 + 4 * 3600 AS t FROM lt),
-st AS (SELECT *, list_filter([{{'at': CAST(epoch(ts) AS BIGINT) + 3600, 'o': -1, 'n': 'created'}}, {{'at': ent_t, 'o': 0, 'n': 'entered'}}, {{'at': par_t, 'o': 1, 'n': 'partial'}}, {{'at': half_t, 'o': 2, 'n': 'half'}}, {{'at': full_t, 'o': 3, 'n': 'full'}},
-  {{'at': val_t, 'o': 4, 'n': 'validated'}}, {{'at': inv_t, 'o': 5, 'n': 'invalidated'}}, {{'at': exp_t, 'o': 6, 'n': 'expired'}}], lambda s: s.at <= t) AS s FROM at), cu AS (SELECT *, list_sort(s)[-1].n AS c FROM st)
+@query("fvg_state_at", V.sql("bars1h") + f""", {_LIFE_T}, tq AS (SELECT *, CAST(epoch(ts) AS BIGINT) + 3600 + 4 * 3600 AS t FROM lt),
+st AS (SELECT *, list_filter([{{'tm': CAST(epoch(ts) AS BIGINT) + 3600, 'o': -1, 'n': 'created'}}, {{'tm': ent_t, 'o': 0, 'n': 'entered'}}, {{'tm': par_t, 'o': 1, 'n': 'partial'}}, {{'tm': half_t, 'o': 2, 'n': 'half'}}, {{'tm': full_t, 'o': 3, 'n': 'full'}},
+  {{'tm': val_t, 'o': 4, 'n': 'validated'}}, {{'tm': inv_t, 'o': 5, 'n': 'invalidated'}}, {{'tm': exp_t, 'o': 6, 'n': 'expired'}}], lambda s: s.tm <= t) AS s FROM tq), cu AS (SELECT *, list_sort(s)[-1].n AS c FROM st)
 SELECT {_ev('dir', 't1', 'ts')}, CASE WHEN end_t IS NOT NULL AND t >= end_t AND c NOT IN ('invalidated', 'expired') THEN 'ended' ELSE c END AS state FROM cu""")
 def fvg_state_at(spark, sf):
     g = lives(spark, sf)

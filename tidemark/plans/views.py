@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return run.select("symbol", "ts", "event_id", F.round(100 * F.exp(0.002 * F.col("w")), 2).alias("price"))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def bars1h(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,9 +58,14 @@ def bars1h(spark: SparkSession, sf: str) -> DataFrame:
     Candles are a stored archive that many detectors read; rebuilding them from ticks inside every
     branch of every plan would repeat the widest shuffle each time.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    return stored("bars1h", spark, sf, build_bars1h)
+
+
+def stored(name: str, spark: SparkSession, sf: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table derived once per session and kept in the shared checkpoint folder for its many readers."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
-        _STORED[key] = cut_lineage(build_bars1h(spark, sf))
+        _STORED[key] = cut_lineage(build(spark, sf))
     return _STORED[key]
 
 
