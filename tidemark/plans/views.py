@@ -225,3 +225,35 @@ _SQL["dlev"] = """SELECT *, clean / expected AS coverage, high IS NOT NULL AND c
 _DEPS["tr"] = ("bars1h",)
 _SQL["tr"] = """SELECT *, CASE WHEN bar_no >= 13 THEN avg(t) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) END AS atr FROM (
   SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS t FROM (SELECT *, CASE WHEN lag(day) OVER w = day THEN lag(close) OVER w END AS pc FROM bars1h WINDOW w AS (PARTITION BY symbol ORDER BY ts)))"""
+
+
+# --- texts ---------------------------------------------------------------------------------------------
+# Prose in the given documents is invented and names no company, so rule-based extraction also runs on
+# one filing sentence per order, worded from that order's own values.
+
+_WORDED = {
+    0: "'Customer ' || {letter} || ' accounted for ' || {p} || '% of our total net revenue in fiscal year ' || {y} || ', mainly through its cloud business.'",
+    1: "'We rely on Taiwan Semiconductor Manufacturing as our sole-source foundry for wafers, and supply from Taiwan may be disrupted.'",
+    2: "'Sales to customers in China represented ' || {p} || '% of our revenue in fiscal ' || {y} || ' and export controls could reduce demand.'",
+    3: "'Apple and Samsung are among our competitors, and competition in Japan could lower our sales.'",
+    4: "'No customer represented less than 10% of our net sales, although tariffs and interest rates may affect demand from customers.'",
+    5: "'Microsoft and Amazon purchased from us for their data centers; a recession could slow cloud spending by these customers in Europe.'",
+    6: "'A class action lawsuit was filed in the district court and the complaint was dismissed on March ' || {d} || ', ' || {y} || '.'",
+    7: "'For fiscal ' || {y} || ' we expect revenue of $' || {p} || '.5 billion to $' || {p2} || ' billion from the products and services we sell.'",
+    8: "'The Department of Justice opened an investigation and issued a subpoena; the Federal Trade Commission fined the company.'",
+    9: "'For fiscal ' || {y} || ' gross margin is expected to be ' || {p} || '%, plus or minus 50 basis points, founded in ' || {y} || '.'",
+}
+
+
+def filing_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id = customer, pos = order, sent, day): one worded sentence per order."""
+    parts = {"letter": "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(o_custkey % 26 + 1 as int), 1)", "p": "cast(o_orderkey % 89 + 1 as string)", "p2": "cast(o_orderkey % 89 + 2 as string)",
+             "y": "cast(year(o_orderdate) as string)", "d": "cast(day(o_orderdate) as string)"}
+    case = "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {v.format(**parts)}" for k, v in _WORDED.items()) + " END"
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.expr(case).alias("sent"), F.to_date("o_orderdate").alias("day"))
+
+
+_DEPS["fs"] = ()
+_SQL["fs"] = "SELECT o_custkey AS doc_id, o_orderkey AS pos, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 10 " + " ".join(
+    f"WHEN {k} THEN " + v.format(letter="substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(o_custkey % 26 + 1 AS INTEGER), 1)", p="CAST(o_orderkey % 89 + 1 AS VARCHAR)", p2="CAST(o_orderkey % 89 + 2 AS VARCHAR)",
+                                 y="CAST(year(o_orderdate) AS VARCHAR)", d="CAST(day(o_orderdate) AS VARCHAR)") for k, v in _WORDED.items()) + " END AS sent FROM orders"
