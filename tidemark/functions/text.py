@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\r\f\x0b"
@@ -53,6 +53,11 @@ def matched(text: Column, rules: Sequence[tuple], ignore_case: bool = True) -> C
     return F.when(text.rlike(anything), each).otherwise(F.array().cast("array<string>"))
 
 
+def explode_matches(df: DataFrame, keep: Sequence[str], labels: Column, name: str) -> DataFrame:
+    """One row per label.  The outer form keeps the optimizer from evaluating the rules a second time in a pushed filter."""
+    return df.select(*keep, F.explode_outer(labels).alias(name)).filter(F.col(name).isNotNull())
+
+
 def first_match(text: Column, rules: Sequence[tuple], default: str | None = None, ignore_case: bool = True) -> Column:
     flag = "(?i)" if ignore_case else ""
     out = None

@@ -38,7 +38,7 @@ def report_sections(docs: DataFrame, text: str = "text", shrink: int = 1) -> Dat
 
 def rule_counts(sents: DataFrame, rules: Sequence[tuple], ignore_case: bool = True) -> DataFrame:
     """Sentences of each document matching each rule (macro topics, policy topics)."""
-    x = sents.select("doc_id", F.explode(T.matched(F.col("sent"), rules, ignore_case)).alias("topic"))
+    x = T.explode_matches(sents, ["doc_id"], T.matched(F.col("sent"), rules, ignore_case), "topic")
     return x.groupBy("doc_id", "topic").agg(F.count(F.lit(1)).alias("mentions"))
 
 
@@ -50,7 +50,7 @@ def theme_counts(docs: DataFrame, rules: Sequence[tuple], text: str = "text") ->
 
 
 def entity_mentions(sents: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    x = sents.select("doc_id", F.explode(T.matched(F.col("sent"), rules, ignore_case=False)).alias("entity"))
+    x = T.explode_matches(sents, ["doc_id"], T.matched(F.col("sent"), rules, ignore_case=False), "entity")
     return x.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("sentences"))
 
 
@@ -61,10 +61,11 @@ def entity_relations(sents: DataFrame, own: Column | None = None, top: int = 24)
     """
     ents = T.matched(F.col("sent"), R.ENTITIES, ignore_case=False)
     rels = F.slice(T.matched(F.col("sent"), R.RELATIONS), 1, 2)
-    x = sents.withColumn("_e", ents).filter(F.size("_e") > 0).withColumn("_r", rels).filter(F.size("_r") > 0)
+    x = sents.withColumns({"_e": ents, "_r": rels})
     if own is not None:
         x = x.withColumn("_e", F.filter("_e", lambda e: ~F.lower(own).contains(F.lower(e))))
-    x = x.select("doc_id", "pos", F.explode("_e").alias("entity"), "_r").select("doc_id", "pos", "entity", F.posexplode("_r").alias("_o", "relation"))
+    x = T.explode_matches(x, ["doc_id", "pos", "_r"], F.col("_e"), "entity")
+    x = x.select("doc_id", "pos", "entity", F.posexplode_outer("_r").alias("_o", "relation")).filter("relation is not null")
     g = x.groupBy("doc_id", "entity", "relation").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "_o")).alias("first"))
     d = g.groupBy("doc_id", "entity").agg(F.sum("n").alias("mentions"), F.max_by("relation", F.struct(F.col("n"), (-F.col("first.pos")).alias("p"), (-F.col("first._o")).alias("o"))).alias("relation"))
     rk = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "entity"))  # at most one row per known entity
@@ -85,7 +86,7 @@ def percent_facts(sents: DataFrame) -> DataFrame:
 def geography_exposure(sents: DataFrame, minimum: int = 2, top: int = 10) -> DataFrame:
     """Regions named in at least two sentences that also give a reason; the two main reasons."""
     regs, whys = T.matched(F.col("sent"), R.GEOGRAPHIES, ignore_case=False), T.matched(F.col("sent"), R.GEO_REASONS)
-    x = sents.withColumn("_g", regs).withColumn("_w", whys).filter((F.size("_g") > 0) & (F.size("_w") > 0)).select("doc_id", "pos", F.explode("_g").alias("region"), "_w")
+    x = T.explode_matches(sents.withColumns({"_g": regs, "_w": whys}), ["doc_id", "pos", "_w"], F.col("_g"), "region").filter(F.size("_w") > 0)
     n = x.groupBy("doc_id", "region").agg(F.count(F.lit(1)).alias("mentions")).filter(F.col("mentions") >= minimum)
     order = {label: i for i, (label, _) in enumerate(R.GEO_REASONS)}
     w = x.select("doc_id", "region", "pos", F.explode("_w").alias("why")).groupBy("doc_id", "region", "why").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("_p"))

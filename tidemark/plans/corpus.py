@@ -29,11 +29,12 @@ def _hits(text: str, rules, flags: str = "i") -> str:
 
 
 def _docs(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", "text")
+    return V.spread(V.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _fs(spark, sf):
-    return V.filing_sentences(spark, sf)
+    """Sentences are a stored table: every extractor reads the same split texts."""
+    return V.stored("filing_sentences", spark, sf, V.filing_sentences)
 
 
 _WS = "\\s"
@@ -237,7 +238,7 @@ def factor_assembly(spark, sf):
     s = _fs(spark, sf)
     parts = []
     for kind, prefix, rules, ic in (("policy", "policy:", R.POLICY, True), ("geography", "geo:", R.GEOGRAPHIES, False)):
-        x = s.select(F.col("doc_id").alias("holding"), F.explode(T.matched(F.col("sent"), rules, ic)).alias("factor_key"), F.lit(kind).alias("kind"), F.col("sent").alias("evidence")).withColumn("factor_key", F.concat(F.lit(prefix), "factor_key"))
+        x = T.explode_matches(s.select(F.col("doc_id").alias("holding"), F.col("sent").alias("evidence"), F.lit(kind).alias("kind")), ["holding", "kind", "evidence"], T.matched(F.col("evidence"), rules, ic), "factor_key").withColumn("factor_key", F.concat(F.lit(prefix), "factor_key"))
         n = x.groupBy("holding", "factor_key").agg(F.count(F.lit(1)).alias("_n"))
         parts.append(x.join(n, ["holding", "factor_key"]).withColumn("strength", F.when(F.col("_n") >= 3, "emphasized").otherwise("mentioned")).drop("_n"))
     g = D.assemble_factors(parts)
@@ -249,7 +250,7 @@ d AS (SELECT DISTINCT doc_id AS company, unnest({_hits('sent', R.POLICY)}) AS to
 SELECT company, pos, array_to_string(es, ',') AS entities, array_to_string(ts, ',') AS topics, kind, list_filter(ts, lambda z: list_contains(coalesce(ds, []), z))[1] AS linked_topic FROM n LEFT JOIN dl USING (company) WHERE len(es) > 0""")
 def gov_actions(spark, sf):
     s = _fs(spark, sf)
-    disclosed = s.filter("pos % 2 = 0").select(F.col("doc_id").alias("company"), F.explode(T.matched(F.col("sent"), R.POLICY)).alias("topic")).distinct()
+    disclosed = s.filter("pos % 2 = 0").select(F.col("doc_id").alias("company"), F.explode_outer(T.matched(F.col("sent"), R.POLICY)).alias("topic")).filter("topic is not null").distinct()
     news = s.select(F.col("doc_id").alias("company"), "pos", F.col("sent").alias("headline"), F.lit(None).cast("string").alias("summary"))
     x = D.government_actions(news, disclosed).filter(F.size("entities") > 0)
     return x.select("company", "pos", F.array_join("entities", ",").alias("entities"), F.array_join("topics", ",").alias("topics"), "kind", "linked_topic")

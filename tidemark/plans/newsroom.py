@@ -23,7 +23,7 @@ def _now():
 
 def articles(spark, sf):
     """Every document as an article: title from its start, three neighbours share an address, hours spread over six weeks."""
-    d = V.table(spark, sf, "documents")
+    d = V.spread(V.table(spark, sf, "documents"))
     flat = T.strip(F.regexp_replace("text", r"\s+", " "))
     hours = (F.col("doc_id") * 37 % 1000).cast("long")
     return d.select(
@@ -74,6 +74,11 @@ def news_dedupe(spark, sf):
 
 
 def tokenised(spark, sf):
+    """Token sets of all titles, stored once: weighting, blocking and assignment each read them."""
+    return V.stored("tokenised", spark, sf, build_tokenised)
+
+
+def build_tokenised(spark, sf):
     return articles(spark, sf).filter("published is not null").select("id", "published", T.title_tokens(F.col("title"), R.STOP).alias("tokens"))
 
 
@@ -124,10 +129,15 @@ _DOMAINS = ["reuters.com", "example.com", "fool.com", "cnbc.com", "src.example.c
 
 
 def headlines(spark, sf):
+    """Categorised headlines, stored once for the event operators."""
+    return V.stored("headlines", spark, sf, build_headlines)
+
+
+def build_headlines(spark, sf):
     """One headline per order; the orders of a customer in a year form one development."""
     case = "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {v.format(p='cast(o_orderkey % 89 + 1 as string)')}" for k, v in _HEAD.items()) + " END"
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    o = V.table(spark, sf, "orders")
+    o = V.spread(V.table(spark, sf, "orders"))
     x = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).cast("string").alias("company"), F.concat_ws("-", "o_custkey", F.year("o_orderdate")).alias("cluster"), F.expr(case).alias("title"), F.lit(None).cast("string").alias("summary"),
                  F.col("o_orderdate").cast("timestamp").alias("published"), pick(_TYPES).alias("source_type"), pick(_DOMAINS).alias("source_domain"), F.concat(F.lit("Desk "), (F.col("o_orderkey") % 7).cast("string")).alias("source_name"))
     return x.withColumns({"categories": N.categories(F.col("title"), F.col("summary")), "in_title": F.lower("title").contains("rigetti"), "own_record": F.col("id") % 11 == 0})
@@ -152,7 +162,7 @@ def events(spark, sf):
 
 @query("news_category", W + _HL + f" SELECT id, array_to_string({_CATX}, ',') AS categories, coalesce(({_hits('title', R.GOV_KINDS)})[1], 'Report') AS gov_kind FROM hl")
 def news_category(spark, sf):
-    h = headlines(spark, sf)
+    h = build_headlines(spark, sf)
     return h.select("id", F.array_join("categories", ",").alias("categories"), T.first_match(F.col("title"), R.GOV_KINDS, "Report").alias("gov_kind"))
 
 

@@ -34,6 +34,12 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-local text work on an input of few files; a large input has splits enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 TICK_CHUNK = 1_000_000
 
 
@@ -250,7 +256,7 @@ def filing_sentences(spark: SparkSession, sf: str) -> DataFrame:
     parts = {"letter": "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast(o_custkey % 26 + 1 as int), 1)", "p": "cast(o_orderkey % 89 + 1 as string)", "p2": "cast(o_orderkey % 89 + 2 as string)",
              "y": "cast(year(o_orderdate) as string)", "d": "cast(day(o_orderdate) as string)"}
     case = "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {v.format(**parts)}" for k, v in _WORDED.items()) + " END"
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.expr(case).alias("sent"), F.to_date("o_orderdate").alias("day"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.expr(case).alias("sent"), F.to_date("o_orderdate").alias("day"))
 
 
 _DEPS["fs"] = ()
