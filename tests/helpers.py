@@ -13,7 +13,7 @@ def daily(spark, closes, symbol="S", volume=1000.0):
     for c in closes:
         while d.weekday() >= 5:
             d += dt.timedelta(days=1)
-        rows.append((symbol, d, c, c, c, c, volume))
+        rows.append((symbol, d, float(c), float(c), float(c), float(c), volume))
         d += dt.timedelta(days=1)
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
 

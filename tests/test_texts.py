@@ -30,7 +30,8 @@ def test_sections_skip_the_table_of_contents(spark):
 
 def test_sentence_splitting(spark):
     df = spark.createDataFrame([(1, "Short.\n" + "A first sentence that is long enough to stay here. A second one that also is long enough to stay! no capital follows so this goes on.")], "doc_id int, text string")
-    assert [len(r.sent) for r in D.split_sentences(df).orderBy("pos").collect()] == [50, 83]
+    got = [r.sent for r in D.split_sentences(df).orderBy("pos").collect()]
+    assert got == ["A first sentence that is long enough to stay here.", "A second one that also is long enough to stay! no capital follows so this goes on."]
 
 
 def test_html(spark):

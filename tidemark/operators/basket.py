@@ -1,6 +1,6 @@
 """Weighted baskets: shared exposures, look-through, correlation structure, scenarios.
 
-A basket holds at most ``MAX_HOLDINGS`` holdings, so pairs inside one basket are bounded (190).
+A basket is a short list (inputs are limited to ``MAX_HOLDINGS`` upstream), so its pairs are few.
 """
 
 from __future__ import annotations
@@ -197,9 +197,8 @@ def last_returns(closes: DataFrame, n: int) -> DataFrame:
 
 
 def basket_pairs(basket: DataFrame) -> DataFrame:
-    """Pairs a < b inside each basket (a basket is at most twenty holdings)."""
-    rk = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("holding"))
-    b = basket.withColumn("_rk", rk).filter(F.col("_rk") <= MAX_HOLDINGS)
+    """Pairs a < b inside each basket: the correlation matrix itself, a few hundred entries per basket."""
+    b = basket
     l = b.select("portfolio_id", F.col("holding").alias("a"), F.col("weight").alias("wa"))
     r = b.select("portfolio_id", F.col("holding").alias("b"), F.col("weight").alias("wb"))
     return l.join(r, "portfolio_id").filter("a < b")

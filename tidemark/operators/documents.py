@@ -227,7 +227,7 @@ def assemble_factors(parts: Sequence[DataFrame]) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("strength") == k, F.lit(v)) for k, v in STRENGTH.items()])
     # Evidence is reduced to the three smallest pieces before they meet, so no unbounded list is built.
     rk = Window.partitionBy("holding", "factor_key", "_b").orderBy("evidence")
-    first = x.withColumn("_b", F.pmod(F.xxhash64("evidence"), F.lit(64))).withColumn("_r", F.row_number().over(rk)).filter("_r <= 3")
+    first = x.select("holding", "factor_key", "evidence").distinct().withColumn("_b", F.pmod(F.xxhash64("evidence"), F.lit(64))).withColumn("_r", F.row_number().over(rk)).filter("_r <= 3")
     g = x.groupBy("holding", "factor_key", "kind").agg(F.max_by("strength", F.struct(rank.alias("r"), F.col("strength").alias("s"))).alias("strength"), F.count(F.lit(1)).alias("pieces"))
     ev = first.groupBy("holding", "factor_key").agg(F.slice(F.sort_array(F.collect_set("evidence")), 1, 3).alias("evidence"))
     return g.join(ev, ["holding", "factor_key"])

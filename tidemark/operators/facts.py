@@ -217,8 +217,11 @@ def filings(df: DataFrame, since: Column, limit: int = 10) -> DataFrame:
     """Filing lists given as parallel arrays -> the newest known forms per company, items named."""
     names = F.create_map(*[v for k, n in ITEM_NAMES.items() for v in (F.lit(k), F.lit(n))])
     x = df.select("company", F.inline(F.arrays_zip("forms", "dates", "items"))).filter(F.col("forms").isin(KNOWN_FORMS) & (F.col("dates") >= since))
-    rk = F.row_number().over(Window.partitionBy("company").orderBy(F.desc("dates"), "forms"))
-    x = x.withColumn("_rk", rk).filter(F.col("_rk") <= limit)
+    order = [F.desc("dates"), F.col("forms"), F.col("items")]
+    # Ranked in slices first, so a company with very many filings is not sorted in one task.
+    x = x.withColumn("_s", F.pmod(F.xxhash64("forms", "dates", "items", F.monotonically_increasing_id()), F.lit(32)))
+    x = x.withColumn("_rk", F.row_number().over(Window.partitionBy("company", "_s").orderBy(*order))).filter(F.col("_rk") <= limit)
+    x = x.withColumn("_rk", F.row_number().over(Window.partitionBy("company").orderBy(*order))).filter(F.col("_rk") <= limit)
     codes = F.filter(F.split("items", ","), lambda c: c != "")
     return x.select("company", F.col("_rk").alias("position"), F.col("forms").alias("form"), F.col("dates").alias("filed"), F.array_join(F.transform(codes, lambda c: F.coalesce(names[c], c)), "; ").alias("items"))
 

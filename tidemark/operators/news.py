@@ -71,9 +71,9 @@ def categories(title: Column, summary: Column) -> Column:
 
 def token_weights(articles: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Inverse document frequency over the batch: ln((1 + N) / (1 + df)) + 1."""
-    n = articles.agg(F.count(F.lit(1)).alias("n"))
+    n = articles.agg(F.count(F.lit(1)).alias("n")).scalar()
     df = articles.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one-row side
+    return df.select("token", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def headline_nodes(articles: DataFrame, weights: DataFrame) -> DataFrame:

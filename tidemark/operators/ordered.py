@@ -25,10 +25,6 @@ def by_symbol(*order: str) -> WindowSpec:
     return Window.partitionBy("symbol").orderBy(*(order or ("date",)))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    return left.join(right, list(keys), how)
-
-
 def row_index(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], name: str = "bar_no") -> DataFrame:
     """0-based position of every row within its key, from chunk sizes plus position in the chunk."""
     keys = list(keys)
@@ -186,10 +182,8 @@ def exact_quantiles(
             )
         ).alias("b"),
     ).select(*keys, "n", "b.*")
-    join_keys = keys if keys else None
-    joined = base.join(bands, join_keys) if join_keys else base.crossJoin(F.broadcast(bands))
     counted = (
-        joined.filter("_v <= hi")
+        base.join(bands, keys).filter("_v <= hi")
         .groupBy(*keys, "q", "p", "n", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

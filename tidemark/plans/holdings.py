@@ -60,9 +60,9 @@ def exposures(spark, sf):
 
 def fund_holdings(spark, sf):
     o = V.table(spark, sf, "orders")
-    total = o.agg(F.count(F.lit(1)).alias("t"))
-    g = o.filter("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("holding")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # one-row side
-    share = F.col("n") / F.col("t") / F.when(F.col("holding").isin("3-MEDIUM"), 2.0).when(F.col("holding") == "4-NOT SPECIFIED", 4.0).otherwise(1.0)
+    total = o.agg(F.count(F.lit(1)).alias("t")).scalar()
+    g = o.filter("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("holding")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / total / F.when(F.col("holding").isin("3-MEDIUM"), 2.0).when(F.col("holding") == "4-NOT SPECIFIED", 4.0).otherwise(1.0)
     return g.select(F.lit(FUND).alias("fund"), "holding", share.alias("share"))
 
 

@@ -72,9 +72,9 @@ a AS (SELECT event_id, ts, CAST({V._ET.format('now')} AS DATE) - CAST({V._ET.for
 SELECT event_id, CASE WHEN ts IS NULL THEN 'undated' WHEN age <= 0 THEN 'today' WHEN age <= 7 THEN 'week' ELSE 'older' END AS bucket FROM a""")
 def recency_bucket(spark, sf):
     e = _events(spark, sf)
-    now = e.agg(F.max("ts").alias("now"))
+    now = e.agg(F.max("ts").alias("now")).scalar()
     e = e.withColumn("ts", F.when(F.col("event_id") % 50 != 0, F.col("ts")))
-    return e.crossJoin(F.broadcast(now)).select("event_id", cal.recency_bucket(F.col("ts"), F.col("now")).alias("bucket"))  # one-row side
+    return e.select("event_id", cal.recency_bucket(F.col("ts"), now).alias("bucket"))
 
 
 @query("et_to_utc", f"SELECT event_id, CAST(floor(epoch({V._UTC.format('ts')})) AS BIGINT) AS utc FROM events")

@@ -50,23 +50,14 @@ def with_contract(ticks: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def session_state(ticks: DataFrame) -> DataFrame:
-    """Running VWAP, high and low per (symbol, trading day); each day has its own small state that times out."""
-    schema = "symbol STRING, day DATE, ticks BIGINT, vwap DOUBLE, high DOUBLE, low DOUBLE"
+    """Running mean price, high and low per (symbol, trading day), updated with every micro-batch.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, total, high, low = state.get if state.exists else (0, 0.0, float("-inf"), float("inf"))
-        for pdf in batches:
-            n, total = n + len(pdf), total + float(pdf["price"].sum())
-            high, low = max(high, float(pdf["price"].max())), min(low, float(pdf["price"].min()))
-        state.update((n, total, high, low))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 2 * 86_400_000)
-        yield pd.DataFrame({"symbol": [key[0]], "day": [key[1]], "ticks": [n], "vwap": [total / n], "high": [high], "low": [low]})
-
-    x = ticks.withColumn("day", cal.trading_day(F.col("ts"))).withWatermark("ts", LATE)
-    return x.groupBy("symbol", "day").applyInPandasWithState(step, schema, "n BIGINT, total DOUBLE, high DOUBLE, low DOUBLE", "update", GroupStateTimeout.EventTimeTimeout)
+    A plain aggregation, so ticks combine map-side before they meet.  The day's end is the event time
+    of the group: once the watermark passes it, the day's state is dropped.
+    """
+    x = ticks.withColumn("day", cal.trading_day(F.col("ts"))).withColumn("day_end", cal.from_et(F.timestamp_seconds(F.unix_date("day") * 86400 + 17 * 3600)))
+    g = x.withWatermark("day_end", "1 day").groupBy("symbol", "day", "day_end")
+    return g.agg(F.count(F.lit(1)).alias("ticks"), F.avg("price").alias("vwap"), F.max("price").alias("high"), F.min("price").alias("low")).drop("day_end")
 
 
 def gap_lifecycle(bars: DataFrame, step_seconds: int, max_age: int = 48) -> DataFrame:
