@@ -212,7 +212,7 @@ def opening_range(spark, sf):
 
 @query("session_ranges", V.sql("bars1h", "dayb", "hours") + f""", win AS (SELECT symbol, day, d1, unnest(['asia', 'london', 'ny_am']) AS session, unnest(['asiah', 'lonh', 'nyamh']) AS hk, unnest(['asial', 'lonl', 'nyaml']) AS lk,
   unnest([{V.clock('day - 1', '20:00')}, {V.clock('day', '02:00')}, {V.clock('day', '09:30')}]) AS s, unnest([{V.clock('day', '00:00')}, {V.clock('day', '05:00')}, {V.clock('day', '12:00')}]) AS e FROM dayb),
-g AS (SELECT b.symbol, b.day, session, hk, lk, s, e, d1, count(*) AS n, max(high) AS high, min(low) AS low, (SELECT count(*) FROM hours WHERE open AND t >= s AND t < e) AS ex FROM bars1h b JOIN win w ON b.symbol = w.symbol AND b.day = w.day AND ts >= s AND ts < e
+g AS (SELECT b.symbol, b.day, session, hk, lk, s, e, d1, count(*) AS n, max(high) AS high, min(low) AS low, (SELECT count(*) FROM hours WHERE open AND t >= date_trunc('hour', s) AND t < e) AS ex FROM bars1h b JOIN win w ON b.symbol = w.symbol AND b.day = w.day AND ts >= s AND ts < e
   GROUP BY b.symbol, b.day, session, hk, lk, s, e, d1 HAVING NOT bool_or(suspect) AND min(regime) = max(regime)),
 k AS (SELECT * FROM g WHERE ex > 0 AND n >= 0.9 * ex), lv AS (SELECT symbol, session, hk AS kind, high AS price, day, e AS af, d1 AS vu FROM k UNION ALL SELECT symbol, session, lk, low, day, e, d1 FROM k)
 SELECT session, {_LV} FROM lv""")
