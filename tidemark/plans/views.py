@@ -14,6 +14,8 @@ from tidemark.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # instants in the tables are UTC
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
