@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op9_sharding")
+def op9_sharding(spark, sf_dir):
+    """Sixteen shards of near equal bytes."""
+    out = sharding.kd_shards(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), cleaned=False)
