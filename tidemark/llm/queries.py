@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, packing, quality_rules, sharding
+from tidemark.llm import html_text, packing, quality_mil, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def op1_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    return quality_mil.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_packing")
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
