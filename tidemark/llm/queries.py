@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, packing, quality_mil, quality_rules, sharding, toxicity
+from tidemark.llm import html_text, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark, sf_dir):
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
     """Sixteen shards of near equal bytes."""
