@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity
+from tidemark.llm import html_text, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, sf_dir):
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
