@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity
+from tidemark.llm import html_text, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,12 @@ def op7_fingerprints(spark, sf_dir):
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark, sf_dir):
+    """Every whole text encoded and decoded again."""
+    return viterbi.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
     """Sixteen shards of near equal bytes."""
