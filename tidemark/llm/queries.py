@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity, viterbi
+from tidemark.llm import html_text, licences, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query("op6_license_scan", licences.SQL)
+def op6_license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_fingerprints")
 def op7_fingerprints(spark, sf_dir):
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
