@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.wordbuf import Texts, mix, pieces
@@ -249,3 +249,15 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     linked = labels.join(smallest, "label").select("node", "_min")
     group = first.join(linked, "node", "left").select("node", F.coalesce("_min", "_rep").alias("component_id"))
     return member.join(group, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component the document of the smallest id stays.
+
+    Of rows with one and the same id one stays.  Rows with a null id, and texts without words, are compared with nothing and stay.
+    """
+    found = components(docs.where("doc_id IS NOT NULL"), words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_near"), F.lit(True).alias("_drop")).distinct()
+    marked = docs.join(found, docs["doc_id"] == F.col("_near"), "left").where("_drop IS NULL")
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # null ids spread over the partitions
+    turn = F.row_number().over(Window.partitionBy("doc_id", salt).orderBy("doc_id"))
+    return marked.withColumn("_turn", turn).where("_turn = 1 OR doc_id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -178,6 +178,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: Mil = Mil()) -> DataF
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, p: Mil = Mil()) -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted to be of good quality."""
-    return labelled.filter_rows(docs, scorer(fit(docs, labels, p)), lambda s: s >= p.threshold)
+def keep_good(docs: DataFrame, labels: DataFrame, p: Mil = Mil(), at_least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is not below ``at_least`` (lower than ``threshold``: in doubt a document stays)."""
+    return labelled.filter_rows(docs, scorer(fit(docs, labels, p)), lambda s: s >= at_least)
