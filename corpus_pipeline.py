@@ -6,11 +6,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import ngram_join, packing, quality_mil, toxicity
 from tidemark.session import checkpoint_dir
 
-STAGES: list = []
 
-#: The stages learn models and walk word sequences, which SQL can't express; tests hold them to brute force.
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low predicted quality go."""
+    return quality_mil.keep_good(docs, _labels(spark, sf_dir))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
+
+#: The stages learn models and walk token sequences, which SQL can't express; tests hold them to brute force.
 ORACLE_SQL = None
 
 
