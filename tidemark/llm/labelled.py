@@ -45,7 +45,8 @@ def train(rows: DataFrame, learn: Callable[[Iterator[tuple[pa.Array, np.ndarray]
 
         yield pa.RecordBatch.from_arrays([pa.array([learn(stream())], pa.binary())], ["model"])
 
-    return bytes(rows.mapInArrow(run, "model binary").first().model)
+    row = rows.mapInArrow(run, "model binary").first()
+    return bytes(row.model) if row else learn(iter(()))
 
 
 def score_rows(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:

@@ -256,8 +256,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Of rows with one and the same id one stays.  Rows with a null id, and texts without words, are compared with nothing and stay.
     """
-    found = components(docs.where("doc_id IS NOT NULL"), words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_near"), F.lit(True).alias("_drop")).distinct()
-    marked = docs.join(found, docs["doc_id"] == F.col("_near"), "left").where("_drop IS NULL")
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # null ids spread over the partitions
-    turn = F.row_number().over(Window.partitionBy("doc_id", salt).orderBy("doc_id"))
-    return marked.withColumn("_turn", turn).where("_turn = 1 OR doc_id IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = components(docs.where("doc_id IS NOT NULL"), words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_near")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    left = rows.join(found, F.col("_id") == F.col("_near"), "left").where("_near IS NULL")
+    salt = F.when(F.col("_id").isNull(), F.col("_salt"))  # null ids spread over the partitions
+    turn = F.row_number().over(Window.partitionBy("_id", salt).orderBy("_id"))
+    return left.withColumn("_turn", turn).where("_turn = 1 OR _id IS NULL").select("_row.*")

@@ -61,6 +61,8 @@ _CLOSE_TAIL = [c.encode() for c in CLOSERS]
 def _tail_is(data: np.ndarray, start: np.ndarray, end: np.ndarray, tails: list[bytes]) -> np.ndarray:
     """Length of the tail that the span ends with, 0 if none; tails have up to three bytes."""
     got = np.zeros(len(end), np.int64)
+    if not len(data):
+        return got
     for t in tails:
         fits = end - start >= len(t)
         for k, b in enumerate(t):
