@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Without one only a local master (one machine, one disk) may go on, in a scratch folder; on a cluster every executor would
+    write to its own disk and reading back would miss rows, so that is an error.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = named or tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    target = spark.conf.get("spark.checkpoint.dir", None) or scratch_dir(spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(target)
-    return target
+    return spark.sparkContext.getCheckpointDir() or target
+
+
+def scratch_dir(master: str) -> str:
+    if re.fullmatch(r"local(\[.*\])?", master):
+        return tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    raise RuntimeError(f"spark.checkpoint.dir names no shared folder, and {master} is not one machine")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,4 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete the table behind a frame of ``cut_lineage`` once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "_table_path", None)
+    if path:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
