@@ -23,7 +23,7 @@ GENERAL_POLICY = ["policy:Tax policy", "policy:Sector regulation", "policy:Antit
 SPECIFIC_GEOS = ["China", "Taiwan", "Hong Kong", "Russia / Ukraine", "Israel", "Middle East", "South Korea"]
 MIN_POINTS = 40
 SAME_BET_OVERLAP, SAME_BET_CORR, CLUSTER_CORR = 0.3, 0.6, 0.7
-CORR_WINDOWS = {"1m": 21, "3m": 63, "6m": 126, "1y": 252, "3y": 756, "max": 2600}
+CORR_WINDOWS = {"1m": 21, "3m": 63, "6m": 126, "1y": 252, "3y": 756, "max": None}  # None: the whole history
 KIND_RANK = {"theme": 0, "customer": 0, "supplier": 0, "geography": 1, "policy": 1, "partner": 2, "industry": 2, "financial": 3}
 SCENARIOS = {
     "ai_capex": ["theme:ai", "customer:hyperscalers", "theme:data_center"],
@@ -113,8 +113,8 @@ def concentration(holder_rows: DataFrame, basket: DataFrame) -> DataFrame:
     return g.filter(keep).withColumnRenamed("f_general", "general")
 
 
-def merged_concentration(conc: DataFrame, top: int = 3) -> DataFrame:
-    """Concentrations with identical holder sets read as one line; the three leading lines per basket."""
+def merged_concentration(conc: DataFrame) -> DataFrame:
+    """Concentrations with identical holder sets read as one line, the leading line first."""
     c = conc.filter(~F.col("general"))
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KIND_RANK.items()], F.lit(4))
     c = c.withColumn("_r", rank)
@@ -122,7 +122,7 @@ def merged_concentration(conc: DataFrame, top: int = 3) -> DataFrame:
     order = F.struct("_r", (-F.col("material_weight")).alias("w"), (-F.col("count")).alias("c"), "factor_key")
     g = c.groupBy("portfolio_id", "holders", alone.alias("_alone")).agg(F.min(order).alias("o"), F.array_join(F.array_sort(F.collect_set("factor_key")), ",").alias("factors"), F.max("count").alias("count"))
     w = Window.partitionBy("portfolio_id").orderBy("o")
-    return g.withColumn("line", F.row_number().over(w)).filter(F.col("line") <= top).select("portfolio_id", "line", "holders", "factors", "count")
+    return g.withColumn("line", F.row_number().over(w)).select("portfolio_id", "line", "holders", "factors", "count")
 
 
 def lenses(holder_rows: DataFrame) -> DataFrame:
@@ -188,12 +188,13 @@ def scenario_keys(text: Column) -> Column:
 
 # --- returns of holdings -------------------------------------------------------------------------------
 
-def last_returns(closes: DataFrame, n: int) -> DataFrame:
-    """Each holding's last ``n`` simple returns, newest first in ``age`` (1-based)."""
+def last_returns(closes: DataFrame, n: int | None = None) -> DataFrame:
+    """Each holding's simple returns (the last ``n``), newest first in ``age`` (1-based)."""
     w = by_symbol()
     x = closes.withColumn("r", change(F.col("close"), F.lag("close").over(w))).filter("r is not null")
     x = x.withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
-    return x.filter(F.col("age") <= n).select(F.col("symbol").alias("holding"), "date", "r", "age")
+    x = x if n is None else x.filter(F.col("age") <= n)
+    return x.select(F.col("symbol").alias("holding"), "date", "r", "age")
 
 
 def basket_pairs(basket: DataFrame) -> DataFrame:
@@ -204,14 +205,14 @@ def basket_pairs(basket: DataFrame) -> DataFrame:
     return l.join(r, "portfolio_id").filter("a < b")
 
 
-def pair_correlations(pairs: DataFrame, returns: DataFrame, windows: dict[str, int]) -> DataFrame:
+def pair_correlations(pairs: DataFrame, returns: DataFrame, windows: dict[str, int | None]) -> DataFrame:
     """Correlation of every distinct pair over several windows from one join on the date."""
     p = pairs.select("a", "b").distinct()
     ra = returns.select(F.col("holding").alias("a"), "date", F.col("r").alias("x"), F.col("age").alias("age_a"))
     rb = returns.select(F.col("holding").alias("b"), "date", F.col("r").alias("y"), F.col("age").alias("age_b"))
     j = p.join(ra, "a").join(rb, ["b", "date"])
     old = F.greatest("age_a", "age_b")
-    tags = F.filter(F.array(*[F.when(old <= n, F.struct(F.lit(k).alias("window"), F.lit(min(40, max(15, int(n * 0.7)))).alias("need"))) for k, n in windows.items()]), lambda t: t.isNotNull())
+    tags = F.filter(F.array(*[F.when(F.lit(True) if n is None else old <= n, F.struct(F.lit(k).alias("window"), F.lit(40 if n is None else min(40, max(15, int(n * 0.7)))).alias("need"))) for k, n in windows.items()]), lambda t: t.isNotNull())
     g = j.withColumn("t", F.explode(tags)).groupBy("a", "b", "t.window", "t.need").agg(F.count(F.lit(1)).alias("days"), F.corr("x", "y").alias("correlation"))
     return g.withColumn("correlation", F.when(F.col("days") >= F.col("need"), F.col("correlation"))).drop("need")
 
@@ -255,11 +256,11 @@ def correlation_view(pairs: DataFrame, corr: DataFrame, top: int = 5) -> DataFra
     return x.filter((F.col("rank_high") <= top) | (F.col("rank_low") <= top)).select("portfolio_id", "window", "a", "b", "days", "correlation", "average", "rank_high", "rank_low")
 
 
-def short_history(returns: DataFrame, basket: DataFrame, n: int) -> DataFrame:
+def short_history(returns: DataFrame, basket: DataFrame, n: int | None = None) -> DataFrame:
     """Holdings with under 80 % of the window's (or the longest holding's) returns."""
-    c = returns.filter(F.col("age") <= n).groupBy("holding").agg(F.count(F.lit(1)).alias("have"))
+    c = (returns if n is None else returns.filter(F.col("age") <= n)).groupBy("holding").agg(F.count(F.lit(1)).alias("have"))
     x = basket.join(c, "holding").withColumn("_m", F.max("have").over(Window.partitionBy("portfolio_id")))
-    return x.select("portfolio_id", "holding", "have", (F.col("have") < 0.8 * F.least(F.lit(n), F.col("_m"))).alias("short"))
+    return x.select("portfolio_id", "holding", "have", (F.col("have") < 0.8 * (F.col("_m") if n is None else F.least(F.lit(n), F.col("_m")))).alias("short"))
 
 
 def clusters(pairs: DataFrame, corr: DataFrame, basket: DataFrame, threshold: float = CLUSTER_CORR) -> DataFrame:

@@ -102,8 +102,8 @@ def stale_quotes(daily: DataFrame, run: int = STALE_RUN) -> DataFrame:
     return x.withColumn("_pos", pos).filter(F.col("_pos") == run).select("symbol", "date", "close")
 
 
-def volume_spikes(daily: DataFrame, top: int = 10) -> DataFrame:
-    """Volume above ten times the median of the previous fifty days' non-zero volumes; the ten largest."""
+def volume_spikes(daily: DataFrame) -> DataFrame:
+    """Volume above ten times the median of the previous fifty days' non-zero volumes, ranked by size."""
     w = by_symbol()
     prev = w.rowsBetween(-VOLUME_WINDOW, -1)
     v = F.when(F.col("volume") > 0, F.col("volume"))
@@ -111,7 +111,7 @@ def volume_spikes(daily: DataFrame, top: int = 10) -> DataFrame:
     x = x.filter((F.col("_rn") > VOLUME_WINDOW) & (F.col("_n") >= VOLUME_MIN_DAYS) & (F.col("_m") > 0) & F.col("_v").isNotNull())
     x = x.withColumn("multiple", F.col("_v") / F.col("_m")).filter(F.col("multiple") > VOLUME_SPIKE)
     rk = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("multiple"), F.desc("date")))
-    return x.withColumn("_rk", rk).filter(F.col("_rk") <= top).select("symbol", "date", "multiple")
+    return x.withColumn("rank", rk).select("symbol", "date", "multiple", "rank")
 
 
 def ohlc_inconsistent(daily: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(T.sentences(F.col(text))).alias("pos", "sent"))
 
 
+def upto(df: DataFrame, top: int | None, rank: str = "rank") -> DataFrame:
+    """All rows, or those up to a rank where a top-k is wanted."""
+    return df if top is None else df.filter(F.col(rank) <= top)
+
+
 def longest_section(text: Column, start: str, end: str, min_len: int) -> Column:
     """Longest span from a heading to the next end heading (which skips a table of contents).
 
@@ -54,13 +59,13 @@ def entity_mentions(sents: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     return x.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("sentences"))
 
 
-def entity_relations(sents: DataFrame, own: Column | None = None, top: int = 24) -> DataFrame:
-    """Dominant relation of every named entity per document: at most two relations per sentence, in rule order.
+def entity_relations(sents: DataFrame, own: Column | None = None, top: int | None = None) -> DataFrame:
+    """Dominant relation of every named entity per document, with its rank by mentions; ``top`` keeps the first ranks only.
 
     ``own`` is the document's own company name; entities contained in it are left out.
     """
     ents = T.matched(F.col("sent"), R.ENTITIES, ignore_case=False)
-    rels = F.slice(T.matched(F.col("sent"), R.RELATIONS), 1, 2)
+    rels = T.matched(F.col("sent"), R.RELATIONS)
     x = sents.withColumns({"_e": ents, "_r": rels})
     if own is not None:
         x = x.withColumn("_e", F.filter("_e", lambda e: ~F.lower(own).contains(F.lower(e))))
@@ -69,7 +74,7 @@ def entity_relations(sents: DataFrame, own: Column | None = None, top: int = 24)
     g = x.groupBy("doc_id", "entity", "relation").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "_o")).alias("first"))
     d = g.groupBy("doc_id", "entity").agg(F.sum("n").alias("mentions"), F.max_by("relation", F.struct(F.col("n"), (-F.col("first.pos")).alias("p"), (-F.col("first._o")).alias("o"))).alias("relation"))
     rk = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "entity"))  # at most one row per known entity
-    return d.withColumn("_rk", rk).filter(F.col("_rk") <= top).drop("_rk")
+    return upto(d.withColumn("rank", rk), top)
 
 
 def percent_facts(sents: DataFrame) -> DataFrame:
@@ -83,8 +88,8 @@ def percent_facts(sents: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "percent", "of", "year").agg(F.min_by("subject", "pos").alias("subject"))
 
 
-def geography_exposure(sents: DataFrame, minimum: int = 2, top: int = 10) -> DataFrame:
-    """Regions named in at least two sentences that also give a reason; the two main reasons."""
+def geography_exposure(sents: DataFrame, minimum: int = 2, top: int | None = None) -> DataFrame:
+    """Regions named in at least two sentences that also give a reason, ranked by mentions; all reasons, the main one first."""
     regs, whys = T.matched(F.col("sent"), R.GEOGRAPHIES, ignore_case=False), T.matched(F.col("sent"), R.GEO_REASONS)
     x = T.explode_matches(sents.withColumns({"_g": regs, "_w": whys}), ["doc_id", "pos", "_w"], F.col("_g"), "region").filter(F.size("_w") > 0)
     n = x.groupBy("doc_id", "region").agg(F.count(F.lit(1)).alias("mentions")).filter(F.col("mentions") >= minimum)
@@ -92,9 +97,9 @@ def geography_exposure(sents: DataFrame, minimum: int = 2, top: int = 10) -> Dat
     w = x.select("doc_id", "region", "pos", F.explode("_w").alias("why")).groupBy("doc_id", "region", "why").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("_p"))
     o = F.coalesce(*[F.when(F.col("why") == k, F.lit(v)) for k, v in order.items()])
     best = w.groupBy("doc_id", "region").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "_p", o.alias("o"), "why"))).alias("s"))  # three reasons at most
-    j = n.join(best, ["doc_id", "region"]).select("doc_id", "region", "mentions", F.array_join(F.transform(F.slice("s", 1, 2), lambda e: e["why"]), ", ").alias("why"))
+    j = n.join(best, ["doc_id", "region"]).select("doc_id", "region", "mentions", F.array_join(F.transform("s", lambda e: e["why"]), ", ").alias("why"))
     rk = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "region"))
-    return j.withColumn("_rk", rk).filter(F.col("_rk") <= top).drop("_rk")
+    return upto(j.withColumn("rank", rk), top)
 
 
 def matters(paras: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def matters(paras: DataFrame) -> DataFrame:
     s = F.col("sent")
     x = paras.filter(~s.rlike("(?i)" + R.MATTER_BOILERPLATE) & s.rlike("(?i)" + R.MATTER_SPECIFIC))
     x = x.withColumn("category", T.first_match(s, R.MATTER_CATEGORIES)).filter("category is not null and category <> 'Major layoffs / restructuring'")
-    key = F.substring(F.regexp_replace(F.lower(s), r"\W+", ""), 1, 120)
+    key = F.md5(F.regexp_replace(F.lower(s), r"\W+", ""))  # of the whole paragraph
     x = x.withColumn("status", T.first_match(s, R.MATTER_STATUS, "DISCLOSED")).withColumn("entity", T.first_match(s, R.GOV_ENTITIES, ignore_case=False))
     g = x.groupBy("doc_id", key.alias("_k")).agg(F.min_by(F.struct("pos", "category", "status", "entity"), "pos").alias("m"))
     return g.select("doc_id", "m.*")
@@ -143,8 +148,8 @@ def _free_hit(k: int):
     return lambda e: e["h"][k] & ~F.array_contains(F.col("_used"), e["pos"])
 
 
-def topic_sentences(sents: DataFrame, rules: Sequence[tuple] = tuple(R.BUSINESS_TOPICS), per_topic: int = 3) -> DataFrame:
-    """Sentences under topics taken in rule order, at most three each; a sentence not taken stays for later topics.
+def topic_sentences(sents: DataFrame, rules: Sequence[tuple] = tuple(R.BUSINESS_TOPICS), per_topic: int | None = None) -> DataFrame:
+    """Sentences under topics taken in rule order, each sentence once, ranked within its topic; with ``per_topic`` the others stay for later topics.
 
     A document's sentences are one bounded group, so the few topics are walked in one fold over them.
     """
@@ -153,11 +158,16 @@ def topic_sentences(sents: DataFrame, rules: Sequence[tuple] = tuple(R.BUSINESS_
     used = F.array().cast("array<int>")
     out = []
     for k, (label, _) in enumerate(rules):
-        taken = F.slice(F.transform(F.filter("s", _free_hit(k)), lambda e: e["pos"]), 1, per_topic)
+        taken = F.transform(F.filter("s", _free_hit(k)), lambda e: e["pos"])
+        taken = taken if per_topic is None else F.slice(taken, 1, per_topic)
         g = (g.withColumn("_used", used) if k == 0 else g).withColumn(f"_t{k}", taken).withColumn("_used", F.concat("_used", f"_t{k}"))
         out.append(F.struct(F.lit(label).alias("topic"), F.col(f"_t{k}").alias("p")))
-    x = g.select("doc_id", F.explode(F.array(*out)).alias("t")).select("doc_id", "t.topic", F.explode("t.p").alias("pos"))
-    return x
+    x = g.select("doc_id", F.explode(F.array(*out)).alias("t")).select("doc_id", "t.topic", F.posexplode("t.p").alias("_i", "pos"))
+    return x.select("doc_id", "topic", "pos", (F.col("_i") + 1).alias("rank"))
+
+
+def _after_first(words: Column) -> Column:
+    return F.filter(words, lambda w, i: i > 0)
 
 
 def ungrounded(pairs: DataFrame, summary: str, source: str) -> DataFrame:
@@ -165,7 +175,7 @@ def ungrounded(pairs: DataFrame, summary: str, source: str) -> DataFrame:
     low = F.lower(F.col(source))
     numbers = F.regexp_extract_all(F.col(summary), F.lit(r"\d[\d,.]*\d|\d"), F.lit(0))
     sents = F.split(F.col(summary), r"(?<=[.!?])\s+")
-    words = F.flatten(F.transform(sents, lambda s: F.slice(F.regexp_extract_all(s, F.lit(r"[A-Za-z][\w&+\-']*"), F.lit(0)), 2, 1_000_000)))
+    words = F.flatten(F.transform(sents, lambda s: _after_first(F.regexp_extract_all(s, F.lit(r"[A-Za-z][\w&+\-']*"), F.lit(0)))))
     names = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: w.rlike("^[A-Z]"))
     missing = F.filter(F.concat(numbers, names), lambda w: ~low.contains(F.lower(w)))
     return pairs.withColumn("first_missing", F.try_element_at(missing, F.lit(1))).withColumn("missing", F.size(F.array_distinct(missing)))
@@ -220,16 +230,16 @@ STRENGTH = {"disclosed": 3, "emphasized": 2, "classification": 2, "measured": 2,
 
 
 def assemble_factors(parts: Sequence[DataFrame]) -> DataFrame:
-    """Evidence rows (holding, factor_key, kind, strength, evidence) merged: strongest strength, three pieces of evidence."""
+    """Evidence rows (holding, factor_key, kind, strength, evidence) merged: strongest strength, all distinct pieces of evidence, ascending.
+
+    A (holding, factor) has at most one piece for each of the holding's own sentences, so its list is bounded by one document.
+    """
     x = parts[0]
     for p in parts[1:]:
         x = x.unionByName(p)
     rank = F.coalesce(*[F.when(F.col("strength") == k, F.lit(v)) for k, v in STRENGTH.items()])
-    # Evidence is reduced to the three smallest pieces before they meet, so no unbounded list is built.
-    rk = Window.partitionBy("holding", "factor_key", "_b").orderBy("evidence")
-    first = x.select("holding", "factor_key", "evidence").distinct().withColumn("_b", F.pmod(F.xxhash64("evidence"), F.lit(64))).withColumn("_r", F.row_number().over(rk)).filter("_r <= 3")
     g = x.groupBy("holding", "factor_key", "kind").agg(F.max_by("strength", F.struct(rank.alias("r"), F.col("strength").alias("s"))).alias("strength"), F.count(F.lit(1)).alias("pieces"))
-    ev = first.groupBy("holding", "factor_key").agg(F.slice(F.sort_array(F.collect_set("evidence")), 1, 3).alias("evidence"))
+    ev = x.groupBy("holding", "factor_key").agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
     return g.join(ev, ["holding", "factor_key"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import growth, ratio
-from tidemark.operators.ordered import by_symbol
+from tidemark.operators.ordered import by_symbol, row_index
 
 # Fixed values.
 SAME_PERIOD_DAYS = 10
@@ -62,8 +62,8 @@ def disagree(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), F.greatest(F.abs(a), F.abs(b))) > CONFLICT, F.lit(False))
 
 
-def merge_histories(first: DataFrame, second: DataFrame, keep: int = 5) -> DataFrame:
-    """First source wins per fiscal year, the second fills gaps; a differing second value is noted."""
+def merge_histories(first: DataFrame, second: DataFrame) -> DataFrame:
+    """First source wins per fiscal year, the second fills gaps; a differing second value is noted.  Newest first by ``rank``."""
     s = second.select("entity", F.col("date").alias("d2"), F.col("value").alias("v2"))
     near = F.abs(F.datediff("d2", "date")) <= SAME_PERIOD_DAYS
     m = first.join(s, "entity").filter(near)
@@ -73,7 +73,7 @@ def merge_histories(first: DataFrame, second: DataFrame, keep: int = 5) -> DataF
     fill = s.join(used, ["entity", "d2"], "left_anti").select("entity", F.col("d2").alias("date"), F.col("v2").alias("value"), F.lit("second").alias("source"), F.lit(None).cast("double").alias("conflict"))
     both = own.unionByName(fill)
     rk = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date")))  # a few dozen periods per entity
-    return both.withColumn("_rk", rk).filter(F.col("_rk") <= keep).drop("_rk")
+    return both.withColumn("rank", rk)
 
 
 def years_apart(a: Column, b: Column) -> Column:
@@ -213,15 +213,15 @@ def guidance_actual(items: DataFrame, quarters: DataFrame, days: int = 150) -> D
 
 # --- filings and search --------------------------------------------------------------------------------
 
-def filings(df: DataFrame, since: Column, limit: int = 10) -> DataFrame:
-    """Filing lists given as parallel arrays -> the newest known forms per company, items named."""
+def filings(df: DataFrame, since: Column) -> DataFrame:
+    """Filing lists given as parallel arrays -> known forms per company, newest first by ``position``, items named.
+
+    Positions are counted within (company, year) after the sizes of later years, so a company's whole history is not sorted in one task.
+    """
     names = F.create_map(*[v for k, n in ITEM_NAMES.items() for v in (F.lit(k), F.lit(n))])
     x = df.select("company", F.inline(F.arrays_zip("forms", "dates", "items"))).filter(F.col("forms").isin(KNOWN_FORMS) & (F.col("dates") >= since))
     order = [F.desc("dates"), F.col("forms"), F.col("items")]
-    # Ranked in slices first, so a company with very many filings is not sorted in one task.
-    x = x.withColumn("_s", F.pmod(F.xxhash64("forms", "dates", "items", F.monotonically_increasing_id()), F.lit(32)))
-    x = x.withColumn("_rk", F.row_number().over(Window.partitionBy("company", "_s").orderBy(*order))).filter(F.col("_rk") <= limit)
-    x = x.withColumn("_rk", F.row_number().over(Window.partitionBy("company").orderBy(*order))).filter(F.col("_rk") <= limit)
+    x = row_index(x.withColumn("_back", -F.year("dates")), ["company"], "_back", order, "_at").withColumn("_rk", (F.col("_at") + 1).cast("int"))
     codes = F.filter(F.split("items", ","), lambda c: c != "")
     return x.select("company", F.col("_rk").alias("position"), F.col("forms").alias("form"), F.col("dates").alias("filed"), F.array_join(F.transform(codes, lambda c: F.coalesce(names[c], c)), "; ").alias("items"))
 

@@ -11,24 +11,24 @@ from tidemark.functions import rules as R
 from tidemark.functions import text as T
 from tidemark.operators import ordered as O
 from tidemark.operators.graph import connected_components
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 # Fixed values.
 WINDOW_DAYS, FUTURE_HOURS = 30, 3
 CLUSTER_SECONDS = 72 * 3600
 SIMILARITY, MERGE_SIMILARITY, RARE_IDF = 0.5, 0.45, 2.5
 MIN_TOKENS = 3
-SUMMARY_MIN, SUMMARY_MAX = 30, 400
+SUMMARY_MIN, PREVIEW = 30, 400
 PRIMARY_TYPES = ["primary_company", "company", "primary_regulatory", "primary_government"]
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """Clean title and summary; a summary that repeats the title or is too short is dropped."""
+    """Clean title and summary; a summary that begins with the title or is too short is dropped.  ``preview`` is its beginning."""
     title, s = T.strip_tags(F.col("title")), T.strip_tags(F.col("summary"))
     x = raw.withColumn("title", title).withColumn("summary", s).filter(F.col("title").isNotNull() & F.col("url").isNotNull() & (F.col("url") != ""))
-    repeats = F.startswith(F.lower("summary"), F.lower(F.substring("title", 1, 40)))
+    repeats = F.startswith(F.lower("summary"), F.lower("title"))
     short = F.length("summary") < SUMMARY_MIN
-    x = x.withColumn("summary", F.when(~repeats & ~short, F.substring("summary", 1, SUMMARY_MAX)))
+    x = x.withColumn("summary", F.when(~repeats & ~short, F.col("summary"))).withColumn("preview", F.substring("summary", 1, PREVIEW))
     dom = T.host(F.col("url"))
     return x.withColumn("url", T.strip(F.col("url"))).withColumn("source_domain", F.nullif(dom, F.lit(""))).withColumn("source_name", F.coalesce(F.nullif(T.strip(F.col("source_name")), F.lit("")), F.nullif(dom, F.lit("")), F.lit("Unknown")))
 
@@ -40,26 +40,26 @@ def drop_reason(published: Column, about: Column, now: Column) -> Column:
     return F.when(published.isNull(), "undated").when(old | ahead, "old_or_future").when(~about, "not_about_company")
 
 
-def first_seen(articles: DataFrame, key_a: Column, key_b: Column, order: str, max_rounds: int = 200) -> DataFrame:
+def first_seen(articles: DataFrame, key_a: Column, key_b: Column, order: str) -> DataFrame:
     """Greedy first-seen: an article stays unless an earlier *kept* one shares either key.
 
     Articles agreeing in both keys are reduced to the first by a map-side aggregate, so copies cost
     nothing.  Each round keeps the articles that lead both of their groups and removes whatever
-    shares a key with them; only narrow (keys, order) rows circulate, checkpointed per round.
+    shares a key with them; only narrow (keys, order) rows circulate, checkpointed per round, until none is open.
     """
     keyed = articles.select(key_a.alias("_a"), key_b.alias("_b"), F.col(order).alias("_o"))
     open_ = cut_lineage(keyed.groupBy("_a", "_b").agg(F.min("_o").alias("_o")))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         fa = open_.groupBy("_a").agg(F.min("_o").alias("_fa"))
         fb = open_.groupBy("_b").agg(F.min("_o").alias("_fb"))
         win = open_.join(fa, "_a").join(fb, "_b").filter("_o = _fa and _o = _fb").select("_a", "_b", "_o")
         win = cut_lineage(win)
         kept = win if kept is None else kept.unionByName(win)
-        open_ = cut_lineage(open_.join(win.select("_a"), "_a", "left_anti").join(win.select("_b"), "_b", "left_anti"))
+        before, open_ = open_, cut_lineage(open_.join(win.select("_a"), "_a", "left_anti").join(win.select("_b"), "_b", "left_anti"))
+        release(before)
         if not open_.limit(1).count():
             return articles.join(kept.select(F.col("_o").alias(order)), order, "left_semi")
-    raise RuntimeError("first_seen did not settle; raise max_rounds")
 
 
 def categories(title: Column, summary: Column) -> Column:
@@ -110,7 +110,7 @@ def similar_nodes(nodes: DataFrame, threshold: float = SIMILARITY, min_shared: i
     """
     half = threshold * F.col("total")
     tw = nodes.withColumn("toks", F.transform("tw", lambda e: e["token"])).withColumn("w1", -F.col("tw")[0]["neg"])
-    rest_after = lambda i: F.aggregate(F.slice("tw", i + 1, 10_000), F.lit(0.0), lambda acc, e: acc - e["neg"])
+    rest_after = lambda i: F.aggregate(F.slice("tw", i + 1, F.size("tw")), F.lit(0.0), lambda acc, e: acc - e["neg"])
     cut = F.array_min(F.filter(F.sequence(F.lit(1), F.size("tw")), lambda i: F.col("w1") + rest_after(i) < half))
     tw = tw.withColumn("head", F.slice("toks", 1, F.coalesce(cut, F.size("tw"))))
     if rare is not None:  # the merge pass needs two shared rare tokens, a stronger key

@@ -145,9 +145,7 @@ def barrier_outcomes(setups: DataFrame, bars: DataFrame, step: int, combos: Sequ
     g = g.withColumns({
         "_day": first(lambda e: e["b"]["day"] != F.col("day0")), "_stop": first(hit_stop), "_target": first(hit_target),
         "_time": first(lambda e: F.unix_seconds(e["b"]["ts"]) + step - F.unix_seconds("t") >= limit_bars * step)})
-    never = F.lit(10_000)
-    k = F.least(*[F.coalesce(c, never) for c in ("_day", "_stop", "_target", "_time")])
-    g = g.withColumn("_k", k).filter(F.col("_k") < never)
+    g = g.withColumn("_k", F.least("_day", "_stop", "_target", "_time")).filter("_k is not null")  # null: that exit never comes
     reason = F.when(F.col("_day") == F.col("_k"), "end of trading day").when(F.col("_stop") == F.col("_k"), "stop").when(F.col("_target") == F.col("_k"), "target").otherwise("time exit")
     g = g.withColumn("reason", reason).withColumn("_x", F.when(F.col("reason") == "end of trading day", F.col("_k") - 1).otherwise(F.col("_k")))
     at = F.try_element_at(F.filter("p", lambda e: e["k"] == F.col("_x")), F.lit(1))

@@ -89,9 +89,9 @@ def entity_mentions(spark, sf):
     return D.entity_mentions(_fs(spark, sf), R.ENTITIES)
 
 
-@query("entity_relations", V.sql("fs") + f""", a AS (SELECT doc_id, pos, {_hits('sent', R.ENTITIES, '')} AS es, ({_hits('sent', R.RELATIONS)})[1:2] AS rs FROM fs), b AS (SELECT doc_id, pos, unnest(es) AS entity, rs FROM a WHERE len(rs) > 0),
+@query("entity_relations", V.sql("fs") + f""", a AS (SELECT doc_id, pos, {_hits('sent', R.ENTITIES, '')} AS es, ({_hits('sent', R.RELATIONS)}) AS rs FROM fs), b AS (SELECT doc_id, pos, unnest(es) AS entity, rs FROM a WHERE len(rs) > 0),
 c AS (SELECT doc_id, pos, entity, unnest(rs) AS relation, unnest(range(0, len(rs))) AS o FROM b), g AS (SELECT doc_id, entity, relation, count(*) AS n, min((pos, o)) AS f FROM c GROUP BY 1, 2, 3),
-d AS (SELECT doc_id, entity, CAST(sum(n) AS BIGINT) AS mentions, arg_max(relation, (n, -f[1], -f[2])) AS relation FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, entity) AS rk FROM d) SELECT doc_id, entity, mentions, relation FROM k WHERE rk <= 24""")
+d AS (SELECT doc_id, entity, CAST(sum(n) AS BIGINT) AS mentions, arg_max(relation, (n, -f[1], -f[2])) AS relation FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, entity) AS rk FROM d) SELECT doc_id, entity, mentions, relation, CAST(rk AS INTEGER) AS rank FROM k""")
 def entity_relations(spark, sf):
     return D.entity_relations(_fs(spark, sf))
 
@@ -109,7 +109,7 @@ def pct_facts(spark, sf):
 @query("geo_exposure", V.sql("fs") + f""", a AS (SELECT doc_id, pos, {_hits('sent', R.GEOGRAPHIES, '')} AS g, {_hits('sent', R.GEO_REASONS)} AS w FROM fs), b AS (SELECT doc_id, pos, unnest(g) AS region, w FROM a WHERE len(w) > 0),
 n AS (SELECT doc_id, region, count(*) AS mentions FROM b GROUP BY 1, 2 HAVING count(*) >= 2), c AS (SELECT doc_id, region, pos, unnest(w) AS why FROM b),
 y AS (SELECT doc_id, region, why, count(*) AS k, min(pos) AS p, CASE why WHEN 'manufacturing / supply' THEN 0 WHEN 'sales / customers' THEN 1 ELSE 2 END AS o FROM c GROUP BY 1, 2, 3),
-z AS (SELECT doc_id, region, array_to_string((list(why ORDER BY k DESC, p, o))[1:2], ', ') AS why FROM y GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, region) AS rk FROM n JOIN z USING (doc_id, region)) SELECT doc_id, region, mentions, why FROM q WHERE rk <= 10""")
+z AS (SELECT doc_id, region, array_to_string(list(why ORDER BY k DESC, p, o), ', ') AS why FROM y GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, region) AS rk FROM n JOIN z USING (doc_id, region)) SELECT doc_id, region, mentions, why, CAST(rk AS INTEGER) AS rank FROM q""")
 def geo_exposure(spark, sf):
     return D.geography_exposure(_fs(spark, sf))
 
@@ -125,7 +125,7 @@ def classify_status(spark, sf):
     return _fs(spark, sf).select("doc_id", "pos", T.first_match(s, _CATS).alias("category"), T.first_match(s, _STAT, "DISCLOSED").alias("status"))
 
 
-@query("matters", V.sql("fs") + f""", {_MAT}, k AS (SELECT *, substr(regexp_replace(lower(sent), '\\W+', '', 'g'), 1, 120) AS key FROM mt WHERE category IS NOT NULL AND category <> 'Major layoffs / restructuring')
+@query("matters", V.sql("fs") + f""", {_MAT}, k AS (SELECT *, md5(regexp_replace(lower(sent), '\\W+', '', 'g')) AS key FROM mt WHERE category IS NOT NULL AND category <> 'Major layoffs / restructuring')
 SELECT doc_id, min(pos) AS pos, arg_min(category, pos) AS category, arg_min(status, pos) AS status, arg_min_null(entity, pos) AS entity FROM k GROUP BY doc_id, key""")
 def matters(spark, sf):
     return D.matters(_fs(spark, sf))
@@ -233,7 +233,7 @@ def mentions(spark, sf):
 
 
 @query("factor_assembly", V.sql("fs") + f""", e AS (SELECT doc_id AS holding, 'policy:' || unnest({_hits('sent', R.POLICY)}) AS factor_key, 'policy' AS kind, sent AS evidence FROM fs UNION ALL SELECT doc_id, 'geo:' || unnest({_hits('sent', R.GEOGRAPHIES, '')}), 'geography', sent FROM fs),
-c AS (SELECT holding, factor_key, kind, count(*) AS pieces, list_sort(list(DISTINCT evidence))[1:3] AS ev FROM e GROUP BY 1, 2, 3) SELECT holding, factor_key, kind, pieces, CASE WHEN pieces >= 3 THEN 'emphasized' ELSE 'mentioned' END AS strength, CAST(len(ev) AS INTEGER) AS evidence FROM c""")
+c AS (SELECT holding, factor_key, kind, count(*) AS pieces, list_sort(list(DISTINCT evidence)) AS ev FROM e GROUP BY 1, 2, 3) SELECT holding, factor_key, kind, pieces, CASE WHEN pieces >= 3 THEN 'emphasized' ELSE 'mentioned' END AS strength, CAST(len(ev) AS INTEGER) AS evidence FROM c""")
 def factor_assembly(spark, sf):
     s = _fs(spark, sf)
     parts = []

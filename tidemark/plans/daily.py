@@ -176,9 +176,9 @@ def dq_stale(spark, sf):
 @query("dq_volume_spike", V.sql("dirty") + f""", b AS (SELECT *, nullif(volume, 0) AS v, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM dirty),
 m AS (SELECT *, count(v) OVER p AS n, quantile_cont(v, 0.5) OVER p AS md FROM b WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
 k AS (SELECT symbol, date, v / md AS mult, row_number() OVER (PARTITION BY symbol ORDER BY v / md DESC, date DESC) AS rk FROM m WHERE rn > 50 AND n >= 30 AND md > 0 AND v IS NOT NULL AND v / md > 10)
-SELECT symbol, CAST(date AS VARCHAR) AS date, {r('mult','multiple')} FROM k WHERE rk <= 10""")
+SELECT symbol, CAST(date AS VARCHAR) AS date, {r('mult','multiple')}, CAST(rk AS INTEGER) AS rank FROM k""")
 def dq_volume_spike(spark, sf):
-    return Q.volume_spikes(V.dirty(spark, sf)).select("symbol", F.col("date").cast("string").alias("date"), tidy(F.col("multiple")).alias("multiple"))
+    return Q.volume_spikes(V.dirty(spark, sf)).select("symbol", F.col("date").cast("string").alias("date"), tidy(F.col("multiple")).alias("multiple"), "rank")
 
 
 @query("dq_ohlc", V.sql("dirty") + " SELECT symbol, count(*) FILTER (high < greatest(open, close) * (1 - 0.001) OR low > least(open, close) * (1 + 0.001)) AS inconsistent FROM dirty GROUP BY 1")

@@ -142,7 +142,7 @@ def concentration(spark, sf):
 
 @query("merged_concentration", _W + _HO + f""", {_CON}, kr AS (SELECT *, CASE kind WHEN 'theme' THEN 0 WHEN 'customer' THEN 0 WHEN 'supplier' THEN 0 WHEN 'geography' THEN 1 WHEN 'policy' THEN 1 WHEN 'partner' THEN 2 WHEN 'industry' THEN 2 WHEN 'financial' THEN 3 ELSE 4 END AS rk FROM cc WHERE NOT general),
 mg AS (SELECT portfolio_id, holders, min((rk, -mw, -count, factor_key)) AS o, string_agg(DISTINCT factor_key, ',' ORDER BY factor_key) AS factors, max(count) AS count FROM kr GROUP BY portfolio_id, holders, CASE WHEN kind IN ('industry', 'financial') THEN factor_key ELSE '' END),
-ml AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY o) AS line FROM mg) SELECT portfolio_id, line, holders, factors, count FROM ml WHERE line <= 3""")
+ml AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY o) AS line FROM mg) SELECT portfolio_id, line, holders, factors, count FROM ml""")
 def merged_concentration(spark, sf):
     return K.merged_concentration(K.concentration(_ho(spark, sf), basket(spark, sf)))
 
@@ -210,12 +210,12 @@ def scenario_words(spark, sf):
 
 _RET = """rr AS (SELECT symbol AS holding, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM daily), ra AS (SELECT *, row_number() OVER (PARTITION BY holding ORDER BY date DESC) AS age FROM rr WHERE r IS NOT NULL)"""
 _PAIR = f"""{_BK}, {_RET}, pr AS (SELECT x.portfolio_id, x.holding AS a, y.holding AS b, x.weight AS wa, y.weight AS wb FROM bk x JOIN bk y ON x.portfolio_id = y.portfolio_id AND x.holding < y.holding)"""
-_CORRW = """cw AS (SELECT p.a, p.b, w.k AS win, count(*) AS days, CASE WHEN count(*) >= least(40, greatest(15, CAST(floor(w.n * 0.7) AS INTEGER))) THEN corr(x.r, y.r) END AS c FROM (SELECT DISTINCT a, b FROM pr) p JOIN ra x ON x.holding = p.a JOIN ra y ON y.holding = p.b AND y.date = x.date
-  JOIN (VALUES ('1m', 21), ('3m', 63), ('6m', 126), ('1y', 252), ('3y', 756), ('max', 2600)) w(k, n) ON x.age <= w.n AND y.age <= w.n GROUP BY p.a, p.b, w.k, w.n)"""
+_CORRW = """cw AS (SELECT p.a, p.b, w.k AS win, count(*) AS days, CASE WHEN count(*) >= CASE WHEN w.n IS NULL THEN 40 ELSE least(40, greatest(15, CAST(floor(w.n * 0.7) AS INTEGER))) END THEN corr(x.r, y.r) END AS c FROM (SELECT DISTINCT a, b FROM pr) p JOIN ra x ON x.holding = p.a JOIN ra y ON y.holding = p.b AND y.date = x.date
+  JOIN (VALUES ('1m', 21), ('3m', 63), ('6m', 126), ('1y', 252), ('3y', 756), ('max', NULL)) w(k, n) ON w.n IS NULL OR (x.age <= w.n AND y.age <= w.n) GROUP BY p.a, p.b, w.k, w.n)"""
 _RV = "WITH RECURSIVE " + V.sql("daily").split("WITH RECURSIVE ", 1)[1] + ", "
 
 
-def _returns(spark, sf, n=2600):
+def _returns(spark, sf, n=None):
     return K.last_returns(V.daily(spark, sf), n)
 
 
@@ -234,9 +234,9 @@ def corr_view(spark, sf):
     return K.correlation_view(K.basket_pairs(basket(spark, sf)), _corr(spark, sf)).withColumns({c: tidy(F.col(c)) for c in ("correlation", "average")})
 
 
-@query("short_history", _RV + f"""{_BK}, {_RET}, h AS (SELECT holding, count(*) AS have FROM ra WHERE age <= 2600 GROUP BY 1) SELECT portfolio_id, holding, have, have < 0.8 * least(2600, max(have) OVER (PARTITION BY portfolio_id)) AS short FROM bk JOIN h USING (holding)""")
+@query("short_history", _RV + f"""{_BK}, {_RET}, h AS (SELECT holding, count(*) AS have FROM ra GROUP BY 1) SELECT portfolio_id, holding, have, have < 0.8 * max(have) OVER (PARTITION BY portfolio_id) AS short FROM bk JOIN h USING (holding)""")
 def short_history(spark, sf):
-    return K.short_history(_returns(spark, sf), basket(spark, sf), 2600)
+    return K.short_history(_returns(spark, sf), basket(spark, sf))
 
 
 _MS = f"ms AS (SELECT holding, list(DISTINCT factor_key) AS ks FROM ex WHERE strength IN {_MAT} AND NOT starts_with(factor_key, 'industry:') AND NOT {_GEN} GROUP BY 1)"

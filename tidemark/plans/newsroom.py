@@ -23,11 +23,11 @@ def _now():
 
 def articles(spark, sf):
     """Every document as an article: title from its start, three neighbours share an address, hours spread over six weeks."""
-    d = V.spread(V.table(spark, sf, "documents"))
     flat = T.strip(F.regexp_replace("text", r"\s+", " "))
+    d = V.spread(V.table(spark, sf, "documents")).withColumn("_flat", flat)
     hours = (F.col("doc_id") * 37 % 1000).cast("long")
     return d.select(
-        F.col("doc_id").alias("id"), F.trim(F.substring(flat, 1, 80)).alias("title"), F.substring(flat, 81, 1_000_000).alias("summary"),
+        F.col("doc_id").alias("id"), F.trim(F.substring("_flat", 1, 80)).alias("title"), F.expr("substr(_flat, 81)").alias("summary"),
         F.concat(F.lit("http://www.src"), (F.floor(F.col("doc_id") / 3) % 20).cast("string"), F.lit(".example.com/a/"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit("/?id="), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("source_name"), F.col("source").alias("provider"), F.when(F.col("doc_id") % 50 != 0, F.timestamp_seconds(F.lit(1704067200) + hours * 3600)).alias("published"))
 
@@ -36,7 +36,7 @@ _ART = r"""fl AS (SELECT doc_id, source, regexp_replace(regexp_replace(text, '\s
 ar AS (SELECT doc_id AS id, trim(substr(t, 1, 80)) AS title, substr(t, 81) AS summary, 'http://www.src' || (doc_id // 3 % 20) || '.example.com/a/' || (doc_id // 3) || '/?id=' || doc_id AS url, source AS source_name, CASE WHEN doc_id % 50 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id * 37 % 1000) END AS published FROM fl)"""
 
 
-@query("normalize_articles", W + _ART + r""", s AS (SELECT *, regexp_replace(summary, '^\s+|\s+$', '', 'g') AS s FROM ar) SELECT id, md5(title) AS title, md5(CASE WHEN length(s) >= 30 AND NOT starts_with(lower(s), lower(substr(title, 1, 40))) THEN substr(s, 1, 400) END) AS summary, regexp_extract(url, '://www\.([^/]*)', 1) AS source_domain FROM s""")
+@query("normalize_articles", W + _ART + r""", s AS (SELECT *, regexp_replace(summary, '^\s+|\s+$', '', 'g') AS s FROM ar) SELECT id, md5(title) AS title, md5(CASE WHEN length(s) >= 30 AND NOT starts_with(lower(s), lower(title)) THEN s END) AS summary, regexp_extract(url, '://www\.([^/]*)', 1) AS source_domain FROM s""")
 def normalize_articles(spark, sf):
     n = N.normalize(articles(spark, sf))
     return n.select("id", F.md5("title").alias("title"), F.md5("summary").alias("summary"), "source_domain")

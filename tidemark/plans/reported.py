@@ -83,13 +83,13 @@ def _sources(spark, sf):
 _MH = _LF + """, s1 AS (SELECT entity, en AS date, val AS value FROM lf WHERE tag = 'A' AND (entity + year(en)) % 5 <> 0), s2 AS (SELECT entity, en - CAST(entity % 15 AS INTEGER) AS date, round(val * (1 + (entity % 5 - 2) * 0.02) + 1e-6, 2) AS value FROM lf WHERE tag = 'A' AND (entity + year(en)) % 4 <> 0),
 mm AS (SELECT s1.entity, s1.date, s1.value, s2.date AS d2, s2.value AS v2 FROM s1 LEFT JOIN s2 ON s2.entity = s1.entity AND abs(s2.date - s1.date) <= 10),
 mg AS (SELECT entity, date, value, 'first' AS source, CASE WHEN abs(value - v2) / greatest(abs(value), abs(v2)) > 0.02 THEN v2 END AS conflict FROM mm UNION ALL SELECT entity, date, value, 'second', NULL FROM s2 WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.entity = s2.entity AND mm.d2 = s2.date)),
-mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rk FROM mg) WHERE rk <= 5)"""
+mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rk FROM mg))"""
 
 
-@query("merge_histories", _MH + f" SELECT entity, CAST(date AS VARCHAR) AS date, {r('value','value',2)}, source, {r('conflict','conflict',2)} FROM mk")
+@query("merge_histories", _MH + f" SELECT entity, CAST(date AS VARCHAR) AS date, {r('value','value',2)}, source, {r('conflict','conflict',2)}, CAST(rk AS INTEGER) AS rank FROM mk")
 def merge_histories(spark, sf):
     m = X.merge_histories(*_sources(spark, sf))
-    return m.select("entity", F.col("date").cast("string").alias("date"), tidy(F.col("value"), 2).alias("value"), "source", tidy(F.col("conflict"), 2).alias("conflict"))
+    return m.select("entity", F.col("date").cast("string").alias("date"), tidy(F.col("value"), 2).alias("value"), "source", "rank", tidy(F.col("conflict"), 2).alias("conflict"))
 
 
 @query("conflict", _MH + f" SELECT entity, CAST(date AS VARCHAR) AS date, abs(value - v2) / greatest(abs(value), abs(v2)) > 0.02 AS conflict FROM mm WHERE v2 IS NOT NULL")
@@ -254,7 +254,7 @@ def guidance_actual(spark, sf):
 
 @query("parallel_arrays", """WITH RECURSIVE f AS (SELECT o_custkey AS company, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k FROM orders), z AS (SELECT company, unnest([CASE WHEN k % 3 = 0 THEN '10-K' ELSE '4' END, '8-K', '10-Q']) AS form, unnest([d, d + 30, d + 60]) AS filed, unnest(['', '2.02,9.01', '']) AS items FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY filed DESC, form) AS rk FROM z WHERE form <> '4' AND filed >= DATE '2000-01-01')
-SELECT company, CAST(rk AS INTEGER) AS position, form, CAST(filed AS VARCHAR) AS filed, CASE WHEN items = '' THEN '' ELSE 'Results of operations; Exhibits' END AS items FROM k WHERE rk <= 10""")
+SELECT company, CAST(rk AS INTEGER) AS position, form, CAST(filed AS VARCHAR) AS filed, CASE WHEN items = '' THEN '' ELSE 'Results of operations; Exhibits' END AS items FROM k""")
 def parallel_arrays(spark, sf):
     o = V.table(spark, sf, "orders")
     d = F.to_date("o_orderdate")
