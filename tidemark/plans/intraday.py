@@ -120,16 +120,15 @@ def catalog(spark, sf):
     return A.catalog(_archive(spark, sf)).select("symbol", "interval", _ep("first"), _ep("last"), "bars", "new_rows")
 
 
-@query("src_csv_roundtrip")
+@query("src_csv_roundtrip", V.sql("bars1h") + f" SELECT symbol, '1h' AS interval, {_e('ts')}, open, high, low, close, volume, contract FROM bars1h")
 def src_csv_roundtrip(spark, sf):
-    """Candles of one symbol written as CSV in the shared folder and read back through the CSV reader."""
+    """All candles written as CSV in the shared folder, a folder per symbol, and read back through the CSV reader."""
     from tidemark.session import checkpoint_dir
 
     root = checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/bars_csv_{os.urandom(6).hex()}"
-    b = V.bars1h(spark, sf).filter("symbol = 'click'")
-    b.select(F.unix_seconds("ts").cast("string").alias("timestamp"), "open", "high", "low", "close", "volume", "contract").write.option("header", True).csv(path)
-    return S.read_bars_csv(spark, path, "1h", "click", "2024-01-05", "2024-01-25").select("symbol", "interval", _ep("ts"), "open", "high", "low", "close", "volume", "contract")
+    V.bars1h(spark, sf).select("symbol", F.unix_seconds("ts").cast("string").alias("timestamp"), "open", "high", "low", "close", "volume", "contract").write.partitionBy("symbol").option("header", True).csv(path)
+    return S.read_bars_csv(spark, path, "1h").select("symbol", "interval", _ep("ts"), "open", "high", "low", "close", "volume", "contract")
 
 
 # --- resampling and levels -----------------------------------------------------------------------------

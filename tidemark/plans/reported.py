@@ -144,16 +144,16 @@ def dilution(spark, sf):
 # --- earnings ------------------------------------------------------------------------------------------
 
 def report_rows(spark, sf):
-    """Orders placed on the 15th to 17th of a quarter's second month, read as report rows."""
-    o = V.table(spark, sf, "orders").filter((F.month("o_orderdate") % 3 == 1) & F.dayofmonth("o_orderdate").between(15, 17))
-    k = F.col("o_orderkey")
+    """Every order as a report row of its quarter, dated to one of three days in the middle of the first month."""
+    o, k = V.table(spark, sf, "orders"), F.col("o_orderkey")
+    day = F.date_add(F.to_date(F.date_trunc("quarter", "o_orderdate")), (14 + k % 3).cast("int"))
     est = F.round(F.col("o_totalprice") / 1e5, 2)
-    ts = F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")) * 86400 + (k % 24) * 3600)
+    ts = F.timestamp_seconds(F.unix_date(day) * 86400 + (k % 24) * 3600)
     return o.select(F.col("o_orderpriority").alias("symbol"), ts.alias("ts"), k.alias("row_id"), est.alias("eps_estimate"), F.when(k % 5 != 0, F.round(est * (1 + (k % 7 - 3) / 20) + 1e-9, 2)).alias("eps_actual"))
 
 
-_REP = """rp AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, o_orderkey % 24 AS hh, o_orderkey AS k, round(o_totalprice / 1e5, 2) AS est, CASE WHEN o_orderkey % 5 <> 0 THEN round(round(o_totalprice / 1e5, 2) * (1 + (o_orderkey % 7 - 3) / 20) + 1e-9, 2) END AS act
-  FROM orders WHERE month(o_orderdate) % 3 = 1 AND day(o_orderdate) BETWEEN 15 AND 17),
+_REP = """rp AS (SELECT o_orderpriority AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) + 14 + CAST(o_orderkey % 3 AS INTEGER) AS date, o_orderkey % 24 AS hh, o_orderkey AS k, round(o_totalprice / 1e5, 2) AS est, CASE WHEN o_orderkey % 5 <> 0 THEN round(round(o_totalprice / 1e5, 2) * (1 + (o_orderkey % 7 - 3) / 20) + 1e-9, 2) END AS act
+  FROM orders),
 eh AS (SELECT symbol, date, CASE WHEN hh = 0 THEN 'unknown' WHEN hh * 60 < 570 THEN 'before_open' WHEN hh * 60 >= 960 THEN 'after_close' ELSE 'during_market' END AS timing, est, act, (act / abs(est) - sign(est)) * 100 AS surprise FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY hh, k) AS rn FROM rp WHERE act IS NOT NULL) WHERE rn = 1)"""
 
 
@@ -194,11 +194,11 @@ def c_earnings(spark, sf):
     return x.select("symbol", F.col("i").cast("long").alias("i"), "holds", tidy(F.col("holds_value")).alias("value"))
 
 
-_RPE = "rpe AS (SELECT DISTINCT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_linenumber = 1 AND day(l_shipdate) = 9)"
+_RPE = "rpe AS (SELECT DISTINCT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date FROM lineitem)"
 
 
 def _entity_reports(spark, sf):
-    li = V.table(spark, sf, "lineitem").filter((F.col("l_linenumber") == 1) & (F.dayofmonth("l_shipdate") == 9))
+    li = V.table(spark, sf, "lineitem")
     return li.select(F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("date")).distinct()
 
 
@@ -242,12 +242,12 @@ def guidance_change(spark, sf):
 
 
 @query("guidance_actual", "WITH RECURSIVE " + _GD + f""", qv AS (SELECT o_orderpriority AS symbol, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS en, avg(o_totalprice) / 1e5 AS val FROM orders GROUP BY 1, 2),
-m AS (SELECT g.symbol, g.metric, g.date, g.low, g.high, min(q.en) AS pe, arg_min(q.val, q.en) AS act FROM gd g JOIN qv q ON q.symbol = g.symbol AND q.en - g.date > 0 AND q.en - g.date <= 150 WHERE g.metric = 'Revenue' GROUP BY 1, 2, 3, 4, 5)
-SELECT symbol, CAST(date AS VARCHAR) AS date, CAST(pe AS VARCHAR) AS period_end, {r('act','actual',4)}, {r('act / nullif((low + high) / 2, 0) - 1','vs_mid',4)} FROM m""")
+m AS (SELECT g.symbol, g.metric, g.date, g.low, g.high, min(q.en) AS pe, arg_min(q.val, q.en) AS act FROM gd g JOIN qv q ON q.symbol = g.symbol AND q.en - g.date > 0 AND q.en - g.date <= 150 GROUP BY 1, 2, 3, 4, 5)
+SELECT symbol, metric, CAST(date AS VARCHAR) AS date, CAST(pe AS VARCHAR) AS period_end, {r('act','actual',4)}, {r('act / nullif((low + high) / 2, 0) - 1','vs_mid',4)} FROM m""")
 def guidance_actual(spark, sf):
     q = V.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.date_sub(F.add_months(F.to_date(F.date_trunc("quarter", "o_orderdate")), 3), 1).alias("end")).agg((F.avg("o_totalprice") / 1e5).alias("val"))
-    x = X.guidance_actual(_guidance(spark, sf).filter("metric = 'Revenue'"), q)
-    return x.select("symbol", F.col("date").cast("string").alias("date"), F.col("period_end").cast("string").alias("period_end"), tidy(F.col("actual"), 4).alias("actual"), tidy(F.col("vs_mid"), 4).alias("vs_mid"))
+    x = X.guidance_actual(_guidance(spark, sf), q)
+    return x.select("symbol", "metric", F.col("date").cast("string").alias("date"), F.col("period_end").cast("string").alias("period_end"), tidy(F.col("actual"), 4).alias("actual"), tidy(F.col("vs_mid"), 4).alias("vs_mid"))
 
 
 # --- filings and search --------------------------------------------------------------------------------

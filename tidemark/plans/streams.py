@@ -62,16 +62,16 @@ def stream_contract(spark, sf):
 
 
 @query("stream_session_state", f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, value, {V.roll_weekend('(CAST(et AS DATE) + CASE WHEN hour(et) >= 18 THEN 1 ELSE 0 END)')} AS day FROM (SELECT *, {V._ET.format('ts')} AS et FROM events))
-SELECT symbol, CAST(day AS VARCHAR) AS day, count(*) AS ticks, {r('avg(value)','vwap')}, max(value) AS high, min(value) AS low FROM e GROUP BY 1, 2""")
+SELECT symbol, CAST(day AS VARCHAR) AS day, count(*) AS ticks, {r('avg(value)','mean_price')}, max(value) AS high, min(value) AS low FROM e GROUP BY 1, 2""")
 def stream_session_state(spark, sf):
     """The last update of every (symbol, day), written by an idempotent foreachBatch."""
     folder, state = _folders(spark, "session_state")
     q = S.session_state(S.read_ticks(spark, sf)).writeStream.outputMode("update")
     save = lambda df, b: df.withColumn("batch", F.lit(b)).write.mode("overwrite").parquet(f"{folder}/part={b:012d}")
     q.foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    x = spark.read.schema("symbol STRING, day DATE, ticks BIGINT, vwap DOUBLE, high DOUBLE, low DOUBLE, batch INT").parquet(f"{folder}/part=*")
-    last = O.last_rows(x, ["symbol", "day"], F.col("batch"), ["ticks", "vwap", "high", "low"])
-    return last.select("symbol", F.col("day").cast("string").alias("day"), "ticks", tidy(F.col("vwap")).alias("vwap"), "high", "low")
+    x = spark.read.schema("symbol STRING, day DATE, ticks BIGINT, mean_price DOUBLE, high DOUBLE, low DOUBLE, batch INT").parquet(f"{folder}/part=*")
+    last = O.last_rows(x, ["symbol", "day"], F.col("batch"), ["ticks", "mean_price", "high", "low"])
+    return last.select("symbol", F.col("day").cast("string").alias("day"), "ticks", tidy(F.col("mean_price")).alias("mean_price"), "high", "low")
 
 
 @query("stream_upsert", """WITH RECURSIVE b AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS ts, event_id FROM events) SELECT symbol, ts, max(event_id) AS event_id FROM b GROUP BY 1, 2""")

@@ -18,15 +18,16 @@ def parse_stamp(c: Column) -> Column:
     return F.coalesce(seconds, zoned)
 
 
-def read_bars_csv(spark: SparkSession, path: str, interval: str, symbol: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Candles of one symbol; rows with unreadable stamps are skipped; range is [start, end)."""
+def read_bars_csv(spark: SparkSession, path: str, interval: str, symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Candles of one symbol, or of all in folders ``symbol=...``; rows with unreadable stamps are skipped; range is [start, end)."""
     raw = spark.read.schema(BAR_COLUMNS).option("header", True).option("enforceSchema", True).csv(path)
     df = raw.withColumn("ts", parse_stamp(F.col("timestamp"))).filter("ts is not null").drop("timestamp")
     if start:
         df = df.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end:
         df = df.filter(F.col("ts") < F.lit(end).cast("timestamp"))
-    return df.withColumn("symbol", F.lit(symbol)).withColumn("interval", F.lit(interval))
+    df = df if symbol is None else df.withColumn("symbol", F.lit(symbol))
+    return df.withColumn("interval", F.lit(interval))
 
 
 def et_to_utc(df: DataFrame, column: str) -> DataFrame:

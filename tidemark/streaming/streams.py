@@ -57,7 +57,7 @@ def session_state(ticks: DataFrame) -> DataFrame:
     """
     x = ticks.withColumn("day", cal.trading_day(F.col("ts"))).withColumn("day_end", cal.from_et(F.timestamp_seconds(F.unix_date("day") * 86400 + 17 * 3600)))
     g = x.withWatermark("day_end", "1 day").groupBy("symbol", "day", "day_end")
-    return g.agg(F.count(F.lit(1)).alias("ticks"), F.avg("price").alias("vwap"), F.max("price").alias("high"), F.min("price").alias("low")).drop("day_end")
+    return g.agg(F.count(F.lit(1)).alias("ticks"), F.avg("price").alias("mean_price"), F.max("price").alias("high"), F.min("price").alias("low")).drop("day_end")
 
 
 def gap_lifecycle(bars: DataFrame, step_seconds: int, max_age: int = 48) -> DataFrame:
