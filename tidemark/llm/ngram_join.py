@@ -9,8 +9,12 @@ follow from the sizes then discard work without losing a pair:
   size - ceil(0.75 * size) + 1; shingles of a single text fill part of that prefix for free;
 * partners' sizes differ by a quarter at most.
 
-Equal sets are one node throughout, so copies cost nothing.  Large groups of near copies are joined by stars first; after that
-only pairs from different components are compared, each exactly, so no link between components is lost.
+* the symmetric difference is at most (100 - 75) / (100 + 75) of the sizes' sum; shingles of a single text count in full, and
+  the bits in which parity maps of the others differ bound the rest from below.
+
+Equal sets are one node throughout, so copies cost nothing.  Groups of near copies are joined by stars first, around the node with
+the fewest shingles of its own; after that only pairs from different components that pass all bounds are compared, each exactly, so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ BLOCK_ENTRIES = 1 << 20
 CHUNK_ENTRIES = 1 << 21
 CHUNK_TEXTS = 60_000
 HASH_BITS = 48
+MAP_WORDS = 4  # longs of a parity map
 _DOC = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
 
@@ -160,8 +165,12 @@ def _shared(incidence: DataFrame, bits: int, node_blocks: int) -> DataFrame:
 
 
 def _bounded(shared: DataFrame, percent: int) -> DataFrame:
-    """Nodes with enough shared shingles: size, all shared shingles, and the prefix that partners must meet in."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    """Nodes with enough shared shingles: size, number of own shingles, parity map, all shared shingles, and the prefix that partners must meet in."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("map", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+
+    def parity(shingles: np.ndarray) -> np.ndarray:
+        odd = np.bincount((mix(shingles.astype(np.uint64)) % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
     def bound(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
@@ -178,10 +187,10 @@ def _bounded(shared: DataFrame, percent: int) -> DataFrame:
             need = -(-percent * n // 100)
             if b - a >= need:
                 prefix = n - need + 1 - (n - int(b - a))
-                out.append({"node": int(node[a].astype(np.int64)), "n": n, "shared": np.sort(shingle[a:b]), "prefix": shingle[a : a + prefix]})
+                out.append({"node": int(node[a].astype(np.int64)), "n": n, "own": n - int(b - a), "map": parity(shingle[a:b]), "shared": np.sort(shingle[a:b]), "prefix": shingle[a : a + prefix]})
         return pa.Table.from_pylist(out, schema)
 
-    return shared.groupBy("part").applyInArrow(bound, "node long, n long, shared array<long>, prefix array<long>")
+    return shared.groupBy("part").applyInArrow(bound, "node long, n long, own long, map array<long>, shared array<long>, prefix array<long>")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -197,35 +206,36 @@ def _label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return connected_components(edges, ids).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
 
-def links(nodes: DataFrame, percent: int = PERCENT, star_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def _possible(percent: int, x: str, y: str):
+    """Whether sizes, own shingles and parity maps of two nodes (columns with these endings) leave the pair a chance."""
+    c = lambda name, end: F.col(f"{name}{end}")
+    differ = c("own", x) + c("own", y)
+    for k in range(MAP_WORDS):
+        differ = differ + F.bit_count(c("map", x)[k].bitwiseXOR(c("map", y)[k]))
+    total = c("n", x) + c("n", y)
+    return (100 * F.least(c("n", x), c("n", y)) >= percent * F.greatest(c("n", x), c("n", y))) & ((100 + percent) * differ <= (100 - percent) * total)
+
+
+def links(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Edges that connect every component of the similarity graph, and the components' labels."""
-    ratio = percent / 100
-    index = nodes.select("node", "n", F.explode("prefix").alias("f")).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / -float(np.log(ratio))))
+    traits = lambda end: nodes.select(F.col("node").alias(f"node{end}"), *[F.col(c).alias(f"{c}{end}") for c in ("n", "own", "map")])
+    index = nodes.select("node", F.explode("prefix").alias("f"), F.floor(F.log(F.col("n").cast("double")) / -float(np.log(percent / 100))).alias("c"), (F.col("own") / F.col("n")).alias("share"))
     index = cut_lineage(index)
-    labels, edges = nodes.select("node", F.col("node").alias("label")), None
-    size_bound = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    for turn in range(star_rounds):
-        # in every bucket (shingle, size class) each node meets one centre, of another component where there is one
-        now = index.join(labels, "node")
-        seat = F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "label", "node", "n")
-        ends = now.groupBy("f", "c").agg(F.min(seat).alias("lo"), F.max(seat).alias("hi"))
-        met = now.join(ends.where("lo.node <> hi.node"), ["f", "c"])
-        centre = F.when(F.col("label") == F.col("lo.label"), F.col("hi")).otherwise(F.col("lo")) if turn else F.when(F.col("node") == F.col("lo.node"), F.col("hi")).otherwise(F.col("lo"))
-        met = met.withColumn("o", centre).where((F.col("o.label") != F.col("label")) & size_bound(F.col("n"), F.col("o.n")))
-        pairs = met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-        found = cut_lineage(_alike(pairs, nodes, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        if turn and not found.limit(1).count():
-            break
-        labels = _label(edges, nodes)
-    now = index.join(labels, "node").select("f", "node", "n", "label")
+    # in every bucket (shingle, size class) each node meets one centre, the one with the smallest share of own shingles
+    seats = index.groupBy("f", "c").agg(F.min(F.struct("share", "node")).alias("seat"), F.count(F.lit(1)).alias("k")).where("k > 1").select("f", "c", F.col("seat.node").alias("o"))
+    met = index.join(seats, ["f", "c"]).where("node <> o").select(F.least("node", "o").alias("nodea"), F.greatest("node", "o").alias("nodeb")).distinct()
+    met = met.join(traits("a"), "nodea").join(traits("b"), "nodeb").where(_possible(percent, "a", "b"))
+    edges = cut_lineage(_alike(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), nodes, percent))
+    labels = _label(edges, nodes)
+    # buckets that still hold several components: all pairs across them that the bounds allow
+    now = index.join(labels, "node").select("f", "node", "label")
     split = now.groupBy("f").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("f")
-    now = cut_lineage(now.join(split, "f", "left_semi"))
-    a, b = (now.select("f", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "label")]) for k in "ab")
-    rest = a.join(b, "f").where((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & size_bound(F.col("na"), F.col("nb")))
+    now = cut_lineage(now.join(split, "f", "left_semi").join(traits(""), "node"))
+    a, b = (now.select("f", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "own", "map", "label")]) for k in "ab")
+    rest = a.join(b, "f").where((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _possible(percent, "a", "b"))
     found = cut_lineage(_alike(rest.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), nodes, percent))
-    edges = edges.unionByName(found)
     if found.limit(1).count():
+        edges = edges.unionByName(found)
         labels = _label(edges, nodes)
     return edges, labels
 
