@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,28 +46,30 @@ def rolling_std(period: int, column: str) -> Column:
 def with_rsi(daily: DataFrame, period: int = 14, name: str = "rsi") -> DataFrame:
     """Wilder-smoothed RSI: seeded by the plain mean of the first ``period`` gains and losses.
 
-    The recursion has no window form; a symbol's daily history is bounded by the calendar, so one
-    grouped pandas call per symbol with an exponential mean does it.
+    The recursion has no window form.  A symbol's daily history is bounded by the calendar, so it is one sorted array that a
+    fold walks once; rows come back from the array, so nothing is joined.
     """
-    keep = daily.columns
-    schema = daily.withColumn(name, F.lit(None).cast("double")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        delta = pdf[CLOSE].diff()
-        out = pd.Series([float("nan")] * len(pdf))
-        if len(pdf) > period:
-            sides = []
-            for side in (delta.clip(lower=0), (-delta).clip(lower=0)):
-                seeded = pd.concat([pd.Series([side[1 : period + 1].mean()]), side[period + 1 :]], ignore_index=True)
-                sides.append(seeded.ewm(alpha=1 / period, adjust=False).mean())
-            up, down = sides
-            value = (100 - 100 / (1 + up / down.where(down != 0))).where(down != 0, 100.0)
-            out.iloc[period:] = value.to_numpy()
-        pdf[name] = out.astype(object).where(out.notna(), None)
-        return pdf[[*keep, name]]
-
-    return daily.groupBy("symbol").applyInPandas(run, schema)
+    move = F.coalesce(F.col(CLOSE) - F.lag(CLOSE).over(by_symbol()), F.lit(0.0)).cast("double")
+    rows = daily.select(F.struct(*daily.columns).alias("row"), "symbol", "date", F.greatest(move, F.lit(0.0)).alias("up"), F.greatest(-move, F.lit(0.0)).alias("down"))
+    days = rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("date", "up", "down", "row"))).alias("days"))
+
+    def smoothed(before: Column, i: Column, x: Column) -> Column:
+        """Sum until the seed is complete, then the mean that forgets 1 / period each day."""
+        return F.when(i < period, before + x).when(i == period, (before + x) / period).otherwise(before + (x - before) / period)
+
+    value = "struct<i:int,up:double,down:double>"
+    start = F.struct(F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down")).cast(value).alias("last"), F.array().cast(f"array<{value}>").alias("path"))
+
+    def step(acc: Column, day: Column) -> Column:
+        i = acc["last"]["i"] + 1
+        now = F.struct(i.alias("i"), smoothed(acc["last"]["up"], i, day["up"]).alias("up"), smoothed(acc["last"]["down"], i, day["down"]).alias("down"))
+        return F.struct(now.alias("last"), F.concat(acc["path"], F.array(now)).alias("path"))
+
+    path = F.aggregate("days", start, step, lambda acc: acc["path"])
+    x = days.select(F.explode(F.arrays_zip(F.col("days").alias("d"), path.alias("s"))).alias("z"))
+    s = F.col("z.s")
+    rsi = F.when(s["i"] >= period, F.when(s["down"] == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide(s["up"], s["down"]))))
+    return x.select(F.col("z.d.row").alias("row"), rsi.alias(name)).select("row.*", name)
 
 
 def momentum(daily: DataFrame, spans=(63, 126, 252)) -> DataFrame:
