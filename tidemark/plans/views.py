@@ -37,9 +37,9 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-local text work on an input of few files; a large input has splits enough and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal out a small one-file table for row-local text work, where the session asks for it (tests and bench); else the scan's splits stay."""
+    parts = df.sparkSession.conf.get("spark.tidemark.spread", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 TICK_CHUNK = 1_000_000
@@ -57,7 +57,18 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return run.select("symbol", "ts", "event_id", F.round(100 * F.exp(0.002 * F.col("w")), 2).alias("price"))
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def input_state(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of the files under a table folder: a changed input is another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def bars1h(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,8 +81,8 @@ def bars1h(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored(name: str, spark: SparkSession, sf: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A table derived once per session and kept in the shared checkpoint folder for its many readers."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """A table derived once per session and state of the input, kept in the shared checkpoint folder for its many readers."""
+    key = (spark.sparkContext.applicationId, name, input_state(spark, sf))
     if key not in _STORED:
         _STORED[key] = cut_lineage(build(spark, sf))
     return _STORED[key]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("tidemark")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.tidemark.spread", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -70,3 +74,20 @@ def release(df: DataFrame | None) -> None:
         jvm, spark = df.sparkSession._jvm, df.sparkSession
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def with_code(fn: Callable) -> Callable:
+    """A query whose Python workers find this package in the folder it was imported from.
+
+    On a cluster the package comes with ``--py-files`` or the image; the extra folder does no harm where it does not exist.
+    """
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args, **kwargs):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+        return fn(spark, *args, **kwargs)
+
+    return run
