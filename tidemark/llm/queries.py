@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_text, licences, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity, viterbi
+from tidemark.session import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = with_code(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
