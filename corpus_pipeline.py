@@ -7,28 +7,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import ngram_join, packing, quality_mil, toxicity
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, with_code
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@with_code
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
 
 
+@with_code
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of low predicted quality go."""
     return quality_mil.keep_good(docs, _labels(spark, sf_dir))
 
 
+@with_code
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     return ngram_join.keep_one(docs)
 
 
+@with_code
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return packing.pack(docs)
@@ -40,6 +44,7 @@ STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near_duplicates",
 ORACLE_SQL = None
 
 
+@with_code
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows go through a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
