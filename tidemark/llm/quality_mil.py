@@ -20,6 +20,7 @@ from tidemark.llm import labelled
 from tidemark.llm.wordbuf import Texts, mix
 
 PASSAGE_WORDS = 64
+PRIOR_WORDS = 8  # added to a passage's length, so that a few words say little
 WORD_SLOTS = 96
 SHAPE_SLOTS = 64
 # Classes of bytes: every ASCII mark by itself, then lower, upper, digit, blank, line break, other control, beyond ASCII.
@@ -63,12 +64,12 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begun = np.cumsum(mark) - 1
     at = np.flatnonzero(begun >= t.first_word[:-1].repeat(np.diff(t.bounds)))
     held = np.bincount(of_word[begun[at]] * BYTE_CLASSES + _CLASS[t.data[at]], minlength=total * BYTE_CLASSES).reshape(total, BYTE_CLASSES).astype(np.float32)
-    held = np.sqrt(held / np.maximum(held.sum(1, keepdims=True), 1))
+    held = np.sqrt(held / (held.sum(1, keepdims=True) + 6 * PRIOR_WORDS))
     head, tail = _CLASS[t.data[start]], _CLASS[t.data[end - 1]] if len(end) else _CLASS[:0]
     size = np.minimum(end - start, 12)
     shape = (mix((head * 4096 + tail * 16 + size).astype(np.uint64)) % np.uint64(SHAPE_SLOTS)).astype(np.int64)
     word = (t.words % np.uint64(WORD_SLOTS)).astype(np.int64)
-    n = np.maximum(np.bincount(of_word, minlength=total), 1)[:, None].astype(np.float32)
+    n = np.bincount(of_word, minlength=total)[:, None].astype(np.float32) + PRIOR_WORDS
     shapes = np.bincount(of_word * SHAPE_SLOTS + shape, minlength=total * SHAPE_SLOTS).reshape(total, SHAPE_SLOTS).astype(np.float32)
     slots = np.bincount(of_word * WORD_SLOTS + word, minlength=total * WORD_SLOTS).reshape(total, WORD_SLOTS).astype(np.float32)
     return np.concatenate([held, np.sqrt(shapes / n), np.sqrt(slots / n)], 1), first
@@ -125,7 +126,7 @@ def _learn(p: Mil):
             first = np.concatenate([[0], np.cumsum(size)])
             share = min(max(float(y.mean()), 0.02), 0.98)
             m["d"][0] = np.log(share / (1 - share)) if 0 < y.mean() < 1 else 8 * (y.mean() - 0.5)
-            weight = np.where(y == 1, 1.0, min(0.5 / (1 - share), 4.0)).astype(np.float32)
+            weight = np.where(y == 1, 1.0, min(0.5 / (1 - share), 1.5)).astype(np.float32)
             r, step = np.random.default_rng(p.seed), 0
             state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
             for epoch in range(p.epochs):
