@@ -57,3 +57,34 @@ def test_edges(docs_of, edges, spark):
     assert S.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     alone = S.fingerprints(docs_of([(3, "the one and only")])).first()
     assert alone.near_next == 1.0
+
+
+def test_near_duplicates_equal_brute_force(docs_of, documents, texts):
+    import random
+
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    base = " ".join(r.choice(["the", "of", r.choice(words), r.choice(words)]) for _ in range(200))
+    made = []
+    for _ in range(50):
+        t = base.split()
+        for _ in range(r.choice([0, 1, 2, 4, 8])):
+            t[r.randrange(len(t))] = r.choice(words)
+        made.append(" ".join(t))
+    rows = [*enumerate(made), (100, made[0]), (101, None), (102, ""), (103, "x"), *[(1000 + i, t) for i, t in texts.items()]]
+    sets, up = {i: signatures(t or "") for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_signatures, r.group_id) for r in S.near_duplicates(docs_of(rows)).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    assert len({g for _, g in got.values()}) < len(ids) - 20

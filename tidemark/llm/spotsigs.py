@@ -2,17 +2,16 @@
 
 Common words are anchors.  An anchor and the next ``CHAIN`` content words after it (anchors between them skipped) form
 a signature; a text's fingerprint is its set of signatures.  Likeness is Jaccard's, pruned by set sizes:
-sets whose sizes differ too much can't be alike, so near duplicates are sought only in the same or
-the neighbouring length class, among texts that share one of their rarest signatures.
+sets whose sizes differ too much can't be alike, so near duplicates are sought by length class, among texts that share one
+of their rarest signatures.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import ngram_join
 from tidemark.session import cut_lineage
 
 CHAIN = 2
@@ -56,11 +55,6 @@ def pruned_jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
     return F.when(bound < at_least, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def length_class(size: Column, threshold: float) -> Column:
-    """Sets as much alike as the threshold are in the same or in neighbouring classes."""
-    return F.floor(F.log(size.cast("double")) / math.log(1 / threshold)).cast("int")
-
-
 def _blocks(docs: DataFrame) -> Column:
     """A block number that never decreases with doc_id, of about ``BLOCK_DOCS`` documents: linear between quantiles of the ids."""
     cuts = docs.agg(F.percentile_approx("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 10_000).alias("q"), F.count("doc_id").alias("n")).first()
@@ -116,3 +110,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         F.size("sigs").cast("long").alias("n_signatures"),
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``(doc_id, n_signatures, group_id)``: documents whose fingerprints are alike by ``percent`` or more, directly or through others.
+
+    Equal fingerprints are one node.  A fingerprint's rarest signatures, as many as any partner must share one of, are its postings; they are
+    partitioned by signature and length class, and pairs are compared only as far as sizes, own signatures and parity maps
+    leave them a chance (see the n-gram join, whose linking this uses).  ``group_id`` is the smallest doc_id of the group.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = cut_lineage(with_signatures(texts, "text", "sigs").select("doc_id", F.size("sigs").cast("long").alias("n"), F.xxhash64("sigs").alias("node"), "sigs"))
+    first = sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    each = first.select("node", "n", F.explode("sigs").alias("s"))
+    each = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
+    shared, bits = F.col("df") > 1, 64 * ngram_join.MAP_WORDS
+    slot = F.pmod(F.xxhash64("s"), F.lit(bits))
+    maps = [F.bit_xor(F.when(shared & (F.floor(slot / 64) == k), F.expr("shiftleft(1L, cast(pmod(xxhash64(s), 64) as int))")).otherwise(F.lit(0).cast("long"))) for k in range(ngram_join.MAP_WORDS)]
+    grouped = each.groupBy("node", "n").agg(F.count_if(~shared).alias("own"), F.array(*maps).alias("map"), F.sort_array(F.collect_list(F.when(shared, F.struct("df", "s")))).alias("o"))
+    need = F.ceil(F.lit(percent) * F.col("n") / 100)
+    kept = grouped.where(F.col("n") - F.col("own") >= need).withColumn("shared", F.transform("o", lambda e: e["s"]))
+    nodes = cut_lineage(kept.select("node", "n", "own", "map", F.sort_array("shared").alias("shared"), F.slice("shared", 1, (F.col("n") - need + 1 - F.col("own")).cast("int")).alias("prefix")))
+    _, labels = ngram_join.links(nodes, percent)
+    least = labels.join(first.select("node", "rep"), "node")
+    least = least.join(least.groupBy("label").agg(F.min("rep").alias("_min")), "label").select("node", "_min")
+    group = first.select("node", "rep").join(least, "node", "left").select("node", F.coalesce("_min", "rep").alias("group_id"))
+    return sets.join(group, "node").select("doc_id", F.col("n").alias("n_signatures"), "group_id")
