@@ -39,7 +39,7 @@ class Ftrl:
     l2: float = 0.1
     epochs: int = 6
     max_rows: int = 12_000
-    max_features: int = 30_000_000
+    max_features: int = 20_000_000
     threshold: float = 0.7
 
 
