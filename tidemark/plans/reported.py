@@ -12,13 +12,23 @@ from tidemark.plans import views as V
 from tidemark.plans.registry import query, r
 
 
+def build_quarter_sums(spark, sf):
+    """The only pass over the line items: sums per supplier, flag and quarter."""
+    li = V.table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("tag"), F.trunc("l_shipdate", "quarter").alias("quarter")).agg(F.sum("l_extendedprice").alias("s"))
+
+
+def _series(df):
+    """One reporting series per supplier and flag, with a key of its own."""
+    return df.withColumn("entity", F.col("entity") * 4 + F.when(F.col("tag") == "A", 0).when(F.col("tag") == "N", 1).otherwise(2))
+
+
 def items(spark, sf):
     """Quarterly and annual sums per supplier and return flag; flag R lacks its fourth quarters, some years are restated."""
-    li = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("tag"), F.to_date("l_shipdate").alias("d"), "l_extendedprice")
+    sums = V.stored("quarter_sums", spark, sf, build_quarter_sums)
 
     def by(unit, months, lag, form):
-        start = F.trunc("d", unit)
-        g = li.groupBy("entity", "tag", start.alias("start")).agg(F.round(F.sum("l_extendedprice"), 2).alias("val"))
+        g = sums.groupBy("entity", "tag", F.trunc("quarter", unit).alias("start")).agg(F.round(F.sum("s"), 2).alias("val"))
         end = F.date_sub(F.add_months("start", months), 1)
         return g.select("entity", "tag", "start", end.alias("end"), "val", F.lit(form).alias("form"), F.date_add(end, lag).alias("filed"))
 
@@ -34,7 +44,8 @@ i1 AS (SELECT entity, tag, st, CAST(st + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DA
   UNION ALL SELECT entity, tag, st, CAST(st + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE), round(val * 1.01 + 1e-6, 2), '10-K', 425 FROM ia WHERE entity % 3 = 0),
 it AS (SELECT *, en + lg AS filed FROM i1 WHERE NOT (form = '10-Q' AND tag = 'R' AND month(en) = 12))"""
 _IT = "WITH RECURSIVE " + _ITEMS
-_LF = _IT + """, lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, tag, en ORDER BY filed DESC, val DESC) AS rn FROM it WHERE en - st BETWEEN 350 AND 380) WHERE rn = 1)"""
+_CODE = "CASE tag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+_LF = _IT + f""", lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, tag, en ORDER BY filed DESC, val DESC) AS rn FROM it WHERE en - st BETWEEN 350 AND 380) WHERE rn = 1), lfs AS (SELECT entity * 4 + {_CODE} AS entity, st, en, val, filed FROM lf)"""
 
 
 @query("flatten_facts")
@@ -55,11 +66,11 @@ def annual_values(spark, sf):
 
 
 def _quarters(spark, sf):
-    return X.quarters_with_q4(items(spark, sf).filter("tag = 'R'"))
+    return X.quarters_with_q4(_series(items(spark, sf)))
 
 
-_Q4 = _IT + """, qx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, en ORDER BY val DESC, filed DESC) AS rn FROM it WHERE tag = 'R' AND en - st BETWEEN 80 AND 100) WHERE rn = 1),
-ax AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, en ORDER BY val DESC, filed DESC) AS rn FROM it WHERE tag = 'R' AND en - st BETWEEN 350 AND 380) WHERE rn = 1),
+_Q4 = _IT + f""", its AS (SELECT entity * 4 + {_CODE} AS entity, st, en, val, filed FROM it), qx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, en ORDER BY val DESC, filed DESC) AS rn FROM its WHERE en - st BETWEEN 80 AND 100) WHERE rn = 1),
+ax AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, en ORDER BY val DESC, filed DESC) AS rn FROM its WHERE en - st BETWEEN 350 AND 380) WHERE rn = 1),
 dv AS (SELECT a.entity, a.en, a.val - sum(q.val) AS val FROM ax a JOIN qx q ON q.entity = a.entity AND q.st >= a.st AND q.en <= a.en GROUP BY a.entity, a.en, a.val HAVING count(*) = 3),
 qs AS (SELECT entity, en, val, false AS derived FROM qx UNION ALL SELECT entity, en, val, true FROM dv WHERE NOT EXISTS (SELECT 1 FROM qx WHERE qx.entity = dv.entity AND qx.en = dv.en))"""
 
@@ -69,18 +80,21 @@ def derive_q4(spark, sf):
     return _quarters(spark, sf).select("entity", F.col("end").cast("string").alias("end"), tidy(F.col("val"), 2).alias("val"), "derived")
 
 
-def _annual(spark, sf, tag):
-    return X.latest_filed(items(spark, sf).filter(F.col("tag") == tag), X.ANNUAL_DAYS).select("entity", F.col("end").alias("date"), F.col("val").alias("value"))
+def _annual(spark, sf, tag=None):
+    """Annual values of every series, or of the suppliers under one flag."""
+    x = items(spark, sf)
+    x = X.latest_filed(x if tag is None else x.filter(F.col("tag") == tag), X.ANNUAL_DAYS)
+    return (_series(x) if tag is None else x).select("entity", F.col("end").alias("date"), F.col("val").alias("value"))
 
 
 def _sources(spark, sf):
-    a = _annual(spark, sf, "A")
+    a = _annual(spark, sf)
     first = a.filter((F.col("entity") + F.year("date")) % 5 != 0)
     second = a.filter((F.col("entity") + F.year("date")) % 4 != 0).select("entity", F.expr("date_sub(date, cast(entity % 15 as int))").alias("date"), F.round(F.col("value") * (1 + (F.col("entity") % 5 - 2) * 0.02) + 1e-6, 2).alias("value"))
     return first, second
 
 
-_MH = _LF + """, s1 AS (SELECT entity, en AS date, val AS value FROM lf WHERE tag = 'A' AND (entity + year(en)) % 5 <> 0), s2 AS (SELECT entity, en - CAST(entity % 15 AS INTEGER) AS date, round(val * (1 + (entity % 5 - 2) * 0.02) + 1e-6, 2) AS value FROM lf WHERE tag = 'A' AND (entity + year(en)) % 4 <> 0),
+_MH = _LF + """, s1 AS (SELECT entity, en AS date, val AS value FROM lfs WHERE (entity + year(en)) % 5 <> 0), s2 AS (SELECT entity, en - CAST(entity % 15 AS INTEGER) AS date, round(val * (1 + (entity % 5 - 2) * 0.02) + 1e-6, 2) AS value FROM lfs WHERE (entity + year(en)) % 4 <> 0),
 mm AS (SELECT s1.entity, s1.date, s1.value, s2.date AS d2, s2.value AS v2 FROM s1 LEFT JOIN s2 ON s2.entity = s1.entity AND abs(s2.date - s1.date) <= 10),
 mg AS (SELECT entity, date, value, 'first' AS source, CASE WHEN abs(value - v2) / greatest(abs(value), abs(v2)) > 0.02 THEN v2 END AS conflict FROM mm UNION ALL SELECT entity, date, value, 'second', NULL FROM s2 WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.entity = s2.entity AND mm.d2 = s2.date)),
 mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rk FROM mg))"""
@@ -100,11 +114,11 @@ def conflict(spark, sf):
     return x.select("entity", F.col("date").cast("string").alias("date"), X.disagree(F.col("value"), F.col("v2")).alias("conflict"))
 
 
-@query("yoy_cagr", _LF + f""", p AS (SELECT entity, en AS date, val, lag(en) OVER w AS pe, lag(val) OVER w AS pv, max(en) OVER (PARTITION BY entity) AS le FROM lf WHERE tag = 'A' WINDOW w AS (PARTITION BY entity ORDER BY en)),
+@query("yoy_cagr", _LF + f""", p AS (SELECT entity, en AS date, val, lag(en) OVER w AS pe, lag(val) OVER w AS pv, max(en) OVER (PARTITION BY entity) AS le FROM lfs WINDOW w AS (PARTITION BY entity ORDER BY en)),
 l AS (SELECT entity, arg_max(val, date) AS lv FROM p GROUP BY 1), c AS (SELECT entity, arg_min((lv / val) ** (1 / ((le - date) / 365.25)) - 1, date) AS cagr FROM p JOIN l USING (entity) WHERE abs((le - date) / 365.25 - 3) < 0.2 AND val > 0 AND lv > 0 GROUP BY 1)
 SELECT p.entity, CAST(date AS VARCHAR) AS date, {r('CASE WHEN (date - pe) / 365.25 BETWEEN 0.8 AND 1.2 AND pv > 0 THEN val / pv - 1 END','yoy')}, {r('CASE WHEN (date - pe) / 365.25 BETWEEN 0.8 AND 1.2 THEN val - pv END','change',2)}, {r('cagr','cagr')} FROM p LEFT JOIN c USING (entity)""")
 def yoy_cagr(spark, sf):
-    a = _annual(spark, sf, "A")
+    a = _annual(spark, sf)
     x = X.with_yoy(a).join(X.cagr(a), "entity", "left")
     return x.select("entity", F.col("date").cast("string").alias("date"), tidy(F.col("yoy")).alias("yoy"), tidy(F.col("change"), 2).alias("change"), tidy(F.col("cagr")).alias("cagr"))
 
@@ -194,12 +208,12 @@ def c_earnings(spark, sf):
     return x.select("symbol", F.col("i").cast("long").alias("i"), "holds", tidy(F.col("holds_value")).alias("value"))
 
 
-_RPE = "rpe AS (SELECT DISTINCT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date FROM lineitem)"
+_RPE = "rpe AS (SELECT DISTINCT l_suppkey * 4 + " + _CODE.replace("tag", "l_returnflag") + " AS entity, CAST(l_shipdate AS DATE) AS date FROM lineitem)"
 
 
 def _entity_reports(spark, sf):
     li = V.table(spark, sf, "lineitem")
-    return li.select(F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("date")).distinct()
+    return _series(li.select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("tag"), F.to_date("l_shipdate").alias("date"))).select("entity", "date").distinct()
 
 
 @query("match_quarter", _Q4 + f""", {_RPE}, mq AS (SELECT r.entity, r.date, max(q.en) AS qe, arg_max(q.val, q.en) AS qv FROM rpe r LEFT JOIN qs q ON q.entity = r.entity AND r.date - q.en > 0 AND r.date - q.en <= 120 GROUP BY 1, 2)
