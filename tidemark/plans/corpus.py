@@ -139,7 +139,10 @@ def guidance_extract(spark, sf):
     return D.guidance(_fs(spark, sf)).withColumns({c: tidy(F.col(c)) for c in ("low", "high", "mid")})
 
 
-@query("topic_sentences")
+@query("topic_sentences", W + f"""p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda z: {_STRIP('z')}), lambda z: length(z) >= 40) AS ps FROM documents),
+s AS (SELECT doc_id, list_filter(flatten(list_transform(ps, lambda z: list_transform(string_split(regexp_replace(z, '([.!?])\\s+([A-Z“"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda q: {_STRIP('q')}))), lambda z: length(z) BETWEEN 40 AND 1500) AS ss FROM p),
+u AS (SELECT doc_id, CAST(unnest(range(0, len(ss))) AS INTEGER) AS pos, unnest(ss) AS sent FROM s), t AS (SELECT doc_id, pos, ({_hits('sent', _STEMS)})[1] AS topic FROM u)
+SELECT doc_id, topic, pos, CAST(row_number() OVER (PARTITION BY doc_id, topic ORDER BY pos) AS INTEGER) AS rank FROM t WHERE topic IS NOT NULL""")
 def topic_sentences(spark, sf):
     """Sentences of the documents under stems taken in order, each sentence once."""
     return D.topic_sentences(D.split_sentences(_docs(spark, sf)), _STEMS)
@@ -153,10 +156,19 @@ def sections(spark, sf):
     return d.select("doc_id", F.length(span).alias("chars"), F.md5(span).alias("hash"))
 
 
-_HTML = "html"
+def _html_sql() -> str:
+    t = "html"
+    for tag in ("head", "script", "style", "ix:header"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    for pattern, put in ((r"(?s)<!--.*?-->", "''"), (r"(?i)</?(p|div|br|tr|li|h[1-6]|table|section)\b[^>]*>", "chr(10)"), (r"(?i)</?(td|th)\b[^>]*>", "' '"), ("<[^>]*>", "''")):
+        t = f"regexp_replace({t}, '{pattern}', {put}, 'g')"
+    for name, char in T.ENTITIES:
+        t = "replace({}, '{}', chr({}))".format(t, name, ord(char))
+    t = f"regexp_replace(replace({t}, chr(160), ' '), '[ \\t\\r\\f\\x0b]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({t}, '\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query("html_to_text")
+@query("html_to_text", f"WITH t AS (SELECT page_id, {_html_sql()} AS t FROM pages) SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS hash FROM t")
 def html_to_text(spark, sf):
     p = V.table(spark, sf, "pages")
     t = T.html_to_text(F.col("html"))
@@ -207,7 +219,9 @@ def tokens(spark, sf):
     return _docs(spark, sf).select(F.explode(T.title_tokens(F.col("text"), R.STOP)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("ungrounded")
+@query("ungrounded", W + r"""p AS (SELECT a.conv_id, a.turn, a.text AS summary, lower(u.text) AS low FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant'),
+w AS (SELECT *, list_concat(regexp_extract_all(summary, '\d[\d,.]*\d|\d'), list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(summary, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: (regexp_extract_all(s, '[A-Za-z][\w&+\-'']*'))[2:])), lambda x: regexp_replace(x, chr(39) || 's$', '')), lambda x: regexp_matches(x, '^[A-Z]'))) AS ws FROM p),
+m AS (SELECT conv_id, turn, list_filter(ws, lambda x: NOT contains(low, lower(x))) AS ms FROM w) SELECT conv_id, turn, ms[1] AS first_missing, CAST(len(list_distinct(ms)) AS INTEGER) AS missing FROM m""")
 def ungrounded(spark, sf):
     """Assistant turns against the user turn before them."""
     c = V.table(spark, sf, "conversations")

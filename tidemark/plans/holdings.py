@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import tidy
@@ -199,7 +201,16 @@ def unexposed(spark, sf):
     return K.unexposed(basket(spark, sf), exposures(spark, sf), K.SCENARIOS["quantum"])
 
 
-@query("scenario_words")
+def _unicode_words(p: str) -> str:
+    """Word boundaries in the SQL engine are ASCII; here letters beyond ASCII belong to words too."""
+    p = re.sub(r"\\b(?=\w)", r"(^|[^\\p{L}\\p{N}_])", p)
+    return re.sub(r"\\b", r"([^\\p{L}\\p{N}_]|$)", p)
+
+
+_WORD_KEYS = ", ".join("CASE WHEN regexp_matches(lower(text), '{}') THEN [{}] ELSE [] END".format(_unicode_words(p), ", ".join(f"'{k}'" for k in ks)) for p, ks in K.SCENARIO_WORDS)
+
+
+@query("scenario_words", f"WITH k AS (SELECT doc_id, flatten([{_WORD_KEYS}]) AS l FROM documents) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS keys FROM k")
 def scenario_words(spark, sf):
     """Factor keys each document would point to if read as a scenario question."""
     d = V.table(spark, sf, "documents")

@@ -48,7 +48,7 @@ _CODE = "CASE tag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
 _LF = _IT + f""", lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, tag, en ORDER BY filed DESC, val DESC) AS rn FROM it WHERE en - st BETWEEN 350 AND 380) WHERE rn = 1), lfs AS (SELECT entity * 4 + {_CODE} AS entity, st, en, val, filed FROM lf)"""
 
 
-@query("flatten_facts")
+@query("flatten_facts", _IT + f" SELECT entity, tag, 'USD' AS unit, CAST(st AS VARCHAR) AS start, CAST(en AS VARCHAR) AS \"end\", {r('val','val',2)}, form, CAST(filed AS VARCHAR) AS filed FROM it")
 def flatten_facts(spark, sf):
     """Items nested per supplier as facts JSON (a supplier's periods are few) and flattened back."""
     i = items(spark, sf)

@@ -328,7 +328,7 @@ def variants_tried(spark, sf):
     return S.variants_tried(runs)
 
 
-@query("rules_hash")
+@query("rules_hash", """SELECT event_id, sha1('{"day":"' || strftime(ts, '%Y-%m-%d') || '","props":' || CAST(to_json(props) AS VARCHAR) || ',"type":' || CAST(to_json(event_type) AS VARCHAR) || '}') AS hash FROM events""")
 def rules_hash(spark, sf):
     e = V.table(spark, sf, "events")
     rules = e.select("event_id", F.create_map(F.lit("type"), F.col("event_type"), F.lit("props"), F.col("props"), F.lit("day"), F.to_date("ts").cast("string")).alias("rules"))
