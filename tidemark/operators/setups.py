@@ -37,6 +37,41 @@ class Step:
     context: bool = False
 
 
+@dataclass(frozen=True)
+class State:
+    """A condition that lasts: spans (symbol, start, end, direction), a null end still open.
+
+    It holds where a span has begun by the bound and the trigger lies in it, or at most ``minutes`` after its end.
+    """
+
+    name: str
+    spans: DataFrame
+    minutes: int = 0
+    context: bool = False
+
+
+@dataclass(frozen=True)
+class LevelCheck:
+    """The trigger's close against the newest level of a kind usable at that time; without a level it fails."""
+
+    name: str
+    levels: DataFrame
+    kind: str
+    above: bool = True
+
+
+@dataclass(frozen=True)
+class ClockCheck:
+    """The trigger lies between two minutes of the New York day."""
+
+    name: str
+    start: int
+    end: int
+
+
+Condition = Step | State | LevelCheck | ClockCheck
+
+
 def trading_day_of(t: Column) -> Column:
     """Event times are bar closes, so the day is that of the second before."""
     return cal.trading_day(t - B.seconds_interval(1))
@@ -56,10 +91,39 @@ def pick_latest(setups: DataFrame, events: DataFrame, bound: Column, name: str)
     return both.filter("_side = 1").select("symbol", "_l.*", F.array_max(F.filter(allowed, lambda h: h.isNotNull())).alias(name))
 
 
-def match_chain(triggers: DataFrame, steps: Sequence[Step], ordered: bool = True, drop: str | None = None) -> DataFrame:
+def _keyed(x: DataFrame) -> DataFrame:
+    """Rows stored with a key, so that what is found for a row comes back by equality."""
+    return cut_lineage(x.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def pick_state(setups: DataFrame, state: State, bound: Column) -> DataFrame:
+    """Start and direction of the newest span that has begun by ``bound`` and covers the trigger; spans are dealt to the days they reach."""
+    x = _keyed(setups)
+    last = x.agg((F.max("t") + B.seconds_interval(1)).alias("t")).scalar()
+    ends = F.coalesce(F.col("end"), last) + B.seconds_interval(60 * state.minutes)
+    spans = state.spans.select("symbol", F.col("start").alias("_s"), ends.alias("_e"), F.col("direction").alias("_d")).filter("_s < _e")
+    spans = spans.withColumn("_day", F.explode(F.sequence(F.to_date("_s"), F.to_date("_e"))))
+    fits = F.col("direction").isNull() | F.col("_d").isNull() | (F.col("direction") == F.col("_d"))
+    near = x.select("_row", "symbol", "t", "direction", bound.alias("_b"), F.to_date("t").alias("_day")).join(spans, ["symbol", "_day"])
+    near = near.filter((F.col("_s") <= F.least("_b", "t")) & (F.col("t") < F.col("_e")) & fits)
+    best = near.groupBy("_row").agg(F.max(F.struct(F.col("_s").alias("t"), F.col("_d").alias("d"))).alias("_p"))
+    return x.join(best, "_row", "left").drop("_row")
+
+
+def check_level(setups: DataFrame, check: LevelCheck) -> DataFrame:
+    """Add ``_ok``: the close lies on the asked side of the level."""
+    x = _keyed(setups)
+    points = x.select("_row", "symbol", "t", F.to_date("t").alias("day"))
+    at = level_at(points, check.levels.filter(F.col("kind") == check.kind), "t").select("_row", F.col("price").alias("_price"))
+    side = F.col("close") > F.col("_price")
+    return x.join(at, "_row", "left").withColumn("_ok", F.coalesce(side if check.above else ~side, F.lit(False))).drop("_row", "_price")
+
+
+def match_chain(triggers: DataFrame, steps: Sequence[Condition], ordered: bool = True, drop: str | None = None) -> DataFrame:
     """Walk back from each trigger through ``steps`` (last condition first).
 
     Adds per step the picked time, whether it holds, and ``fails``: the first step that did not.
+    Events and states move the bound of the next condition back; checks are made at the trigger alone (a level check reads its ``close``).
     All timing rules are lower bounds, so the newest admissible event satisfies them if any does.
     ``drop`` names a boolean-map column saying which steps are relaxed for a row.
     """
@@ -67,17 +131,24 @@ def match_chain(triggers: DataFrame, steps: Sequence[Step], ordered: bool = True
     for i, s in enumerate(steps):
         if i:
             x = cut_lineage(x)  # each pick reads its input twice; without this the work doubles per condition
+        relaxed = F.coalesce(F.col(drop)[s.name], F.lit(False)) if drop else F.lit(False)
+        if isinstance(s, LevelCheck | ClockCheck):
+            x = check_level(x, s) if isinstance(s, LevelCheck) else x.withColumn("_ok", cal.in_window(F.col("t") - B.seconds_interval(1), s.start, s.end))
+            x = x.withColumn(f"ok_{s.name}", F.col("_ok")).drop("_ok")
+            x = x.withColumn("fails", F.coalesce("fails", F.when(~F.col(f"ok_{s.name}") & ~relaxed, F.lit(s.name))))
+            continue
         bound = F.col("_upper") if ordered and not s.context else F.col("t")
-        x = pick_latest(x, s.events, bound, "_p")
+        x = pick_state(x, s, bound) if isinstance(s, State) else pick_latest(x, s.events, bound, "_p")
         at = F.col("_p.t")
         ok = at.isNotNull()
-        if s.timing == "at":
+        if isinstance(s, State):
+            pass
+        elif s.timing == "at":
             ok = ok & (at == F.col("t"))
         elif s.timing == "session":
             ok = ok & (trading_day_of(at) == trading_day_of(F.col("t")))
         elif s.timing == "within":
             ok = ok & (at >= F.col("t") - B.seconds_interval(60 * s.minutes))
-        relaxed = F.coalesce(F.col(drop)[s.name], F.lit(False)) if drop else F.lit(False)
         x = x.withColumn(f"ok_{s.name}", F.coalesce(ok, F.lit(False))).withColumn(f"at_{s.name}", at)
         held = F.col(f"ok_{s.name}") & ~relaxed
         x = x.withColumn("fails", F.coalesce("fails", F.when(~F.col(f"ok_{s.name}") & ~relaxed, F.lit(s.name))))
@@ -88,7 +159,7 @@ def match_chain(triggers: DataFrame, steps: Sequence[Step], ordered: bool = True
     return x.drop("_upper")
 
 
-def funnel(matched: DataFrame, steps: Sequence[Step]) -> DataFrame:
+def funnel(matched: DataFrame, steps: Sequence[Condition]) -> DataFrame:
     """Triggers and the survivors of each check, in checking order."""
     parts, acc = [F.struct(F.lit(0).alias("step"), F.lit("trigger").alias("name"), F.lit(True).alias("alive"))], F.lit(True)
     for i, s in enumerate(steps, 1):
@@ -109,7 +180,7 @@ def diagnose(funnel_rows: DataFrame, days: DataFrame, covered: DataFrame) -> Dat
     return x.select("symbol", F.col("w.name").alias("most_restrictive"), F.col("w.lost").alias("lost"), "days", "covered", (F.col("covered") < 0.6 * F.col("days")).alias("thin_levels"))
 
 
-def relaxed(triggers: DataFrame, steps: Sequence[Step]) -> DataFrame:
+def relaxed(triggers: DataFrame, steps: Sequence[Condition]) -> DataFrame:
     """Setups that remain for every subset of dropped conditions, matched in one run.
 
     The subset number grows with the conditions, not the data (at most 2^5 for six conditions).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.maths import tidy
@@ -68,6 +70,32 @@ def why_not(spark, sf):
     return m.select("symbol", _sec("t"), "direction", "ok_displacement", _sec("at_displacement"), "ok_swing", _sec("at_swing"), "fails")
 
 
+def conditions(spark, sf):
+    """An event, a lasting state and two checks: displacement within ten hours, an open gap the same way, price above the previous day's low, regular hours."""
+    gaps = V.stored("gap_lives", spark, sf, T.lives).select("symbol", F.col("confirmed_at").alias("start"), F.col("end_at").alias("end"), "direction")
+    levels = V.stored("reference_levels", spark, sf, lambda spark, sf: reference_levels(V.bars1h(spark, sf)))
+    return [steps(spark, sf)[0], P.State("gap", gaps), P.LevelCheck("above_pdl", levels, "pdl"), P.ClockCheck("hours", 570, 960)]
+
+
+# the gap tables under names of their own
+_GAPS = re.sub(r"\b(lv|bt|fvg|g3|en|sk|iv|va|pj|l2)\b(?!\()", r"gap_\1", T._LIFE_T)
+_COND = f"""{_BASE}, {_GAPS}, {_PREV},
+d1 AS (SELECT g.*, (SELECT max(e.t) FROM ev1 e WHERE e.symbol = g.symbol AND e.dir = g.dir AND e.t <= g.t) AS p1 FROM tg g),
+d2 AS (SELECT *, coalesce(p1 >= t - INTERVAL 600 MINUTE, false) AS ok1, CASE WHEN coalesce(p1 >= t - INTERVAL 600 MINUTE, false) THEN p1 ELSE t END AS up FROM d1),
+d3 AS (SELECT d2.*, b.close, (SELECT max(l.ts + INTERVAL 1 HOUR) FROM lt l WHERE l.symbol = d2.symbol AND l.dir = d2.dir AND l.ts + INTERVAL 1 HOUR <= d2.up AND (l.end_t IS NULL OR epoch(d2.t) < l.end_t)) AS p0,
+  (SELECT arg_max(l.price, l.af) FROM lv l WHERE l.symbol = d2.symbol AND l.kind = 'pdl' AND l.af <= d2.t AND d2.t < l.vu) AS pdl, {V._ET.format('d2.t - INTERVAL 1 SECOND')} AS et FROM d2 JOIN bars1h b ON b.symbol = d2.symbol AND b.bar_no = d2.bar_no),
+cd AS (SELECT *, p0 IS NOT NULL AS ok0, coalesce(close > pdl, false) AS okl, hour(et) * 60 + minute(et) BETWEEN 570 AND 959 AS okh FROM d3)"""
+
+
+@query("setup_conditions", _COND + f""" SELECT symbol, {_T}, dir AS direction, CAST(epoch(p1) AS BIGINT) AS at_displacement, ok1 AS ok_displacement, CAST(epoch(p0) AS BIGINT) AS at_gap, ok0 AS ok_gap, okl AS ok_above_pdl, okh AS ok_hours,
+CASE WHEN NOT ok1 THEN 'displacement' WHEN NOT ok0 THEN 'gap' WHEN NOT okl THEN 'above_pdl' WHEN NOT okh THEN 'hours' END AS fails FROM cd""")
+def setup_conditions(spark, sf):
+    """Every trigger with the verdict of each condition and the first that failed."""
+    bars = V.bars1h(spark, sf).select("symbol", "bar_no", "close")
+    m = P.match_chain(triggers(spark, sf).join(bars, ["symbol", "bar_no"]), conditions(spark, sf))
+    return m.select("symbol", _sec("t"), "direction", _sec("at_displacement"), "ok_displacement", _sec("at_gap"), "ok_gap", "ok_above_pdl", "ok_hours", "fails")
+
+
 _FUN = """fn AS (SELECT symbol, 0 AS step, 'trigger' AS name, count(*) AS remaining FROM mc GROUP BY 1 UNION ALL SELECT symbol, 1, 'displacement', count(*) FILTER (ok1) FROM mc GROUP BY 1 UNION ALL
 SELECT symbol, 2, 'swing', count(*) FILTER (ok1 AND ok0) FROM mc GROUP BY 1)"""
 
