@@ -37,6 +37,11 @@ def test_edges(docs_of, edges, spark):
     assert Q.clean_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_symbols_are_the_members_of_the_class(docs_of):
+    text = "a [b] #c *d $e %f &g |h <i> (j) ]k"
+    assert Q.clean_lines(docs_of([(1, text)])).first().n_symbols == brute(text)[2] == 8
+
+
 GOOD = [f"{a} {b} wrote a long letter about {c} and sent it to {d}." for a, b, c, d in zip("Many Some Few Most All No".split(), "people farmers poets sailors bakers kings".split(), "rain bread ships songs gold snow".split(), "me us him her them you".split())]
 
 

@@ -51,7 +51,7 @@ def _flag(chars: bytes) -> np.ndarray:
     return out
 
 
-_SYMBOL = _flag(b"[#*$%&|<>]")
+_SYMBOL = _flag(b"#*$%&|<>")
 _UPPER = _flag(bytes(range(65, 91)))
 _LOWERED = _flag(bytes(range(97, 123)))
 _STOCK = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE))
@@ -168,7 +168,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True) -
 
     Null or empty text: no words, ``base_failed``, not kept, cleaned "".  A text of blanks likewise.  Repeated
     rows are judged each by itself; a null doc_id stays null.  Other columns of ``docs`` are not read.
-    ``n_symbols`` counts the nine characters # * $ % & | < > (without the brackets of the pattern).
+    ``n_symbols`` counts the eight characters # * $ % & | < >.
     """
     fields = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars", "base_failed", "kept"]
 
