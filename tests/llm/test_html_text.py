@@ -53,3 +53,16 @@ def test_edges(spark):
     assert {(r.page_id, r.text) for r in got if r.page_id in (1, 2, None)} == {(1, ""), (2, ""), (None, "y")}
     assert max(r.n_blocks for r in got) == 5000
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "A long sentence without any link that goes on for quite a while, so that its element is denser than the page. " * 3
+
+
+def test_several_articles_and_text_outside_of_them():
+    long, para = LONG.strip(), "A paragraph of the article with enough words to make it dense."
+    links = "<ul>" + "".join(f"<li><a href={i}>link {i}</a></li>" for i in range(20)) + "</ul>"
+    a, b = f"<article><h2>A</h2>{PARA * 20}</article>", f"<article><p>{LONG}</p></article>"
+    got = ["A", *[para] * 20, long]
+    assert main_text(f"<main>{a}{b}{links}</main>") == got
+    assert main_text(f"{links}{a}<section><p>{LONG}</p></section>{links}") == got
+    assert main_text(f"{links}<div><div>{PARA * 9}</div><article><p>{LONG}</p><p>{LONG}</p></article></div>") == [para] * 9 + [long] * 2

@@ -2,7 +2,8 @@
 
 For every DOM node: characters per tag, adjusted by its share of link text; for every node the sum of its
 children's densities.  The node with the largest sum is the centre of the content; the smallest density on the
-path from the body to it is the threshold for whatever lies beside that path.  Elements that never hold
+path from the body to it is the threshold for whatever lies beside that path.  An article or main element around
+the centre is kept whole; it bounds nothing, so what lies beside it still meets the threshold.  Elements that never hold
 content (menus, forms, adverts, comments and the like, by tag, role or class) are not part of the tree.
 """
 
@@ -156,27 +157,15 @@ class Page:
         while path[-1]:
             path.append(self.parent[path[-1]])
         threshold = min(density[i] for i in path)
-        # An article or main element around the centre, or holding most of it, bounds the content.
-        holder = next((i for i in path if self.tag[i] in CONTAINERS), None)
-        roots = {holder} if holder is not None else set()
-        if holder is None:
-            inner = [i for i in range(n) if self.tag[i] in CONTAINERS and not self.noise[i] and self._under(i, centre)]
-            outer = [i for i in inner if not any(self._under(i, j) for j in inner if j != i)]
-            if outer and 2 * sum(chars[i] for i in outer) >= chars[centre]:
-                roots = set(outer)
-        bounded, path = bool(roots), set(path)
-        roots = roots or {centre}
+        # An innermost article or main element around the centre belongs to the content as a whole (its title is often sparse).
+        roots = {centre, next((i for i in path if self.tag[i] in CONTAINERS), centre)}
+        path = set(path)
         keep = [False] * n
         for i in range(n):
             p = self.parent[i]
-            keep[i] = not self.noise[i] and (i in roots or (p >= 0 and keep[p]) or (not bounded and p in path and p not in roots and i not in path and density[i] >= threshold))
+            keep[i] = not self.noise[i] and (i in roots or (p >= 0 and keep[p]) or (p in path and i not in path and density[i] >= threshold))
         return keep
 
-    def _under(self, node: int, above: int) -> bool:
-        while node > above:
-            node = self.parent[node]
-        return node == above
-
     def blocks(self) -> list[str]:
         """The content's blocks in page order, white space made one space."""
         keep, block = self.kept_nodes(), [0] * len(self.tag)
