@@ -66,3 +66,26 @@ def test_several_articles_and_text_outside_of_them():
     assert main_text(f"<main>{a}{b}{links}</main>") == got
     assert main_text(f"{links}{a}<section><p>{LONG}</p></section>{links}") == got
     assert main_text(f"{links}<div><div>{PARA * 9}</div><article><p>{LONG}</p><p>{LONG}</p></article></div>") == [para] * 9 + [long] * 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><article>{}</article></div>", "<div id=page-with-comments><div>{}</div></div>", "<main><div class='social-sciences'>{}</div></main>", "<div style='overflow:hidden'>{}</div>", '<div title="a hidden gem">{}</div>',
+        "<div data-id=related>{}</div>", "<div data-x='class=ad' id=x>{}</div>", "<div data-role=navigation>{}</div>", "<div data-hidden>{}</div>", "<div class='has-sidebar'><div class=widget>w</div><div>{}</div></div>",
+    ],
+)
+def test_names_and_values_that_only_look_like_noise(page):
+    assert main_text(page.format(PARA * 5)) == ["A paragraph of the article with enough words to make it dense."] * 5
+
+
+@pytest.mark.parametrize("beside", ["<div CLASS=comments>{}</div>", "<div id = 'related'>{}</div>", "<p hidden>{}</p>", "<p hidden=''>{}</p>", "<div class=x role='navigation'>{}</div>", "<div aria-hidden=true>{}</div>"])
+def test_real_noise_still_goes(beside):
+    assert main_text(f"<div class=has-sidebar>{beside.format('other words ' * 9)}<article>{PARA * 5}</article></div>") == ["A paragraph of the article with enough words to make it dense."] * 5
+
+
+def test_most_of_the_text_under_a_noise_name():
+    para = "A paragraph of the article with enough words to make it dense."
+    assert main_text(f"<div class=comments>{PARA * 5}</div><p>t</p>")[:5] == [para] * 5
+    assert main_text(f"<div class=ad>{PARA * 5}</div><article><p>short</p></article>") == ["short"]
+    assert main_text(f"<div class=has-sidebar>{PARA * 5}</div><article><p>short</p></article>")[:5] == [para] * 5

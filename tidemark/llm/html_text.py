@@ -4,7 +4,8 @@ For every DOM node: characters per tag, adjusted by its share of link text; for
 children's densities.  The node with the largest sum is the centre of the content; the smallest density on the
 path from the body to it is the threshold for whatever lies beside that path.  An article or main element around
 the centre is kept whole; it bounds nothing, so what lies beside it still meets the threshold.  Elements that never hold
-content (menus, forms, adverts, comments and the like, by tag, role or class) are not part of the tree.
+content (menus, forms, adverts, comments and the like, by tag, role or class) are not part of the tree; a class
+or id alone removes nothing that holds an article or most of the text.
 """
 
 from __future__ import annotations
@@ -35,12 +36,12 @@ NOISE_WORDS = set(
 CONTAINERS = {"article", "main"}
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 def is_noise(tag: str, attributes: str, inside_content: bool) -> bool:
-    """Whether an element never holds content.  A header is noise outside of an article only."""
+    """Whether an element never holds content by its tag, role or hiding.  A header is noise outside of an article only."""
     if tag in NOISE_TAGS or (tag == "header" and not inside_content):
         return True
     if not attributes or tag in ("body", "html") or tag in CONTAINERS:
@@ -51,16 +52,23 @@ def is_noise(tag: str, attributes: str, inside_content: bool) -> bool:
             return True
         if name == "role" and value in NOISE_ROLES:
             return True
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(_PARTS.split(value)):
-            return True
     return False
 
 
+def named_noise(tag: str, attributes: str) -> int:
+    """How far class and id name an element without content: 2 a whole name does (ad, cookie-notice), 1 a word of one (has-sidebar), 0 none."""
+    if not attributes or tag in ("body", "html") or tag in CONTAINERS:
+        return 0
+    names = [x for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for x in (a or b or c).lower().split()]
+    words = [{w for w in _PARTS.split(x) if w} for x in names]
+    return 2 if any(w and w <= NOISE_WORDS for w in words) else int(any(w & NOISE_WORDS for w in words))
+
+
 class Page:
     """A tolerant DOM as parallel lists: children come after their parent."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise, self.inside, self.runs = ["body"], [-1], [False], [False], []
+        self.tag, self.parent, self.noise, self.named, self.inside, self.runs = ["body"], [-1], [False], [0], [False], []
         stack, at, last = [0], 0, source.rfind(">")
         while at < len(source):
             m = _TOKEN.search(source, at) if at <= last else None
@@ -82,6 +90,7 @@ class Page:
             if tag in ("html", "body"):
                 continue
             self._start(stack, tag, m[3])
+        self._drop_named()
 
     def _text(self, node: int, text: str) -> None:
         if not self.noise[node]:
@@ -96,6 +105,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.noise.append(self.noise[parent] or is_noise(tag, attributes, self.inside[parent]))
+        self.named.append(0 if self.noise[-1] else named_noise(tag, attributes))
         self.inside.append(self.inside[parent] or tag in CONTAINERS)
         node = len(self.tag) - 1
         if tag in ("br", "hr"):
@@ -117,6 +127,26 @@ class Page:
                 del stack[k:]
                 return
 
+    def _drop_named(self) -> None:
+        """Elements named as noise go, unless they hold an article or main element or most of the text: then density decides.
+
+        A whole name (class="ad") beside an article or main element goes whatever its size.
+        """
+        if not any(self.named):
+            return
+        n = len(self.tag)
+        chars, holds = [0] * n, [self.tag[i] in CONTAINERS and not self.noise[i] for i in range(n)]
+        for node, text in self.runs:
+            chars[node] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p] += chars[i]
+            holds[p] = holds[p] or holds[i]
+        for i in range(1, n):
+            goes = self.named[i] and not holds[i] and (2 * chars[i] <= chars[0] or (self.named[i] == 2 and holds[0]))
+            self.noise[i] = self.noise[i] or self.noise[self.parent[i]] or bool(goes)
+        self.runs = [r for r in self.runs if not self.noise[r[0]]]
+
     def densities(self) -> tuple[list[float], list[float], list[int]]:
         """Composite density, sum of the children's, and characters of every node."""
         n = len(self.tag)
