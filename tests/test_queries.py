@@ -49,3 +49,15 @@ def test_stream_gaps_equal_batch(spark, sf):
     src = spark.readStream.schema(bars.select("symbol", "day", "ts", "high", "low", "close").schema).parquet(f"{root}/in")
     got = S.run_to_folder(S.gap_lifecycle(src, 3600), f"{root}/out", f"{root}/state")
     assert {(r.symbol, r.born, r.mark, r["at"]) for r in got.collect()} == want and want
+
+
+def test_smt_compares_every_symbol(spark, sf, tmp_path):
+    """An event type that no list names is compared like the others."""
+    events = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/events.parquet")
+    events.withColumn("event_type", F.when(F.col("event_type") == "click", "tap").otherwise(F.col("event_type"))).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    df = entry.queries()["smt"](spark, str(tmp_path))
+    cur = con.execute(entry.oracle_sql()["smt"])
+    got, want = table_rows(df.columns, [tuple(x) for x in df.collect()]), table_rows([d[0] for d in cur.description], cur.fetchall())
+    assert got == want and any("tap" in row for row in got[1])

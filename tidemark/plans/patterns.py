@@ -13,7 +13,6 @@ from tidemark.plans.intraday import _OR, _PREV, _VW, STEP, reference_levels
 from tidemark.plans.registry import query, r
 
 TICK = 0.01
-COMPARED = ["click", "error", "purchase", "signup"]
 
 
 def _atr(spark, sf):
@@ -253,7 +252,7 @@ def smt(spark, sf):
     b = V.bars1h(spark, sf)
     own = b.filter("symbol <> 'view'")
     # The comparison market is one symbol; its candles are keyed by every market compared with it.
-    other = b.filter("symbol = 'view'").drop("symbol").withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in COMPARED])))
+    other = b.filter("symbol = 'view'").drop("symbol").crossJoin(own.select("symbol").distinct())
     return _out(D.smt(swing_points(spark, sf).filter("symbol <> 'view'"), own, other, STEP, lag=1, min_diff=0.02), "extreme", tidied=["own_change", "other_change"])
 
 
