@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, licences, ngram_join, packing, quality_mil, quality_rules, sharding, spotsigs, toxicity, viterbi
+from tidemark.llm import html_text, licences, ngram_join, packing, quality_mil, quality_rules, sharding, simple8b, spotsigs, toxicity, viterbi
 from tidemark.session import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op9_sharding(spark, sf_dir):
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), cleaned=False)
+
+
+@query("op13_token_files")
+def op13_token_files(spark, sf_dir):
+    """Ids of every whole text, from the files they were written to."""
+    return simple8b.round_trip(table(spark, sf_dir, "documents"))
