@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -41,7 +44,7 @@ def test_links_lower_the_density_and_thresholds_drop_what_is_beside():
 
 def test_densities_are_sums_of_children():
     p = Page(f"<div>{PARA}{PARA}</div><div><a href=x>y</a></div>")
-    density, total, _ = p.densities()
+    density, total, *_ = p.densities()
     for i in range(len(p.tag)):
         assert total[i] == pytest.approx(sum(density[j] for j in range(len(p.tag)) if p.parent[j] == i))
 
@@ -86,6 +89,80 @@ def test_real_noise_still_goes(beside):
 
 def test_most_of_the_text_under_a_noise_name():
     para = "A paragraph of the article with enough words to make it dense."
-    assert main_text(f"<div class=comments>{PARA * 5}</div><p>t</p>")[:5] == [para] * 5
+    assert main_text(f"<div class=comments>{PARA * 5}</div>") == [para] * 5
     assert main_text(f"<div class=ad>{PARA * 5}</div><article><p>short</p></article>") == ["short"]
     assert main_text(f"<div class=has-sidebar>{PARA * 5}</div><article><p>short</p></article>")[:5] == [para] * 5
+
+
+TALK = "<p>What a reader has to say about it, at some length and without any link in it at all.</p>"
+WANT = ["A paragraph of the article with enough words to make it dense."] * 5
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>{a}</article><div class='post-comments'>{c}</div>", "<div>{a}</div><div class='post-comments'>{c}</div>", "<main>{a}</main><section class=comments><article>{c}</article></section>",
+        "<main>{a}</main><section class=comments-area>{c}</section>", "<div id=main>{a}</div><div class=user-comments>{c}</div>", "<article>{a}</article><div id=comments><article>{c}</article></div>",
+        "<article>{a}<ol class=commentlist><li>{c}</li></ol></article>", "<article>{a}<div class=comment-thread>{c}</div></article>", "<main><article>{a}</article><article class='comment'>{c}</article></main>",
+        "<div id='left-rail'>{c}</div><article>{a}</article>", "<article>{a}</article><div class='layout-sidebar-right'>{c}</div>", "<form action=/page><div>{a}</div></form>", "<form><article>{a}</article><div class=comments>{c}</div></form>",
+        "<article>{a}</article><form><p>Your name</p><input name=q></form>", "<div class=sidebar-layout><article>{a}</article></div><p hidden>x</p>", "<table><tr><td>{a}</td><td class=sidebar>{c}</td></tr></table>", "<div class='page has-comments'>{a}</div>",
+    ],
+)
+@pytest.mark.parametrize("size", [1, 40])
+def test_comments_sidebars_and_forms(page, size):
+    assert main_text(page.format(a=PARA * 5, c=TALK * size)) == WANT
+
+
+def test_short_parts_beside_the_densest_one():
+    page = f"<div id=top><a href=x>site</a></div><div id=page><div><h2>Title</h2></div><div>{PARA * 5}</div><div><p>End.</p></div><div><a href=a>next</a></div></div>"
+    assert main_text(page) == ["Title", *WANT, "End."]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", ("<b>" * 20_000) + "</i>" * 20_000 + "x", "<p><table><td>" + "<div>" * 20_000 + "x", "<ul><li>" * 10_000 + "x", "<b></p>" * 20_000 + "x"])
+def test_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    assert main_text(page) == ["x"]
+    assert time.perf_counter() - start < 3
+
+
+def plain_choice(p):
+    """Densities and the chosen subtree of a page, straight from the definitions, node by node."""
+    n = len(p.tag)
+    below = lambda i: [j for j in range(n) if j == i or (j and any(k == i for k in up(j)))]
+
+    def up(j):
+        while j > 0:
+            j = p.parent[j]
+            yield j
+
+    def size(nodes):
+        return sum(len(t.strip()) for k, t in p.runs if k in nodes)
+
+    linked = lambda j: p.tag[j] == "a" or any(p.tag[k] == "a" for k in up(j))
+    every = set(range(n))
+    share = size({j for j in every if linked(j)}) / max(size(every), 1)
+    density = []
+    for i in range(n):
+        tree = set(below(i))
+        c, lc = size(tree), size({j for j in tree if any(p.tag[k] == "a" for k in [j, *up(j)] if k in tree)})
+        t, lt = max(len(tree) - 1, 1), max(sum(p.tag[j] == "a" for j in tree), 1)
+        if not c:
+            density.append(0.0)
+            continue
+        base = math.log(c / max(c - lc, 1) * max(lc, 0) + share * c + math.e)
+        ratio = max(c / max(lc, 1) * t / lt, 1.0)
+        density.append(c / t * (math.log(ratio) / math.log(base + 1e-9) if base > 1 + 1e-9 else math.log(ratio + 1)))
+    sums = [sum(density[j] for j in range(n) if j and p.parent[j] == i) for i in range(n)]
+    return density, sums
+
+
+def test_densities_equal_the_definitions():
+    rng = random.Random(4)
+    for _ in range(25):
+        parts = [rng.choice(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "some words here ", "x", LONG, "<b>", "</b>"]) for _ in range(40)]
+        p = Page("".join(parts))
+        density, total, *_ = p.densities()
+        want, sums = plain_choice(p)
+        assert density == pytest.approx(want) and total == pytest.approx(sums)
+        kept = p.kept_nodes()
+        assert kept[max(range(len(sums)), key=lambda i: total[i])]

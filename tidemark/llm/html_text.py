@@ -4,8 +4,9 @@ For every DOM node: characters per tag, adjusted by its share of link text; for
 children's densities.  The node with the largest sum is the centre of the content; the smallest density on the
 path from the body to it is the threshold for whatever lies beside that path.  An article or main element around
 the centre is kept whole; it bounds nothing, so what lies beside it still meets the threshold.  Elements that never hold
-content (menus, forms, adverts, comments and the like, by tag, role or class) are not part of the tree; a class
-or id alone removes nothing that holds an article or most of the text.
+content (menus, adverts, comments and the like, by tag, role or class) are not part of the tree.  Threads of reader comments go by their
+name whatever they hold, sidebars unless they hold the page's only article; another class or id removes nothing that holds an article or
+most of the text, and a form goes unless it does (some servers wrap the whole page in one).
 """
 
 from __future__ import annotations
@@ -28,12 +29,19 @@ BLOCK = set(
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("table td th caption button object template html".split())
 # Elements without content: tags, roles, and words of a class or id.
-NOISE_TAGS = set("nav footer aside form head button select dialog menu svg canvas object audio video math".split()) | RAW
+NOISE_TAGS = set("nav footer aside head button select dialog menu svg canvas object audio video math".split()) | RAW
 NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead comment comments disqus respond reply replies related recommended recommendations share sharing social newsletter subscribe signup login search pagination pager toolbar skip".split()
 )
+# Words that name a thread of comments or a sidebar, and words that only say that a page has one.
+THREADS = re.compile(r"comments?(?:s?(?:list|area|form|section|thread|box|wrap|wrapper|container|block))?|disqus|respond|replies")
+SIDES = set("sidebar sidebars rail aside".split())
+STATES = set("has with without no hide show open closed enabled disabled is".split())
 CONTAINERS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: The share of a page's text that has to lie outside of a comment thread or sidebar for it to go.
+LEAST_REST = 0.02
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -56,12 +64,27 @@ def is_noise(tag: str, attributes: str, inside_content: bool) -> bool:
 
 
 def named_noise(tag: str, attributes: str) -> int:
-    """How far class and id name an element without content: 2 a whole name does (ad, cookie-notice), 1 a word of one (has-sidebar), 0 none."""
-    if not attributes or tag in ("body", "html") or tag in CONTAINERS:
+    """How far class and id name an element without content.
+
+    4 a thread of comments, 3 a sidebar, 2 another whole name does (ad, cookie-notice), 1 a word of one (promo-free), 0 none.  A
+    name that says a page has something (has-sidebar, page-with-comments) counts as 1.
+    """
+    if not attributes or tag in ("body", "html", "main"):
         return 0
-    names = [x for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for x in (a or b or c).lower().split()]
-    words = [{w for w in _PARTS.split(x) if w} for x in names]
-    return 2 if any(w and w <= NOISE_WORDS for w in words) else int(any(w & NOISE_WORDS for w in words))
+    level = 0
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for x in (a or b or c).lower().split():
+                words = {w for w in _PARTS.split(x) if w}
+                if any(THREADS.fullmatch(w) for w in words):
+                    level = max(level, 1 if words & STATES else 4)
+                elif tag in CONTAINERS:
+                    continue
+                elif words & SIDES:
+                    level = max(level, 1 if words & STATES else 3)
+                elif words & NOISE_WORDS:
+                    level = max(level, 2 if words <= NOISE_WORDS else 1)
+    return level
 
 
 class Page:
@@ -69,6 +92,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.noise, self.named, self.inside, self.runs = ["body"], [-1], [False], [0], [False], []
+        self.places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
         stack, at, last = [0], 0, source.rfind(">")
         while at < len(source):
             m = _TOKEN.search(source, at) if at <= last else None
@@ -111,44 +135,60 @@ class Page:
         if tag in ("br", "hr"):
             self._text(parent, " ")
         if tag not in VOID and not attributes.endswith("/"):
+            self.places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
+    def _innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, stack: list[int], at: int) -> None:
+        """Close the element at a place of the stack and all inside; every element is closed once, so time is linear."""
+        if at:
+            for node in stack[at:]:
+                self.places[self.tag[node]].pop()
+            del stack[at:]
+
     def _close(self, stack: list[int], tags: set[str], stop: set[str] = SCOPES) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in tags:
-                del stack[k:]
-                return
-            if self.tag[stack[k]] in stop:
-                return
+        at = self._innermost(tags)
+        if at > self._innermost(stop - tags):
+            self._cut(stack, at)
 
     def _end(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                return
+        self._cut(stack, self._innermost((tag,)))
 
     def _drop_named(self) -> None:
         """Elements named as noise go, unless they hold an article or main element or most of the text: then density decides.
 
-        A whole name (class="ad") beside an article or main element goes whatever its size.
+        A whole name (class="ad") beside an article or main element goes whatever its size.  A thread of comments goes, articles inside
+        included, where at least LEAST_REST of the text lies elsewhere; so does a sidebar that does not hold all articles of the page.
         """
-        if not any(self.named):
-            return
         n = len(self.tag)
-        chars, holds = [0] * n, [self.tag[i] in CONTAINERS and not self.noise[i] for i in range(n)]
+        chars, named = [0] * n, [4 <= v for v in self.named]
+        for i in range(1, n):  # an article inside a thread is a comment
+            named[i] = named[i] or named[self.parent[i]]
+        articles = [int(self.tag[i] in CONTAINERS and not self.noise[i] and not named[i]) for i in range(n)]
+        link = [0] * n
         for node, text in self.runs:
             chars[node] += len(text.strip())
+            link[node] += len(text.strip()) * (self.tag[node] == "a")
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             chars[p] += chars[i]
-            holds[p] = holds[p] or holds[i]
+            link[p] += chars[i] if self.tag[i] == "a" else link[i]
+            articles[p] += articles[i]
         for i in range(1, n):
-            goes = self.named[i] and not holds[i] and (2 * chars[i] <= chars[0] or (self.named[i] == 2 and holds[0]))
+            level, rest = self.named[i], chars[0] - chars[i]
+            if level >= 3:
+                goes = rest > LEAST_REST * chars[0] and (level == 4 or not articles[i] or articles[i] < articles[0])
+            else:
+                goes = level and not articles[i] and (2 * chars[i] <= chars[0] or (level == 2 and articles[0]))
+            if self.tag[i] == "form" and not articles[i]:
+                goes = goes or 2 * (chars[i] - link[i]) <= chars[0] - link[0]
             self.noise[i] = self.noise[i] or self.noise[self.parent[i]] or bool(goes)
         self.runs = [r for r in self.runs if not self.noise[r[0]]]
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Composite density, sum of the children's, and characters of every node."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Composite density, sum of the children's, characters and characters of links of every node."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.runs:
@@ -176,11 +216,11 @@ class Page:
                 density[i] = c / t * log(max(c / lc * t / lt, 1.0)) / log(base + 1e-9) if base > 1 + 1e-9 else c / t * log(max(c / lc * t / lt, 1.0) + 1)
             if i:
                 total[self.parent[i]] += density[i]
-        return density, total, chars
+        return density, total, chars, link_chars
 
     def kept_nodes(self) -> list[bool]:
         """Which nodes' own text belongs to the content."""
-        density, total, chars = self.densities()
+        density, total, chars, links = self.densities()
         n = len(self.tag)
         centre = max(range(n), key=lambda i: total[i]) if n else 0
         path = [centre]
@@ -189,11 +229,16 @@ class Page:
         threshold = min(density[i] for i in path)
         # An innermost article or main element around the centre belongs to the content as a whole (its title is often sparse).
         roots = {centre, next((i for i in path if self.tag[i] in CONTAINERS), centre)}
+        beside = self.parent[centre]  # headings and paragraphs next to the centre are too short for the threshold, yet its own
+        prose = [self.tag[i] in HEADINGS or self.tag[i] == "p" for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            prose[self.parent[i]] = prose[self.parent[i]] or (prose[i] and not self.noise[i])
         path = set(path)
         keep = [False] * n
         for i in range(n):
             p = self.parent[i]
-            keep[i] = not self.noise[i] and (i in roots or (p >= 0 and keep[p]) or (p in path and i not in path and density[i] >= threshold))
+            near = p == beside > 0 and prose[i] and not links[i]
+            keep[i] = not self.noise[i] and (i in roots or (p >= 0 and keep[p]) or (p in path and i not in path and (density[i] >= threshold or near)))
         return keep
 
     def blocks(self) -> list[str]:
