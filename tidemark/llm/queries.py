@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, lexical, licences, ngram_join, packing, quality_mil, quality_rules, sharding, simple8b, spotsigs, toxicity, viterbi
+from tidemark.llm import html_text, lexical, licences, ngram_join, packing, prefix_trie, quality_mil, quality_rules, sharding, simple8b, spotsigs, toxicity, viterbi
 from tidemark.session import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+@query("op11_prefix_trie", prefix_trie.SQL)
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_lexical_search", lexical.SQL)
 def op12_lexical_search(spark, sf_dir):
     """The 20 best documents of every benchmark item."""
