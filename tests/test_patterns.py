@@ -142,6 +142,18 @@ def test_stop_wins_the_tie_and_gaps_fill_at_the_open(spark):
     assert gap.reason == "stop" and gap["exit"] == 96.0
 
 
+def test_setups_without_an_exit_stay_open(spark):
+    rows = [(100, 100, 100, 100), (100, 100.5, 99.5, 100), (100, 100.4, 99.6, 100)]
+    b = minutes(spark, rows)
+    s = b.select("symbol", "bar_no", D.close_time(60).alias("t"), F.lit("bullish").alias("direction"), F.col("close").alias("entry"), F.lit(2.0).alias("atr"))
+    got = P.barrier_outcomes(s, b, 60, [(1.0, 1.0), (0.2, 9.0)], 5).collect()
+    assert len(got) == 6  # every setup and pair, also the one on the last bar
+    assert {(r.bar_no, r.stop_atr): r.reason for r in got} == {(0, 1.0): "open", (0, 0.2): "stop", (1, 1.0): "open", (1, 0.2): "stop", (2, 1.0): "open", (2, 0.2): "open"}
+    assert all(r["exit"] is None and r.r_net is None and r.mfe_r is None and not r.suspect for r in got if r.reason == "open")
+    m = P.trade_metrics(P.barrier_outcomes(s, b, 60, [(0.2, 9.0)], 5), ["symbol"]).first()
+    assert (m.n, m.open_at_end, m.excluded_suspect) == (2, 1, 0)
+
+
 def test_streaks_and_drawdown(spark):
     vals = [1, 1, -1, 0, 1, 1, 1, -2, -1, -1]
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(vals)], "k string, t long, r_net double").withColumn("suspect", F.lit(False)).withColumn("chunk", F.floor(F.col("t") / 3))

@@ -61,3 +61,28 @@ def test_smt_compares_every_symbol(spark, sf, tmp_path):
     cur = con.execute(entry.oracle_sql()["smt"])
     got, want = table_rows(df.columns, [tuple(x) for x in df.collect()]), table_rows([d[0] for d in cur.description], cur.fetchall())
     assert got == want and any("tap" in row for row in got[1])
+
+
+def test_batches_sources_and_baskets_read_every_row(spark, sf):
+    """Row counts of the inputs add up on both sides of each merge."""
+    from tidemark.operators import bars as B
+    from tidemark.plans import holdings, intraday, newsroom, reported
+    from tidemark.plans import views as V
+
+    ticks = V.ticks(spark, sf)
+    stamps = B.bars_from_ticks(ticks, intraday.STEP).select("symbol", "ts").filter(F.unix_seconds("ts") + intraday.STEP <= F.unix_seconds(F.lit("2024-01-30 12:30:00").cast("timestamp")))
+    archive = intraday._archive(spark, sf).select("symbol", "ts")
+    assert archive.count() == stamps.count() and not archive.exceptAll(stamps).count()
+    first, second = reported._sources(spark, sf)
+    annual = reported._annual(spark, sf)
+    in_second = second.select("entity", F.expr("date_add(date, cast(entity % 15 as int))").alias("date"))
+    assert not annual.select("entity", "date").exceptAll(first.select("entity", "date").union(in_second).distinct()).count()
+    assert first.count() < annual.count() and second.count() < annual.count()
+    total = V.table(spark, sf, "orders").agg(F.sum("o_totalprice")).collect()[0][0]
+    assert holdings.raw_basket(spark, sf).count() == 25
+    assert holdings.raw_basket(spark, sf).agg(F.sum("full_weight").alias("v")).first().v == pytest.approx(float(total) / 1e8, rel=0.01)
+    a = newsroom.articles(spark, sf)
+    words = lambda c: F.size(F.split(F.trim(c), " +"))
+    kept = a.select("id", F.concat_ws(" ", "title", "summary").alias("t"))
+    texts = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("w"))
+    assert not kept.join(texts, "id").filter(words(F.col("t")) != words(F.col("w"))).count()

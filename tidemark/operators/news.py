@@ -18,6 +18,7 @@ WINDOW_DAYS, FUTURE_HOURS = 30, 3
 CLUSTER_SECONDS = 72 * 3600
 SIMILARITY, MERGE_SIMILARITY, RARE_IDF = 0.5, 0.45, 2.5
 MIN_TOKENS = 3
+OFTEN = 64  # more titles than these hold a frequent token
 SUMMARY_MIN, PREVIEW = 30, 400
 PRIMARY_TYPES = ["primary_company", "company", "primary_regulatory", "primary_government"]
 
@@ -76,6 +77,10 @@ def token_weights(articles: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select("token", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _weighed() -> Column:
+    return F.expr(f"struct(-idf as neg, token, df > {OFTEN} as often)")
+
+
 def headline_nodes(articles: DataFrame, weights: DataFrame) -> DataFrame:
     """Distinct token sets with a stretch of time in which neighbours lie within 72 hours.
 
@@ -88,47 +93,42 @@ def headline_nodes(articles: DataFrame, weights: DataFrame) -> DataFrame:
     s = x.groupBy("key", "_day", "t").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
     s = cut_lineage(O.islands(cut_lineage(s), ["key"], "_day", "t", CLUSTER_SECONDS))
     n = s.groupBy("key", "run_no").agg(F.min("rep").alias("node"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.first("tokens").alias("tokens"))
-    w = n.select("node", F.explode("tokens").alias("token")).join(weights.select("token", "idf"), "token")
-    w = w.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("neg"), "token"))).alias("tw"), F.sum("idf").alias("total"))  # a headline has a handful of tokens
+    w = n.select("node", F.explode("tokens").alias("token")).join(weights.select("token", "idf", "df"), "token")
+    w = w.groupBy("node").agg(F.sort_array(F.collect_list(_weighed())).alias("tw"), F.sum("idf").alias("total"))  # the tokens of one title
     n = cut_lineage(n.join(w, "node"))
     members = x.join(s.select("key", "t", "run_no"), ["key", "t"]).join(n.select("key", "run_no", "node"), ["key", "run_no"]).select("id", "node")
     return n.select("node", "t0", "t1", "tw", "total"), members
 
 
-def _pairs(tokens: Column) -> Column:
-    """All unordered token pairs of one short headline as keys."""
-    srt = F.array_sort(tokens)
-    return F.flatten(F.transform(srt, lambda a: F.transform(F.filter(srt, lambda b: b > a), lambda b: F.concat_ws("|", a, b))))
+def _keys(offered: Column, tokens: Column) -> Column:
+    """Blocking keys of some offered tokens of a headline: a rare token alone, a frequent one with each other token."""
+    pair = lambda a, b: F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+    with_each = lambda e: F.transform(F.filter(tokens, lambda x: x["token"] != e["token"]), lambda x: pair(e["token"], x["token"]))
+    return F.array_distinct(F.flatten(F.transform(offered, lambda e: F.when(e["often"], with_each(e)).otherwise(F.array(e["token"])))))
 
 
 def similar_nodes(nodes: DataFrame, threshold: float = SIMILARITY, min_shared: int = 2, rare: float | None = None) -> DataFrame:
     """Pairs of nodes within 72 hours sharing enough weight of the lighter one: (a, b, shared, similarity).
 
-    A pair needs two common tokens, so the blocking key is a *pair* of tokens plus a 72-hour bucket.
-    The lighter side offers only pairs from its heaviest tokens: if no two of those are shared, what is
-    left cannot reach the threshold.  Every candidate is then checked exactly on its own tokens.
+    Without any of the lighter side's heaviest tokens what is left of it cannot reach the threshold, so it offers these alone and the
+    other side all of its own.  A pair needs two common tokens anyway: a token of many headlines blocks together with a
+    second one.  Keys grow with a title's length, not its square, and every candidate is checked exactly on its own tokens.
     """
-    half = threshold * F.col("total")
-    tw = nodes.withColumn("toks", F.transform("tw", lambda e: e["token"])).withColumn("w1", -F.col("tw")[0]["neg"])
-    rest_after = lambda i: F.aggregate(F.slice("tw", i + 1, F.size("tw")), F.lit(0.0), lambda acc, e: acc - e["neg"])
-    cut = F.array_min(F.filter(F.sequence(F.lit(1), F.size("tw")), lambda i: F.col("w1") + rest_after(i) < half))
-    tw = tw.withColumn("head", F.slice("toks", 1, F.coalesce(cut, F.size("tw"))))
-    if rare is not None:  # the merge pass needs two shared rare tokens, a stronger key
-        few = F.transform(F.filter("tw", lambda e: -e["neg"] >= rare), lambda e: e["token"])
-        tw = tw.withColumn("head", few).withColumn("block", few)
-    else:
-        tw = tw.withColumn("block", F.col("toks"))
+    least = threshold * F.col("total") - 1e-9
+    step = lambda acc, e: F.when(F.col("total") - acc["s"] >= least, F.struct((acc["s"] - e["neg"]).alias("s"), (acc["i"] + 1).alias("i"))).otherwise(acc)
+    head = F.aggregate("tw", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")), step)["i"]
+    tw = nodes.withColumn("head", F.slice("tw", 1, F.greatest(head, F.lit(1))))
     b = lambda c: F.floor(c / CLUSTER_SECONDS)
-    left = tw.select(F.col("node").alias("a"), F.col("total").alias("wa"), "t0", "t1", F.explode(_pairs(F.col("head"))).alias("k")).withColumn("_b", F.explode(F.sequence(b(F.col("t0") - CLUSTER_SECONDS), b(F.col("t1") + CLUSTER_SECONDS))))
-    right = tw.select(F.col("node").alias("b"), F.col("total").alias("wb"), F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.explode(_pairs(F.col("block"))).alias("k")).withColumn("_b", F.explode(F.sequence(b(F.col("u0")), b(F.col("u1")))))
+    left = tw.select(F.col("node").alias("a"), F.col("total").alias("wa"), "t0", "t1", F.explode(_keys(F.col("head"), F.col("tw"))).alias("k")).withColumn("_b", F.explode(F.sequence(b(F.col("t0") - CLUSTER_SECONDS), b(F.col("t1") + CLUSTER_SECONDS))))
+    right = tw.select(F.col("node").alias("b"), F.col("total").alias("wb"), F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.explode(_keys(F.col("tw"), F.col("tw"))).alias("k")).withColumn("_b", F.explode(F.sequence(b(F.col("u0")), b(F.col("u1")))))
     lighter = (F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
     near = (F.col("u0") <= F.col("t1") + CLUSTER_SECONDS) & (F.col("t0") <= F.col("u1") + CLUSTER_SECONDS)
     cand = left.join(right, ["k", "_b"]).filter(lighter & near).select("a", "b").distinct()
     x = cand.join(nodes.select(F.col("node").alias("a"), F.col("tw").alias("ta"), F.col("total").alias("wa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("tw").alias("tb")), "b")
-    tb = F.transform("tb", lambda e: e["token"])
-    both = F.filter("ta", lambda e: F.array_contains(tb, e["token"]))
-    x = x.withColumn("_s", both).withColumn("shared", F.size("_s")).withColumn("similarity", F.aggregate("_s", F.lit(0.0), lambda acc, e: acc - e["neg"]) / F.col("wa"))
-    ok = (F.col("shared") >= min_shared) & (F.col("similarity") >= threshold - 1e-12)
+    names = lambda c: F.transform(c, lambda e: e["token"])
+    x = x.withColumn("_c", F.array_intersect(names("ta"), names("tb"))).filter(F.size("_c") >= min_shared)
+    x = x.withColumn("_s", F.filter("ta", lambda e: F.array_contains("_c", e["token"]))).withColumn("shared", F.size("_s")).withColumn("similarity", F.aggregate("_s", F.lit(0.0), lambda acc, e: acc - e["neg"]) / F.col("wa"))
+    ok = F.col("similarity") >= threshold - 1e-12
     if rare is not None:
         ok = ok & (F.size(F.filter("_s", lambda e: -e["neg"] >= rare)) >= 2)
     return x.filter(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "similarity")
@@ -148,8 +148,8 @@ def clusters(articles: DataFrame, merge: bool = True) -> DataFrame:
         return own.select("id", "cluster")
     size = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("published")).alias("t0"))
     vocab = own.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("c")).join(size, "cluster")
-    vocab = vocab.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3))).join(weights.select("token", "idf"), "token")
-    n2 = vocab.groupBy("cluster", "t0").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("neg"), "token"))).alias("tw"), F.sum("idf").alias("total"))
+    vocab = vocab.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3))).join(weights.select("token", "idf", "df"), "token")
+    n2 = vocab.groupBy("cluster", "t0").agg(F.sort_array(F.collect_list(_weighed())).alias("tw"), F.sum("idf").alias("total"))
     n2 = cut_lineage(n2.select(F.col("cluster").alias("node"), "t0", F.col("t0").alias("t1"), "tw", "total"))
     merged = connected_components(similar_nodes(n2, MERGE_SIMILARITY, 3, RARE_IDF), n2.select(F.col("node").alias("id"))).select(F.col("id").alias("cluster"), F.col("component").alias("final"))
     return own.join(merged, "cluster", "left").select("id", F.coalesce("final", "cluster").alias("cluster"))
@@ -167,8 +167,9 @@ def relevance(articles: DataFrame, now: Column) -> DataFrame:
     major = F.col("source_domain").isin(R.MAJOR_OUTLETS)
     a = articles.withColumn("_major", F.coalesce(major, F.lit(False))).withColumn("_primary", F.col("source_type").isin(PRIMARY_TYPES))
     rank = F.struct(source_rank(F.col("source_type")).alias("r"), F.when(F.col("_major"), 0).otherwise(1).alias("m"), F.col("published").alias("t"), F.col("id").alias("i"))
+    named = F.get(F.filter("categories", lambda c: c != "Other"), F.lit(0))  # an article's first category with a name
     g = a.groupBy("cluster").agg(
-        F.min_by(F.struct("id", "title", "categories", "company"), rank).alias("lead"), F.min("published").alias("first"), F.bool_or("in_title").alias("_t"), F.bool_or("own_record").alias("_o"),
+        F.min_by(named, F.when(named.isNotNull(), rank)).alias("_named"), F.min_by(F.struct("id", "title", "categories", "company"), rank).alias("lead"), F.min("published").alias("first"), F.bool_or("in_title").alias("_t"), F.bool_or("own_record").alias("_o"),
         F.bool_or("_primary").alias("_p"), F.bool_or("_major").alias("_m"), F.count_distinct(F.lower("source_name")).alias("publishers"), F.array_distinct(F.flatten(F.collect_set("categories"))).alias("_cats"))
     cats = F.when(F.size("_cats") > 1, F.filter("_cats", lambda c: c != "Other")).otherwise(F.col("_cats"))
     weight = F.create_map(*[v for k, w in R.CATEGORY_WEIGHT.items() for v in (F.lit(k), F.lit(float(w)))])
@@ -183,7 +184,7 @@ def relevance(articles: DataFrame, now: Column) -> DataFrame:
     score = sum(points.values(), F.lit(0.0))
     why = F.filter(F.array(*[F.when(v != 0, F.lit(k)) for k, v in points.items()]), lambda r: r.isNotNull())
     lead_cat = F.col("lead.categories")[0]
-    primary = F.when(lead_cat != "Other", lead_cat).otherwise(F.col("cats")[0])
+    primary = F.when(lead_cat != "Other", lead_cat).otherwise(F.coalesce("_named", F.lit("Other")))  # else of the next source in order
     return g.select(
         "cluster", F.col("lead.company").alias("company"), F.col("lead.id").alias("lead"), F.col("lead.title").alias("headline"), primary.alias("category"), F.array_join("cats", ",").alias("categories"), F.col("first").alias("published"),
         "publishers", score.alias("score"), F.array_join(why, ",").alias("reasons"), ((score >= 5) & ~F.array_contains("cats", "Ownership filings")).alias("material"), F.when(age <= 24, "today").when(age <= 168, "week").otherwise("month").alias("bucket"))

@@ -195,29 +195,33 @@ def relaxed(triggers: DataFrame, steps: Sequence[Condition]) -> DataFrame:
 
 # --- forward outcomes ----------------------------------------------------------------------------------
 
+OPEN = "open"  # reason of a setup without an exit yet
+
+
 def barrier_outcomes(setups: DataFrame, bars: DataFrame, step: int, combos: Sequence[tuple[float, float]], limit_bars: int = 12, point_value: float = 1.0, cost: float = 0.0) -> DataFrame:
     """First of day end, stop, target or time limit on the bars after each setup, for every (stop, target) pair.
 
     ``setups`` carries symbol, bar_no, t, direction, entry and atr.  Forward bars arrive by equality on
-    position, once per setup; the pairs are expanded afterwards from the collected short path.
+    position, once per setup; the pairs are expanded afterwards from the collected short path.  A setup without a forward
+    bar, or whose bars end before any exit, stays with the reason ``open`` and no exit or result.
     """
     b = bars.select("symbol", F.col("bar_no").alias("_n"), F.struct("ts", "day", "suspect", "open", "high", "low", "close").alias("b"))
-    x = setups.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(limit_bars)))).withColumn("_n", F.col("bar_no") + F.col("k")).join(b, ["symbol", "_n"])
-    g = x.groupBy(*setups.columns).agg(F.sort_array(F.collect_list(F.struct("k", "b"))).alias("p"))
+    x = setups.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(limit_bars)))).withColumn("_n", F.col("bar_no") + F.col("k")).join(b, ["symbol", "_n"], "left")
+    g = x.groupBy(*setups.columns).agg(F.sort_array(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("k", "b")))).alias("p"))
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("stop_atr"), F.lit(float(r)).alias("target_r")) for a, r in combos])
     g = g.withColumn("c", F.explode(pairs)).select("*", "c.*").drop("c")
     sign = F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
     g = g.withColumns({"sign": sign, "risk": F.col("atr") * F.col("stop_atr")}).filter("risk > 0")
     g = g.withColumns({"stop": F.col("entry") - F.col("sign") * F.col("risk"), "target": F.col("entry") + F.col("sign") * F.col("target_r") * F.col("risk")})
-    g = g.withColumn("day0", F.col("p")[0]["b"]["day"])
+    g = g.withColumn("day0", F.get("p", F.lit(0))["b"]["day"])
     first = lambda cond: F.array_min(F.transform(F.filter("p", cond), lambda e: e["k"]))
     hits = lambda price, worse: (lambda e: F.when((F.col("sign") > 0) == F.lit(worse), e["b"]["low"] <= F.col(price)).otherwise(e["b"]["high"] >= F.col(price)))
     hit_stop, hit_target = hits("stop", True), hits("target", False)
     g = g.withColumns({
         "_day": first(lambda e: e["b"]["day"] != F.col("day0")), "_stop": first(hit_stop), "_target": first(hit_target),
         "_time": first(lambda e: F.unix_seconds(e["b"]["ts"]) + step - F.unix_seconds("t") >= limit_bars * step)})
-    g = g.withColumn("_k", F.least("_day", "_stop", "_target", "_time")).filter("_k is not null")  # null: that exit never comes
-    reason = F.when(F.col("_day") == F.col("_k"), "end of trading day").when(F.col("_stop") == F.col("_k"), "stop").when(F.col("_target") == F.col("_k"), "target").otherwise("time exit")
+    g = g.withColumn("_k", F.least("_day", "_stop", "_target", "_time"))  # null: no exit among the bars there are
+    reason = F.when(F.col("_k").isNull(), OPEN).when(F.col("_day") == F.col("_k"), "end of trading day").when(F.col("_stop") == F.col("_k"), "stop").when(F.col("_target") == F.col("_k"), "target").otherwise("time exit")
     g = g.withColumn("reason", reason).withColumn("_x", F.when(F.col("reason") == "end of trading day", F.col("_k") - 1).otherwise(F.col("_k")))
     at = F.try_element_at(F.filter("p", lambda e: e["k"] == F.col("_x")), F.lit(1))
     g = g.withColumn("_b", at["b"])
@@ -227,9 +231,10 @@ def barrier_outcomes(setups: DataFrame, bars: DataFrame, step: int, combos: Sequ
     g = g.withColumn("exit", F.when(F.col("reason") == "stop", stop_fill).when(F.col("reason") == "target", target_fill).otherwise(F.col("_b.close")))
     seen = F.filter("p", lambda e: e["k"] <= F.col("_x"))
     top, low = F.array_max(F.transform(seen, lambda e: e["b"]["high"])), F.array_min(F.transform(seen, lambda e: e["b"]["low"]))
+    closed = lambda c: F.when(F.col("reason") != OPEN, c)
     g = g.withColumns({
-        "mfe": F.greatest(F.lit(0.0), F.when(F.col("sign") > 0, top - F.col("entry")).otherwise(F.col("entry") - low)),
-        "mae": F.greatest(F.lit(0.0), F.when(F.col("sign") > 0, F.col("entry") - low).otherwise(top - F.col("entry"))),
+        "mfe": closed(F.greatest(F.lit(0.0), F.when(F.col("sign") > 0, top - F.col("entry")).otherwise(F.col("entry") - low))),
+        "mae": closed(F.greatest(F.lit(0.0), F.when(F.col("sign") > 0, F.col("entry") - low).otherwise(top - F.col("entry")))),
         "ambiguous": (F.col("reason") == "stop") & F.coalesce(F.col("_target") == F.col("_k"), F.lit(False)),
         "suspect": F.exists(seen, lambda e: e["b"]["suspect"]), "points": (F.col("exit") - F.col("entry")) * F.col("sign"),
         "exit_time": F.col("_b.ts") + B.seconds_interval(step)})
@@ -248,15 +253,16 @@ def reject_counts(setups: DataFrame, tick: float, stop_col: str, min_ticks: floa
 
 
 def trade_metrics(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outcome metrics in R of clean trades; trades touching suspect bars are counted, not used.
+    """Outcome metrics in R of clean trades; trades touching suspect bars and open ones are counted, not used.
 
     Everything but the medians combines map-side; medians come from the exact distributed quantile.
     """
     keys = list(keys)
-    c = trades.filter(~F.col("suspect"))
+    done = F.col("reason") != OPEN
+    c = trades.filter(~F.col("suspect") & done)
     v = F.col("r_net")
     win, loss = F.when(v > 0, v), F.when(v < 0, v)
-    a = trades.groupBy(*keys).agg(F.count_if("suspect").alias("excluded_suspect"))
+    a = trades.groupBy(*keys).agg(F.count_if(F.col("suspect") & done).alias("excluded_suspect"), F.count_if(~done).alias("open_at_end"))
     m = c.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count(win).alias("wins"), F.count(loss).alias("losses"), F.avg(v).alias("expectancy"), F.stddev_samp(v).alias("std"), F.avg(win).alias("avg_win"),
         F.avg(loss).alias("avg_loss"), F.sum(win).alias("_w"), F.sum(loss).alias("_l"), F.avg("r_gross").alias("gross_mean"), F.avg("minutes").alias("holding_mean"), F.avg("mfe_r").alias("mfe_mean"),
@@ -264,7 +270,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     med = O.exact_quantiles(c, keys, "r_net", {"median": 0.5}).drop("n")
     x = a.join(m, keys).join(med, keys)
     enough = (F.col("n") >= 10) & (F.col("std") > 0)
-    return x.select(*keys, "n", "excluded_suspect", "wins", "losses", (F.col("wins") / F.col("n")).alias("win_rate"), "expectancy", "median", "std", "avg_win", "avg_loss", "gross_mean",
+    return x.select(*keys, "n", "excluded_suspect", "open_at_end", "wins", "losses", (F.col("wins") / F.col("n")).alias("win_rate"), "expectancy", "median", "std", "avg_win", "avg_loss", "gross_mean",
                     ratio(F.col("_w"), -F.col("_l")).alias("profit_factor"), F.when(enough, F.col("expectancy") / F.col("std")).alias("sharpe_like"), F.when(enough, ratio(F.col("expectancy"), F.col("_d"))).alias("sortino_like"),
                     "holding_mean", "mfe_mean", "mae_mean")
 

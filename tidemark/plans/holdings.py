@@ -26,12 +26,11 @@ ALL_SECTORS = ["Technology", "Energy", "Healthcare", "Utilities", "Materials", "
 
 
 def raw_basket(spark, sf):
-    """Share of each priority in a segment's order value; segments leave out one priority, one weight is blank."""
+    """Share of every priority in a segment's order value; one weight is blank."""
     o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
     # Pre-aggregated per customer, so a customer holding a third of all orders reaches the join as five rows.
     o = o.groupBy("o_custkey", "o_orderpriority").agg(F.sum("o_totalprice").alias("v"))
     x = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("portfolio_id"), F.col("o_orderpriority").alias("holding")).agg(F.sum("v").alias("v"))
-    x = x.filter((F.length("portfolio_id") + F.substring("holding", 1, 1).cast("int")) % 5 != 0)
     return x.select("portfolio_id", "holding", F.when(F.col("holding") != "2-HIGH", F.round(F.col("v") / 1e8, 4)).alias("weight"), F.round(F.col("v") / 1e8, 4).alias("full_weight"))
 
 
@@ -85,8 +84,7 @@ def fundamentals(spark, sf):
         (F.avg("l_discount") * 4).alias("growth"), F.avg(0.05 - F.col("l_discount")).alias("op_margin"), (F.avg("l_quantity") * 0.59).alias("ps"))
 
 
-_RAW = """rawb AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS holding, round(sum(o_totalprice) / 1e8, 4) AS fw FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE (length(c_mktsegment) + CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) % 5 <> 0 GROUP BY 1, 2)"""
+_RAW = """rawb AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS holding, round(sum(o_totalprice) / 1e8, 4) AS fw FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 _BK = _RAW + ", bk AS (SELECT portfolio_id, holding, round(fw / sum(fw) OVER (PARTITION BY portfolio_id) * 100, 4) AS weight FROM rawb)"
 _KEYL = "[" + ", ".join("'" + k + "'" for k in KEYS) + "]"
 _KINDL = "[" + ", ".join("'" + k + "'" for k, _ in FACTORS) + "]"

@@ -99,13 +99,14 @@ def normalize_bars(spark, sf):
 
 
 def _archive(spark, sf):
+    """Every tick is in one batch at least: the old one ends inside a candle, the new one reads again from six hours before."""
     t = V.ticks(spark, sf)
-    old = B.bars_from_ticks(t.filter("event_id % 2 = 0"), STEP).withColumn("batch", F.lit(1)).withColumn("interval", F.lit("1h"))
-    fresh = B.bars_from_ticks(t.filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp")), STEP).withColumn("batch", F.lit(2)).withColumn("interval", F.lit("1h"))
+    old = B.bars_from_ticks(t.filter(F.col("ts") < F.lit("2024-01-20 00:30:00").cast("timestamp")), STEP).withColumn("batch", F.lit(1)).withColumn("interval", F.lit("1h"))
+    fresh = B.bars_from_ticks(t.filter(F.col("ts") >= F.lit("2024-01-19 18:00:00").cast("timestamp")), STEP).withColumn("batch", F.lit(2)).withColumn("interval", F.lit("1h"))
     return A.merge_archive(old, fresh, F.lit("2024-01-30 12:30:00").cast("timestamp"), STEP)
 
 
-_ARCH = V.sql("ticks") + f""", al AS (SELECT *, 1 AS batch FROM ({V._bars_sql('WHERE event_id % 2 = 0')}) UNION ALL SELECT *, 2 AS batch FROM ({V._bars_sql("WHERE ts >= TIMESTAMP '2024-01-20'")})
+_ARCH = V.sql("ticks") + f""", al AS (SELECT *, 1 AS batch FROM ({V._bars_sql("WHERE ts < TIMESTAMP '2024-01-20 00:30:00'")}) UNION ALL SELECT *, 2 AS batch FROM ({V._bars_sql("WHERE ts >= TIMESTAMP '2024-01-19 18:00:00'")})
   WHERE epoch(ts) + 3600 <= epoch(TIMESTAMP '2024-01-30 12:30:00')),
 ar AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY batch DESC) AS rn FROM al) WHERE rn = 1)"""
 

@@ -131,10 +131,15 @@ def entries(spark, sf):
     return triggers(spark, sf).join(b, ["symbol", "bar_no"]).filter("atr is not null")
 
 
-def trades(spark, sf):
+def all_trades(spark, sf):
     return V.stored("trades", spark, sf, build_trades)
 
 
+def trades(spark, sf):
+    """Trades with an exit."""
+    return all_trades(spark, sf).filter(F.col("reason") != P.OPEN)
+
+
 def build_trades(spark, sf):
     return P.barrier_outcomes(entries(spark, sf).drop("day"), V.bars1h(spark, sf), STEP, COMBOS, cost=0.01)
 
@@ -153,10 +158,12 @@ trd AS (SELECT e.symbol, e.bar_no, e.t, e.dir, e.sa, e.tr_, e.entry, e.risk, e.r
   CASE reason WHEN 'stop' THEN CASE WHEN sg * (open - st) <= 0 THEN open ELSE st END WHEN 'target' THEN CASE WHEN sg * (open - tgt) >= 0 THEN open ELSE tgt END WHEN 'end of trading day' THEN pc ELSE close END AS xp, sg,
   greatest(0, CASE WHEN sg > 0 THEN hi - entry ELSE entry - lo END) / risk AS mfe, greatest(0, CASE WHEN sg > 0 THEN entry - lo ELSE hi - entry END) / risk AS mae FROM ex e JOIN sx s ON s.symbol = e.symbol AND s.bar_no = e.bar_no AND s.dir = e.dir AND s.sa = e.sa AND s.tr_ = e.tr_),
 tx AS (SELECT symbol, bar_no, t, dir AS direction, CAST(sa AS DOUBLE) AS stop_atr, CAST(tr_ AS DOUBLE) AS target_r, entry, risk, xp, xt, reason, (xp - entry) * sg AS points, ((xp - entry) * sg - 0.01) / risk AS r_net, (xp - entry) * sg / risk AS r_gross, mfe AS mfe_r, mae AS mae_r,
-  (epoch(xt) - epoch(t)) / 60 AS minutes, hour({V._ET.format('t')}) AS hour, isodow({V._ET.format('t')}) - 1 AS weekday, amb AS ambiguous, sus AS suspect FROM trd)"""
+  (epoch(xt) - epoch(t)) / 60 AS minutes, hour({V._ET.format('t')}) AS hour, isodow({V._ET.format('t')}) - 1 AS weekday, amb AS ambiguous, sus AS suspect FROM trd),
+opn AS (SELECT e.*, CAST(sa AS DOUBLE) AS stop_atr, CAST(tr_ AS DOUBLE) AS target_r FROM en e, (VALUES (1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (2.0, 2.0)) c(sa, tr_) WHERE atr * sa > 0 AND NOT EXISTS (SELECT 1 FROM trd x WHERE x.symbol = e.symbol AND x.bar_no = e.bar_no AND x.dir = e.dir AND x.sa = c.sa AND x.tr_ = c.tr_)),
+txa AS (SELECT * FROM tx UNION ALL SELECT symbol, bar_no, t, dir, stop_atr, target_r, entry, atr * stop_atr, NULL, NULL, 'open', NULL, NULL, NULL, NULL, NULL, NULL, hour({V._ET.format('t')}), isodow({V._ET.format('t')}) - 1, false, false FROM opn)"""
 
 
-@query("barrier_outcome", _TRADES + f" SELECT symbol, {_T}, direction, stop_atr, target_r, {r('entry','entry')}, {r('xp','exit')}, CAST(epoch(xt) AS BIGINT) AS exit_time, reason, {r('r_net','r_net',4)}, {r('mfe_r','mfe_r',4)}, {r('mae_r','mae_r',4)}, {r('minutes','minutes')}, ambiguous, suspect FROM tx")
+@query("barrier_outcome", _TRADES + f" SELECT symbol, {_T}, direction, stop_atr, target_r, {r('entry','entry')}, {r('xp','exit')}, CAST(epoch(xt) AS BIGINT) AS exit_time, reason, {r('r_net','r_net',4)}, {r('mfe_r','mfe_r',4)}, {r('mae_r','mae_r',4)}, {r('minutes','minutes')}, ambiguous, suspect FROM txa")
 def barrier_outcome(spark, sf):
     x = build_trades(spark, sf)
     return x.select("symbol", _sec("t"), "direction", "stop_atr", "target_r", tidy(F.col("entry")).alias("entry"), tidy(F.col("exit")).alias("exit"), _sec("exit_time"), "reason",
@@ -167,28 +174,28 @@ _MET = ["win_rate", "expectancy", "median", "std", "avg_win", "avg_loss", "gross
 
 
 def _met_sql(keys: str) -> str:
-    return f"""met AS (SELECT {keys}, count(*) FILTER (NOT suspect) AS n, count(*) FILTER (suspect) AS excluded_suspect, count(*) FILTER (NOT suspect AND r_net > 0) AS wins, count(*) FILTER (NOT suspect AND r_net < 0) AS losses, avg(r_net) FILTER (NOT suspect) AS expectancy,
+    return f"""met AS (SELECT {keys}, count(*) FILTER (NOT suspect AND reason <> 'open') AS n, count(*) FILTER (suspect) AS excluded_suspect, count(*) FILTER (reason = 'open') AS open_at_end, count(*) FILTER (NOT suspect AND r_net > 0) AS wins, count(*) FILTER (NOT suspect AND r_net < 0) AS losses, avg(r_net) FILTER (NOT suspect) AS expectancy,
   quantile_cont(r_net, 0.5) FILTER (NOT suspect) AS median, stddev_samp(r_net) FILTER (NOT suspect) AS std, avg(r_net) FILTER (NOT suspect AND r_net > 0) AS avg_win, avg(r_net) FILTER (NOT suspect AND r_net < 0) AS avg_loss, avg(r_gross) FILTER (NOT suspect) AS gross_mean,
   sum(r_net) FILTER (NOT suspect AND r_net > 0) / -sum(r_net) FILTER (NOT suspect AND r_net < 0) AS profit_factor, sqrt(avg(least(r_net, 0) ** 2) FILTER (NOT suspect)) AS dd, avg(minutes) FILTER (NOT suspect) AS holding_mean, avg(mfe_r) FILTER (NOT suspect) AS mfe_mean,
-  avg(mae_r) FILTER (NOT suspect) AS mae_mean FROM tx GROUP BY {keys} HAVING count(*) FILTER (NOT suspect) > 0),
+  avg(mae_r) FILTER (NOT suspect) AS mae_mean FROM txa GROUP BY {keys} HAVING count(*) FILTER (NOT suspect AND reason <> 'open') > 0),
 m2 AS (SELECT *, wins / n AS win_rate, CASE WHEN n >= 10 AND std > 0 THEN expectancy / std END AS sharpe_like, CASE WHEN n >= 10 AND std > 0 THEN expectancy / nullif(dd, 0) END AS sortino_like FROM met)"""
 
 
-@query("trade_metrics", _TRADES + f", {_met_sql('symbol, stop_atr, target_r')} SELECT symbol, stop_atr, target_r, n, excluded_suspect, wins, losses, " + ", ".join(r(c, c, 5) for c in _MET) + " FROM m2")
+@query("trade_metrics", _TRADES + f", {_met_sql('symbol, stop_atr, target_r')} SELECT symbol, stop_atr, target_r, n, excluded_suspect, open_at_end, wins, losses, " + ", ".join(r(c, c, 5) for c in _MET) + " FROM m2")
 def trade_metrics(spark, sf):
-    m = P.trade_metrics(trades(spark, sf), ["symbol", "stop_atr", "target_r"])
+    m = P.trade_metrics(all_trades(spark, sf), ["symbol", "stop_atr", "target_r"])
     return m.withColumns({c: tidy(F.col(c), 5) for c in _MET})
 
 
 @query("combo_matrix", _TRADES + f", {_met_sql('stop_atr, target_r')} SELECT stop_atr, target_r, n, {r('win_rate','win_rate',5)}, {r('expectancy','expectancy',5)}, {r('profit_factor','profit_factor',5)} FROM m2")
 def combo_matrix(spark, sf):
-    m = P.trade_metrics(trades(spark, sf), ["stop_atr", "target_r"]).select("stop_atr", "target_r", "n", "win_rate", "expectancy", "profit_factor")
+    m = P.trade_metrics(all_trades(spark, sf), ["stop_atr", "target_r"]).select("stop_atr", "target_r", "n", "win_rate", "expectancy", "profit_factor")
     return m.withColumns({c: tidy(F.col(c), 5) for c in ("win_rate", "expectancy", "profit_factor")})
 
 
 @query("compare_versions", _TRADES + f", {_met_sql('symbol, stop_atr')} SELECT symbol, any_value(n) FILTER (stop_atr = 1) AS n_tight, any_value(n) FILTER (stop_atr = 2) AS n_wide, {r('any_value(expectancy) FILTER (stop_atr = 1)','expectancy_tight',5)}, {r('any_value(expectancy) FILTER (stop_atr = 2)','expectancy_wide',5)} FROM m2 GROUP BY 1")
 def compare_versions(spark, sf):
-    m = P.trade_metrics(trades(spark, sf), ["symbol", "stop_atr"])
+    m = P.trade_metrics(all_trades(spark, sf), ["symbol", "stop_atr"])
     v = m.withColumn("version", F.when(F.col("stop_atr") == 1.0, "tight").otherwise("wide"))
     p = v.groupBy("symbol").pivot("version", ["tight", "wide"]).agg(F.first("n").alias("n"), F.first("expectancy").alias("expectancy"))
     return p.select("symbol", F.col("tight_n").alias("n_tight"), F.col("wide_n").alias("n_wide"), tidy(F.col("tight_expectancy"), 5).alias("expectancy_tight"), tidy(F.col("wide_expectancy"), 5).alias("expectancy_wide"))

@@ -22,18 +22,19 @@ def _now():
 
 
 def articles(spark, sf):
-    """Every document as an article: title from its start, three neighbours share an address, hours spread over six weeks."""
-    flat = T.strip(F.regexp_replace("text", r"\s+", " "))
-    d = V.spread(V.table(spark, sf, "documents")).withColumn("_flat", flat)
+    """Every document as an article: its first line is the title, three neighbours share an address, hours spread over six weeks."""
+    flat = lambda c: T.strip(F.regexp_replace(c, r"\s+", " "))
+    d = V.spread(V.table(spark, sf, "documents")).withColumn("_text", T.strip(F.col("text"))).withColumn("_line", F.substring_index("_text", "\n", 1))
     hours = (F.col("doc_id") * 37 % 1000).cast("long")
     return d.select(
-        F.col("doc_id").alias("id"), F.trim(F.substring("_flat", 1, 80)).alias("title"), F.expr("substr(_flat, 81)").alias("summary"),
+        F.col("doc_id").alias("id"), flat(F.col("_line")).alias("title"), flat(F.expr("substr(_text, length(_line) + 1)")).alias("summary"),
         F.concat(F.lit("http://www.src"), (F.floor(F.col("doc_id") / 3) % 20).cast("string"), F.lit(".example.com/a/"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit("/?id="), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("source_name"), F.col("source").alias("provider"), F.when(F.col("doc_id") % 50 != 0, F.timestamp_seconds(F.lit(1704067200) + hours * 3600)).alias("published"))
 
 
-_ART = r"""fl AS (SELECT doc_id, source, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
-ar AS (SELECT doc_id AS id, trim(substr(t, 1, 80)) AS title, substr(t, 81) AS summary, 'http://www.src' || (doc_id // 3 % 20) || '.example.com/a/' || (doc_id // 3) || '/?id=' || doc_id AS url, source AS source_name, CASE WHEN doc_id % 50 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id * 37 % 1000) END AS published FROM fl)"""
+_ART = r"""f0 AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), f1 AS (SELECT *, split_part(t, chr(10), 1) AS line FROM f0),
+fl AS (SELECT doc_id, source, regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS title, regexp_replace(regexp_replace(substr(t, length(line) + 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS summary FROM f1),
+ar AS (SELECT doc_id AS id, title, summary, 'http://www.src' || (doc_id // 3 % 20) || '.example.com/a/' || (doc_id // 3) || '/?id=' || doc_id AS url, source AS source_name, CASE WHEN doc_id % 50 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id * 37 % 1000) END AS published FROM fl)"""
 
 
 @query("normalize_articles", W + _ART + r""", s AS (SELECT *, regexp_replace(summary, '^\s+|\s+$', '', 'g') AS s FROM ar) SELECT id, md5(title) AS title, md5(CASE WHEN length(s) >= 30 AND NOT starts_with(lower(s), lower(title)) THEN s END) AS summary, regexp_extract(url, '://www\.([^/]*)', 1) AS source_domain FROM s""")
@@ -148,7 +149,7 @@ _HL = "hl AS (SELECT o_orderkey AS id, CAST(o_custkey % 20 AS VARCHAR) AS compan
     f" END AS title, o_orderdate AS published, ({_TYPES})[o_orderkey % 5 + 1] AS source_type, ({_DOMAINS})[o_orderkey % 5 + 1] AS source_domain, 'Desk ' || (o_orderkey % 7) AS source_name, o_orderkey % 11 = 0 AS own FROM orders)"
 _CATX = f"CASE WHEN regexp_matches(title, '{_re2(R.OWNERSHIP)}', 'i') THEN ['Ownership filings'] WHEN len({_hits('title', R.NEWS_CATEGORIES)}) > 0 THEN {_hits('title', R.NEWS_CATEGORIES)} ELSE ['Other'] END"
 _EVT = W + _HL + f""", hc AS (SELECT *, {_CATX} AS cats FROM hl),
-lead1 AS (SELECT cluster, arg_min(id, (CASE source_type WHEN 'primary_company' THEN 0 WHEN 'primary_regulatory' THEN 1 WHEN 'reporting' THEN 2 ELSE 3 END, CASE WHEN source_domain IN ('reuters.com', 'cnbc.com') THEN 0 ELSE 1 END, published, id)) AS lead, min(published) AS first, bool_or(contains(lower(title), 'rigetti')) AS t, bool_or(own) AS o,
+lead1 AS (SELECT cluster, arg_min(list_filter(cats, lambda z: z <> 'Other')[1], (CASE source_type WHEN 'primary_company' THEN 0 WHEN 'primary_regulatory' THEN 1 WHEN 'reporting' THEN 2 ELSE 3 END, CASE WHEN source_domain IN ('reuters.com', 'cnbc.com') THEN 0 ELSE 1 END, published, id)) FILTER (len(list_filter(cats, lambda z: z <> 'Other')) > 0) AS named, arg_min(id, (CASE source_type WHEN 'primary_company' THEN 0 WHEN 'primary_regulatory' THEN 1 WHEN 'reporting' THEN 2 ELSE 3 END, CASE WHEN source_domain IN ('reuters.com', 'cnbc.com') THEN 0 ELSE 1 END, published, id)) AS lead, min(published) AS first, bool_or(contains(lower(title), 'rigetti')) AS t, bool_or(own) AS o,
   bool_or(source_type IN ('primary_company', 'primary_regulatory')) AS p, bool_or(source_domain IN ('reuters.com', 'cnbc.com')) AS m, count(DISTINCT lower(source_name)) AS publishers, list_sort(list_distinct(flatten(list(cats)))) AS c0 FROM hc GROUP BY 1),
 ev1 AS (SELECT l.*, h.title, h.cats AS lc, h.company, CASE WHEN len(c0) > 1 THEN list_filter(c0, lambda z: z <> 'Other') ELSE c0 END AS cs, (epoch(TIMESTAMP '{EV_NOW}') - epoch(first)) / 3600 AS age FROM lead1 l JOIN hc h ON h.id = l.lead),
 ev2 AS (SELECT *, list_transform(cs, lambda z: coalesce(map([{', '.join(chr(39) + k + chr(39) for k in R.CATEGORY_WEIGHT)}], [{', '.join(str(float(v)) for v in R.CATEGORY_WEIGHT.values())}])[z], 0.0)::DOUBLE) AS ws FROM ev1),
@@ -166,7 +167,7 @@ def news_category(spark, sf):
     return h.select("id", F.array_join("categories", ",").alias("categories"), T.first_match(F.col("title"), R.GOV_KINDS, "Report").alias("gov_kind"))
 
 
-@query("relevance", _EVT + f" SELECT cluster, lead, CASE WHEN lc[1] <> 'Other' THEN lc[1] ELSE cs[1] END AS category, array_to_string(cs, ',') AS categories, publishers, {r('score','score')}, score >= 5 AND NOT list_contains(cs, 'Ownership filings') AS material, CASE WHEN age <= 24 THEN 'today' WHEN age <= 168 THEN 'week' ELSE 'month' END AS bucket FROM ev")
+@query("relevance", _EVT + f" SELECT cluster, lead, CASE WHEN lc[1] <> 'Other' THEN lc[1] ELSE coalesce(named, 'Other') END AS category, array_to_string(cs, ',') AS categories, publishers, {r('score','score')}, score >= 5 AND NOT list_contains(cs, 'Ownership filings') AS material, CASE WHEN age <= 24 THEN 'today' WHEN age <= 168 THEN 'week' ELSE 'month' END AS bucket FROM ev")
 def relevance(spark, sf):
     return events(spark, sf).select("cluster", "lead", "category", "categories", "publishers", tidy(F.col("score")).alias("score"), "material", "bucket")
 

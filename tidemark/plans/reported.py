@@ -88,13 +88,15 @@ def _annual(spark, sf, tag=None):
 
 
 def _sources(spark, sf):
+    """Two sources of the annual values; each lacks some periods, and every period is in one of them at least."""
     a = _annual(spark, sf)
-    first = a.filter((F.col("entity") + F.year("date")) % 5 != 0)
-    second = a.filter((F.col("entity") + F.year("date")) % 4 != 0).select("entity", F.expr("date_sub(date, cast(entity % 15 as int))").alias("date"), F.round(F.col("value") * (1 + (F.col("entity") % 5 - 2) * 0.02) + 1e-6, 2).alias("value"))
+    n = F.col("entity") + F.year("date")
+    first = a.filter(n % 5 != 0)
+    second = a.filter((n % 4 != 0) | (n % 5 == 0)).select("entity", F.expr("date_sub(date, cast(entity % 15 as int))").alias("date"), F.round(F.col("value") * (1 + (F.col("entity") % 5 - 2) * 0.02) + 1e-6, 2).alias("value"))
     return first, second
 
 
-_MH = _LF + """, s1 AS (SELECT entity, en AS date, val AS value FROM lfs WHERE (entity + year(en)) % 5 <> 0), s2 AS (SELECT entity, en - CAST(entity % 15 AS INTEGER) AS date, round(val * (1 + (entity % 5 - 2) * 0.02) + 1e-6, 2) AS value FROM lfs WHERE (entity + year(en)) % 4 <> 0),
+_MH = _LF + """, s1 AS (SELECT entity, en AS date, val AS value FROM lfs WHERE (entity + year(en)) % 5 <> 0), s2 AS (SELECT entity, en - CAST(entity % 15 AS INTEGER) AS date, round(val * (1 + (entity % 5 - 2) * 0.02) + 1e-6, 2) AS value FROM lfs WHERE (entity + year(en)) % 4 <> 0 OR (entity + year(en)) % 5 = 0),
 mm AS (SELECT s1.entity, s1.date, s1.value, s2.date AS d2, s2.value AS v2 FROM s1 LEFT JOIN s2 ON s2.entity = s1.entity AND abs(s2.date - s1.date) <= 10),
 mg AS (SELECT entity, date, value, 'first' AS source, CASE WHEN abs(value - v2) / greatest(abs(value), abs(v2)) > 0.02 THEN v2 END AS conflict FROM mm UNION ALL SELECT entity, date, value, 'second', NULL FROM s2 WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.entity = s2.entity AND mm.d2 = s2.date)),
 mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rk FROM mg))"""
