@@ -228,24 +228,49 @@ def session_sweeps(bars: DataFrame, step: int, tick: float, sell: bool = True, p
 
 # --- candle events -------------------------------------------------------------------------------------
 
-def displacement(bars: DataFrame, step: int, consecutive: int = 1, atr_mult: float = 1.5, min_body: float = 0.6, close_pct: float = 25, min_points: float = 0) -> DataFrame:
-    """A run of same-coloured candles, large against the ATR before it, closing near its extreme; runs do not overlap."""
+def displacement(bars: DataFrame, step: int, consecutive: int = 1, atr_mult: float = 1.5, min_body: float = 0.6, close_pct: float = 25, min_points: float = 0,
+                 require_gap: bool = False, volume_mult: float = 0, volume_lookback: int = 20) -> DataFrame:
+    """A run of same-coloured candles, large against the ATR before it, closing near its extreme; accepted runs do not overlap.
+
+    With ``volume_mult`` the run's volume must reach that multiple of the mean non-zero volume before it.  With ``require_gap`` one of
+    its candles must be the middle of a price gap.  The gap of the last candle shows only when the next one has closed, so such a run is
+    confirmed then; a run that no gap follows is not accepted and blocks no other.
+    """
     from tidemark.operators.episodes import greedy_spaced
 
     w, k = in_day(), consecutive
     run = w.rowsBetween(-k + 1, 0)
+    x = bars
+    if volume_mult:
+        def before(df, v):
+            f, z = v.rowsBetween(-volume_lookback - k + 1, -k), F.when(F.col("volume") != 0, F.col("volume"))
+            return df.withColumn("_avg", F.when(F.count(z).over(f) >= max(2, volume_lookback // 2), F.avg(z).over(f)))
+
+        x = O.rolling(x, ["symbol"], volume_lookback + k, 0, before)
     clean = ~F.col("suspect") if k == 1 else contiguous(k - 1)
-    x = bars.withColumns({
-        "_hi": F.max("high").over(run), "_lo": F.min("low").over(run), "_o": F.first("open").over(run), "_t": F.first("ts").over(run), "_n": F.count(F.lit(1)).over(run), "_clean": clean,
-        "_up": F.bool_and(F.col("close") > F.col("open")).over(run), "_dn": F.bool_and(F.col("close") < F.col("open")).over(run), "_a": F.first("atr_before").over(run),
+    x = x.withColumns({
+        "_hi": F.max("high").over(run), "_lo": F.min("low").over(run), "_o": F.first("open").over(run), "_t": F.first("ts").over(run), "_n": F.count(F.lit(1)).over(run), "_clean": clean, "_vol": F.sum("volume").over(run),
+        "_up": F.bool_and(F.col("close") > F.col("open")).over(run), "_dn": F.bool_and(F.col("close") < F.col("open")).over(run), "_a": F.first("atr_before").over(run), "_next": F.lead("ts").over(w),
     })
+    if require_gap:
+        around = contiguous(k) & F.coalesce(F.lead("run").over(w) == F.col("run"), F.lit(False)) & ~F.coalesce(F.lead("suspect").over(w), F.lit(True))
+        at = lambda c, back: F.lag(c, back).over(w) if back > 0 else F.col(c) if back == 0 else F.lead(c, -back).over(w)
+        left = lambda back: F.when(F.col("_up"), at("high", back + 1) < at("low", back - 1)).otherwise(at("low", back + 1) > at("high", back - 1))
+        inside = [left(back) for back in range(k - 1, 0, -1)]
+        x = x.withColumns({"_around": around, "_early": F.coalesce(*[F.when(g, True) for g in inside], F.lit(False)) if inside else F.lit(False), "_late": F.coalesce(left(0), F.lit(False))})
     rng = F.col("_hi") - F.col("_lo")
     near = F.when(F.col("_up"), F.col("_hi") - F.col("close")).otherwise(F.col("close") - F.col("_lo"))
     hit = x.filter((F.col("_n") == k) & F.col("_clean") & (F.col("_up") | F.col("_dn")) & F.col("_a").isNotNull() & (rng > 0) & (rng >= atr_mult * F.col("_a")) & (rng >= min_points)
                    & (F.abs(F.col("close") - F.col("_o")) >= min_body * rng) & (near <= close_pct / 100 * rng))
+    if volume_mult:
+        hit = hit.filter(F.col("_vol") >= volume_mult * F.col("_avg") * k)
+    known = F.col("ts")
+    if require_gap:
+        hit = hit.filter(F.col("_around") & (F.col("_early") | F.col("_late")))
+        known = F.when(F.col("_early"), F.col("ts")).otherwise(F.col("_next"))
     if k > 1:
         hit = greedy_spaced(hit, ["symbol", "day"], "bar_no", k)
-    return hit.select(*event("displacement", up_or_down(F.col("_up")), F.col("_t"), close_time(step), F.col("_hi").alias("high"), F.col("_lo").alias("low"), rng.alias("size"), F.col("_a").alias("atr"), F.col("bar_no")))
+    return hit.select(*event("displacement", up_or_down(F.col("_up")), F.col("_t"), known + B.seconds_interval(step), F.col("_hi").alias("high"), F.col("_lo").alias("low"), rng.alias("size"), F.col("_a").alias("atr"), F.col("bar_no")))
 
 
 def with_atr_before(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -254,12 +279,17 @@ def with_atr_before(bars: DataFrame, period: int = 14) -> DataFrame:
     return O.rolling(x, ["symbol"], 1, 0, lambda df, w: df.withColumn("atr_before", F.lag("atr").over(w)))
 
 
-def candle_shape(bars: DataFrame, step: int, min_body: float = 0.6, close_pct: float = 0, engulfing: bool = False) -> DataFrame:
+def candle_shape(bars: DataFrame, step: int, min_body: float = 0.6, close_pct: float = 0, engulfing: bool = False, min_points: float = 0, min_atr: float = 0) -> DataFrame:
+    """Single candles by body, range, place of the close and engulfing; ``min_atr`` needs ``atr_before``."""
     w = in_day()
     x = bars.withColumns({"_po": F.lag("open").over(w), "_pc": F.lag("close").over(w), "_two": contiguous(1)})
     rng = F.col("high") - F.col("low")
     up = F.col("close") > F.col("open")
     ok = ~F.col("suspect") & (F.col("bar_no") > 0) & (rng > 0) & (F.col("close") != F.col("open")) & (F.abs(F.col("close") - F.col("open")) >= min_body * rng)
+    if min_points:
+        ok = ok & (rng >= min_points)
+    if min_atr:
+        ok = ok & (rng >= min_atr * F.col("atr_before"))
     if close_pct:
         ok = ok & (F.when(up, F.col("high") - F.col("close")).otherwise(F.col("close") - F.col("low")) <= close_pct / 100 * rng)
     if engulfing:
@@ -335,8 +365,10 @@ def vwap_cross(bars_with_vwap: DataFrame, step: int) -> DataFrame:
 
 # --- market structure ----------------------------------------------------------------------------------
 
-def structure(bars: DataFrame, sw: DataFrame, step: int, max_age: int = 200, mss_atr: float = 1.0, mss_body: float = 0.5) -> DataFrame:
-    """Breaks of the most recent confirmed, unbroken swing, labelled break / BOS / CHoCH / MSS.
+def structure(bars: DataFrame, sw: DataFrame, step: int, max_age: int = 200, mss_atr: float = 1.0, mss_body: float = 0.5, by: str = "close", kind: str = "any") -> DataFrame:
+    """Breaks of the most recent confirmed, unbroken swing by a close (or, ``by`` wick, a trade) beyond it, labelled break / BOS / CHoCH / MSS.
+
+    ``kind`` keeps bos (with the trend), choch (against it, MSS included) or mss; the trend counts every break.
 
     No sequential state is needed for the breaks.  A swing hidden under a newer, higher one is
     removed together with it and never counts, so each swing's fate is its first close beyond it;
@@ -348,8 +380,8 @@ def structure(bars: DataFrame, sw: DataFrame, step: int, max_age: int = 200, mss
     s = sw.select("symbol", "regime", side.alias("side"), F.col("bar_no").alias("s_no"), "price", "confirmed_at", F.col("occurred_at").alias("swing_at"))
     blk = lambda c: F.floor(c / max_age)
     spread = s.withColumn("_b", F.explode(F.array(blk(F.col("s_no")), blk(F.col("s_no")) + 1)))
-    b = bars.filter(~F.col("suspect")).select("symbol", "regime", blk(F.col("bar_no")).alias("_b"), "bar_no", "ts", "close")
-    past = F.when(F.col("side") == "bullish", F.col("close") > F.col("price")).otherwise(F.col("close") < F.col("price"))
+    b = bars.filter(~F.col("suspect")).select("symbol", "regime", blk(F.col("bar_no")).alias("_b"), "bar_no", "ts", F.col("close" if by == "close" else "high").alias("_up"), F.col("close" if by == "close" else "low").alias("_dn"))
+    past = F.when(F.col("side") == "bullish", F.col("_up") > F.col("price")).otherwise(F.col("_dn") < F.col("price"))
     broken = spread.join(b, ["symbol", "regime", "_b"]).filter(
         (F.col("bar_no") > F.col("s_no")) & (F.col("bar_no") - F.col("s_no") <= max_age) & (F.col("ts") >= F.col("confirmed_at")) & past)
     fate = broken.groupBy("symbol", "regime", "side", "s_no", "price", "confirmed_at", "swing_at").agg(F.min("bar_no").alias("j"), F.min("ts").alias("ts"))
@@ -366,15 +398,18 @@ def structure(bars: DataFrame, sw: DataFrame, step: int, max_age: int = 200, mss
     e = O.carry_last(e.withColumn("_key", F.concat_ws("|", "symbol", "regime")), ["_key"], "day", ["j", "_o"], {"_trend": "side"}, include_current=False)
     rng = F.col("high") - F.col("low")
     disp = F.coalesce((F.col("j") > 0) & (rng > 0) & (rng >= mss_atr * F.col("atr_before")) & (F.abs(F.col("close") - F.col("open")) >= mss_body * rng), F.lit(False))
-    kind = F.when(F.col("_trend").isNull(), "break").when(F.col("_trend") == F.col("side"), "BOS").when(disp, "MSS").otherwise("CHoCH")
-    return e.select(*event("market_structure_break", F.col("side"), F.col("ts"), close_time(step), kind.alias("type"), F.col("s.price").alias("level"), F.col("s.swing_at").alias("swing_at"), disp.alias("displacement"),
+    label = F.when(F.col("_trend").isNull(), "break").when(F.col("_trend") == F.col("side"), "BOS").when(disp, "MSS").otherwise("CHoCH")
+    e = e.withColumn("_kind", label)
+    if kind != "any":
+        e = e.filter(F.col("_kind").isin({"bos": ["BOS"], "choch": ["CHoCH", "MSS"], "mss": ["MSS"]}[kind]))
+    return e.select(*event("market_structure_break", F.col("side"), F.col("ts"), close_time(step), F.col("_kind").alias("type"), F.col("s.price").alias("level"), F.col("s.swing_at").alias("swing_at"), disp.alias("displacement"),
                            F.when(F.col("side") == "bullish", F.col("low")).otherwise(F.col("high")).alias("extreme"), F.col("j").alias("bar_no")))
 
 
 def smt(sw: DataFrame, own: DataFrame, other: DataFrame, step: int, lookback: int = 40, lag: int = 3, min_diff: float = 0.0) -> DataFrame:
     """Two consecutive swings where one market makes a new extreme and the other does not.
 
-    ``other`` is the comparison market keyed by the same symbol column.
+    ``other`` is the comparison market of every symbol, or, with a symbol column, each symbol's own.
     """
     p = O.carry_last(sw.withColumn("_k", F.concat_ws("|", "symbol", "kind")), ["_k"], "day", ["bar_no"], {"prev": F.struct("bar_no", "price", "occurred_at", "regime")}, include_current=False)
     p = p.filter(F.col("prev").isNotNull() & (F.col("bar_no") - F.col("prev.bar_no") <= lookback) & (F.col("regime") == F.col("prev.regime")))
@@ -382,9 +417,10 @@ def smt(sw: DataFrame, own: DataFrame, other: DataFrame, step: int, lookback: in
     ask = p.withColumn("which", F.explode(F.array(F.lit("cur"), F.lit("prev")))).withColumn("_o", off)
     base = F.when(F.col("which") == "cur", F.col("occurred_at")).otherwise(F.col("prev.occurred_at"))
     ask = ask.withColumn("ts", F.timestamp_seconds(F.unix_seconds(base) + F.col("_o") * step))
-    o = other.filter(~F.col("suspect")).select("symbol", "ts", F.col("high").alias("oh"), F.col("low").alias("ol"), F.col("regime").alias("o_reg"))
+    same = ["symbol", "ts"] if "symbol" in other.columns else ["ts"]
+    o = other.filter(~F.col("suspect")).select(*same, F.col("high").alias("oh"), F.col("low").alias("ol"), F.col("regime").alias("o_reg"))
     low = F.col("kind") == "swingl"
-    g = ask.join(o, ["symbol", "ts"]).groupBy("symbol", "kind", "price", "occurred_at", "confirmed_at", "bar_no", "day", "prev", "which").agg(
+    g = ask.join(o, same).groupBy("symbol", "kind", "price", "occurred_at", "confirmed_at", "bar_no", "day", "prev", "which").agg(
         F.count(F.lit(1)).alias("n"), F.min("ol").alias("lo"), F.max("oh").alias("hi"), F.max(F.when(F.col("_o") == 0, F.col("o_reg"))).alias("o_reg")).filter(F.col("n") == 2 * lag + 1)
     g = g.withColumn("x", F.when(low, F.col("lo")).otherwise(F.col("hi")))
     e = g.groupBy("symbol", "kind", "price", "occurred_at", "confirmed_at", "bar_no", "day", "prev").agg(
@@ -400,10 +436,3 @@ def union_events(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
-
-
-# Detectors by concept name; add more with ``DETECTORS[name] = fn``.
-DETECTORS = {
-    "fvg": fvg, "displacement": displacement, "candle": candle_shape, "directional_move": directional_move, "volume_spike": volume_spike, "volatility_expansion": vol_expansion,
-    "opening_range": opening_range_breakout, "vwap": vwap_cross, "market_structure_break": structure, "sweep": sweeps, "session_sweep": session_sweeps, "smt_divergence": smt,
-}

@@ -3,7 +3,7 @@
 import importlib
 import os
 
-_MODULES = ("research", "daily", "risk", "intraday", "patterns", "matching", "holdings", "reported", "corpus", "newsroom", "streams")
+_MODULES = ("research", "daily", "risk", "intraday", "patterns", "defined", "matching", "holdings", "reported", "corpus", "newsroom", "streams")
 
 
 def load():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.maths import tidy
 from tidemark.operators import bars as B
+from tidemark.operators import definitions as DEF
 from tidemark.operators import detectors as D
 from tidemark.operators import ordered as O
 from tidemark.plans import views as V
@@ -15,8 +16,12 @@ from tidemark.plans.registry import query, r
 TICK = 0.01
 
 
-def _atr(spark, sf):
-    return D.with_atr_before(V.bars1h(spark, sf))
+def market(spark, sf, **more):
+    return DEF.Market(V.bars1h(spark, sf), STEP, TICK, **more)
+
+
+def _events(spark, sf, concept, **params):
+    return DEF.events(market(spark, sf), concept, params)
 
 
 def _out(df, *extra, tidied=()):
@@ -52,7 +57,7 @@ def fvg_create(spark, sf):
 fvg AS (SELECT *, CASE WHEN h1 < low THEN 'bullish' ELSE 'bearish' END AS dir, CASE WHEN h1 < low THEN low - h1 ELSE l1 - high END AS size FROM g3 WHERE epoch(ts) - epoch(t1) = 7200 AND (h1 < low OR l1 > high) AND NOT dirty)
 SELECT {_ev('dir', 't1', 'ts')}, {r('size','size')} FROM fvg WHERE size >= 0.3 * a2 AND rng > 0 AND body / rng >= 0.6 AND rng >= 0.8 * a1""")
 def fvg_displaced(spark, sf):
-    return _out(D.fvg(_atr(spark, sf), STEP, min_gap=0.3, unit="ATR", displacement=0.8), tidied=["size"])
+    return _out(_events(spark, sf, "fvg", min_gap=0.3, min_gap_unit="ATR", require_displacement=True, displacement_atr=0.8), tidied=["size"])
 
 
 _LIFE = f"""{_FVG}, pj AS (SELECT f.symbol, f.bar_no, f.dir = 'bullish' AS bull, f.top, f.bottom, (f.top + f.bottom) / 2 AS mid, f.day, f.regime, b.bar_no - f.bar_no AS k, b.ts, b.day AS bd, b.regime AS br, b.suspect, b.high, b.low, b.close
@@ -137,7 +142,7 @@ def all_levels(spark, sf):
 
 
 def sweep_events(spark, sf):
-    return D.sweeps(all_levels(spark, sf), V.bars1h(spark, sf), STEP, TICK)
+    return DEF.events(market(spark, sf, levels=all_levels(spark, sf)), "liquidity_sweep")
 
 
 @query("sweeps", V.sql("dlev", "hours", "dayb", "bars1h") + f", {_SWEEP} SELECT {_ev(_SELL_DIR, 'o', 'e')}, kind AS level_kind, price AS level_price, ex AS extreme, round_even(abs(ex - price) / 0.01, 0) AS penetration FROM fin")
@@ -150,7 +155,7 @@ def sweeps(spark, sf):
 s1 AS (SELECT *, CASE WHEN cs[1] > lvl THEN 1 WHEN cs[2] > lvl AND NOT ss[2] THEN 2 WHEN cs[3] > lvl AND NOT ss[2] AND NOT ss[3] THEN 3 END AS k FROM s0 WHERE n >= 6 AND NOT suspect AND low <= lvl - 0.02)
 SELECT {_ev("'bullish'", 'ts', 'tss[k]')}, lvl AS level_price, list_min(ls[1:k]) AS extreme FROM s1 WHERE k IS NOT NULL""")
 def session_sweeps(spark, sf):
-    return _out(D.session_sweeps(V.bars1h(spark, sf), STEP, TICK, warmup=6), "level_price", "extreme")
+    return _out(_events(spark, sf, "session_sweep", warmup=6), "level_price", "extreme")
 
 
 _AB = "ab AS (SELECT *, lag(atr) OVER (PARTITION BY symbol ORDER BY ts) AS a1 FROM tr)"
@@ -159,7 +164,7 @@ _DISP = f"""{_AB}, dp AS (SELECT *, high - low AS rng FROM ab WHERE NOT suspect
 
 
 def displacements(spark, sf):
-    return D.displacement(_atr(spark, sf), STEP)
+    return _events(spark, sf, "displacement")
 
 
 @query("displacement", V.sql("tr") + f", {_DISP} SELECT {_ev(_UPDN, 'ts', 'ts')}, {r('rng','size')}, {r('a1','atr')} FROM dp")
@@ -167,17 +172,36 @@ def displacement(spark, sf):
     return _out(displacements(spark, sf), tidied=["size", "atr"])
 
 
-@query("displacement_runs")
+def _runs_sql(size: float, body: float, near: float, more: str = "true", late: str = "false") -> str:
+    """Two-candle displacements taken left to right; ``late`` tells which are confirmed one candle later."""
+    return f"""{_AB}, w2 AS (SELECT *, lag(ts) OVER d AS t0, lead(ts) OVER d AS tn, greatest(high, lag(high) OVER d) AS hi, least(low, lag(low) OVER d) AS lo, lag(open) OVER d AS o0, lag(close) OVER d AS c0, lag(a1) OVER d AS aa, lag(high) OVER d AS hp, lag(low) OVER d AS lp, lag(high, 2) OVER d AS h2, lag(low, 2) OVER d AS l2,
+  lead(low) OVER d AS ln, lead(high) OVER d AS hn, volume + lag(volume) OVER d AS vol, NOT suspect AND coalesce(lag(run) OVER d = run, false) AND NOT coalesce(lag(suspect) OVER d, false) AS two,
+  NOT suspect AND coalesce(lag(run, 2) OVER d = run, false) AND NOT coalesce(lag(suspect, 2) OVER d, false) AND coalesce(lead(run) OVER d = run, false) AND NOT coalesce(lead(suspect) OVER d, true) AS wide,
+  CASE WHEN count(nullif(volume, 0)) OVER v >= 5 THEN avg(nullif(volume, 0)) OVER v END AS va FROM ab WINDOW d AS (PARTITION BY symbol, day ORDER BY ts), v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING)),
+w3 AS (SELECT *, close > open AS up, hi - lo AS rng, CASE WHEN close > open THEN h2 < low ELSE l2 > high END AS early, CASE WHEN close > open THEN hp < ln ELSE lp > hn END AS late FROM w2 WHERE two AND ((close > open AND c0 > o0) OR (close < open AND c0 < o0))),
+w4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY bar_no) AS rn FROM w3 WHERE aa IS NOT NULL AND rng > 0 AND rng >= {size} * aa AND abs(close - o0) >= {body} * rng AND CASE WHEN up THEN hi - close ELSE close - lo END <= {near} * rng AND {more}),
+gr AS (SELECT symbol, day, rn, bar_no AS last, true AS took FROM w4 WHERE rn = 1 UNION ALL SELECT c.symbol, c.day, c.rn, CASE WHEN c.bar_no - g.last >= 2 THEN c.bar_no ELSE g.last END, c.bar_no - g.last >= 2 FROM gr g JOIN w4 c ON c.symbol = g.symbol AND c.day = g.day AND c.rn = g.rn + 1),
+dr AS (SELECT w4.*, CASE WHEN {late} THEN tn ELSE ts END AS known FROM w4 JOIN gr USING (symbol, day, rn) WHERE took)
+SELECT {_ev(_UPDN, 't0', 'known')}, {r('rng','size')}, {r('aa','atr')} FROM dr"""
+
+
+@query("displacement_runs", V.sql("tr") + ", " + _runs_sql(1.2, 0.5, 0.4))
 def displacement_runs(spark, sf):
-    """Two-candle displacements, not overlapping (greedy, so only a row check here; pinned in the tests)."""
-    return _out(D.displacement(_atr(spark, sf), STEP, consecutive=2, atr_mult=1.2, min_body=0.5, close_pct=40), tidied=["size", "atr"])
+    """Two-candle displacements, not overlapping."""
+    return _out(_events(spark, sf, "displacement", consecutive=2, atr_mult=1.2, min_body_ratio=0.5, close_pct=40), tidied=["size", "atr"])
+
+
+@query("displacement_gap", V.sql("tr") + ", " + _runs_sql(0.8, 0.4, 0.5, "wide AND (coalesce(early, false) OR coalesce(late, false)) AND vol >= 0.8 * va * 2", "NOT coalesce(early, false)"))
+def displacement_gap(spark, sf):
+    """Runs that leave a price gap and have volume; known one candle later where the gap is behind the last candle."""
+    return _out(_events(spark, sf, "displacement", consecutive=2, atr_mult=0.8, min_body_ratio=0.4, close_pct=50, require_fvg=True, volume_mult=0.8, volume_lookback=10), tidied=["size", "atr"])
 
 
 @query("candle_shape", V.sql("bars1h") + f""", c AS (SELECT *, lag(open) OVER d AS po, lag(close) OVER d AS pc, NOT suspect AND coalesce(lag(run) OVER d = run, false) AND NOT coalesce(lag(suspect) OVER d, false) AS two FROM bars1h WINDOW d AS (PARTITION BY symbol, day ORDER BY ts))
 SELECT {_ev(_UPDN, 'ts', 'ts')}, CASE WHEN close > open THEN low ELSE high END AS extreme FROM c WHERE NOT suspect AND bar_no > 0 AND high > low AND close <> open AND abs(close - open) >= 0.6 * (high - low) AND two
   AND least(open, close) <= least(po, pc) AND greatest(open, close) >= greatest(po, pc) AND (pc - po) * (close - open) < 0""")
 def candle_shape(spark, sf):
-    return _out(D.candle_shape(V.bars1h(spark, sf), STEP, engulfing=True), "extreme")
+    return _out(_events(spark, sf, "candle", min_body_ratio=0.6, engulfing=True), "extreme")
 
 
 @query("directional_move", V.sql("tr") + f""", m AS (SELECT *, close - lag(close, 6) OVER d AS mv, lag(atr, 6) OVER d AS a, NOT suspect AND coalesce(lag(run, 6) OVER d = run, false) AND NOT coalesce(lag(suspect, 6) OVER d, false) AS cg, lag(ts, 5) OVER d AS t0,
@@ -186,7 +210,7 @@ f AS (SELECT *, coalesce(cg AND a IS NOT NULL AND mv >= greatest(0, 2 * a), fals
 e AS (SELECT *, u AND NOT coalesce(lag(u) OVER d, false) AS nu, dn AND NOT coalesce(lag(dn) OVER d, false) AS nd FROM f WINDOW d AS (PARTITION BY symbol, day ORDER BY ts))
 SELECT {_ev("CASE WHEN nu THEN 'bullish' ELSE 'bearish' END", 't0', 'ts')}, {r('mv','move')}, {r('CASE WHEN nu THEN mlo ELSE mhi END','extreme')} FROM e WHERE nu OR nd""")
 def directional_move(spark, sf):
-    return _out(D.directional_move(_atr(spark, sf), STEP), tidied=["move", "extreme"])
+    return _out(_events(spark, sf, "directional_move"), tidied=["move", "extreme"])
 
 
 @query("volume_spike", V.sql("bars1h") + f""", v AS (SELECT *, avg(nullif(volume, 0)) OVER p AS a, count(nullif(volume, 0)) OVER p AS c FROM bars1h WINDOW p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
@@ -194,8 +218,8 @@ k AS (SELECT *, avg(volume) OVER p AS a, count(*) OVER p AS c FROM (SELECT *, st
 SELECT 'trailing' AS mode, {_ev(_UPDN, 'ts', 'ts')}, {r('volume / a','ratio')} FROM v WHERE NOT suspect AND c >= 10 AND volume >= 2 * a AND close <> open
 UNION ALL SELECT 'same time', {_ev(_UPDN, 'ts', 'ts')}, {r('volume / a','ratio')} FROM k WHERE NOT suspect AND c >= 3 AND volume >= 2 * a AND close <> open""")
 def volume_spike(spark, sf):
-    b = V.bars1h(spark, sf)
-    x = D.volume_spike(b, STEP).withColumn("mode", F.lit("trailing")).unionByName(D.volume_spike(b, STEP, same_time=True).withColumn("mode", F.lit("same time")))
+    m = market(spark, sf)
+    x = DEF.events(m, "volume_spike").withColumn("mode", F.lit("trailing")).unionByName(DEF.events(m, "volume_spike", {"same_time": True}).withColumn("mode", F.lit("same time")))
     return _out(x, "mode", tidied=["ratio"])
 
 
@@ -204,7 +228,8 @@ rc AS (SELECT *, fa >= 1.5 * sl AS now FROM rt WHERE fa IS NOT NULL AND sl IS NO
 SELECT 'range' AS mode, {_ev(_UPDN, 'ts', 'ts')}, {r('(high - low) / a1','ratio')} FROM ab WHERE NOT suspect AND a1 IS NOT NULL AND close <> open AND high - low >= 1.5 * a1
 UNION ALL SELECT 'ratio', {_ev('NULL', 'ts', 'ts')}, {r('fa / sl','ratio')} FROM rp WHERE now AND NOT coalesce(was, false)""")
 def vol_expansion(spark, sf):
-    x = D.vol_expansion(_atr(spark, sf), STEP).withColumn("mode", F.lit("range")).unionByName(D.atr_ratio_expansion(V.bars1h(spark, sf), STEP).withColumn("mode", F.lit("ratio")))
+    m = market(spark, sf)
+    x = DEF.events(m, "volatility_expansion").withColumn("mode", F.lit("range")).unionByName(DEF.events(m, "volatility_expansion", {"mode": "atr_ratio"}).withColumn("mode", F.lit("ratio")))
     return _out(x, "mode", tidied=["ratio"])
 
 
@@ -212,14 +237,13 @@ def vol_expansion(spark, sf):
   WHERE b.ts + INTERVAL 1 HOUR > af AND b.ts + INTERVAL 1 HOUR <= vu AND NOT suspect AND (close > o.high OR close < o.low))
 SELECT {_ev("CASE WHEN close > rh THEN 'bullish' ELSE 'bearish' END", 'ts', 'ts')}, CASE WHEN close > rh THEN rh ELSE rl END AS level FROM ob WHERE rn = 1""")
 def orb(spark, sf):
-    b = V.bars1h(spark, sf)
-    return _out(D.opening_range_breakout(B.opening_ranges(b, STEP, 120), b, STEP), "level")
+    return _out(_events(spark, sf, "opening_range", minutes=120), "level")
 
 
 @query("vwap_cross", V.sql("bars1h") + f""", {_VW}, sd AS (SELECT *, CASE WHEN gl IS NOT NULL AND NOT suspect THEN close > gl END AS s FROM vg), pv AS (SELECT *, lag(s) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM sd)
 SELECT {_ev("CASE WHEN s THEN 'bullish' ELSE 'bearish' END", 'ts', 'ts')}, {r('gl','level')} FROM pv WHERE s <> p""")
 def vwap_cross(spark, sf):
-    return _out(D.vwap_cross(B.session_vwap(V.bars1h(spark, sf)), STEP), tidied=["level"])
+    return _out(_events(spark, sf, "vwap", anchor="globex"), tidied=["level"])
 
 
 _STRUCT = f"""{_AB}, {_SW}, sd AS (SELECT *, kind = 'swingh' AS up FROM swg),
@@ -233,7 +257,7 @@ ms AS (SELECT *, CASE WHEN up THEN 'bullish' ELSE 'bearish' END AS dir, CASE WHE
 
 
 def structure_events(spark, sf):
-    return D.structure(_atr(spark, sf), swing_points(spark, sf), STEP)
+    return _events(spark, sf, "market_structure_break")
 
 
 @query("structure", V.sql("tr", "bars1h") + f", {_STRUCT} SELECT {_ev('dir', 'ts', 'ts')}, type, price AS level, CAST(epoch(st) AS BIGINT) AS swing_at, dsp AS displacement FROM ms")
@@ -241,6 +265,12 @@ def structure(spark, sf):
     return _out(structure_events(spark, sf), "type", "level", F.unix_seconds("swing_at").alias("swing_at"), "displacement")
 
 
+@query("structure_wick", V.sql("tr", "bars1h") + ", " + _STRUCT.replace("b.close > s.price ELSE b.close < s.price", "b.high > s.price ELSE b.low < s.price") + f" SELECT {_ev('dir', 'ts', 'ts')}, type, price AS level FROM ms WHERE type IN ('CHoCH', 'MSS')")
+def structure_wick(spark, sf):
+    """Trades beyond a swing against the trend."""
+    return _out(_events(spark, sf, "market_structure_break", by="wick", type="choch"), "type", "level")
+
+
 @query("smt", V.sql("bars1h") + f""", {_SW}, ob AS (SELECT * FROM bars1h WHERE symbol = 'view'), pr AS (SELECT *, lag(bar_no) OVER w AS pn, lag(price) OVER w AS pp, lag(ts) OVER w AS pt, lag(regime) OVER w AS prg FROM swg WHERE symbol <> 'view' WINDOW w AS (PARTITION BY symbol, kind ORDER BY bar_no)),
 wx AS (SELECT p.*, (SELECT CASE WHEN count(*) = 3 AND NOT bool_or(suspect) THEN struct_pack(lo := min(low), hi := max(high)) END FROM ob WHERE ob.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts + INTERVAL 1 HOUR) AS cw,
   (SELECT CASE WHEN count(*) = 3 AND NOT bool_or(suspect) THEN struct_pack(lo := min(low), hi := max(high)) END FROM ob WHERE ob.ts BETWEEN p.pt - INTERVAL 1 HOUR AND p.pt + INTERVAL 1 HOUR) AS pw,
@@ -250,10 +280,8 @@ SELECT symbol, CASE WHEN kind = 'swingl' THEN 'bullish' ELSE 'bearish' END AS di
   price AS extreme, {r('da','own_change')}, {r('db','other_change')} FROM df WHERE (da > 0) <> (db > 0) AND abs(da) >= 0.02 AND abs(db) >= 0.02""")
 def smt(spark, sf):
     b = V.bars1h(spark, sf)
-    own = b.filter("symbol <> 'view'")
-    # The comparison market is one symbol; its candles are keyed by every market compared with it.
-    other = b.filter("symbol = 'view'").drop("symbol").crossJoin(own.select("symbol").distinct())
-    return _out(D.smt(swing_points(spark, sf).filter("symbol <> 'view'"), own, other, STEP, lag=1, min_diff=0.02), "extreme", tidied=["own_change", "other_change"])
+    m = DEF.Market(b.filter("symbol <> 'view'"), STEP, TICK, other=b.filter("symbol = 'view'").drop("symbol"))  # compared with one market
+    return _out(DEF.events(m, "smt_divergence", {"max_lag_bars": 1, "min_difference": 0.02}), "extreme", tidied=["own_change", "other_change"])
 
 
 @query("union_events", V.sql("tr", "bars1h") + f""", {_FVG}, {_DISP} SELECT 'fvg' AS concept, {_ev('dir', 't1', 'ts')} FROM fvg UNION ALL SELECT 'displacement', {_ev(_UPDN, 'ts', 'ts')} FROM dp""")
