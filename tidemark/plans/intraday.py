@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.maths import tidy
 from tidemark.operators import bars as B
+from tidemark.operators import composite as K
 from tidemark.operators import intraday_quality as Q
 from tidemark.operators import ordered as O
 from tidemark.plans import views as V
@@ -377,34 +377,60 @@ def volume_roll(spark, sf):
     return Q.volume_roll(V.contract_volumes(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
-def _daily_source(spark, sf):
-    filled, ident = _filled(spark, sf)
-    d = filled.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("bars"), F.count_if("filled").alias("filled"))
-    d = d.join(ident.select("symbol", "day", "same_contract"), ["symbol", "day"])
-    contract = F.concat(F.lit("C"), F.floor((F.dayofyear("day") - 1) / 10).cast("string"))
-    return d.select("symbol", "day", contract.alias("contract"), F.when(F.col("filled") > 0, "both").otherwise("one").alias("source"), "bars", "filled", F.col("same_contract").cast("long").alias("verified"))
+def _composite(spark, sf):
+    """Assembled once a session: candles and days are stored like an archive."""
+    made = []
+
+    def part(name):
+        def build(spark, sf):
+            if not made:
+                feeds = [V.stored(f"feed_{i}", spark, sf, lambda spark, sf, i=i: V.contract_feeds(spark, sf)[i]) for i in range(3)]
+                made.append(K.assemble(*feeds, minimum=10))
+            return getattr(made[0], name)
+
+        return V.stored(f"composite_{name}", spark, sf, build)
+
+    return K.Composite(part("candles"), part("days"))
+
+
+_MADE = """, lb AS (SELECT c.root, c.ts, list(k.rank) AS ranks FROM k_cont c JOIN k_contracts k USING (root, ts) WHERE abs(c.close - k.close) < 1e-6 GROUP BY 1, 2),
+ci AS (SELECT c.*, lb.ranks, count(*) FILTER (lb.ranks IS NULL) OVER (PARTITION BY c.root, c.day) AS un, count(*) OVER (PARTITION BY c.root, c.day) AS nc FROM k_cont c LEFT JOIN lb USING (root, ts)),
+cn AS (SELECT *, ranks IS NULL AND un < (1 - 0.9::DOUBLE) * nc AND un < nc AS noise FROM ci),
+vk AS (SELECT root, day, rank, sum(volume) AS volume FROM k_contracts GROUP BY 1, 2, 3 UNION ALL SELECT root, day, -1, sum(volume) FROM cn WHERE ranks IS NULL AND NOT noise GROUP BY 1, 2),
+dk AS (SELECT root, day, list({'v': volume, 'k': rank} ORDER BY volume DESC, rank DESC) AS cs, row_number() OVER (PARTITION BY root ORDER BY day) AS n FROM vk GROUP BY 1, 2),
+us AS (SELECT root, n, day, cs[1].k AS cur, CAST(NULL AS BIGINT) AS was FROM dk WHERE n = 1 UNION ALL
+  SELECT s.root, d.n, d.day, coalesce(list_filter(d.cs, lambda c: c.k > s.cur AND c.v > coalesce(list_filter(d.cs, lambda z: z.k = s.cur)[1].v, 0))[1].k, s.cur), s.cur FROM us s JOIN dk d ON d.root = s.root AND d.n = s.n + 1),
+ch AS (SELECT k.root, k.ts, k.day, cur, contract, 'contract:' || contract AS source, open, high, low, close FROM k_contracts k JOIN us ON us.root = k.root AND us.day = k.day AND us.cur = k.rank
+  UNION ALL SELECT c.root, c.ts, c.day, -1, NULL, 'continuous', open, high, low, close FROM cn c JOIN us ON us.root = c.root AND us.day = c.day AND us.cur = -1 WHERE ranks IS NULL AND NOT noise),
+sh AS (SELECT c.root, c.day, max(c.contract) AS contract, max(cur) AS cur, count(s.close) AS common, count(*) FILTER (abs(c.close - s.close) < 1e-6) AS equal FROM ch c LEFT JOIN k_sample s USING (root, ts) GROUP BY 1, 2),
+dy AS (SELECT *, CASE WHEN common < 10 THEN 'unknown' WHEN equal / common >= 0.9 THEN 'same' ELSE 'another' END AS sample FROM sh),
+cd AS (SELECT c.root, c.ts, c.day, c.contract, c.source, c.close, CASE WHEN c.cur <> -1 AND (abs(c.close - n.close) > 1 OR abs(c.high - n.high) > 2 OR abs(c.low - n.low) > 2) THEN 'continuous'
+    WHEN sample = 'same' AND (abs(c.close - s.close) > 1 OR abs(c.high - s.high) > 2 OR abs(c.low - s.low) > 2) THEN 'sample' END AS disagrees
+  FROM ch c JOIN dy USING (root, day) LEFT JOIN (SELECT * FROM cn WHERE noise) n ON n.root = c.root AND n.ts = c.ts LEFT JOIN k_sample s ON s.root = c.root AND s.ts = c.ts
+  UNION ALL SELECT s.root, s.ts, s.day, dy.contract, 'sample', s.close, NULL FROM k_sample s JOIN dy ON dy.root = s.root AND dy.day = s.day AND sample = 'same' WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.root = s.root AND ch.ts = s.ts)),
+vf AS (SELECT DISTINCT c.root, c.day FROM cn c JOIN us ON us.root = c.root AND us.day = c.day WHERE list_contains(ranks, cur)),
+dd AS (SELECT d.root, d.day, d.cur, d.contract, CASE WHEN d.cur = -1 THEN 'continuous' ELSE 'contract:' || d.contract END AS source, (SELECT count(*) FROM cd WHERE cd.root = d.root AND cd.day = d.day) AS bars, (SELECT count(*) FROM cd WHERE cd.root = d.root AND cd.day = d.day AND cd.source = 'sample') AS filled,
+  (vf.root IS NOT NULL AND d.cur <> -1) OR sample = 'same' AS verified FROM dy d LEFT JOIN vf ON vf.root = d.root AND vf.day = d.day)"""
+_COMPOSITE = V.sql("k_every", "k_contracts", "k_cont", "k_sample") + _MADE
+
+
+@query("composite", _COMPOSITE + f" SELECT root, {_e('ts')}, CAST(day AS VARCHAR) AS day, contract, source, close, disagrees FROM cd")
+def composite(spark, sf):
+    """The assembled series: each candle with its contract, its source and who disagrees."""
+    return _composite(spark, sf).candles.select("root", _ep("ts"), F.col("day").cast("string").alias("day"), "contract", "source", "close", "disagrees")
 
 
-_SEG = f"""{_FILL}, ds AS (SELECT f.symbol, f.day, 'C' || CAST((dayofyear(f.day) - 1) // 10 AS VARCHAR) AS contract, CASE WHEN count(*) FILTER (filled) > 0 THEN 'both' ELSE 'one' END AS source, count(*) AS bars, count(*) FILTER (filled) AS filled,
-  CASE WHEN any_value(same) THEN 1 ELSE 0 END AS verified FROM fl f JOIN idn USING (symbol, day) GROUP BY f.symbol, f.day),
-sb AS (SELECT *, CASE WHEN lag(contract || '|' || source) OVER (PARTITION BY symbol ORDER BY day) = contract || '|' || source THEN 0 ELSE 1 END AS nw FROM ds), sg AS (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY day) AS s FROM sb)"""
+@query("composite_rolls", _COMPOSITE + """, rl AS (SELECT us.root, us.day, us.cur, was FROM us JOIN dd ON dd.root = us.root AND dd.day = us.day WHERE us.cur <> was)
+SELECT r.root, CAST(r.day AS VARCHAR) AS day, CASE WHEN was <> -1 THEN 'K' || was END AS from_contract, 'K' || cur AS contract, n.volume, coalesce(o.volume, 0) AS from_volume
+FROM rl r JOIN vk n ON n.root = r.root AND n.day = r.day AND n.rank = cur LEFT JOIN vk o ON o.root = r.root AND o.day = r.day AND o.rank = was""")
+def composite_rolls(spark, sf):
+    return _composite(spark, sf).rolls.withColumn("day", F.col("day").cast("string"))
 
 
-@query("segments", V.sql("bars1h", "other_feed") + f""", {_SEG} SELECT symbol, contract, source, CAST(min(day) AS VARCHAR) AS from_day, CAST(max(day) AS VARCHAR) AS to_day, CAST(sum(bars) AS BIGINT) AS bars, CAST(sum(filled) AS BIGINT) AS filled,
-  CAST(sum(verified) AS BIGINT) AS verified_days FROM sg GROUP BY symbol, s, contract, source""")
+@query("segments", _COMPOSITE + """, sb AS (SELECT *, CASE WHEN lag(source) OVER (PARTITION BY root ORDER BY day) = source THEN 0 ELSE 1 END AS nw FROM dd), sg AS (SELECT *, sum(nw) OVER (PARTITION BY root ORDER BY day) AS s FROM sb)
+SELECT root, contract, source, CAST(min(day) AS VARCHAR) AS from_day, CAST(max(day) AS VARCHAR) AS to_day, CAST(sum(bars) AS BIGINT) AS bars, CAST(sum(filled) AS BIGINT) AS filled, count(*) FILTER (verified) AS verified_days FROM sg GROUP BY root, s, contract, source""")
 def segments(spark, sf):
-    return Q.segments(_daily_source(spark, sf)).withColumns({c: F.col(c).cast("string") for c in ("from_day", "to_day")})
-
-
-@query("composite", V.sql("bars1h", "other_feed") + f""", {_FILL} SELECT f.symbol, CAST(f.day AS VARCHAR) AS day, count(*) AS bars, count(*) FILTER (filled) AS filled, count(*) FILTER (NOT filled AND (abs(f.close - b.close) > 0.05)) AS disagree
-  FROM fl f LEFT JOIN bars1h b ON b.symbol = f.symbol AND b.ts = f.ts GROUP BY 1, 2""")
-def composite(spark, sf):
-    """Identify, fill and mark disagreements of a two-feed series, day by day."""
-    filled, _ = _filled(spark, sf)
-    full = V.bars1h(spark, sf).select("symbol", "ts", F.col("close").alias("o_close"))
-    x = filled.join(full, ["symbol", "ts"], "left")
-    return x.groupBy("symbol", F.col("day").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("bars"), F.count_if("filled").alias("filled"), F.count_if(~F.col("filled") & (F.abs(F.col("close") - F.col("o_close")) > 0.05)).alias("disagree"))
+    return _composite(spark, sf).segments.withColumns({c: F.col(c).cast("string") for c in ("from_day", "to_day")})
 
 
 @query("inspect_counts", V.sql("bars1h", "hours") + f""", {_ABN}, p AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol, day ORDER BY ts) AS pt FROM bars1h),

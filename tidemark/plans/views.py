@@ -206,6 +206,22 @@ def contract_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("root"), "day", rank.alias("rank")).agg(F.count(F.lit(1)).alias("volume"))
 
 
+def contract_feeds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(continuous, contracts, sample): candles of each contract with some hours missing, of the front one under no label (an expired one in the first days), and of an independent vendor."""
+    t = ticks(spark, sf).withColumn("rank", F.floor((F.dayofyear("ts") + F.col("event_id") % 15) / 12).cast("long"))
+    by_rank = B.bars_from_ticks(t.withColumns({"symbol": F.concat_ws("|", "symbol", "rank"), "price": F.col("price") + 3 * F.col("rank")}), 3600)
+    every = by_rank.withColumns({"root": F.substring_index("symbol", "|", 1), "rank": F.substring_index("symbol", "|", -1).cast("long"), "day": cal.trading_day(F.col("ts")), "h": (F.unix_seconds("ts") / 3600).cast("long"), "d": F.dayofyear("ts")})
+    every = every.withColumn("contract", F.concat(F.lit("K"), F.col("rank").cast("string")))
+    old = B.bars_from_ticks(ticks(spark, sf).filter(F.dayofyear("ts") <= 5).withColumn("price", F.col("price") - 5), 3600)
+    columns = ["root", "ts", "day", "open", "high", "low", "close", "volume"]
+    front = every.filter(F.col("rank") == F.floor((F.col("d") + 7) / 12))
+    continuous = front.filter("d > 5").withColumn("close", F.col("close") + F.when(F.col("h") % 37 == 0, 2.0).otherwise(0.0)).select(*columns)
+    continuous = continuous.unionByName(old.select(F.col("symbol").alias("root"), "ts", cal.trading_day(F.col("ts")).alias("day"), "open", "high", "low", "close", "volume"))
+    off = F.when(F.col("h") % 41 == 0, 3.0).otherwise(0.0)
+    sample = front.filter("d between 8 and 25").withColumns({"close": F.col("close") + off, "high": F.col("high") + off}).select(*columns)
+    return continuous, every.filter("h % 29 <> 0").select(*columns, "contract", "rank"), sample
+
+
 def _bars_sql(where: str) -> str:
     return f"""SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, max(event_id) AS arrival FROM ticks {where} GROUP BY 1, 2"""
@@ -224,6 +240,17 @@ def roll_weekend(d: str) -> str:
     return f"({d} + CASE dayofweek({d}) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END)"
 
 
+_ET_DAY = roll_weekend("(CAST(et AS DATE) + CASE WHEN hour(et) >= 18 THEN 1 ELSE 0 END)")
+_DEPS["k_every"] = ("ticks",)
+_SQL["k_every"] = f"""SELECT *, {_ET_DAY} AS day, CAST(epoch(ts) AS BIGINT) // 3600 AS h, dayofyear(ts) AS d FROM (SELECT *, {_ET.format('ts')} AS et FROM (SELECT symbol AS root, rank, 'K' || rank AS contract, time_bucket(INTERVAL '1 hour', ts) AS ts,
+  arg_min(p, (ts, event_id)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM (SELECT *, price + 3 * rank AS p FROM (SELECT *, CAST(floor((dayofyear(ts) + event_id % 15) / 12) AS BIGINT) AS rank FROM ticks)) GROUP BY 1, 2, 3, 4))"""
+_DEPS["k_contracts"] = ("k_every",)
+_SQL["k_contracts"] = "SELECT root, ts, day, open, high, low, close, volume, contract, rank FROM k_every WHERE h % 29 <> 0"
+_DEPS["k_cont"] = ("k_every",)
+_SQL["k_cont"] = f"""SELECT root, ts, day, open, high, low, close + CASE WHEN h % 37 = 0 THEN 2.0 ELSE 0.0 END AS close, volume FROM k_every WHERE rank = floor((d + 7) / 12) AND d > 5
+  UNION ALL SELECT symbol, ts, {_ET_DAY}, open - 5, high - 5, low - 5, close - 5, volume FROM (SELECT *, {_ET.format('ts')} AS et FROM ({_bars_sql('WHERE dayofyear(ts) <= 5')}))"""
+_DEPS["k_sample"] = ("k_every",)
+_SQL["k_sample"] = "SELECT root, ts, day, open, high + CASE WHEN h % 41 = 0 THEN 3.0 ELSE 0.0 END AS high, low, close + CASE WHEN h % 41 = 0 THEN 3.0 ELSE 0.0 END AS close, volume FROM k_every WHERE rank = floor((d + 7) / 12) AND d BETWEEN 8 AND 25"
 _DEPS["feed"] = ("ticks",)
 _SQL["feed"] = f"SELECT *, 0 AS copy FROM ({_bars_sql('')}) UNION ALL SELECT symbol, ts, open, high, low, close, volume, arrival + 40, 1 FROM ({_bars_sql('WHERE event_id % 7 = 0')})"
 _DEPS["other_raw"] = ("ticks",)
