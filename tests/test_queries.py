@@ -30,27 +30,6 @@ def test_against_sql(spark, sf, name):
     assert table_rows(df.columns, [tuple(x) for x in df.collect()]) == table_rows([d[0] for d in cur.description], cur.fetchall())
 
 
-def test_stream_gaps_equal_batch(spark, sf):
-    """Created and entered marks of the stream on clean candles equal the batch detector's."""
-    from tidemark.operators import detectors as D
-    from tidemark.plans import views as V
-    from tidemark.streaming import streams as S
-    from tidemark.session import checkpoint_dir
-    import os
-
-    bars = V.bars1h(spark, sf).withColumn("suspect", F.lit(False)).withColumn("after_gap", F.lit(False)).withColumn("regime", F.lit(0)).withColumn("atr", F.lit(None).cast("double"))
-    life = D.fvg_states(D.fvg(bars, 3600), bars, 3600)
-    want = set()
-    for r in life.select("symbol", F.unix_seconds("confirmed_at").alias("b"), F.unix_seconds("entered_at").alias("e"), F.unix_seconds("invalidated_at").alias("i")).collect():
-        want.add((r.symbol, r.b, "created", r.b))
-        want |= {(r.symbol, r.b, m, t) for m, t in (("entered", r.e), ("invalidated", r.i)) if t}
-    root = f"{checkpoint_dir(spark)}/t_{os.urandom(4).hex()}"
-    bars.select("symbol", "day", "ts", "high", "low", "close").write.parquet(f"{root}/in")
-    src = spark.readStream.schema(bars.select("symbol", "day", "ts", "high", "low", "close").schema).parquet(f"{root}/in")
-    got = S.run_to_folder(S.gap_lifecycle(src, 3600), f"{root}/out", f"{root}/state")
-    assert {(r.symbol, r.born, r.mark, r["at"]) for r in got.collect()} == want and want
-
-
 def test_smt_compares_every_symbol(spark, sf, tmp_path):
     """An event type that no list names is compared like the others."""
     events = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/events.parquet")

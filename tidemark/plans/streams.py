@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.maths import tidy
 from tidemark.operators import ordered as O
+from tidemark.plans import patterns as T
 from tidemark.plans import views as V
 from tidemark.plans.registry import query, r
 from tidemark.session import checkpoint_dir
+from tidemark.streaming import stateful as K
 from tidemark.streaming import streams as S
 
 
@@ -84,13 +86,29 @@ def stream_upsert(spark, sf):
     return O.last_rows(log, ["symbol", "ts"], F.struct("batch", "event_id"), ["event_id"])
 
 
-@query("stream_gaps")
+_STREAM_GAPS = V.sql("bars1h").replace("bars1h AS (", "bars_all AS (") + f", bars1h AS (SELECT * FROM bars_all WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM bars_all)), {T._LIFE_T}"
+
+
+@query("stream_gaps", _STREAM_GAPS + """, mk AS (SELECT symbol, dir AS direction, CAST(epoch(ts) AS BIGINT) + 3600 AS born, unnest([{'m': 'created', 't': CAST(epoch(ts) AS BIGINT) + 3600, 'r': NULL}, {'m': 'entered', 't': ent_t, 'r': NULL}, {'m': 'partial', 't': par_t, 'r': NULL}, {'m': 'half', 't': half_t, 'r': NULL},
+  {'m': 'full', 't': full_t, 'r': NULL}, {'m': 'validated', 't': val_t, 'r': NULL}, {'m': 'invalidated', 't': inv_t, 'r': NULL}, {'m': 'expired', 't': exp_t, 'r': NULL}, {'m': 'ended', 't': CASE WHEN reason <> 'data ended' THEN end_t END, 'r': reason}]) AS u FROM lt)
+SELECT symbol, direction, born, u.m AS mark, CAST(u.t AS BIGINT) AS at, CAST(u.r AS VARCHAR) AS reason FROM mk WHERE u.t IS NOT NULL""")
 def stream_gaps(spark, sf):
-    """Gap marks from stored hourly candles replayed as a stream (checked against the batch detector in the tests)."""
+    """All marks of gaps from stored hourly candles replayed as a stream."""
     folder, state = _folders(spark, "gaps")
-    b = V.bars1h(spark, sf).select("symbol", "day", "ts", "high", "low", "close")
+    b = V.bars1h(spark, sf).select("symbol", "day", "ts", "regime", "suspect", "after_gap", "high", "low", "close")
     src = folder.replace("/out", "/in")
     b.write.parquet(src)
     stream = spark.readStream.schema(b.schema).parquet(src)
-    x = S.run_to_folder(S.gap_lifecycle(stream, 3600), folder, state)
-    return x.select("symbol", F.col("day").cast("string").alias("day"), "direction", "born", "mark", "at")
+    with K.rocksdb(spark):
+        return S.run_to_folder(K.gap_lifecycle(stream, 3600), folder, state)
+
+
+@query("stream_vwap", f"""WITH RECURSIVE b AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2),
+d AS (SELECT *, {V.roll_weekend('(CAST(et AS DATE) + CASE WHEN hour(et) >= 18 THEN 1 ELSE 0 END)')} AS day FROM (SELECT *, {V._ET.format('ts')} AS et FROM b WHERE ts + INTERVAL 1 HOUR <= {_CLOSED}))
+SELECT symbol, CAST(day AS VARCHAR) AS day, CAST(epoch(ts) AS BIGINT) AS ts, {r('sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w','vwap')}, CAST(sum(volume) OVER w AS DOUBLE) AS volume, max(high) OVER w AS high, min(low) OVER w AS low
+FROM d WINDOW w AS (PARTITION BY symbol, day ORDER BY ts)""")
+def stream_vwap(spark, sf):
+    """The day's volume-weighted price at every closed candle."""
+    with K.rocksdb(spark):
+        x = _drain(spark, "vwap", K.session_vwap(S.read_ticks(spark, sf)))
+    return x.select("symbol", F.col("day").cast("string").alias("day"), F.unix_seconds("ts").alias("ts"), tidy(F.col("vwap")).alias("vwap"), "volume", "high", "low")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import calendar as cal
 
@@ -60,52 +56,6 @@ def session_state(ticks: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("ticks"), F.avg("price").alias("mean_price"), F.max("price").alias("high"), F.min("price").alias("low")).drop("day_end")
 
 
-def gap_lifecycle(bars: DataFrame, step_seconds: int, max_age: int = 48) -> DataFrame:
-    """Marks of three-candle gaps as bars arrive.  Gaps end with the day, so the state is per (symbol, day).
-
-    State: the last two bars and the open gaps (at most ``max_age``).
-    """
-    schema = "symbol STRING, day DATE, direction STRING, born BIGINT, mark STRING, at BIGINT"
-    state_schema = "t ARRAY<BIGINT>, high ARRAY<DOUBLE>, low ARRAY<DOUBLE>, g_born ARRAY<BIGINT>, g_up ARRAY<BOOLEAN>, g_top ARRAY<DOUBLE>, g_bottom ARRAY<DOUBLE>, g_entered ARRAY<BOOLEAN>, g_age ARRAY<BIGINT>"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old = state.get if state.exists else ([], [], [], [], [], [], [], [], [])
-        prev = list(zip(*old[:3]))
-        gaps = [list(g) for g in zip(*old[3:])]
-        out = []
-        rows = pd.concat(list(batches)).sort_values("t")
-        for r in rows.itertuples():
-            closed, alive = r.t + step_seconds, []
-            for born, up, top, bottom, entered, age in gaps:
-                side, age = "bullish" if up else "bearish", age + 1
-                if not entered and (r.low <= top if up else r.high >= bottom):
-                    entered = True
-                    out.append((side, born, "entered", closed))
-                if (r.close < bottom) if up else (r.close > top):
-                    out.append((side, born, "invalidated", closed))
-                elif age < max_age:
-                    alive.append([born, up, top, bottom, entered, age])
-            gaps = alive
-            if len(prev) == 2 and r.t - prev[0][0] == 2 * step_seconds:
-                up, down = prev[0][1] < r.low, prev[0][2] > r.high
-                if up or down:
-                    gaps.append([closed, bool(up), r.low if up else prev[0][2], prev[0][1] if up else r.high, False, 0])
-                    out.append(("bullish" if up else "bearish", closed, "created", closed))
-            prev = (prev + [(r.t, r.high, r.low)])[-2:]
-        cols = [list(c) for c in zip(*prev)] if prev else [[], [], []]
-        gcol = [list(c) for c in zip(*gaps)] if gaps else [[], [], [], [], [], []]
-        state.update(tuple(cols + gcol))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["t"].max()) * 1000) + 3 * 86_400_000)
-        if out:
-            yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["symbol", "day", "direction", "born", "mark", "at"])
-
-    x = bars.select("symbol", "day", "ts", F.unix_seconds("ts").alias("t"), "high", "low", "close").withWatermark("ts", LATE)
-    return x.groupBy("symbol", "day").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def upsert_log(stream: DataFrame, folder: str, checkpoint: str):
     """foreachBatch writer: every micro-batch replaces its own part, so a repeated batch changes nothing.
 
