@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import basket as K
 from tidemark.operators import documents as D
+from tidemark.operators import names as E
 from tidemark.operators import facts as X
 from tidemark.operators import news as N
 from tidemark.operators.graph import connected_components
@@ -68,10 +70,47 @@ def test_ungrounded(spark):
     assert [r.first_missing for r in D.ungrounded(df, "a", "b").collect()] == ["Paris", None]
 
 
-def test_link_tiers(spark):
-    df = spark.createDataFrame([(1, "We like $AMD and Apple; IT is fine, Ford (F) asks, MU rises")], "doc_id int, text string")
-    got = {r.ticker: r.confidence for r in D.link_entities(df, {"apple": "AAPL"}, ["IT", "F"], ["AMD", "AAPL", "IT", "F", "MU"]).collect()}
-    assert got == {"AMD": "high", "AAPL": "high", "MU": "high", "F": "ask"}
+def test_names_and_tickers_in_prose(spark):
+    aliases = spark.createDataFrame([("Apple", "AAPL"), ("taiwan semiconductor", "TSM"), ("Nvidia", "NVDA"), ("Ford", "F"), ("Meta Platforms", "META"), ("meta", "MT"), ("AT&T Inc.", "T"), ("platforms unlimited group", "PUG")], "alias string, ticker string")
+    listed = spark.createDataFrame([(t,) for t in ("AMD", "AAPL", "IT", "F", "MU", "NVDA", "AI", "ON", "ALL", "A", "BRK-B")], "ticker string")
+    wordlike = ["AI", "IT", "ON", "ALL", "F", "A"]
+    cases = {
+        "AI and IT stocks are ON fire, ALL of them. F it, I think A lot of them CAN run.": {}, "Nvidia and Apple": {"NVDA": "high", "AAPL": "high"}, "I hold taiwan semiconductor": {"TSM": "high"}, "$NVDA is my biggest": {"NVDA": "high"},
+        "thinking about (F) here": {"F": "ask"}, "Ford F": {"F": "high"}, "shares of ON, ticker: IT, stock A": {"ON": "ask", "IT": "ask", "A": "ask"}, "$brk.b and $nope": {"BRK-B": "high"}, "Pineapples and $apple": {}, "xMU MU2 _MU": {}, "MU, AMD": {"MU": "high", "AMD": "high"},
+        "I think Ford F and AI and IT stocks are ON fire, ALL of them. Nvidia and Apple.": {"AAPL": "high", "F": "high", "NVDA": "high"}, "Meta Platforms, meta": {"META": "high", "MT": "high"}, "meta platforms unlimited group": {"PUG": "high", "META": "high"}, "at&t inc. and AT&T Incx": {"T": "high"}, "": {}, None: {},
+    }
+    texts = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").unionByName(spark.createDataFrame([(99, "x")], "doc_id long, text string"))
+    got = {i: {} for i in range(len(cases))}
+    for r in E.link(texts, aliases, listed, wordlike).collect():
+        got[r.doc_id][r.ticker] = r.confidence
+    assert got == {i: want for i, want in enumerate(cases.values())}
+    assert E.link(texts, aliases.limit(0), listed, wordlike).filter("reason = 'company name'").count() == 0
+
+
+def test_mentions_equal_a_scan_for_each_alias(spark):
+    rng = random.Random(5)
+    words = ["aa", "bb", "cc", "d", "é", "x1"]
+    aliases = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))): f"T{i}" for i in range(14)} | {"aa-bb": "H", "cc.": "P", "bb, cc": "K"}
+    texts = {i: "".join(rng.choice([*words, *words]).replace("d", rng.choice(["d", "D"])) + rng.choice([" ", " ", " ", "-", ". ", ", ", " $", "  ", "_"]) for _ in range(40)) for i in range(30)}
+
+    def scan(text):
+        low, out = text.lower(), []
+        for alias in sorted(aliases, key=lambda a: -len(a)):
+            for m in re.finditer(r"(?<![\w$])" + re.escape(alias) + r"(?![\w])", low):
+                out.append((len(alias), m.start(), m.end(), alias))
+        kept = []
+        for n, s, e, alias in sorted(out, key=lambda o: (-o[0], o[1])):
+            if not any(a <= s < b for a, b, _ in kept):
+                kept.append((s, e, alias))
+        return sorted((aliases[alias], len(re.findall(r"\w+", low[:s])) + 1) for s, _, alias in kept)
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = E.name_mentions(df, spark.createDataFrame(list(aliases.items()), "alias string, ticker string")).collect()
+    for i, t in texts.items():
+        got = sorted((r.ticker, r["at"]) for r in found if r.doc_id == i)
+        want = scan(t)
+        assert set(want) <= set(got) and {g for g, _ in got} == {w for w, _ in want}, t
+
 
 
 def test_first_seen_is_greedy(spark):

@@ -208,23 +208,6 @@ def chief_executive(officers: Column) -> Column:
     return F.nullif(T.strip(F.regexp_replace(F.try_element_at(hit, F.lit(1))["name"], r"\s+", " ")), F.lit(""))
 
 
-def link_entities(docs: DataFrame, aliases: dict[str, str], wordlike: Sequence[str], known: Sequence[str], text: str = "text") -> DataFrame:
-    """Tickers a text names: $TICKER, a company name, a listed ALL-CAPS token; word-like tokens only ask when parenthesised."""
-    t = F.col(text)
-    dollar = F.transform(F.regexp_extract_all(t, F.lit(r"\$([A-Za-z]{1,5}(?:[.-][A-Za-z])?)\b"), F.lit(1)), lambda m: F.replace(F.upper(m), F.lit("."), F.lit("-")))
-    low = F.lower(t)
-    names = F.filter(F.array(*[F.when(low.rlike(r"(?<![\w$])" + a.replace(".", r"\.") + r"(?![\w])"), F.lit(s)) for a, s in aliases.items()]), lambda x: x.isNotNull())
-    caps = F.regexp_extract_all(t, F.lit(r"(?<![\w$])([A-Z]{1,5}(?:-[A-Z])?)(?![\w])"), F.lit(1))
-    asked = F.regexp_extract_all(t, F.lit(r"\(([A-Z]{1,5})\)"), F.lit(1))
-    listed = lambda a: F.filter(a, lambda m: m.isin(list(known)))
-    plain = F.filter(listed(caps), lambda m: ~m.isin(list(wordlike)) & (F.length(m) > 1))
-    tiers = F.concat(F.transform(listed(dollar), lambda m: F.struct(m.alias("ticker"), F.lit(1).alias("tier"))), F.transform(names, lambda m: F.struct(m.alias("ticker"), F.lit(2).alias("tier"))),
-                     F.transform(plain, lambda m: F.struct(m.alias("ticker"), F.lit(3).alias("tier"))), F.transform(F.filter(listed(asked), lambda m: m.isin(list(wordlike)) | (F.length(m) == 1)), lambda m: F.struct(m.alias("ticker"), F.lit(4).alias("tier"))))
-    x = docs.select("doc_id", F.explode(tiers).alias("h")).select("doc_id", "h.*")
-    g = x.groupBy("doc_id", "ticker").agg(F.min("tier").alias("tier"))
-    return g.select("doc_id", "ticker", F.when(F.col("tier") == 4, "ask").otherwise("high").alias("confidence"), F.element_at(F.array(F.lit("written with $"), F.lit("company name"), F.lit("listed ticker"), F.lit("in context")), F.col("tier")).alias("reason"))
-
-
 # Strength of evidence, strongest first.
 STRENGTH = {"disclosed": 3, "emphasized": 2, "classification": 2, "measured": 2, "mentioned": 1}
 

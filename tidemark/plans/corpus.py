@@ -10,6 +10,7 @@ from tidemark.functions import rules as R
 from tidemark.functions import text as T
 from tidemark.functions.maths import tidy
 from tidemark.operators import documents as D
+from tidemark.operators import names as E
 from tidemark.plans import views as V
 from tidemark.plans.registry import query, r
 
@@ -230,13 +231,55 @@ def ungrounded(spark, sf):
     return D.ungrounded(ans.join(ask, ["conv_id", "turn"]), "summary", "source").select("conv_id", "turn", "first_missing", "missing")
 
 
-_ALIASES = {"apple": "AAPL", "microsoft": "MSFT", "amazon": "AMZN", "taiwan semiconductor": "TSM", "samsung": "005930.KS"}
-
-
-@query("entity_link", V.sql("fs") + """, h AS (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(lower(sent), '\\bapple\\b') THEN 'AAPL' END, CASE WHEN regexp_matches(lower(sent), '\\bmicrosoft\\b') THEN 'MSFT' END, CASE WHEN regexp_matches(lower(sent), '\\bamazon\\b') THEN 'AMZN' END,
-  CASE WHEN regexp_matches(lower(sent), '\\btaiwan semiconductor\\b') THEN 'TSM' END, CASE WHEN regexp_matches(lower(sent), '\\bsamsung\\b') THEN '005930.KS' END], lambda z: z IS NOT NULL)) AS ticker FROM fs) SELECT DISTINCT doc_id, ticker, 'high' AS confidence, 'company name' AS reason FROM h""")
+# Letters about customers, worded from orders; the names come from the customer, supplier and nation tables.
+_LETTER = {
+    0: "'Customer#' || {c} || ' of ' || {n} || ' pays; Supplier#' || {s} || ' ships from ' || {n} || '.'", 1: "'We hold shares of ' || {n} || ' and (' || {n} || '), see customer#' || {c} || '.'",
+    2: "'The ticker: ' || {n} || ' fell, $' || {n} || ' rose; x' || {n} || ' is no name.'", 3: "{n} || ' and ' || {m} || ' agreed, says $Customer#' || {c} || '; Supplier#' || {s} || 'x waits.'",
+    4: "'IT and ON are words in ' || lower({n}) || ', as A is.'",
+}
+WORDLIKE = ["IRAN", "PERU", "IT", "ON", "A"]
+_LT = "CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _LETTER.items()) + " END"
+
+
+def letters(spark, sf):
+    o, n = V.table(spark, sf, "orders"), V.table(spark, sf, "nation")
+    name = lambda c, as_: n.select(F.col("n_nationkey").alias(c), F.col("n_name").alias(as_))
+    x = o.withColumns({"k1": F.col("o_custkey") % 25, "k2": F.col("o_orderkey") % 25}).join(name("k1", "n"), "k1").join(name("k2", "m"), "k2")
+    pad = lambda c: f"lpad(cast({c} as string), 9, '0')"
+    return x.select(F.col("o_orderkey").alias("doc_id"), F.expr(_LT.format(c=pad("o_custkey"), s=pad("o_orderkey % 150"), n="n", m="m")).alias("text"))
+
+
+def alias_names(spark, sf):
+    """Customers, suppliers and nations by name, and customers with a nation."""
+    c, s, n = V.table(spark, sf, "customer"), V.table(spark, sf, "supplier"), V.table(spark, sf, "nation")
+    cn = c.withColumn("k", F.col("c_custkey") % 25).join(n.withColumnRenamed("n_nationkey", "k"), "k").select(F.concat_ws(" of ", "c_name", "n_name").alias("alias"), F.concat(F.lit("CN"), F.col("c_custkey").cast("string")).alias("ticker"))
+    parts = [c.select(F.col("c_name").alias("alias"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker")), s.select(F.col("s_name").alias("alias"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker")),
+             n.select(F.col("n_name").alias("alias"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"))]
+    for p in parts:
+        cn = cn.unionByName(p)
+    return cn
+
+
+_PAD = "lpad(CAST({} AS VARCHAR), 9, '0')"
+_LINK = W + f"""lt AS (SELECT o_orderkey AS doc_id, {_LT.format(c=_PAD.format('o_custkey'), s=_PAD.format('o_orderkey % 150'), n='a.n_name', m='b.n_name')} AS text FROM orders JOIN nation a ON a.n_nationkey = o_custkey % 25 JOIN nation b ON b.n_nationkey = o_orderkey % 25),
+al AS (SELECT lower(c_name || ' of ' || n_name) AS alias, 'CN' || c_custkey AS ticker FROM customer JOIN nation ON n_nationkey = c_custkey % 25 UNION ALL SELECT lower(c_name), 'C' || c_custkey FROM customer UNION ALL SELECT lower(s_name), 'S' || s_suppkey FROM supplier UNION ALL SELECT lower(n_name), 'N' || n_nationkey FROM nation),
+ct AS (SELECT doc_id, lower(text) AS low, alias, ticker FROM lt JOIN al ON contains(lower(text), alias)),
+oc AS (SELECT *, unnest(list_filter(range(1, length(low) + 1), lambda i: substr(low, i, length(alias)) = alias AND NOT (i > 1 AND regexp_matches(substr(low, i - 1, 1), '[a-z0-9_$]')) AND NOT regexp_matches(substr(low, i + length(alias), 1), '^[a-z0-9_]'))) AS p FROM ct),
+nm AS (SELECT DISTINCT doc_id, ticker FROM oc a WHERE NOT EXISTS (SELECT 1 FROM oc b WHERE b.doc_id = a.doc_id AND length(b.alias) > length(a.alias) AND b.p <= a.p AND a.p < b.p + length(b.alias))),
+ls AS (SELECT n_name AS ticker FROM nation WHERE length(n_name) <= 5 UNION ALL SELECT unnest(['IT', 'ON', 'A'])),
+dl AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '\$([A-Za-z]+)', 1))) AS ticker, 1 AS tier FROM lt),
+cp AS (SELECT doc_id, ls.ticker, CASE WHEN ls.ticker NOT IN ({', '.join(f"'{x}'" for x in WORDLIKE)}) THEN 3 WHEN contains(text, '(' || ls.ticker || ')') OR contains(text, 'shares of ' || ls.ticker || ' ') OR contains(text, 'ticker: ' || ls.ticker || ' ') THEN 4 END AS tier
+  FROM lt JOIN ls ON regexp_matches(text, '(^|[^A-Za-z0-9_$])' || ls.ticker || '([^A-Za-z0-9_]|$)')),
+un AS (SELECT d.doc_id, d.ticker, d.tier FROM dl d JOIN ls USING (ticker) UNION ALL SELECT doc_id, ticker, 2 FROM nm UNION ALL SELECT * FROM cp WHERE tier IS NOT NULL)
+SELECT doc_id, ticker, CASE WHEN min(tier) = 4 THEN 'ask' ELSE 'high' END AS confidence, ['written with $', 'company name', 'listed ticker', 'in context'][min(tier)] AS reason FROM un GROUP BY 1, 2"""
+
+
+@query("entity_link", _LINK)
 def entity_link(spark, sf):
-    return D.link_entities(_fs(spark, sf).withColumnRenamed("sent", "text"), _ALIASES, ["A", "I", "ON", "ALL", "IT", "F"], list(_ALIASES.values()))
+    """Names and tickers in letters, against all customers, suppliers and nations."""
+    n = V.table(spark, sf, "nation")
+    listed = n.filter(F.length("n_name") <= 5).select(F.col("n_name").alias("ticker")).unionByName(spark.createDataFrame([("IT",), ("ON",), ("A",)], "ticker string"))
+    return E.link(letters(spark, sf), alias_names(spark, sf), listed, WORDLIKE)
 
 
 @query("mentions", V.sql("fs") + " SELECT doc_id, count(*) FILTER (regexp_matches(lower(sent), '\\bmicrosoft\\b|(\\(|\\$|nasdaq:\\s?|nyse:\\s?)msft\\b')) AS mentions FROM fs GROUP BY 1")
