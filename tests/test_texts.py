@@ -181,3 +181,56 @@ def test_report_reaction_session(spark):
     daily = spark.createDataFrame([("S", x, i) for i, x in enumerate(days)], "symbol string, date date, i int")
     rep = spark.createDataFrame([("S", days[1], "before_open", 1.0, 1.0, 1.0), ("S", days[2], "after_close", 2.0, 1.0, 1.0), ("S", days[4], "unknown", 3.0, 1.0, 1.0)], "symbol string, date date, timing string, surprise double, eps_actual double, eps_estimate double")
     assert {(r.i, r.surprise) for r in X.reacting_sessions(rep, daily).collect()} == {(1, 1.0), (3, 2.0)}
+
+
+REPORT = """Table of contents
+Item 1. Business 3
+Item 1A. Risk Factors 9
+Item 1B. Unresolved Staff Comments 20
+Item 3. Legal Proceedings 21
+Item 4. Mine Safety Disclosures 22
+
+Item 1. Business
+
+We make controllers. Our wafers come from foundries run by Taiwan Semiconductor Manufacturing and are tested there.
+We purchase memory for our boards from Micron as a supplier of components to us every quarter.
+Cloud services run by Amazon Web Services host our design data and deliver it to customers.
+
+Our Competitors
+
+Large firms such as Intel offer similar controllers to the very same buyers in most markets.
+
+Item 1A. Risk Factors
+
+Apple is a well-known firm that is named here without anything that ties it to our business.
+Delays at Taiwan Semiconductor Manufacturing, our only supplier of wafers, would stop our shipments.
+""" + "More is said about these risks so that the section becomes as long as real ones are.\n" * 60 + """
+Item 1B. Unresolved Staff Comments
+
+None.
+
+Item 3. Legal Proceedings
+
+The court dismissed the class action captioned In re Example on March 7, 2025, with costs, as the parties had agreed beforehand in writing.
+
+Item 4. Mine Safety Disclosures
+"""
+
+
+def test_sections_scopes_and_dependencies(spark):
+    docs = spark.createDataFrame([(1, REPORT), (2, "Nothing of note is said in this short text, apart from Intel being our supplier of components."), (3, ""), (4, None)], "doc_id long, text string")
+    s = D.report_sections(docs)
+    first = s.filter("doc_id = 1").first()
+    assert first.risk.startswith("Item 1A. Risk Factors\n\nApple") and "Competitors" in first.business and "In re Example" in first.legal and "22" not in first.legal
+    scoped = D.scoped_sentences(s).collect()
+    assert {(r.section, r.subsection) for r in scoped if "Intel offer" in r.sent} == {("Business", "Competition")}
+    assert {r.section for r in scoped if r.doc_id == 2} == {"Annual report"} and not [r for r in scoped if r.doc_id > 2]
+    own = spark.createDataFrame([(1, "Example Corp", "EXMP"), (2, "Intel Inc", "INTC")], "doc_id long, company string, ticker string")
+    d = {(r.doc_id, r.entity): r for r in D.dependencies(D.scoped_sentences(s), own).collect()}
+    assert {e for i, e in d if i == 1} == {"TSMC", "Micron", "Amazon / AWS", "Intel"}  # Apple without a relation is none
+    assert d[1, "TSMC"].relation == d[1, "Micron"].relation == "Manufacturer / supplier" and d[1, "TSMC"].ticker == "TSM" and d[1, "TSMC"].mentions == 2
+    assert [e.section for e in d[1, "TSMC"].evidence] == ["Risk factors", "Business"] and d[1, "TSMC"].evidence[1].text.startswith("Our wafers")
+    assert d[1, "Intel"].relation == "Competitor" and not d[1, "Intel"].others
+    assert not [k for k in d if k[0] == 2]  # the reporting company itself
+    same = spark.createDataFrame([(1, "Micron Technology", "MU")], "doc_id long, company string, ticker string")
+    assert "Micron" not in {r.entity for r in D.dependencies(D.scoped_sentences(s), same).collect()}

@@ -132,6 +132,8 @@ METRICS = [
 EXPECTATION = r"\b(expect|expects|expected|anticipat\w*|outlook|guidance|forecast\w*|project(s|ed)?)\b"
 MONEY = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s*(billion|million)?"
 WITHDRAWN = r"withdr(a|e)w(s|n|ing)? (its |our |the )?(financial )?(guidance|outlook)|suspend(s|ed|ing)? (its |our )?(guidance|outlook)"
+COMPETITION_HEADINGS, COMPETITION_REACH = ["Competition", "Competitive Landscape", "Our Competitors"], 4000
+COMPANY_WORDS = ["inc", "corp", "corporation", "company", "holdings", "the", "group"]  # of a company's name, telling nothing
 SECTIONS = {  # name: (heading, next heading, minimum length)
     "risk": (r"item\s*1a\.?\s*[\-–—:]?\s*risk\s+factors", r"item\s*1b\.?|item\s*1c\.?|item\s*2\.?\s*[\-–—:]?\s*properties", 3000),
     "business": (r"item\s*1\.?\s*[\-–—:]?\s*business\b", r"item\s*1a\.?\s*[\-–—:]?\s*risk", 400),

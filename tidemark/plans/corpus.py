@@ -157,6 +157,68 @@ def sections(spark, sf):
     return d.select("doc_id", F.length(span).alias("chars"), F.md5(span).alias("hash"))
 
 
+# Annual reports worded from orders: every 64 orders make one, with a table of contents; a sentence's kind tells its section.
+_PLACE = {"business": (0, 1, 5), "competition": (3,), "legal": (6, 8), "risk": (2, 4, 7, 9)}
+_HEADS = {"business": "Item 1. Business", "competition": "Competition", "risk": "Item 1A. Risk Factors", "staff": "Item 1B. Unresolved Staff Comments", "legal": "Item 3. Legal Proceedings", "mine": "Item 4. Mine Safety Disclosures"}
+_CONTENTS = "Table of contents\n" + "".join(f"{_HEADS[k]} {i}\n" for i, k in enumerate(("business", "risk", "staff", "legal", "mine")))
+_COMPANIES = [("Micron Technology, Inc.", "MU"), ("Microsoft Corporation", "MSFT"), ("The Samsung Group", None), ("Apple Holdings", "XYZ")]
+
+
+def reports(spark, sf):
+    s = _fs(spark, sf).select(F.floor(F.col("pos") / 64).alias("doc_id"), F.col("pos").alias("n"), (F.col("pos") % 10).alias("kind"), "sent")
+    parts = {k: F.sort_array(F.collect_list(F.when(F.col("kind").isin(*v), F.struct("n", "sent")))) for k, v in _PLACE.items()}  # 64 sentences at most
+    g = s.groupBy("doc_id").agg(*[p.alias(k) for k, p in parts.items()])
+    body = lambda k: F.array_join(F.transform(k, lambda e: e["sent"]), "\n")
+    head = lambda k: F.lit(f"\n{_HEADS[k]}\n\n")
+    text = F.concat(F.lit(_CONTENTS), head("business"), body("business"), F.lit("\n"), head("competition"), body("competition"), F.lit("\n"), head("risk"), body("risk"), F.lit("\n"), head("staff"), F.lit("None.\n"), head("legal"), body("legal"), F.lit("\n"), head("mine"))
+    return g.select("doc_id", text.alias("text"))
+
+
+def _own(spark, sf):
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]).cast("string") for c in _COMPANIES]), (F.col("doc_id") % len(_COMPANIES) + 1).cast("int"))
+    return reports(spark, sf).select("doc_id", pick(0).alias("company"), pick(1).alias("ticker"))
+
+
+_REP = V.sql("fs") + """, rs AS (SELECT pos // 64 AS doc_id, pos AS n, pos % 10 AS kind, sent FROM fs),
+rt AS (SELECT doc_id, """ + ", ".join(f"coalesce(string_agg(sent, chr(10) ORDER BY n) FILTER (kind IN ({', '.join(map(str, v))})), '') AS {k}" for k, v in _PLACE.items()) + " FROM rs GROUP BY 1)"
+_NL = "chr(10)"
+
+
+@query("report_sections", _REP + f""", sx AS (SELECT doc_id, 'risk' AS section, '{_HEADS['risk']}' || {_NL} || {_NL} || risk || {_NL} || {_NL} AS t FROM rt UNION ALL
+SELECT doc_id, 'business', '{_HEADS['business']}' || {_NL} || {_NL} || business || {_NL} || {_NL} || 'Competition' || {_NL} || {_NL} || competition || {_NL} || {_NL} FROM rt UNION ALL SELECT doc_id, 'legal', '{_HEADS['legal']}' || {_NL} || {_NL} || legal || {_NL} || {_NL} FROM rt)
+SELECT doc_id, section, CAST(length(t) AS INTEGER) AS chars, md5(t) AS hash FROM sx""")
+def report_sections(spark, sf):
+    """The real sections of each report, not the lines of its table of contents."""
+    x = D.report_sections(reports(spark, sf), shrink=10)
+    x = x.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(n).alias("t")) for n in ("risk", "business", "legal")])).alias("s")).select("doc_id", "s.*")
+    return x.select("doc_id", "section", F.length("t").alias("chars"), F.md5("t").alias("hash"))
+
+
+@query("report_scopes", _REP + """, u AS (SELECT doc_id, n, sent, CASE WHEN kind IN (2, 4, 7, 9) THEN 'Risk factors' WHEN kind IN (0, 1, 5, 3) THEN 'Business' END AS section, CASE WHEN kind = 3 THEN 'Competition' END AS subsection FROM rs)
+SELECT doc_id, section, subsection, md5(sent) AS hash, count(*) AS n FROM u WHERE section IS NOT NULL GROUP BY ALL""")
+def report_scopes(spark, sf):
+    """Every sentence of risk and business with the section and subsection it lies in."""
+    s = D.scoped_sentences(D.report_sections(reports(spark, sf), shrink=10))
+    return s.groupBy("doc_id", "section", "subsection", F.md5("sent").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_OWN_SQL = "CASE doc_id % 4 WHEN 0 THEN NOT (e = 'Micron' OR contains(lower(e), 'technology')) WHEN 1 THEN NOT (contains(lower(e), 'microsoft')) WHEN 2 THEN NOT contains(lower(e), 'samsung') ELSE NOT contains(lower(e), 'apple') END"
+
+
+@query("report_relations", _REP + f""", u AS (SELECT doc_id, n, sent, kind = 3 AS comp, CASE WHEN kind IN (2, 4, 7, 9) THEN 0 ELSE 1 END AS sec, {_hits('sent', R.ENTITIES, '')} AS es, {_hits('sent', R.RELATIONS)} AS rl FROM rs WHERE kind NOT IN (6, 8)),
+a AS (SELECT doc_id, (sec, CASE WHEN comp THEN 1 ELSE 0 END, n) AS p, sec, sent, unnest(es) AS e, CASE WHEN comp THEN ['Competitor'] ELSE rl[1:2] END AS rl FROM u),
+c AS (SELECT doc_id, p, sec, sent, e, unnest(rl) AS relation, unnest(range(0, len(rl))) AS o FROM a WHERE {_OWN_SQL}),
+g AS (SELECT doc_id, e, relation, count(*) AS n, min((p, o)) AS f, list(CASE sec WHEN 0 THEN 'Risk factors|' ELSE 'Business|' END || sent ORDER BY p)[1:3] AS ev FROM c GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, e ORDER BY n DESC, f) AS rk, sum(n) OVER (PARTITION BY doc_id, e) AS total FROM g)
+SELECT doc_id, e AS entity, any_value(relation) FILTER (rk = 1) AS relation, CAST(any_value(total) AS BIGINT) AS mentions, coalesce(string_agg(relation, ',' ORDER BY f) FILTER (rk > 1), '') AS others, md5(array_to_string(any_value(ev) FILTER (rk = 1), '#')) AS evidence FROM k GROUP BY 1, 2""")
+def report_relations(spark, sf):
+    """Dependencies of each report by section, without its own company, with evidence."""
+    s = D.scoped_sentences(D.report_sections(reports(spark, sf), shrink=10))
+    d = D.dependencies(s, _own(spark, sf))
+    ev = F.md5(F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["section"], e["text"])), "#"))
+    return d.select("doc_id", "entity", "relation", "mentions", F.array_join("others", ",").alias("others"), ev.alias("evidence"))
+
+
 def _html_sql() -> str:
     t = "html"
     for tag in ("head", "script", "style", "ix:header"):
