@@ -234,3 +234,23 @@ def test_sections_scopes_and_dependencies(spark):
     assert not [k for k in d if k[0] == 2]  # the reporting company itself
     same = spark.createDataFrame([(1, "Micron Technology", "MU")], "doc_id long, company string, ticker string")
     assert "Micron" not in {r.entity for r in D.dependencies(D.scoped_sentences(s), same).collect()}
+
+
+def test_guidance_of_a_release(spark):
+    text = """Example announces results
+Revenue was a record in the quarter, and margins were higher than in the year before.
+
+Outlook
+The outlook of Example for the third quarter of fiscal 2027 is as follows, in all material respects:
+Revenue is expected to be $108.0 billion, plus or minus 2%, on a reported basis.
+GAAP and non-GAAP gross margins are expected to be 73.3% and 73.5%, respectively, plus or minus 50 basis points.
+Full-year fiscal 2027 GAAP and non-GAAP tax rates are expected to be 16.0% to 18.0% or thereabouts.
+Analysts expect revenue of $110 billion for the same period, as surveys of them show.
+"""
+    rows = [(1, text), (2, "Outlook\nGiven uncertainty, the company is withdrawing its guidance for fiscal 2026 altogether."), (3, "We expect adjusted earnings per share of $1.20 to $1.30 in the coming quarter of this year."), (4, None), (5, "We expect revenue of $900 from the new line of products this year.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("filed", F.lit("2026-08-26").cast("date"))
+    got = {(r.doc_id, r.metric): r for r in D.release_guidance(docs).collect()}
+    assert {k: r.period for k, r in got.items()} == {(1, "Revenue"): "Q3 FY2027", (1, "Gross margin (GAAP)"): "Q3 FY2027", (1, "Gross margin (non-GAAP)"): "Q3 FY2027", (1, "Tax rate (non-GAAP)"): "FY2027", (3, "EPS (non-GAAP)"): "Next quarter (as of 2026-08-26)"}
+    assert got[1, "Revenue"].low == pytest.approx(105.84e9) and got[1, "Revenue"].high == pytest.approx(110.16e9)
+    assert (got[1, "Gross margin (non-GAAP)"].low, got[1, "Gross margin (GAAP)"].high) == pytest.approx((73.0, 73.8))
+    assert (got[3, "EPS (non-GAAP)"].low, got[3, "EPS (non-GAAP)"].high, got[3, "EPS (non-GAAP)"].unit) == (1.2, 1.3, "$/share") and not got[3, "EPS (non-GAAP)"].withdrawn

@@ -132,6 +132,13 @@ METRICS = [
 EXPECTATION = r"\b(expect|expects|expected|anticipat\w*|outlook|guidance|forecast\w*|project(s|ed)?)\b"
 MONEY = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s*(billion|million)?"
 WITHDRAWN = r"withdr(a|e)w(s|n|ing)? (its |our |the )?(financial )?(guidance|outlook)|suspend(s|ed|ing)? (its |our )?(guidance|outlook)"
+OUTLOOK_HEADING, OUTLOOK_REACH = r"(?i)\n\s*(Outlook|Business Outlook|Financial Outlook|Guidance|Fiscal \d{4} Outlook)[^\n]{0,120}\n", 5000
+QUARTERS = ["first", "second", "third", "fourth"]
+PERIODS = {
+    "fiscal quarter": r"(first|second|third|fourth) quarter of fiscal(?: year)? (\d{4})", "quarter": r"(first|second|third|fourth)[- ]quarter (?:of )?(\d{4})",
+    "year": r"(?:full[- ]year|fiscal(?: year)?|for the year)\s*(\d{4})|(\d{4})\s*(?:full[- ]year|fiscal year)", "next": r"next quarter|the (upcoming|coming) quarter|current quarter",
+}
+GAAP_PAIR = r"GAAP and non-GAAP (gross margins?|operating expenses|operating margins?)[^.]*?(\$?\d[\d.,]*\s*(?:billion|million)?%?)\s+and\s+(\$?\d[\d.,]*\s*(?:billion|million)?%?),? respectively"
 COMPETITION_HEADINGS, COMPETITION_REACH = ["Competition", "Competitive Landscape", "Our Competitors"], 4000
 COMPANY_WORDS = ["inc", "corp", "corporation", "company", "holdings", "the", "group"]  # of a company's name, telling nothing
 SECTIONS = {  # name: (heading, next heading, minimum length)

@@ -158,30 +158,72 @@ def money(number: Column, unit: Column) -> Column:
     return x * F.when(unit == "billion", 1e9).when(unit == "million", 1e6).otherwise(1.0)
 
 
-def guidance(sents: DataFrame) -> DataFrame:
-    """Expectation sentences with a metric and a number: low and high of the range, unit, fiscal year."""
-    s = F.col("sent")
-    x = sents.filter(s.rlike("(?i)" + R.EXPECTATION) & ~s.rlike("(?i)analysts?|consensus")).withColumn("metric", T.first_match(s, R.METRICS)).filter("metric is not null")
+def guided_values(s: Column, metric: Column) -> Column:
+    """(low, high, unit) that a guidance sentence states for a metric: a range, a value with a tolerance, or one value; null without a number."""
     part = lambda p, g: F.nullif(F.regexp_extract(s, p, g), F.lit(""))
     bps = r"(\d{1,2}(?:\.\d+)?)%\s*(?:,\s*)?plus or minus\s*(\d+)\s*basis points"
     pr, p1 = r"(\d{1,2}(?:\.\d+)?)%\s*(?:to|and|-|–)\s*(\d{1,2}(?:\.\d+)?)%", r"(\d{1,2}(?:\.\d+)?)%"
     mp, mr = R.MONEY + r"\s*,?\s*plus or minus\s*(\d+(?:\.\d+)?)%", R.MONEY + r"\s*(?:to|and|-|–)\s*" + R.MONEY
     num = lambda c: c.cast("double")
-    pct = F.col("metric").isin("Gross margin", "Operating margin", "Tax rate")
+    pct = metric.isin("Gross margin", "Operating margin", "Tax rate")
     mid, off = num(part(bps, 1)), num(part(bps, 2)) / 100
     plow = F.coalesce(mid - off, num(part(pr, 1)), num(part(p1, 1)))
     phigh = F.coalesce(mid + off, num(part(pr, 2)), num(part(p1, 1)))
-    share = F.col("metric") == "EPS"
+    share = metric == "EPS"
     mm, mv = money(part(mp, 1), part(mp, 2)), num(part(mp, 3)) / 100
     unit2 = F.coalesce(part(mr, 4), part(mr, 2))
     lo2, hi2 = money(part(mr, 1), F.coalesce(part(mr, 2), unit2)), money(part(mr, 3), unit2)
     one = money(part(R.MONEY, 1), part(R.MONEY, 2))
     mlow = F.coalesce(F.when(~share, mm * (1 - mv)), lo2, one)
     mhigh = F.coalesce(F.when(~share, mm * (1 + mv)), hi2, one)
-    x = x.withColumns({"low": F.when(pct, plow).otherwise(mlow), "high": F.when(pct, phigh).otherwise(mhigh), "unit": F.when(pct, "%").when(share, "$/share").otherwise("$")})
-    x = x.filter(F.col("low").isNotNull() & ~((F.col("metric") == "Revenue") & (F.col("unit") == "$") & (F.col("high") < 1e6)))
+    low = F.when(pct, plow).otherwise(mlow)
+    return F.when(low.isNotNull(), F.struct(low.alias("low"), F.when(pct, phigh).otherwise(mhigh).alias("high"), F.when(pct, "%").when(share, "$/share").otherwise("$").alias("unit")))
+
+
+def _small_revenue(metric: Column, v: Column) -> Column:
+    return (metric == "Revenue") & (v["unit"] == "$") & (v["high"] < 1e6)
+
+
+def guidance(sents: DataFrame) -> DataFrame:
+    """Expectation sentences with a metric and a number: low and high of the range, unit, fiscal year."""
+    s = F.col("sent")
+    x = sents.filter(s.rlike("(?i)" + R.EXPECTATION) & ~s.rlike("(?i)analysts?|consensus")).withColumn("metric", T.first_match(s, R.METRICS)).filter("metric is not null")
+    x = x.withColumn("_v", guided_values(s, F.col("metric"))).filter(F.col("_v").isNotNull() & ~_small_revenue(F.col("metric"), F.col("_v")))
     year = F.nullif(F.regexp_extract(s, r"(?i)(?:full[- ]year|fiscal(?: year)?|for the year)\s*(\d{4})", 1), F.lit(""))
-    return x.select("doc_id", "pos", "metric", F.concat(F.lit("FY"), year).alias("period"), "low", "high", ((F.col("low") + F.col("high")) / 2).alias("mid"), "unit", s.rlike("(?i)" + R.WITHDRAWN).alias("withdrawn"))
+    return x.select("doc_id", "pos", "metric", F.concat(F.lit("FY"), year).alias("period"), F.col("_v.low").alias("low"), F.col("_v.high").alias("high"), ((F.col("_v.low") + F.col("_v.high")) / 2).alias("mid"), F.col("_v.unit").alias("unit"), s.rlike("(?i)" + R.WITHDRAWN).alias("withdrawn"))
+
+
+def guidance_period(text: Column, filed: Column) -> Column:
+    """The quarter or fiscal year that a wording names, the next quarter as of the filing, or null."""
+    part = lambda p, g: F.nullif(F.regexp_extract(text, "(?i)" + p, g), F.lit(""))
+    nth = lambda p: F.concat(F.lit("Q"), F.coalesce(*[F.when(F.lower(part(p, 1)) == w, F.lit(str(i + 1))) for i, w in enumerate(R.QUARTERS)]))
+    fiscal, plain, year, ahead = R.PERIODS["fiscal quarter"], R.PERIODS["quarter"], R.PERIODS["year"], R.PERIODS["next"]
+    return F.coalesce(F.concat(nth(fiscal), F.lit(" FY"), part(fiscal, 2)), F.concat(nth(plain), F.lit(" "), part(plain, 2)), F.concat(F.lit("FY"), F.coalesce(part(year, 1), part(year, 2))),
+                      F.when(text.rlike("(?i)" + ahead), F.concat(F.lit("Next quarter (as of "), filed.cast("string"), F.lit(")"))))
+
+
+def release_guidance(releases: DataFrame) -> DataFrame:
+    """Guidance of whole releases (doc_id, filed, text): a row per statement with metric, period, low, high, mid, unit, text and ``withdrawn`` of the release.
+
+    The reach of an outlook heading is read, or the whole text where there is none; a sentence without a period has the heading's.  A
+    sentence that gives GAAP and non-GAAP values "respectively" makes two rows, each with what follows both.
+    """
+    start = F.regexp_instr(F.concat(F.lit("\n"), "text"), F.lit(R.OUTLOOK_HEADING))
+    region = F.when(start > 0, F.expr(f"substr(concat('\n', text), _start, {R.OUTLOOK_REACH})")).otherwise(F.col("text"))
+    x = releases.withColumn("_start", start).withColumn("_region", region).withColumn("_hint", guidance_period(F.substring("_region", 1, 400), F.col("filed")))
+    x = x.select("doc_id", "filed", "_hint", F.coalesce(F.col("text").rlike("(?i)" + R.WITHDRAWN), F.lit(False)).alias("withdrawn"), F.posexplode(T.sentences(F.col("_region"))).alias("pos", "sent"))
+    s = F.col("sent")
+    x = x.filter(s.rlike("(?i)" + R.EXPECTATION) & ~s.rlike("(?i)analysts?|consensus"))
+    x = x.withColumn("period", F.coalesce(guidance_period(s, F.col("filed")), "_hint"))
+    of = lambda g: F.nullif(F.regexp_extract(s, "(?i)" + R.GAAP_PAIR + r"([\s\S]*)", g), F.lit(""))
+    x = x.withColumns({"_both": of(1), "_gaap": of(2), "_non": of(3), "_tail": F.coalesce(of(4), F.lit("")), "_first": T.first_match(s, R.METRICS)})
+    x = x.withColumn("_m", F.when(F.col("_both").isNotNull(), T.first_match(F.col("_both"), R.METRICS)).otherwise(F.col("_first")))
+    alone = F.when(s.rlike("(?i)non-GAAP|adjusted"), "non-GAAP").when(s.rlike(r"\bGAAP\b"), "GAAP")
+    item = lambda qual, text: F.struct(F.concat(F.col("_m"), F.coalesce(F.concat(F.lit(" ("), qual, F.lit(")")), F.lit(""))).alias("metric"), guided_values(text, F.col("_m")).alias("v"))
+    pair = F.array(item(F.lit("GAAP"), F.concat("_gaap", "_tail")), item(F.lit("non-GAAP"), F.concat("_non", "_tail")))
+    x = x.filter("_m is not null").withColumn("i", F.explode(F.when(F.col("_both").isNotNull(), pair).otherwise(F.array(item(alone, s)))))
+    x = x.filter(F.col("i.v").isNotNull() & (F.col("_both").isNotNull() | ~_small_revenue(F.col("_m"), F.col("i.v"))))
+    return x.select("doc_id", "filed", "pos", F.col("i.metric").alias("metric"), "period", F.col("i.v.low").alias("low"), F.col("i.v.high").alias("high"), ((F.col("i.v.low") + F.col("i.v.high")) / 2).alias("mid"), F.col("i.v.unit").alias("unit"), T.clip(s, 400).alias("text"), "withdrawn")
 
 
 def _free_hit(k: int):

@@ -140,6 +140,31 @@ def guidance_extract(spark, sf):
     return D.guidance(_fs(spark, sf)).withColumns({c: tidy(F.col(c)) for c in ("low", "high", "mid")})
 
 
+# Earnings releases worded from orders: some with an outlook heading whose period the lines below share.
+_RELEASE = {
+    0: "'Results are out' || chr(10) || 'Revenue of the quarter was a record for the company, as was its profit.' || chr(10) || chr(10) || 'Outlook' || chr(10) || 'The outlook for the ' || {q} || ' quarter of fiscal ' || {y} || ' is as follows:' || chr(10) || 'Revenue is expected to be $' || {a} || '.0 billion, plus or minus 2%.' || chr(10) || 'GAAP and non-GAAP gross margins are expected to be ' || {a} || '.3% and ' || {a} || '.5%, respectively, plus or minus 50 basis points.' || chr(10) || 'Full-year fiscal ' || {y} || ' tax rates are expected to be 16.0% to 18.0%.' || chr(10) || 'Analysts expect revenue of $110 billion in the same period.'",
+    1: "'For the ' || {q} || '-quarter ' || {y} || ' we expect adjusted earnings per share of $1.20 to $1.' || {a} || '.'",
+    2: "'Business Outlook' || chr(10) || 'Capital expenditures next quarter are expected to be about $' || {a} || ' million in total.'",
+    3: "'Given uncertainty, the company is withdrawing its guidance for fiscal ' || {y} || ' and expects revenue of $' || {a} || ' only.'",
+}
+
+
+def releases(spark, sf):
+    q = "element_at(array('first', 'second', 'third', 'fourth'), cast(o_custkey % 4 + 1 as int))"
+    case = "CASE o_orderkey % 4 " + " ".join(f"WHEN {k} THEN {v.format(q=q, y='cast(year(o_orderdate) as string)', a='cast(o_orderkey % 60 + 30 as string)')}" for k, v in _RELEASE.items()) + " END"
+    return V.spread(V.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("filed"), F.expr(case).alias("text"))
+
+
+@query("release_guidance", W + """o AS (SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS filed, o_orderkey % 4 AS k, o_custkey % 4 + 1 AS q, year(o_orderdate) AS y, CAST(o_orderkey % 60 + 30 AS DOUBLE) AS a FROM orders),
+g AS (SELECT doc_id, 'Revenue' AS metric, 'Q' || q || ' FY' || y AS period, a * 1e9 * 0.98 AS low, a * 1e9 * 1.02 AS high, '$' AS unit FROM o WHERE k = 0 UNION ALL SELECT doc_id, 'Gross margin (GAAP)', 'Q' || q || ' FY' || y, a - 0.2, a + 0.8, '%' FROM o WHERE k = 0
+UNION ALL SELECT doc_id, 'Gross margin (non-GAAP)', 'Q' || q || ' FY' || y, a, a + 1, '%' FROM o WHERE k = 0 UNION ALL SELECT doc_id, 'Tax rate', 'FY' || y, 16, 18, '%' FROM o WHERE k = 0 UNION ALL SELECT doc_id, 'EPS (non-GAAP)', 'Q' || q || ' ' || y, 1.2, 1 + a / 100, '$/share' FROM o WHERE k = 1
+UNION ALL SELECT doc_id, 'Capital expenditures', 'Next quarter (as of ' || filed || ')', a * 1e6, a * 1e6, '$' FROM o WHERE k = 2)
+SELECT doc_id, metric, period, """ + f"{r('low','low',4)}, {r('high','high',4)}, {r('(low + high) / 2','mid',4)}, unit FROM g")
+def release_guidance(spark, sf):
+    """Statements of every release; sentences below an outlook heading have its period, pairs make two rows."""
+    return D.release_guidance(releases(spark, sf)).select("doc_id", "metric", "period", *[tidy(F.col(c), 4).alias(c) for c in ("low", "high", "mid")], "unit")
+
+
 @query("topic_sentences", W + f"""p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda z: {_STRIP('z')}), lambda z: length(z) >= 40) AS ps FROM documents),
 s AS (SELECT doc_id, list_filter(flatten(list_transform(ps, lambda z: list_transform(string_split(regexp_replace(z, '([.!?])\\s+([A-Z“"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda q: {_STRIP('q')}))), lambda z: length(z) BETWEEN 40 AND 1500) AS ss FROM p),
 u AS (SELECT doc_id, CAST(unnest(range(0, len(ss))) AS INTEGER) AS pos, unnest(ss) AS sent FROM s), t AS (SELECT doc_id, pos, ({_hits('sent', _STEMS)})[1] AS topic FROM u)
