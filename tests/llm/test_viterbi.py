@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -59,8 +61,31 @@ def test_a_stream_commits_early_and_keeps_a_bounded_window(model, texts):
     long, stream, early, widest = " ".join(texts.values())[:60_000], V.Stream(model), 0, 0
     for word in long.split(" "):
         early += len(list(stream.feed((" " + word).encode())))
-        widest = max(widest, len(stream.text))
-    assert early > 0.99 * (early + len(list(stream.end()))) and widest < 400
+        widest = max(widest, stream.held)
+    assert early > 0.99 * (early + len(list(stream.end()))) and widest < 800
+
+
+def test_paths_that_never_meet_take_linear_time_and_two_bytes_a_byte(model):
+    start, stream, n = time.perf_counter(), V.Stream(model), 300_000
+    got = [*stream.feed(b"a" * n)]
+    assert stream.held <= 2 * n + 1 and len(stream.score) <= model.longest + 1
+    got += stream.end()
+    assert time.perf_counter() - start < 30
+    assert b"".join(model.bytes_of[i] for i in got) == b"a" * n
+    for size in (65, 130, 700):
+        stream = V.Stream(model)
+        assert [*stream.feed((" " + "a" * size).encode()), *stream.end()] == brute(model, "a" * size)
+
+
+def test_words_of_one_hash_are_told_apart_by_their_bytes(model, monkeypatch):
+    texts = ["the the cat", "sat on mat", "mat cat the"]
+    monkeypatch.setattr(V.Texts, "hash_spans", lambda t, a, b: (b - a).astype("u8"))
+    t = V.Texts.of(pa.array([" " + x for x in texts], pa.large_string()))
+    start = np.flatnonzero(t.data == 32)
+    end = np.append(start[1:], len(t.data))
+    _, pick, word = np.unique(t.hash_spans(start, end), return_index=True, return_inverse=True)
+    pick, word = V._told_apart(t, start, end, pick, word)
+    assert [bytes(t.data[start[p] : end[p]]) for p in pick[word]] == [bytes(t.data[a:b]) for a, b in zip(start, end)]
 
 
 def test_documents_round_trip(documents, texts, model, spark):

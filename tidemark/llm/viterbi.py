@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by streaming Viterbi (operator 8).
 
-The encoder keeps scores and back pointers of a window as long as the longest piece.  Ids are committed when the paths of
-all positions a further piece could start from lead back to one boundary, so memory does not grow with a text.
+The encoder keeps scores of a window as long as the longest piece.  Ids are committed when the paths of all positions a further piece
+could start from lead back to one boundary; what is held until then is two bytes a byte, at most of one word.
 Blanks open pieces only, hence such a boundary lies before every word: texts are streamed word by word, each distinct
 word of a run once, all words in step as numpy lanes; words beyond ``LANE_BYTES`` go through ``Stream`` character by character.
 
@@ -86,65 +86,77 @@ class Model:
 
 
 class Stream:
-    """Encodes bytes character by character; ``feed`` and ``end`` give ids as soon as they are certain."""
+    """Encodes bytes character by character; ``feed`` and ``end`` give ids as soon as they are certain.
+
+    Scores are held for the last ``longest`` bytes only.  Of what is not committed yet the stream keeps the bytes and one byte per
+    byte for the length of the best last piece there (2 bytes a byte, ``held``).  The paths of the window are stepped back together until they
+    meet; where they do not, as on a run of one letter, the next look comes when twice as much is held, so time stays linear.
+    """
 
     def __init__(self, model: Model):
-        self.m, self.done, self.at = model, 0, 0
-        self.text = bytearray()  # from the last committed boundary
-        self.best, self.back = {0: 0.0}, {}
+        self.m, self.score = model, {0: 0.0}  # by place after the last committed boundary
+        self.text, self.back = bytearray(), bytearray(b"\0")
+        self.look = model.longest
+        self.lengths = sorted({len(p) for p in model.ids}, reverse=True)
+
+    @property
+    def held(self) -> int:
+        return len(self.text) + len(self.back)
 
     def feed(self, data: bytes) -> Iterator[int]:
         """``data``: whole characters."""
-        m, k = self.m, 0
+        m, k, score = self.m, 0, self.score
         while k < len(data):
             size = 1 if data[k] < 0x80 else 2 if data[k] < 0xE0 else 3 if data[k] < 0xF0 else 4
             self.text += data[k : k + size]
+            self.back += bytes(size)
             k += size
-            self.at += size
-            top, chosen = None, None
-            low = max(self.done, self.at - m.longest)
-            for s in range(low, self.at):
-                if s in self.best and (i := m.ids.get(bytes(self.text[s - self.done :]))) is not None and (top is None or self.best[s] + m.score[i] > top):
-                    top, chosen = self.best[s] + m.score[i], (s, i)
-            if bytes(self.text[-size:]) not in m.ids and (s := self.at - size) in self.best and (top is None or self.best[s] + m.fallback > top):
-                top, chosen = self.best[s] + m.fallback, (s, -1)
-            if chosen:
-                self.best[self.at], self.back[self.at] = top, chosen
-                yield from self._commit()
-
-    def _path(self, at: int) -> list[int]:
-        out = [at]
-        while out[-1] > self.done:
-            out.append(self.back[out[-1]][0])
-        return out[::-1]
+            at = len(self.text)
+            tail = bytes(self.text[-m.longest :])
+            top, length = None, 0
+            for n in self.lengths:
+                if n <= at and (before := score.get(at - n)) is not None and (i := m.ids.get(tail[-n:])) is not None and (top is None or before + m.score[i] > top):
+                    top, length = before + m.score[i], n
+            if tail[-size:] not in m.ids and (before := score.get(at - size)) is not None and (top is None or before + m.fallback > top):
+                top, length = before + m.fallback, size
+            if length:
+                score[at], self.back[at] = top, length
+                for old in range(at - m.longest - size, at - m.longest):
+                    score.pop(old, None)
+                if at >= self.look:
+                    yield from self._commit()
+                    score = self.score
 
     def _commit(self) -> Iterator[int]:
-        ends = [p for p in self.best if p > self.at - self.m.longest]
-        if self.at - self.done < self.m.longest and len(ends) > 1:
-            return
-        common = set(self._path(ends[0]))
-        for p in ends[1:]:
-            common &= set(self._path(p))
-            if common == {self.done}:
-                return
-        yield from self._emit(max(common))
+        front = {p for p in self.score if p > len(self.text) - self.m.longest}
+        while len(front) > 1:  # the furthest path steps back until all stand on one boundary
+            last = max(front)
+            front.remove(last)
+            front.add(last - self.back[last])
+        to = front.pop()
+        if to:
+            yield from self._emit(to)
+        self.look = len(self.text) + self.m.longest if to else 2 * len(self.text)
 
     def _emit(self, to: int) -> Iterator[int]:
-        path = self._path(to)
-        for p in path[1:]:
-            s, i = self.back[p]
-            if i >= 0:
+        path, p = [], to
+        while p:
+            path.append(p)
+            p -= self.back[p]
+        for p in reversed(path):
+            piece = bytes(self.text[p - self.back[p] : p])
+            i = self.m.ids.get(piece)
+            if i is not None:
                 yield i
             else:
-                yield from (int(self.m.byte_id[b]) for b in self.text[s - self.done : p - self.done])
-        del self.text[: to - self.done]
-        self.done = to
-        self.best = {p: v for p, v in self.best.items() if p >= to}
-        self.back = {p: v for p, v in self.back.items() if p > to}
+                yield from (int(self.m.byte_id[b]) for b in piece)
+        del self.text[:to], self.back[:to]
+        self.back[0] = 0
+        self.score = {p - to: v for p, v in self.score.items() if p >= to}
 
     def end(self) -> Iterator[int]:
-        if self.at > self.done:
-            yield from self._emit(self.at)
+        if self.text:
+            yield from self._emit(len(self.text))
 
 
 def _lanes(m: Model, t: Texts, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +218,25 @@ def _lanes(m: Model, t: Texts, start: np.ndarray, size: np.ndarray) -> tuple[np.
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(who, weights=times, minlength=n).astype(np.int64))])
 
 
+def _told_apart(t: Texts, start: np.ndarray, end: np.ndarray, pick: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words by hash, held to their bytes: words that differ from the first of their hash become words of their own."""
+    size = end - start
+    odd = size != size[pick][word]
+    whole = np.flatnonzero(~odd & (pick[word] != np.arange(len(word))))
+    for a in range(0, len(whole), 1 << 16):  # a few megabytes at a time
+        rows = whole[a : a + (1 << 16)]
+        n = size[rows]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = t.data[np.repeat(start[rows], n) + inner] != t.data[np.repeat(start[pick[word[rows]]], n) + inner]
+        odd[rows] = np.add.reduceat(differ, np.cumsum(n) - n) > 0 if len(n) else False
+    rows = np.flatnonzero(odd)
+    if len(rows):
+        word = word.copy()
+        word[rows] = len(pick) + np.arange(len(rows))
+        pick = np.concatenate([pick, rows])
+    return pick, word
+
+
 def encode_run(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a run of texts and the first id of each text + 1 end.  A text is read with a blank before it; an empty one has no ids."""
     column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
@@ -218,6 +249,7 @@ def encode_run(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end = np.concatenate([start[1:], [len(t.data)]]) if len(start) else start
     h = t.hash_spans(start, end)
     _, pick, word = np.unique(h, return_index=True, return_inverse=True)
+    pick, word = _told_apart(t, start, end, pick, word)
     s, e = start[pick], end[pick]
     short = e - s <= LANE_BYTES
     ids, cut = _lanes(m, t, s[short], (e - s)[short])
