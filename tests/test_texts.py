@@ -254,3 +254,42 @@ Analysts expect revenue of $110 billion for the same period, as surveys of them
     assert got[1, "Revenue"].low == pytest.approx(105.84e9) and got[1, "Revenue"].high == pytest.approx(110.16e9)
     assert (got[1, "Gross margin (non-GAAP)"].low, got[1, "Gross margin (GAAP)"].high) == pytest.approx((73.0, 73.8))
     assert (got[3, "EPS (non-GAAP)"].low, got[3, "EPS (non-GAAP)"].high, got[3, "EPS (non-GAAP)"].unit) == (1.2, 1.3, "$/share") and not got[3, "EPS (non-GAAP)"].withdrawn
+
+
+def test_clusters_merge_in_waves_until_nothing_merges(spark):
+    """Each merge gives the vocabulary that the next one needs; filings with the same words stay apart."""
+    w = lambda p, *n: [f"{p}word{i}" for i in n]
+    titles = [w("p", 1, 2, 3, 4) + w("a", 1, 2, 3, 4), w("p", 1, 2, 3, 4) + w("b", 1, 2, 3, 4), w("a", 1, 2) + w("b", 1, 2) + w("c", 1, 2, 3, 4), w("c", 1, 2) + w("a", 3) + w("b", 3) + w("d", 1, 2, 3, 4)]
+    titles += [[f"f{i}x{j}" for j in range(6)] for i in range(30)]
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=i), t, False) for i, t in enumerate(titles)]
+    articles = spark.createDataFrame(rows, "id long, published timestamp, tokens array<string>, filing boolean")
+    weights = N.token_weights(articles)
+    merged, rounds = N.merge_until_stable(articles.withColumn("cluster", F.col("id")), weights)
+    assert rounds == [1, 1, 1]
+    assert {r.cluster for r in merged.filter("id < 4").collect()} == {0} and merged.filter("id >= 4 and cluster <> id").count() == 0
+    assert N.similar_nodes(N.headline_nodes(articles, weights)[0]).count() == 0
+    late = spark.createDataFrame([(40, t0 + dt.timedelta(hours=80), titles[0], False), (41, t0, titles[30], True)], articles.schema)
+    got = {r.id: r.cluster for r in N.clusters(articles.unionByName(late)).collect()}
+    assert got[40] == 40 and got[41] == 41 and got[30] == 30
+    assert N.clusters(articles.limit(0)).count() == 0
+
+
+def test_long_titles_are_blocked_without_all_pairs_of_their_words(spark):
+    """Similar pairs equal a plain comparison, with frequent and rare words and titles of very different length."""
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=rng.randint(0, 200)), sorted({*rng.sample(common, rng.randint(1, 8)), *rng.sample(rare, rng.choice([1, 2, 4, 60]))}), False) for i in range(200)]
+    articles = spark.createDataFrame(rows, "id long, published timestamp, tokens array<string>, filing boolean")
+    weights = N.token_weights(articles)
+    idf = {r.token: r.idf for r in weights.collect()}
+    assert any(r.df > N.OFTEN for r in weights.collect())
+    want = set()
+    for i, t, a, _ in rows:
+        for j, u, b, _ in rows[:i]:
+            both = set(a) & set(b)
+            if abs(t - u) <= dt.timedelta(hours=72) and min(len(a), len(b)) >= 3 and len(both) >= 2 and sum(idf[x] for x in both) >= 0.5 * min(sum(idf[x] for x in a), sum(idf[x] for x in b)) - 1e-12:
+                want.add((j, i))
+    got = {(r.a, r.b) for r in N.similar_nodes(N.headline_nodes(articles, weights)[0]).collect()}
+    assert got == want and want

@@ -135,24 +135,49 @@ def similar_nodes(nodes: DataFrame, threshold: float = SIMILARITY, min_shared: i
 
 
 def clusters(articles: DataFrame, merge: bool = True) -> DataFrame:
-    """(id, cluster): articles linked through similar headlines, then clusters with overlapping rare vocabulary merged.
+    """(id, cluster): articles linked through similar headlines, then clusters with overlapping rare vocabulary merged until none is left.
 
     Order-independent: components of the similarity graph instead of a first-come assignment.
-    Articles with fewer than three tokens stay alone.
+    Articles with fewer than three tokens stay alone, and so do filings (where there is a column ``filing``): each is its own record, though its words
+    count for the weights.
     """
     weights = cut_lineage(token_weights(articles))
-    nodes, members = headline_nodes(articles, weights)
+    news = articles.filter(~F.col("filing")) if "filing" in articles.columns else articles
+    nodes, members = headline_nodes(news, weights)
     comp = connected_components(similar_nodes(nodes), nodes.select(F.col("node").alias("id"))).select(F.col("id").alias("node"), "component")
-    own = cut_lineage(articles.select("id", "published", "tokens").join(members, "id", "left").join(comp, "node", "left").select("id", "published", "tokens", F.coalesce("component", "id").alias("cluster")))
-    if not merge:
-        return own.select("id", "cluster")
+    own = cut_lineage(news.select("id", "published", "tokens").join(members, "id", "left").join(comp, "node", "left").select("id", "published", "tokens", F.coalesce("component", "id").alias("cluster")))
+    out = merge_until_stable(own, weights)[0] if merge else own.select("id", "cluster")
+    return out.unionByName(articles.filter("filing").select("id", F.col("id").alias("cluster"))) if "filing" in articles.columns else out
+
+
+def vocabularies(own: DataFrame, weights: DataFrame) -> DataFrame:
+    """Clusters as nodes: the words of at least a third of their articles, and the time of the first one."""
     size = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("published")).alias("t0"))
     vocab = own.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("c")).join(size, "cluster")
     vocab = vocab.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3))).join(weights.select("token", "idf", "df"), "token")
     n2 = vocab.groupBy("cluster", "t0").agg(F.sort_array(F.collect_list(_weighed())).alias("tw"), F.sum("idf").alias("total"))
-    n2 = cut_lineage(n2.select(F.col("cluster").alias("node"), "t0", F.col("t0").alias("t1"), "tw", "total"))
-    merged = connected_components(similar_nodes(n2, MERGE_SIMILARITY, 3, RARE_IDF), n2.select(F.col("node").alias("id"))).select(F.col("id").alias("cluster"), F.col("component").alias("final"))
-    return own.join(merged, "cluster", "left").select("id", F.coalesce("final", "cluster").alias("cluster"))
+    return n2.select(F.col("cluster").alias("node"), "t0", F.col("t0").alias("t1"), "tw", "total")
+
+
+def merge_until_stable(own: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[int]]:
+    """((id, cluster), clusters merged away in each round): ``own(id, published, tokens, cluster)`` merged round by round.
+
+    A round links clusters whose vocabularies overlap on rare words and gives each component its smallest name; the vocabularies of
+    what was merged are then taken anew.  Every round but the last merges something, so rounds end; the counts show how fast.
+    """
+    rounds, held = [], own
+    while True:
+        nodes = cut_lineage(vocabularies(held, weights))
+        edges = cut_lineage(similar_nodes(nodes, MERGE_SIMILARITY, 3, RARE_IDF).select("a", "b"))
+        if not edges.limit(1).count():
+            release(edges), release(nodes)
+            return held.select("id", "cluster"), rounds
+        names = connected_components(edges, edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))))
+        names = cut_lineage(names.filter("id <> component").select(F.col("id").alias("cluster"), F.col("component").alias("_to")))
+        rounds.append(names.count())
+        before, held = held, cut_lineage(held.join(names, "cluster", "left").select("id", "published", "tokens", F.coalesce("_to", "cluster").alias("cluster")))
+        for t in (nodes, edges, names, before if len(rounds) > 1 else None):
+            release(t)
 
 
 def source_rank(kind: Column) -> Column:

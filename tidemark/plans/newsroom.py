@@ -80,7 +80,7 @@ def tokenised(spark, sf):
 
 
 def build_tokenised(spark, sf):
-    return articles(spark, sf).filter("published is not null").select("id", "published", T.title_tokens(F.col("title"), R.STOP).alias("tokens"))
+    return articles(spark, sf).filter("published is not null").select("id", "published", T.title_tokens(F.col("title"), R.STOP).alias("tokens"), (F.col("source_name") == FILINGS).alias("filing"))
 
 
 _STOPL = ", ".join(f"'{s}'" for s in R.STOP)
@@ -110,11 +110,30 @@ def headline_sim(spark, sf):
 SELECT tk.id, coalesce(cp.cluster, tk.id) AS cluster FROM tk LEFT JOIN ix ON ix.id = tk.id LEFT JOIN nd ON nd.key = ix.key AND nd.rn = ix.rn LEFT JOIN cp ON cp.node = nd.node""")
 def news_clusters(spark, sf):
     """Components at similarity 0.5 (before the vocabulary merge)."""
-    return N.clusters(tokenised(spark, sf), merge=False)
+    return N.clusters(tokenised(spark, sf).drop("filing"), merge=False)
 
 
-@query("news_clusters_merged")
+FILINGS = "src3"  # this source's articles count as filings
+MERGE_ROUNDS = 4  # rounds written out in SQL; one more than the given tables need changes nothing
+
+
+def _merge_round(k: int) -> str:
+    """SQL of one round: clusters c{k} to c{k + 1}."""
+    return f""", sz{k} AS (SELECT cluster, count(*) AS n, min(t) AS t0 FROM c{k} GROUP BY 1), vw{k} AS (SELECT cluster, token, count(*) AS c FROM (SELECT cluster, unnest(ts) AS token FROM c{k}) GROUP BY 1, 2),
+vo{k} AS (SELECT cluster, t0, list(token) AS vs, list(token) FILTER (w >= 2.5) AS vr, sum(w) AS total FROM vw{k} JOIN sz{k} USING (cluster) JOIN idf USING (token) WHERE c >= greatest(1, n // 3) GROUP BY 1, 2),
+pa{k} AS (SELECT a.cluster AS a, b.cluster AS b, list_intersect(a.vs, b.vs) AS sh, least(a.total, b.total) AS mn FROM vo{k} a JOIN vo{k} b ON a.cluster < b.cluster AND abs(a.t0 - b.t0) <= 259200 AND len(list_intersect(a.vr, b.vr)) >= 2 AND len(list_intersect(a.vs, b.vs)) >= 3),
+ed{k} AS (SELECT a, b FROM pa{k} WHERE (SELECT sum(w) FROM (SELECT unnest(sh) AS token) JOIN idf USING (token)) / mn >= 0.45 - 1e-12),
+ee{k} AS (SELECT a, b FROM ed{k} UNION SELECT b, a FROM ed{k} UNION SELECT a, a FROM ed{k} UNION SELECT b, b FROM ed{k}), rc{k} AS (SELECT a, b FROM ee{k} UNION SELECT rc{k}.a, ee{k}.b FROM rc{k} JOIN ee{k} ON ee{k}.a = rc{k}.b),
+to{k} AS (SELECT a AS cluster, min(b) AS target FROM rc{k} GROUP BY 1), c{k + 1} AS MATERIALIZED (SELECT id, t, ts, coalesce(target, cluster) AS cluster FROM c{k} LEFT JOIN to{k} USING (cluster))"""
+
+
+_MERGED = _NODE.replace("tk AS (SELECT id,", f"tk AS (SELECT id, source_name = '{FILINGS}' AS filing,").replace("FROM tk WHERE len(ts) >= 3", "FROM tk WHERE NOT filing AND len(ts) >= 3") + """, e2 AS (SELECT a, b FROM eg UNION SELECT b, a FROM eg UNION SELECT node, node FROM nd), re AS (SELECT a, b FROM e2 UNION SELECT re.a, e2.b FROM re JOIN e2 ON e2.a = re.b), cp AS (SELECT a AS node, min(b) AS cluster FROM re GROUP BY 1),
+c0 AS MATERIALIZED (SELECT tk.id, tk.t, tk.ts, coalesce(cp.cluster, tk.id) AS cluster FROM tk LEFT JOIN ix ON ix.id = tk.id LEFT JOIN nd ON nd.key = ix.key AND nd.rn = ix.rn LEFT JOIN cp ON cp.node = nd.node WHERE NOT filing)""" + "".join(_merge_round(k) for k in range(MERGE_ROUNDS))
+
+
+@query("news_clusters_merged", _MERGED + f" SELECT id, cluster FROM c{MERGE_ROUNDS} UNION ALL SELECT id, id FROM tk WHERE filing")
 def news_clusters_merged(spark, sf):
+    """Clusters after merging by vocabulary until nothing merges; filings stay their own records."""
     return N.clusters(tokenised(spark, sf))
 
 
