@@ -293,3 +293,23 @@ def test_long_titles_are_blocked_without_all_pairs_of_their_words(spark):
                 want.add((j, i))
     got = {(r.a, r.b) for r in N.similar_nodes(N.headline_nodes(articles, weights)[0]).collect()}
     assert got == want and want
+
+
+def test_matters_of_several_sources_are_one(spark):
+    day = dt.date.fromisoformat
+    filings = spark.createDataFrame([("E", day("2025-03-20"), ["1.05", "9.01"]), ("E", day("2025-03-21"), ["7.01"]), ("E", day("2025-03-22"), None)], "company string, filed date, items array<string>")
+    paras = spark.createDataFrame([
+        ("E", day("2026-02-25"), "On March 7, 2025, the court dismissed the securities class action captioned In re Example, filed in the United States District Court."),
+        ("E", day("2026-02-25"), "In March 2025 plaintiffs filed a securities class action in district court against the company."), ("E", day("2026-02-25"), "From time to time, we may be subject to lawsuits filed in the district court."),
+        ("E", None, "A patent complaint was filed in the district court and the company defends itself."), ("E", day("2025-01-01"), None)], "company string, filed date, text string")
+    news = spark.createDataFrame([("E", dt.datetime(2025, 3, 18), "Example hit by ransomware breach", None, False), ("E", dt.datetime(2025, 4, 2), "Example sued over securities fraud in class action", "", False), ("E", dt.datetime(2025, 9, 2), "Example sued over securities fraud in class action", "", False),
+                                  ("E", dt.datetime(2025, 3, 2), "Example opens a store", None, True), ("F", dt.datetime(2025, 3, 18), "Example hit by ransomware breach", None, True)], "company string, published timestamp, headline string, summary string, primary boolean")
+    got = {(r.company, r.category, str(r.first_date)): r for r in D.linked_matters([D.filing_matters(filings), D.paragraph_matters(paras), D.news_matters(news)]).collect()}
+    breach = got["E", "Cybersecurity / data breach", "2025-03-18"]
+    assert (breach.sources, breach.origins, breach.status, str(breach.last_date)) == (2, "filing,news", "CONFIRMED INCIDENT", "2025-03-20")
+    assert got["F", "Cybersecurity / data breach", "2025-03-18"].status == "CONFIRMED INCIDENT"
+    fraud = {k[2]: got[k] for k in got if k[1] == "Fraud allegation"}
+    assert set(fraud) == {"2025-04-02", "2025-09-02"}
+    suit = got["E", "Securities litigation", "2025-03-01"]
+    assert (suit.sources, suit.status, suit.exact, str(suit.last_date)) == (2, "DISMISSED", True, "2025-03-07")
+    assert got["E", "Patent / IP litigation", "None"].origins == "annual report" and len(got) == 6

@@ -139,6 +139,14 @@ PERIODS = {
     "year": r"(?:full[- ]year|fiscal(?: year)?|for the year)\s*(\d{4})|(\d{4})\s*(?:full[- ]year|fiscal year)", "next": r"next quarter|the (upcoming|coming) quarter|current quarter",
 }
 GAAP_PAIR = r"GAAP and non-GAAP (gross margins?|operating expenses|operating margins?)[^.]*?(\$?\d[\d.,]*\s*(?:billion|million)?%?)\s+and\s+(\$?\d[\d.,]*\s*(?:billion|million)?%?),? respectively"
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+TEXT_DATE = "(" + "|".join(MONTHS) + r")\s+(\d{1,2},\s+)?(20\d\d|19\d\d)"
+ITEM_MATTERS = {  # item code: (category, status)
+    "1.05": ("Cybersecurity / data breach", "CONFIRMED INCIDENT"), "4.02": ("Accounting issue", "CONFIRMED INCIDENT"), "1.03": ("Bankruptcy / distress", "CONFIRMED INCIDENT"),
+    "2.05": ("Major layoffs / restructuring", "CONFIRMED INCIDENT"), "3.01": ("Bankruptcy / distress", "REGULATORY ACTION"),
+}
+ADVERSE = (r"\b(lawsuits?|sued|sues|suing|class action|probes?|probing|investigat\w*|subpoena\w*|recalls?|recalled|breach|hack(ed)?|layoffs?|job cuts|fined|fines|penalt\w*|settles?|settled|settlement|"
+           r"charged|indicted|antitrust (probe|suit|case|investigation|lawsuit)|accused|alleg\w*|whistleblower|restat\w*|outage)\b")
 COMPETITION_HEADINGS, COMPETITION_REACH = ["Competition", "Competitive Landscape", "Our Competitors"], 4000
 COMPANY_WORDS = ["inc", "corp", "corporation", "company", "holdings", "the", "group"]  # of a company's name, telling nothing
 SECTIONS = {  # name: (heading, next heading, minimum length)

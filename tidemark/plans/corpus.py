@@ -132,6 +132,42 @@ def matters(spark, sf):
     return D.matters(_fs(spark, sf))
 
 
+def matter_parts(spark, sf):
+    """Item codes of filings, legal sentences and headlines, each worded from orders, by company."""
+    from tidemark.plans import newsroom
+
+    company = (F.col("o_custkey") % 400).cast("string")
+    code = F.element_at(F.array(*[F.lit(c) for c in ("1.05", "9.01", "4.02", "2.05", "7.01")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    filings = V.table(spark, sf, "orders").filter("o_orderkey % 10 in (1, 9)").select(company.alias("company"), F.to_date("o_orderdate").alias("filed"), F.array(code, F.lit("9.01")).alias("items"))
+    paras = _fs(spark, sf).select((F.col("doc_id") % 400).cast("string").alias("company"), F.col("day").alias("filed"), F.col("sent").alias("text"))
+    news = newsroom.build_headlines(spark, sf).select(F.substring_index("cluster", "-", 1).cast("long").alias("c"), F.col("published"), F.col("title").alias("headline"), "summary", F.col("source_type").isin("primary_company", "primary_regulatory").alias("primary"))
+    return [D.filing_matters(filings), D.paragraph_matters(paras), D.news_matters(news.select((F.col("c") % 400).cast("string").alias("company"), "published", "headline", "summary", "primary"))]
+
+
+def _matters_sql() -> str:
+    from tidemark.plans.newsroom import _HL
+
+    heads = f"hl.title, '{_re2(R.ADVERSE)}', 'i'"
+    months = "[" + ", ".join(f"'{m}'" for m in R.MONTHS) + "]"
+    return V.sql("fs") + f""", {_HL}, {_MAT}, ev AS (
+SELECT CAST(o_custkey % 400 AS VARCHAR) AS company, CAST(o_orderdate AS DATE) AS date, true AS exact, CASE o_orderkey % 5 WHEN 0 THEN 'Cybersecurity / data breach' WHEN 2 THEN 'Accounting issue' WHEN 3 THEN 'Major layoffs / restructuring' END AS category, 'CONFIRMED INCIDENT' AS status, '' AS entity, 'filing' AS origin,
+  'Item ' || CASE o_orderkey % 5 WHEN 0 THEN '1.05' WHEN 2 THEN '4.02' WHEN 3 THEN '2.05' END AS source FROM orders WHERE o_orderkey % 10 IN (1, 9) AND o_orderkey % 5 IN (0, 2, 3)
+UNION ALL SELECT CAST(fs.doc_id % 400 AS VARCHAR), coalesce(CAST(make_date(CAST(nullif(regexp_extract(mt.sent, '{R.TEXT_DATE}', 3), '') AS INTEGER), CAST(nullif(list_position({months}, regexp_extract(mt.sent, '{R.TEXT_DATE}', 1)), 0) AS INTEGER), CAST(nullif(regexp_extract(regexp_extract(mt.sent, '{R.TEXT_DATE}', 2), '\d+'), '') AS INTEGER)) AS DATE), fs.day),
+  regexp_matches(mt.sent, '{R.TEXT_DATE}'), category, status, coalesce(entity, ''), 'annual report', md5(regexp_replace(lower(mt.sent), '\W+', '', 'g')) FROM mt JOIN fs USING (pos) WHERE category IS NOT NULL AND category <> 'Major layoffs / restructuring'
+UNION ALL SELECT CAST(CAST(split_part(cluster, '-', 1) AS BIGINT) % 400 AS VARCHAR), CAST(published AS DATE), true, ({_hits('title', _CATS)})[1], CASE WHEN coalesce(({_hits('title', _STAT)})[1], 'REPORTED') = 'CONFIRMED INCIDENT' AND source_type NOT IN ('primary_company', 'primary_regulatory') THEN 'REPORTED' ELSE coalesce(({_hits('title', _STAT)})[1], 'REPORTED') END,
+  coalesce(({_hits('title', R.GOV_ENTITIES, '')})[1], ''), 'news', md5(lower(title)) FROM hl WHERE regexp_matches({heads.replace('hl.', '')}) AND len({_hits('title', _CATS)}) > 0),
+dy AS (SELECT company, category, entity, date, max(status) AS status, bool_or(exact) AS exact FROM ev GROUP BY 1, 2, 3, 4), nw AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY company, category, entity ORDER BY date) <= 30 THEN 0 ELSE 1 END AS nw FROM dy),
+rn AS (SELECT *, sum(nw) OVER (PARTITION BY company, category, entity ORDER BY date) AS run FROM nw),
+sr AS (SELECT r.company, r.category, r.entity, r.run, count(DISTINCT (e.origin, e.source)) AS sources, array_to_string(list_sort(list(DISTINCT e.origin)), ',') AS origins FROM rn r JOIN ev e ON e.company = r.company AND e.category = r.category AND e.entity = r.entity AND e.date = r.date GROUP BY 1, 2, 3, 4)
+SELECT company, category, nullif(entity, '') AS entity, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, bool_or(exact) AS exact, arg_max(status, (date, status)) AS status, any_value(sources) AS sources, any_value(origins) AS origins FROM rn JOIN sr USING (company, category, entity, run) GROUP BY company, category, entity, run"""
+
+
+@query("linked_matters", _matters_sql())
+def linked_matters(spark, sf):
+    """One row per matter with evidence from item codes, legal sentences and headlines."""
+    return D.linked_matters(matter_parts(spark, sf)).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
 @query("guidance_extract", V.sql("fs") + f""", s AS (SELECT *, ({_hits('sent', R.METRICS)})[1] AS metric FROM fs WHERE regexp_matches(sent, '{_re2(R.EXPECTATION)}', 'i') AND NOT regexp_matches(sent, 'analysts?|consensus', 'i')),
 v AS (SELECT doc_id, pos, metric, 'FY' || regexp_extract(sent, 'fiscal (\\d{{4}})', 1) AS period, CASE WHEN metric = 'Revenue' THEN CAST(regexp_extract(sent, '\\$(\\d+\\.5) billion', 1) AS DOUBLE) * 1e9 ELSE CAST(regexp_extract(sent, '(\\d+)%', 1) AS DOUBLE) - 0.5 END AS low,
   CASE WHEN metric = 'Revenue' THEN CAST(regexp_extract(sent, 'to \\$(\\d+) billion', 1) AS DOUBLE) * 1e9 ELSE CAST(regexp_extract(sent, '(\\d+)%', 1) AS DOUBLE) + 0.5 END AS high FROM s WHERE metric IN ('Revenue', 'Gross margin'))
