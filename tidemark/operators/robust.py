@@ -112,8 +112,10 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], order: str, value: str = "v
     """Percentile bootstrap of mean and median from hash-derived, repeatable draws."""
     vals = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"])
     g = df.groupBy(*keys).agg(vals.alias("_vals"), F.count(value).alias("n")).filter("n >= 5")
-    # resamples of a key are spread over the cluster before anything is drawn
-    b = g.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(*keys, "b")
+    # A key's values are copied to as many tasks as there are, not to every resample; each task then draws its share of the resamples.
+    slices = max(1, min(samples, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    b = g.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(*keys, "_slice")
+    b = b.withColumn("b", F.explode(F.sequence(F.col("_slice"), F.lit(samples - 1), F.lit(slices)))).drop("_slice")
 
     def draw(j):
         text = F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), j.cast("string"))

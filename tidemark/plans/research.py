@@ -27,13 +27,19 @@ def _episodes(spark: SparkSession, sf: str, gap: int | None = 10, **kw) -> DataF
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return E.completed(_episodes(spark, sf))
+    """Completed outcomes, stored once: every statistic reads the same few rows."""
+    return V.stored("outcomes", spark, sf, lambda spark, sf: E.completed(_episodes(spark, sf)))
+
+
+def _usual(spark: SparkSession, sf: str) -> DataFrame:
+    """The baseline, stored once likewise."""
+    return V.stored("baseline", spark, sf, lambda spark, sf: E.baseline(_base(spark, sf), H, WARM))
 
 
 # Shared SQL: fwd (forward columns), cand, ep (greedy picks), out (completed outcomes), base (baseline).
 _FWD_BODY = f"""gapn AS (SELECT *, sum(CASE WHEN date - pd > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date) AS g
   FROM (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS pd FROM dn)),
-fwd AS (SELECT *, lead(date, {H}) OVER w AS exit_date, lead(close, {H}) OVER w AS exit_price,
+fwd AS MATERIALIZED (SELECT *, lead(date, {H}) OVER w AS exit_date, lead(close, {H}) OVER w AS exit_price,
   lead(close, {H}) OVER w / close - 1 AS fr, close / lag(close, {WIN}) OVER w - 1 AS mv,
   coalesce(lead(g, {H}) OVER w, max(g) OVER (PARTITION BY symbol)) - coalesce(lag(g, {WARM}) OVER w, 0) > 0 AS gapped
   FROM gapn WINDOW w AS (PARTITION BY symbol ORDER BY date)),
@@ -44,13 +50,13 @@ ep AS (SELECT symbol, min(i) AS i FROM usable GROUP BY 1 UNION ALL SELECT e.symb
 eps AS (SELECT c.*, CASE WHEN exit_date IS NULL THEN 'pending' ELSE 'complete' END AS status,
   row_number() OVER (PARTITION BY c.symbol, c.exit_date IS NULL ORDER BY i) AS k
   FROM cand c JOIN ep USING (symbol, i)),
-out AS (SELECT symbol, i, date, exit_date, fr AS v FROM eps WHERE status = 'complete'),
-base AS (SELECT symbol, i, date, fr AS v FROM fwd WHERE i >= {WARM} AND exit_date IS NOT NULL AND NOT gapped)
+out AS MATERIALIZED (SELECT symbol, i, date, exit_date, fr AS v FROM eps WHERE status = 'complete'),
+base AS MATERIALIZED (SELECT symbol, i, date, fr AS v FROM fwd WHERE i >= {WARM} AND exit_date IS NOT NULL AND NOT gapped)
 """
 _FWD = V.sql("dn") + ", " + _FWD_BODY
 _TT = ", ".join(f"({a}, {b})" for a, b in R.T_TABLE.items())
 _T = f"""tt(df, t) AS (VALUES {_TT}),
-tcrit AS (SELECT d AS df, CASE WHEN d > 120 THEN 1.960 ELSE coalesce(x.t, hi.t + (1.0 / d - 1.0 / hi.df) / (1.0 / lo.df - 1.0 / hi.df) * (lo.t - hi.t)) END AS t
+tcrit AS MATERIALIZED (SELECT d AS df, CASE WHEN d > 120 THEN 1.960 ELSE coalesce(x.t, hi.t + (1.0 / d - 1.0 / hi.df) / (1.0 / lo.df - 1.0 / hi.df) * (lo.t - hi.t)) END AS t
   FROM range(1, 100001) q(d) LEFT JOIN tt x ON x.df = d ASOF LEFT JOIN tt lo ON d >= lo.df ASOF LEFT JOIN tt hi ON d <= hi.df)"""
 
 
@@ -58,7 +64,7 @@ def _summary_sql(src: str, name: str) -> str:
     return f"""{name}0 AS (SELECT symbol, count(v) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std,
   count(*) FILTER (v > 0) AS positives, count(*) FILTER (v < 0) AS negatives, count(*) FILTER (v = 0) AS flat, min(v) AS mn, max(v) AS mx
   FROM {src} GROUP BY symbol),
-{name} AS (SELECT s.*, t.t AS t_crit, std / sqrt(n) AS se, mean - t.t * std / sqrt(n) AS ci_low, mean + t.t * std / sqrt(n) AS ci_high
+{name} AS MATERIALIZED (SELECT s.*, t.t AS t_crit, std / sqrt(n) AS se, mean - t.t * std / sqrt(n) AS ci_low, mean + t.t * std / sqrt(n) AS ci_high
   FROM {name}0 s LEFT JOIN tcrit t ON t.df = s.n - 1)"""
 
 
@@ -153,7 +159,7 @@ def winsorized_mean(spark, sf):
 
 
 _EXTREME = """md AS (SELECT *, abs(v - quantile_cont(v, 0.5) OVER (PARTITION BY symbol)) AS d FROM out),
-xt AS (SELECT symbol, count(*) AS n, arg_max(v, (d, -i)) AS ev, arg_max(i, (d, -i)) AS ei, sum(v) AS s, min(v) AS lo, max(v) AS hi FROM md GROUP BY 1)"""
+xt AS MATERIALIZED (SELECT symbol, count(*) AS n, arg_max(v, (d, -i)) AS ev, arg_max(i, (d, -i)) AS ei, sum(v) AS s, min(v) AS lo, max(v) AS hi FROM md GROUP BY 1)"""
 
 
 @query("extreme_removed", _FWD + f""", {_EXTREME} SELECT symbol, n, {r('ev','extreme_value')}, ei AS extreme_at, {r('(s - ev) / nullif(n - 1, 0)','mean_without_extreme')},
@@ -188,8 +194,8 @@ def rolling_episodes(spark, sf):
     return _tidy(R.rolling_outcomes(_outcomes(spark, sf), ["symbol"], "i"), "mean", "median", "positive_rate")
 
 
-@query("robustness_checks", _STATS + f""", {_RANK}, {_EXTREME}, tm AS (SELECT symbol, avg(v) FILTER (rn > k AND rn <= c - k AND k >= 1 AND c - 2 * k >= 2) AS tm FROM kk GROUP BY 1),
-ha AS (SELECT symbol, avg(v) FILTER (p <= n // 2) AS h1, avg(v) FILTER (p > n // 2) AS h2, avg(v) AS m FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS p,
+@query("robustness_checks", _STATS + f""", {_RANK}, {_EXTREME}, tm AS MATERIALIZED (SELECT symbol, avg(v) FILTER (rn > k AND rn <= c - k AND k >= 1 AND c - 2 * k >= 2) AS tm FROM kk GROUP BY 1),
+ha AS MATERIALIZED (SELECT symbol, avg(v) FILTER (p <= n // 2) AS h1, avg(v) FILTER (p > n // 2) AS h2, avg(v) AS m FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS p,
   count(*) OVER (PARTITION BY symbol) AS n FROM out) GROUP BY 1),
 ye AS (SELECT symbol, count(*) AS years, count(*) FILTER ((ym > 0) = (m > 0)) AS agree FROM (SELECT symbol, year(date) AS y, avg(v) AS ym FROM out GROUP BY 1, 2) JOIN ha USING (symbol) GROUP BY 1),
 ga AS (SELECT symbol, max(v) FILTER (v > 0) / sum(v) FILTER (v > 0) AS gs FROM out GROUP BY 1),
@@ -202,7 +208,7 @@ SELECT symbol, chk AS "check", ok, CASE WHEN n >= 10 AND years >= 3 THEN agree E
     CASE WHEN gs IS NOT NULL AND mean > 0 THEN gs < 0.25 END, CASE WHEN n >= 10 THEN (h1 > 0) = (h2 > 0) END,
     CASE WHEN ci_low IS NOT NULL AND bm IS NOT NULL THEN NOT (bm BETWEEN ci_low AND ci_high) END]) AS ok FROM al)""")
 def robustness_checks(spark, sf):
-    base = R.summarize(E.baseline(_base(spark, sf), H, WARM), ["symbol"]).select("symbol", F.col("mean").alias("baseline_mean"))
+    base = R.summarize(_usual(spark, sf), ["symbol"]).select("symbol", F.col("mean").alias("baseline_mean"))
     return R.robustness_checks(_outcomes(spark, sf), ["symbol"], "i", "trigger_date", base)
 
 
@@ -244,7 +250,7 @@ hb AS (SELECT h.symbol, h.half, avg(b.v) AS bm FROM hs h JOIN base b ON b.symbol
 @query("time_split", _FWD + f""", {_SPLIT} SELECT symbol, half, n, CAST(d0 AS VARCHAR) AS first_date, CAST(d1 AS VARCHAR) AS last_date, {r('mean','mean')}, {r('median','median')},
   {r('bm','baseline_mean')}, {r('mean - bm','difference')}, n >= 8 AS enough FROM hs JOIN hb USING (symbol, half)""")
 def time_split(spark, sf):
-    t = S.time_split(_outcomes(spark, sf), E.baseline(_base(spark, sf), H, WARM))
+    t = S.time_split(_outcomes(spark, sf), _usual(spark, sf))
     return _tidy(t.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")}), "mean", "median", "baseline_mean", "difference")
 
 
@@ -275,7 +281,7 @@ oo AS (SELECT symbol, bool_and((value > 0) = (mv > 0)) AS ok FROM orow JOIN (SEL
 rows AS (SELECT symbol, 'time_split' AS chk, ok FROM ts UNION ALL SELECT symbol, 'recency', ok FROM rc UNION ALL SELECT symbol, 'outliers', ok FROM oo)
 SELECT symbol, chk AS "check", CASE WHEN ok THEN 'survived' WHEN NOT ok THEN 'caution' ELSE 'too few' END AS verdict FROM rows""")
 def challenge(spark, sf):
-    return S.challenge(_outcomes(spark, sf), E.baseline(_base(spark, sf), H, WARM), V.daily(spark, sf))
+    return S.challenge(_outcomes(spark, sf), _usual(spark, sf), V.daily(spark, sf))
 
 
 _PREVIEW = V.sql("dn") + """, cc AS (SELECT symbol, i, close / lag(close, 5) OVER w - 1 <= -0.05 AS c1,
