@@ -35,6 +35,11 @@ def raw_basket(spark, sf):
 
 
 def basket(spark, sf):
+    """Baskets, exposures and fund positions are stored tables: most queries here read each of them several times."""
+    return V.stored("basket", spark, sf, build_basket)
+
+
+def build_basket(spark, sf):
     b = raw_basket(spark, sf).select("portfolio_id", "holding", F.col("full_weight").alias("weight"))
     return K.normalize_weights(b, F.lit(0.0)).select("portfolio_id", "holding", F.round("weight", 4).alias("weight"))
 
@@ -49,6 +54,10 @@ def _brand_lines(spark, sf):
 
 
 def exposures(spark, sf):
+    return V.stored("exposures", spark, sf, build_exposures)
+
+
+def build_exposures(spark, sf):
     """A holding is exposed to a factor where its share of the brand's lines is above its peers'."""
     x = _brand_lines(spark, sf)
     mean = x.groupBy("b").agg(F.avg("n").alias("m"))
@@ -60,6 +69,10 @@ def exposures(spark, sf):
 
 
 def fund_holdings(spark, sf):
+    return V.stored("fund_holdings", spark, sf, build_fund_holdings)
+
+
+def build_fund_holdings(spark, sf):
     o = V.table(spark, sf, "orders")
     total = o.agg(F.count(F.lit(1)).alias("t")).scalar()
     g = o.filter("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("holding")).agg(F.count(F.lit(1)).alias("n"))
