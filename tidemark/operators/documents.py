@@ -124,7 +124,7 @@ def percent_facts(sents: DataFrame) -> DataFrame:
     ok = ~s.rlike(r"^\s*\*") & ~s.rlike(r"(?i)less than \d") & s.rlike("(?i)" + R.PCT_OF) & s.rlike("(?i)" + R.PCT_QUALIFIER)
     x = sents.filter(ok)
     whole = F.regexp_extract_all(s, F.lit("(?i)" + R.PCT_OF), F.lit(0))
-    x = x.select("doc_id", "pos", F.explode(whole).alias("m"), F.regexp_extract(s, R.PCT_SUBJECT, 0).alias("subject"), F.regexp_extract(s, r"(20\d\d)", 1).alias("year"))
+    x = x.select("doc_id", "pos", F.explode(whole).alias("m"), F.coalesce(F.nullif(F.regexp_extract(s, R.PCT_SUBJECT, 0), F.lit("")), F.lit("see sentence")).alias("subject"), F.regexp_extract(s, r"(20\d\d)", 1).alias("year"))
     x = x.select("doc_id", "pos", F.regexp_extract("m", "(?i)" + R.PCT_OF, 1).cast("double").alias("percent"), F.lower(F.regexp_extract("m", "(?i)" + R.PCT_OF, 2)).alias("of"), "subject", "year")
     return x.groupBy("doc_id", "percent", "of", "year").agg(F.min_by("subject", "pos").alias("subject"))
 

@@ -101,7 +101,7 @@ _PCT = R.PCT_OF.replace("'", "''")
 
 
 @query("pct_facts", V.sql("fs") + f""", s AS (SELECT * FROM fs WHERE NOT regexp_matches(sent, '^\\s*\\*') AND NOT regexp_matches(sent, 'less than \\d', 'i') AND regexp_matches(sent, '{_PCT}', 'i') AND regexp_matches(sent, '{R.PCT_QUALIFIER}', 'i')),
-m AS (SELECT doc_id, pos, unnest(regexp_extract_all(sent, '(?i){_PCT}')) AS m, regexp_extract(sent, '{R.PCT_SUBJECT}') AS subject, regexp_extract(sent, '(20\\d\\d)', 1) AS year FROM s),
+m AS (SELECT doc_id, pos, unnest(regexp_extract_all(sent, '(?i){_PCT}')) AS m, coalesce(nullif(regexp_extract(sent, '{R.PCT_SUBJECT}'), ''), 'see sentence') AS subject, regexp_extract(sent, '(20\\d\\d)', 1) AS year FROM s),
 f AS (SELECT doc_id, pos, CAST(regexp_extract(m, '(?i){_PCT}', 1) AS DOUBLE) AS percent, lower(regexp_extract(m, '(?i){_PCT}', 2)) AS "of", subject, year FROM m) SELECT doc_id, percent, "of", year, arg_min(subject, pos) AS subject FROM f GROUP BY 1, 2, 3, 4""")
 def pct_facts(spark, sf):
     return D.percent_facts(_fs(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
@@ -11,7 +13,9 @@ from tidemark.operators import news as N
 from tidemark.plans import views as V
 from tidemark.plans.corpus import _hits, _re2
 from tidemark.plans.registry import query, r
+from tidemark.session import checkpoint_dir
 from tidemark.sources import archive as A
+from tidemark.sources import providers as SRC
 
 W = "WITH RECURSIVE "
 NOW = "2024-02-01 00:00:00"
@@ -62,6 +66,38 @@ def provider_status(spark, sf):
     return N.provider_status(articles(spark, sf), [f"src{i}" for i in range(25)], ["src3"])
 
 
+FEEDS = {"wire": "json_wire", "archive": "csv_table", "feed": "rss"}
+
+
+def feeds(spark, sf):
+    """The articles as three providers deliver them: JSON, CSV and RSS files in the shared folder, beside a file that is none of these."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/feeds_{os.urandom(6).hex()}"
+    a = articles(spark, sf).select("id", F.regexp_replace("title", r"\p{Cntrl}", " ").alias("title"), "url", "source_name", "published")
+    part = lambda i: a.filter(F.floor(F.col("id") / 3) % 3 == i)
+    part(0).write.json(f"{root}/wire")
+    part(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{root}/archive")
+    part(2).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(f"{root}/feed")
+    spark.createDataFrame([("no article",)], "value string").write.text(f"{root}/broken")
+    return root
+
+
+def _fetched(spark, sf):
+    root = feeds(spark, sf)
+    return SRC.fetch(spark, [*[(n, k, f"{root}/{n}") for n, k in FEEDS.items()], ("broken", "json_wire", f"{root}/broken"), ("gone", "rss", f"{root}/gone"), ("unheard", "carrier pigeon", root)])
+
+
+@query("provider_articles", W + _ART + " SELECT ['wire', 'archive', 'feed'][CAST(id // 3 % 3 AS INTEGER) + 1] AS provider, id, url, source_name, CAST(epoch(published) AS BIGINT) AS published FROM ar")
+def provider_articles(spark, sf):
+    """Articles read back from three formats; the providers that fail take nothing from the others."""
+    return _fetched(spark, sf)[0].select("provider", "id", "url", "source_name", F.unix_seconds("published").alias("published"))
+
+
+@query("provider_reads", W + _ART + ", c AS (SELECT ['wire', 'archive', 'feed'][CAST(id // 3 % 3 AS INTEGER) + 1] AS provider, count(*) AS n FROM ar GROUP BY 1) SELECT provider, n, 'ok' AS status FROM c UNION ALL SELECT unnest(['broken', 'gone', 'unheard']), 0, 'error'")
+def provider_reads(spark, sf):
+    """One status row for each provider, from reading it."""
+    return _fetched(spark, sf)[1].select("provider", "n", "status")
+
+
 _DED = W + _ART + r""", k AS (SELECT id, row_number() OVER (ORDER BY id) AS n, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS u, md5(trim(regexp_replace(lower(title), '\W+', ' ', 'g')) || '|' || lower(source_name)) AS t FROM ar),
 st AS (SELECT n, id, true AS keep, [u] AS us, [t] AS ts FROM k WHERE n = 1 UNION ALL SELECT k.n, k.id, NOT (list_contains(us, k.u) OR list_contains(ts, k.t)), CASE WHEN list_contains(us, k.u) OR list_contains(ts, k.t) THEN us ELSE list_append(us, k.u) END,
   CASE WHEN list_contains(us, k.u) OR list_contains(ts, k.t) THEN ts ELSE list_append(ts, k.t) END FROM st JOIN k ON k.n = st.n + 1)"""

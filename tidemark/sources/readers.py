@@ -33,7 +33,3 @@ def read_bars_csv(spark: SparkSession, path: str, interval: str, symbol: str | N
 def et_to_utc(df: DataFrame, column: str) -> DataFrame:
     """Vendor stamps in New York wall clock at candle start -> UTC."""
     return df.withColumn(column, cal.from_et(F.col(column)))
-
-
-# Readers by format name; add more with ``READERS[name] = fn``.
-READERS = {"bars_csv": read_bars_csv}
