@@ -60,3 +60,38 @@ def test_low_quality_documents_go_and_others_stay(spark):
     got = Q.clean_lines(spark.read.parquet(f"{sf}/documents.parquet"), cleaned=False).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in got}
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.1 * n[0, False]
+
+
+def verdict(text, r=Q.Rules()):
+    """Lines that fail, characters lost and whether the document stays, line by line and word by word."""
+    words = lambda s: re.findall(r"[^\x20\x09-\x0D]+", s)
+    text, lost, failed = text or "", 0, 0
+    stock = {text.count("\n", 0, m.start()) for m in re.finditer("|".join(map(re.escape, Q.BOILERPLATE)), re.sub("[A-Z]", lambda m: m[0].lower(), text)) if "\n" not in m[0]}
+    for i, line in enumerate(text.split("\n")):
+        w = words(line)
+        if not w:
+            continue
+        chars, last = sum(map(len, w)), "".join(w)[-200:] if len(w) == 1 else line.strip(" \t\r\x0b\x0c")
+        cut = last
+        for _ in range(3):
+            cut = cut[:-1] if cut and cut[-1] in Q.CLOSERS else cut
+        unfinished = not cut or cut[-1] not in Q.ENDINGS
+        upper, letters = len(re.findall("[A-Z]", line)), len(re.findall("[A-Za-z]", line))
+        marks = sum(x in Q.NAVIGATION_MARKS for x in w)
+        bad = unfinished and len(w) <= r.max_unfinished_words
+        bad |= len(re.findall(r"[#*$%&|<>]", line)) > r.max_symbol_share * chars
+        bad |= len(w) >= r.shouting_words and upper > r.max_upper_share * max(letters, 1)
+        bad |= marks >= r.min_marks and marks * r.mark_every >= len(w)
+        bad |= i in stock
+        failed += bad
+        lost += chars * bad
+    n_words, chars, _, _, repeated = brute(text)
+    base_failed = n_words < 20 or 100 * repeated > 30 * n_words
+    return failed, lost, not base_failed and lost <= r.max_lost_share * chars
+
+
+def test_verdicts_equal_line_by_line_reading(documents, texts, docs_of):
+    odd = ["Home | About | Contact\nA full line of text that ends well.\nREAD THIS NOW OR NEVER\nWe use Cookies here, as you know. \n(He said \"so.\")\nprice $$$ off ###\nx\n…\n\"\n" * 2, "é. »\nÀ B C D\n| | |\n•", "\n\n", "no end here at all", "Terms of\nuse apply."]
+    got = {r.doc_id: r for r in Q.clean_lines(documents).collect()} | {-1 - r.doc_id: r for r in Q.clean_lines(docs_of(list(enumerate(odd)))).collect()}
+    for i, t in [*texts.items(), *((-1 - i, t) for i, t in enumerate(odd))]:
+        assert (got[i].n_failed_lines, got[i].lost_chars, got[i].kept) == verdict(t), (i, t[:200])
