@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 BLOCK = 4
 #: Blocks whose digests one task folds in one go; a longer conversation goes on in the next stretch.
@@ -100,9 +100,11 @@ def blocks(turns: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> Data
     carried = lambda c: F.when(F.col("_d").isNull(), c).otherwise(F.sha2(F.concat("_d", c), 256))
     order = Window.partitionBy("conv_id").orderBy("stretch")
     ends = ends.select("conv_id", "stretch", "_d", F.lag(carried(F.col("e.digest"))).over(order).alias("_up"), F.sum("e.total").over(earlier).alias("_w")).filter("stretch > 0")
-    return cut.join(ends, ["conv_id", "stretch"], "left").select(
+    out = cut.join(ends, ["conv_id", "stretch"], "left").select(
         "conv_id", "k", F.when(F.col("up") == "", F.coalesce("_up", F.lit(""))).otherwise(carried(F.col("up"))).alias("up"), carried(F.col("digest")).alias("digest"), "hashes", "words", (F.col("before") + F.coalesce("_w", F.lit(0))).alias("before")
     )
+    out._table_path = cut._table_path  # goes with the frame
+    return out
 
 
 def steps(edges: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -172,14 +174,16 @@ def ends_hash(ends: DataFrame) -> DataFrame:
 
 def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """Nodes of the prefix trie of numbered turns(conv_id, pos, turn_hash, words); ``conversations(conv_id)`` also lists those without turns."""
-    rows = cut_lineage(blocks(turns, block, stretch))
+    folded = blocks(turns, block, stretch)
+    rows = cut_lineage(folded)
+    release(folded)
     edges = cut_lineage(rows.groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n"), F.first(F.struct("up", "k", "hashes", "words", "before")).alias("e")).select("digest", "conv_id", "n", "e.*"))
     ids = conversations.select("conv_id").distinct()
     turn = cut_lineage(steps(edges, block))
     root = ids.agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv_id")).filter("n > 0")
     root = root.select(F.lit("").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("depth"), "n", "conv_id", F.lit(0).cast("long").alias("before"))
     nodes = turn.groupBy("id").agg(F.first("parent_id").alias("parent_id"), F.first("depth").alias("depth"), F.sum("n").alias("n"), F.min("conv_id").alias("conv_id"), F.first("before").alias("before"))
-    nodes = cut_lineage(nodes.unionByName(root))
+    plain = nodes = cut_lineage(nodes.unionByName(root))
     children = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = cut_lineage(nodes.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
     # What a conversation brings to every node on its path: words above its first own node, and whether its path's end is an own leaf.
@@ -194,6 +198,8 @@ def trie(turns: DataFrame, conversations: DataFrame, block: int = BLOCK, stretch
     ends = ends_hash(value.select("digest", "conv_id")).join(turn.filter("last").select("digest", "id"), "digest", "left")
     ends = ends.select(F.when(F.col("digest") == "", F.lit("")).otherwise(F.col("id")).alias("id"), "ends_sha256")
     out = cut_lineage(nodes.join(by_node, "id").join(ends, "id", "left"))
+    for done in (rows, edges, turn, plain, value):
+        release(done)
     parents = nodes.select(F.col("id").alias("parent_id"), F.col("conv_id").alias("parent_conv_id"))
     out = out.join(parents, "parent_id", "left").select(
         "conv_id", "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", "n_leaves", (F.col("own") - F.col("least") - (F.col("n") - 1) * F.col("before")).alias("saved_tokens"),
@@ -212,7 +218,9 @@ def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """
     turns = cut_lineage(numbered_turns(conversations))
     ids = conversations.filter(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"))
-    return trie(rebuild(turns), ids)
+    out = trie(rebuild(turns), ids)
+    release(turns)
+    return out
 
 
 SQL = r"""
