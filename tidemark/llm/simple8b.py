@@ -170,7 +170,7 @@ class WordIds:
                 self[word] = ids
             return ids
 
-    def __init__(self, file: str, limit: int = 400_000):
+    def __init__(self, file: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
