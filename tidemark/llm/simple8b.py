@@ -20,6 +20,7 @@ and the 8-byte mark ``END`` closes it.  A slot is a range of doc_ids; ``index``
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -152,8 +153,7 @@ class WordIds:
     model at once; a comma or full stop at its end is a token of its own.
     """
 
-    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+\Z")
-    _CLOSED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[,.;:!?]\Z")
+    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     class _Known(dict):
         def __init__(self, encode, limit):
@@ -174,6 +174,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self.by_words = _cuts_at_white_space(self.tokenizer)
         self.known = self._Known(self._encode, limit)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -181,13 +182,18 @@ class WordIds:
         self.symbols = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # a byte's symbol in byte-level vocabularies
         self.symbols = [self.symbols[b] for b in range(256)]
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encode(self, word: bytes) -> bytes:
-        if self._CLOSED.match(word):
-            return self.known[word[:-1]] + self.known[word[-1:]]
-        if self._LETTERS.match(word):
+        letters = self._LETTERS.match(word)
+        if letters and letters.end() == len(word):
             text = word.decode() if word.isascii() else "".join([self.symbols[b] for b in word])
-            return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            return self._packed([t.id for t in self.model.tokenize(text)])
+        if letters and letters.end() == len(word) - 1 and word[-1] in b",.;:!?":
+            return self.known[word[:-1]] + self.known[word[-1:]]
+        return self._packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def __call__(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
