@@ -152,8 +152,8 @@ def _matters_sql() -> str:
     return V.sql("fs") + f""", {_HL}, {_MAT}, ev AS (
 SELECT CAST(o_custkey % 400 AS VARCHAR) AS company, CAST(o_orderdate AS DATE) AS date, true AS exact, CASE o_orderkey % 5 WHEN 0 THEN 'Cybersecurity / data breach' WHEN 2 THEN 'Accounting issue' WHEN 3 THEN 'Major layoffs / restructuring' END AS category, 'CONFIRMED INCIDENT' AS status, '' AS entity, 'filing' AS origin,
   'Item ' || CASE o_orderkey % 5 WHEN 0 THEN '1.05' WHEN 2 THEN '4.02' WHEN 3 THEN '2.05' END AS source FROM orders WHERE o_orderkey % 10 IN (1, 9) AND o_orderkey % 5 IN (0, 2, 3)
-UNION ALL SELECT CAST(fs.doc_id % 400 AS VARCHAR), coalesce(CAST(make_date(CAST(nullif(regexp_extract(mt.sent, '{R.TEXT_DATE}', 3), '') AS INTEGER), CAST(nullif(list_position({months}, regexp_extract(mt.sent, '{R.TEXT_DATE}', 1)), 0) AS INTEGER), CAST(nullif(regexp_extract(regexp_extract(mt.sent, '{R.TEXT_DATE}', 2), '\d+'), '') AS INTEGER)) AS DATE), fs.day),
-  regexp_matches(mt.sent, '{R.TEXT_DATE}'), category, status, coalesce(entity, ''), 'annual report', md5(regexp_replace(lower(mt.sent), '\W+', '', 'g')) FROM mt JOIN fs USING (pos) WHERE category IS NOT NULL AND category <> 'Major layoffs / restructuring'
+UNION ALL SELECT CAST(fs.doc_id % 400 AS VARCHAR), coalesce(CAST(make_date(CAST(nullif(regexp_extract(mt.sent, '{R.TEXT_DATE}', 3), '') AS INTEGER), CAST(nullif(list_position({months}, regexp_extract(mt.sent, '{R.TEXT_DATE}', 1)), 0) AS INTEGER), CAST(nullif(regexp_extract(regexp_extract(mt.sent, '{R.TEXT_DATE}', 2), '\\d+'), '') AS INTEGER)) AS DATE), fs.day),
+  regexp_matches(mt.sent, '{R.TEXT_DATE}'), category, status, coalesce(entity, ''), 'annual report', md5(regexp_replace(lower(mt.sent), '\\W+', '', 'g')) FROM mt JOIN fs USING (pos) WHERE category IS NOT NULL AND category <> 'Major layoffs / restructuring'
 UNION ALL SELECT CAST(CAST(split_part(cluster, '-', 1) AS BIGINT) % 400 AS VARCHAR), CAST(published AS DATE), true, ({_hits('title', _CATS)})[1], CASE WHEN coalesce(({_hits('title', _STAT)})[1], 'REPORTED') = 'CONFIRMED INCIDENT' AND source_type NOT IN ('primary_company', 'primary_regulatory') THEN 'REPORTED' ELSE coalesce(({_hits('title', _STAT)})[1], 'REPORTED') END,
   coalesce(({_hits('title', R.GOV_ENTITIES, '')})[1], ''), 'news', md5(lower(title)) FROM hl WHERE regexp_matches({heads.replace('hl.', '')}) AND len({_hits('title', _CATS)}) > 0),
 dy AS (SELECT company, category, entity, date, max(status) AS status, bool_or(exact) AS exact FROM ev GROUP BY 1, 2, 3, 4), nw AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY company, category, entity ORDER BY date) <= 30 THEN 0 ELSE 1 END AS nw FROM dy),
@@ -390,7 +390,7 @@ ct AS (SELECT doc_id, lower(text) AS low, alias, ticker FROM lt JOIN al ON conta
 oc AS (SELECT *, unnest(list_filter(range(1, length(low) + 1), lambda i: substr(low, i, length(alias)) = alias AND NOT (i > 1 AND regexp_matches(substr(low, i - 1, 1), '[a-z0-9_$]')) AND NOT regexp_matches(substr(low, i + length(alias), 1), '^[a-z0-9_]'))) AS p FROM ct),
 nm AS (SELECT DISTINCT doc_id, ticker FROM oc a WHERE NOT EXISTS (SELECT 1 FROM oc b WHERE b.doc_id = a.doc_id AND length(b.alias) > length(a.alias) AND b.p <= a.p AND a.p < b.p + length(b.alias))),
 ls AS (SELECT n_name AS ticker FROM nation WHERE length(n_name) <= 5 UNION ALL SELECT unnest(['IT', 'ON', 'A'])),
-dl AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '\$([A-Za-z]+)', 1))) AS ticker, 1 AS tier FROM lt),
+dl AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '\\$([A-Za-z]+)', 1))) AS ticker, 1 AS tier FROM lt),
 cp AS (SELECT doc_id, ls.ticker, CASE WHEN ls.ticker NOT IN ({', '.join(f"'{x}'" for x in WORDLIKE)}) THEN 3 WHEN contains(text, '(' || ls.ticker || ')') OR contains(text, 'shares of ' || ls.ticker || ' ') OR contains(text, 'ticker: ' || ls.ticker || ' ') THEN 4 END AS tier
   FROM lt JOIN ls ON regexp_matches(text, '(^|[^A-Za-z0-9_$])' || ls.ticker || '([^A-Za-z0-9_]|$)')),
 un AS (SELECT d.doc_id, d.ticker, d.tier FROM dl d JOIN ls USING (ticker) UNION ALL SELECT doc_id, ticker, 2 FROM nm UNION ALL SELECT * FROM cp WHERE tier IS NOT NULL)
