@@ -13,6 +13,7 @@ from tidemark.plans import views as V
 from tidemark.plans.registry import query, r
 
 FUND = "5-LOW"
+LINES_A_TASK = 500_000  # order lines that one task holds while they are counted
 # Factor names by brand number: five kinds of five names each.
 FACTORS = [
     ("supplier", ["entity:TSMC", "entity:Samsung", "entity:Intel", "entity:Micron", "entity:ASML"]),
@@ -46,9 +47,10 @@ def build_basket(spark, sf):
 
 def _brand_lines(spark, sf):
     li, o, p = V.table(spark, sf, "lineitem"), V.table(spark, sf, "orders"), V.table(spark, sf, "part")
-    # Counts shrink before every join: per order and part, then per priority and part.
-    x = li.groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    x = x.join(o, x.l_orderkey == o.o_orderkey).groupBy("o_orderpriority", "l_partkey").agg(F.sum("n").alias("n"))
+    # Counts shrink before every join: per order and part, then per priority and part.  The number of tasks follows the lines, so that none holds more of them at 60 times the size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // LINES_A_TASK))
+    x = li.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    x = x.repartition(tasks, "l_orderkey").join(o.select("o_orderkey", "o_orderpriority").repartition(tasks, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority", "l_partkey").agg(F.sum("n").alias("n"))
     return x.join(p, x.l_partkey == p.p_partkey).groupBy(
         F.col("o_orderpriority").alias("holding"), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 25).alias("b")).agg(F.sum("n").alias("n"))
 
