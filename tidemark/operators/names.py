@@ -1,7 +1,7 @@
 """Names and tickers in prose, against alias tables of any size.
 
-Every run of words that is as long as some alias becomes a phrase, exactly as written between its first and last word, and one hash
-join with the alias table finds all mentions.  Overlaps are settled per text: a longer alias first, and a mention that starts
+Every run of words that is as long as some alias (and, where aliases begin with few different words, begins with one of these) becomes a
+phrase, exactly as written between its first and last word, and one hash join with the alias table finds all mentions.  Overlaps are settled per text: a longer alias first, and a mention that starts
 inside a kept one goes.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+FIRST_WORDS = 1000  # up to so many different first words of aliases are looked for in the text itself; with more, all runs meet the table
 # Wording before a ticker, and the reasons in their order.
 ASKING = r"(?i)(?:ticker|symbol|shares of|stock)\s*:?\s*$"
 REASONS = ["written with $", "company name", "listed ticker", "in context"]
@@ -40,20 +41,19 @@ def name_mentions(texts: DataFrame, aliases: DataFrame, key: Sequence[str] = ("d
     key = list(key)
     a = alias_table(aliases)
     sizes = sorted(r.n_words for r in a.select("n_words").distinct().collect())  # a handful of lengths
+    firsts = [r.w for r in a.select(F.regexp_extract("phrase", WORD, 0).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()]
+    begins = (lambda i: F.element_at("w", i).isin(firsts)) if len(firsts) <= FIRST_WORDS else (lambda i: F.lit(True))
     words, gaps = _parts(F.lower(F.col(text)))
     x = texts.select(*key, words.alias("w"), gaps.alias("g"))
 
     def phrases(n: int) -> Column:
         run = lambda i: F.concat(F.element_at("w", i), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: F.concat(F.element_at("g", i + j), F.element_at("w", i + j))), "") if n > 1 else F.lit(""))
         one = lambda i: F.struct(i.alias("at"), F.lit(n).alias("n_words"), run(i).alias("phrase"), F.element_at("g", i).alias("_before"), F.element_at("g", i + n).alias("_after"))
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), one)).otherwise(F.array())
+        return F.when(F.size("w") >= n, F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - n + 1), begins), one)).otherwise(F.array())
 
     if not sizes:
         return texts.select(*key).withColumns({"ticker": F.lit(None).cast("string"), "alias": F.lit(None).cast("string"), "at": F.lit(None).cast("int")}).limit(0)
-    found = None
-    for n in sizes:
-        one = x.select(*key, F.explode(phrases(n)).alias("p")).select(*key, "p.*")
-        found = one if found is None else found.unionByName(one)
+    found = x.select(*key, F.explode_outer(F.concat(*[phrases(n) for n in sizes])).alias("p")).filter(F.col("p").isNotNull()).select(*key, "p.*")  # each text is read once; outer as in T.explode_matches
     hit = found.join(a, ["n_words", "phrase"]).filter(F.endswith("_before", F.col("lead")) & F.startswith("_after", F.col("trail")))
     outside = F.expr("substr(_before, 1, length(_before) - length(lead))")
     hit = hit.filter(~outside.endswith("$"))
@@ -89,7 +89,7 @@ def link(texts: DataFrame, aliases: DataFrame, listed: DataFrame, wordlike: Sequ
         word = m.isin(list(wordlike)) | (F.length(m) == 1)
         return F.struct(m.alias("ticker"), F.when(~word, 3).when(asks, 4).alias("tier"))
 
-    tokens = texts.select(*key, F.explode(F.concat(dollar, F.transform(caps, judged))).alias("h")).select(*key, "h.*").filter("tier is not null").join(known, "ticker")
+    tokens = texts.select(*key, F.explode_outer(F.concat(dollar, F.transform(caps, judged))).alias("h")).select(*key, "h.*").filter("tier is not null").join(known, "ticker")
     names = name_mentions(texts, aliases, key, text).select(*key, "ticker", F.lit(2).alias("tier"))
     best = tokens.select(*key, "ticker", "tier").unionByName(names).groupBy(*key, "ticker").agg(F.min("tier").alias("tier"))
     return best.select(*key, "ticker", F.when(F.col("tier") == 4, "ask").otherwise("high").alias("confidence"), F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("tier")).alias("reason"))
