@@ -33,6 +33,20 @@ def _wanted(rows, weights):
     return want
 
 
+@pytest.mark.parametrize("size", [1 << 21, 60])
+def test_every_pair_of_articles_is_listed_copies_too(spark, monkeypatch, size):
+    """A row that comes twice is one article."""
+    monkeypatch.setattr(S, "BLOCK_TOKENS", size)
+    articles, rows = _titles(spark)
+    weights = N.token_weights(articles)
+    nodes, members = N.headline_nodes(articles, weights)
+    assert nodes.count() < len([r for r in rows if len(r[2]) >= 3])
+    got = N.similar_nodes(nodes, members=members.unionByName(members.limit(5))).collect()
+    want = _wanted(rows, weights)
+    assert {(r.a, r.b): (r.shared, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+    assert (1000, 1001) in want and want[1000, 1001] == (4, 1.0)
+
+
 @pytest.mark.parametrize("size", [1 << 21, 40])
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, size):
     monkeypatch.setattr(S, "BLOCK_TOKENS", size)
@@ -58,3 +72,25 @@ def test_candidates_are_not_shuffled(spark):
     nodes, _ = N.headline_nodes(articles, N.token_weights(articles))
     plan = N.similar_nodes(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_small_steps_find_the_same(monkeypatch):
+    """Meetings and pairs of copies are looked at in slices; what is found does not depend on their size."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(30), rng.randint(3, 8))) for _ in range(40)]
+    tw = [[{"neg": -1.0 - t / 10, "token": f"w{t}"} for t in sorted(s, reverse=True)] for s in sets]
+    place = {c: [v] * 40 for c, v in (("bucket", 0), ("part", 0), ("before", 0), ("own", 1), ("after", 0))}
+    items = [[{"id": 100 * i + c, "t0": c, "t1": c} for c in range(1 + i % 4)] for i in range(40)]
+    kind = pa.list_(pa.struct([("neg", pa.float64()), ("token", pa.string())]))
+    table = pa.table({**place, "tw": pa.array(tw, kind), "items": items, "total": [-sum(e["neg"] for e in x) for x in tw], "k": [*range(40)], "fresh": [True] * 40})
+    row = S._pack(table).to_pylist()[0] | {"cell": {"b": 0, "i": 0, "c": 0, "j": 0}}
+
+    def found():
+        cell = pa.RecordBatch.from_pylist([row])
+        return sorted(tuple(r.values()) for b in S._cell(iter([cell]), ["a", "b", "shared", "similarity"], 259200, 0.5, 2, None, False) for r in b.to_pylist())
+
+    whole = found()
+    monkeypatch.setattr(S, "STEP", 3)
+    assert found() == whole and len(whole) > 100
