@@ -73,3 +73,13 @@ def test_names_of_all_lengths_in_one_reading(spark, monkeypatch):
     assert [g[1:] for g in got] == [("A", "acme", 6), ("AC", "acme corp", 10), ("ACP", "acme corp of peru", 1), ("Z", "zeta", 7)]
     monkeypatch.setattr(E, "FIRST_WORDS", 0)
     assert sorted(map(tuple, E.name_mentions(texts, aliases).collect())) == got
+
+
+def test_matters_read_their_texts_once(spark):
+    day = dt.date.fromisoformat
+    rows = [("E", day("2025-03-03"), f"A class action lawsuit was filed in the district court over number {i}.") for i in range(3)] + [("E", None, "A class action lawsuit was filed in the district court."), ("E", day("2025-03-04"), "Layoffs were filed with the court of appeal.")]
+    paras = D.paragraph_matters(spark.createDataFrame(rows, "company string, filed date, text string"))
+    assert "ExistingRDD" in _plan(paras)
+    x = D.linked_matters([paras, paras])
+    assert "RLIKE" not in _plan(x) and "ExistingRDD" not in _plan(x)
+    assert sorted((str(r.first_date), r.sources, r.origins) for r in x.collect()) == [("2025-03-03", 3, "annual report"), ("None", 1, "annual report")]
